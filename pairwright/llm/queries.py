@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from pairwright.llm.chat_format import CHATML, format_conversations, read_turns, unescaped
 from pairwright.llm.common import table
+from pairwright.llm.packing import pack
+from pairwright.llm.piece_transducer import encode_pieces
 from pairwright.llm.quality import quality_metrics
+from pairwright.llm.token_counts import count_tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +64,25 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(r || chr(10) || x
   bool_and((b, r) IN ({_MOVES}) AND (i = 1) = (b = '') AND (NOT last OR r IN ({", ".join(f"'{x}'" for x in CHATML.final)}))) AS valid
 FROM o GROUP BY conv_id
 """
+
+
+@query
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with four edits: two inside, one that joins words, and one at its end."""
+    n = F.coalesce(F.length("text"), F.lit(0))
+    edit = lambda pos, cut, ins: F.struct(F.floor(pos).cast("long").alias("pos"), F.lit(cut).cast("long").alias("n_del"), ins.alias("ins"))
+    edits = F.array(
+        edit(n / 3, 7, F.concat(F.lit("edit "), F.col("doc_id").cast("string"))), edit(2 * n / 3, 0, F.lit(" words that were not there\nbefore")),
+        edit(n / 2, 1, F.lit("")), edit(n + 100, 0, F.lit(" the end.")),
+    )
+    return count_tokens(table(spark, sf_dir, "documents").withColumn("edits", edits), "edits")
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"))
