@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairwright.llm import language_id, pii
 from pairwright.llm.chat_format import CHATML, format_conversations, read_turns, unescaped
-from pairwright.llm.common import table
+from pairwright.llm.common import crc32_of, table
+from pairwright.llm.fingerprints import compare_with_edits
 from pairwright.llm.packing import pack
 from pairwright.llm.piece_transducer import encode_pieces
 from pairwright.llm.quality import quality_metrics
@@ -86,3 +88,22 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(crc32_of(F.col("doc_id")), F.lit(4)) == 2
+    model = language_id.train(docs.where(~held_out))
+    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+@query
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_personal_data(docs, pii.train(docs))
