@@ -8,7 +8,9 @@ as long as it stays in the cache.
 
 from __future__ import annotations
 
+import base64
 import re
+import struct
 
 import numpy as np
 import public_tokenizers
@@ -16,6 +18,8 @@ import public_tokenizers
 from pairwright.llm.common import WordCache
 
 FILE = "byte_bpe_50k.json"
+#: The same vocabulary as merge ranks.
+RANKS = "byte_bpe_50k.tiktoken"
 #: A single space between two characters that are not white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -24,19 +28,36 @@ def default_path() -> str:
     return public_tokenizers.path(FILE)
 
 
+def _by_ranks():
+    import tiktoken
+
+    with open(public_tokenizers.path(RANKS), "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class ByteBpe:
+    """``path``: a tokenizer file; None: the public one, whose chunks are encoded by its ranks, which is faster for short texts."""
+
     def __init__(self, path: str | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
-        self.first = WordCache(lambda x: self.direct(x) if _closed(x) else None)
-        self.rest = WordCache(lambda x: self.direct(" " + x) if _closed(x) else None)
+        self.by_ranks = _by_ranks() if path in (None, default_path()) else None
+        self.first = WordCache(lambda x: self.chunk(x) if _closed(x) else None)
+        self.rest = WordCache(lambda x: self.chunk(" " + x) if _closed(x) else None)
         self.newline = self.direct("\n")
 
     def direct(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit numbers, without the cache."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def chunk(self, text: str) -> bytes:
+        """As ``direct``; a chunk that may hold a special token goes to the tokenizer itself."""
+        if self.by_ranks is None or "<|" in text:
+            return self.direct(text)
+        return struct.pack(f"<{len(ids := self.by_ranks(text))}I", *ids)
+
     def encode(self, text: str | None) -> bytes:
         """As ``direct``, by way of chunks."""
         if not text:
