@@ -11,6 +11,7 @@ the segmentation that the model's merges make.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -24,6 +25,7 @@ from pairwright.llm.common import WordCache, map_arrow, slices
 FILE = "piece_bpe_32k.model"
 MARK = "▁"
 INFINITY = float("inf")
+MARKS = frozenset(".,;:!?")
 
 
 def _fields(data: bytes):
@@ -76,14 +78,15 @@ class PieceTransducer:
                 self.id_of[piece], self.score[piece] = i, model.get_score(i)
                 self.bytes_of.append(piece.replace(MARK, " ").encode())
         self.text_of = {i: p for p, i in self.id_of.items()}
-        self.longest = max(map(len, self.id_of))
+        self.ends = {p[i:]: -1 for p in self.id_of for i in range(len(p))} | self.id_of
+        self.joined = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.id_of):
             raise ValueError("only models whose pieces hold marks at their start are supported")
         self.is_byte = np.zeros(n, bool)
         self.is_byte[list(self.byte_id.values())] = True
         self.arcs = WordCache(self._arc, 1 << 21)
-        self.inner = WordCache(self.compose)
-        self.marked = WordCache(lambda x: self.compose(MARK + x))
+        self.inner = WordCache(self._unit)
+        self.marked = WordCache(lambda x: self._unit(MARK + x))
         self.newline = self.compose("\n")
 
     def merged(self, text: str) -> list[str]:
@@ -99,38 +102,52 @@ class PieceTransducer:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _arc(self, pair: tuple[int, int]) -> float:
-        a, b = self.text_of[pair[0]], self.text_of[pair[1]]
+    def _arc(self, pair: int) -> float:
+        a, b = self.text_of[pair >> 16], self.text_of[pair & 0xFFFF]
         return 0.0 if self.merged(a + b) == [a, b] else INFINITY
 
+    def _unit(self, unit: str) -> bytes:
+        """``compose``, with a mark at the end that no piece joins to what stands before cut off first."""
+        if len(unit) > 2 and unit[-1] in MARKS and unit[-2:] not in self.joined:
+            head = self.marked[unit[1:-1]] if unit[0] == MARK else self.inner[unit[:-1]]
+            return head + self.inner[unit[-1]]
+        return self.compose(unit)
+
     def compose(self, unit: str) -> bytes:
         """The ids on the shortest path through ``unit``, as unsigned 16-bit numbers.
 
-        ``state[i]``: the piece that the one finite path to position i ends with (None: no
-        path; -1: none or bytes before, which any piece may follow).
+        ``state[i]``: the piece that the one finite path to position i ends with (-1: none, or
+        bytes before, which any piece may follow; None: no path). Arcs into a position are
+        tried from the shortest piece on, for as long as some piece ends so.
         """
-        n, ids, arcs = len(unit), self.id_of, self.arcs
+        n, ends, arcs = len(unit), self.ends, self.arcs
         state: list[int | None] = [-1] + [None] * n
         back = [0] * (n + 1)
         for end in range(1, n + 1):
-            if unit[end - 1] not in ids:
-                state[end], back[end] = (-1, end - 1) if state[end - 1] is not None else (None, 0)
-                continue
-            for start in range(max(0, end - self.longest), end):
-                before = state[start]
-                if before is None:
-                    continue
-                piece = ids.get(unit[start:end])
-                if piece is not None and (before < 0 or arcs[before, piece] == 0.0):
-                    state[end], back[end] = piece, start
+            start = end - 1
+            while start >= 0:
+                piece = ends.get(unit[start:end])
+                if piece is None:
                     break
+                if piece >= 0:
+                    before = state[start]
+                    if before is not None and (before < 0 or arcs[before << 16 | piece] == 0.0):
+                        state[end], back[end] = piece, start
+                        break
+                start -= 1
+            if state[end] is None and unit[end - 1] not in self.id_of:
+                state[end], back[end] = -1, end - 1
         out, end = [], n
         while end:
             if state[end] is None:
                 raise ValueError(f"no finite path through {unit[:80]!r}")
-            out.append([state[end]] if state[end] >= 0 else [self.byte_id[b] for b in unit[end - 1].encode()])
+            if state[end] >= 0:
+                out.append(state[end])
+            else:
+                out.extend(self.byte_id[b] for b in reversed(unit[end - 1].encode()))
             end = back[end]
-        return np.array([i for part in reversed(out) for i in part], dtype="<u2").tobytes()
+        out.reverse()
+        return struct.pack(f"<{len(out)}H", *out)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
