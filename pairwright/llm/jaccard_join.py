@@ -131,7 +131,7 @@ def _may_link(sets: DataFrame) -> DataFrame:
 def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
     """A bit for the hash of each id; ``bits`` / 64 numbers at most come to the driver."""
     slot = F.pmod(F.xxhash64(column), F.lit(bits))
-    rows = ids.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 64).cast("int").alias("w")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod("s", F.lit(64)).cast("int"))).alias("b")).toPandas()
+    rows = ids.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(s, 64) AS int))")).alias("b")).toPandas()
     words = np.zeros(bits // 64, np.int64)
     words[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
     return words

@@ -9,6 +9,7 @@ from pairwright.llm import language_id, pii
 from pairwright.llm.chat_format import CHATML, format_conversations, read_turns, unescaped
 from pairwright.llm.common import crc32_of, table
 from pairwright.llm.fingerprints import compare_with_edits
+from pairwright.llm.jaccard_join import near_duplicates
 from pairwright.llm.packing import pack
 from pairwright.llm.piece_transducer import encode_pieces
 from pairwright.llm.quality import quality_metrics
@@ -107,3 +108,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.find_personal_data(docs, pii.train(docs))
+
+
+@query
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
