@@ -13,6 +13,7 @@ from pairwright.llm.jaccard_join import near_duplicates
 from pairwright.llm.packing import pack
 from pairwright.llm.piece_transducer import encode_pieces
 from pairwright.llm.quality import quality_metrics
+from pairwright.llm.recurrent_lm import score_documents
 from pairwright.llm.token_counts import count_tokens
 
 QUERIES: dict = {}
@@ -113,3 +114,8 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
