@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import WordCache, map_arrow, slices, words_of
+from pairwright.llm.common import WordCache, map_arrow, slices
 from pairwright.operators.components import connected_components
 from pairwright.session import staged
 
@@ -34,10 +34,12 @@ SHINGLE = 5
 #: Similarity from which two documents link, in percent.
 PERCENT = 75
 #: In the first step l is this part of a set's size.
-FIRST_L = 0.04
+FIRST_L = 0.10
 #: l that step 2 chooses from, and what verifying one candidate costs, in postings.
 CHOICES = (1, 2, 3, 4, 6, 8, 12, 16)
-VERIFY_COST = 8.0
+VERIFY_COST = 0.5
+#: 64-bit words of the bitmap that each posting has of the tokens before it.
+MAP_WORDS = 8
 #: Bits of the filter that tells which documents may have a partner; it may let more through.
 FILTER_BITS = 1 << 24
 
@@ -58,7 +60,7 @@ class Shingler:
 
     def __call__(self, text: str | None) -> np.ndarray:
         self.hashes.trim()
-        words = words_of(text.translate(_LOWER)) if text else []
+        words = text.encode().lower().split() if text else []
         n = len(words)
         if not n:
             return np.zeros(0, np.uint64)
@@ -70,9 +72,6 @@ class Shingler:
         return np.unique(_finish(h))
 
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
-
-
 def least_overlap(n: int, percent: int = PERCENT) -> int:
     """Tokens that a set of ``n`` shares with any that links to it."""
     return -(-percent * n // 100)
@@ -178,8 +177,25 @@ def choose_l(df: np.ndarray, n: int, percent: int = PERCENT) -> tuple[int, int]:
     return best[1], best[2]
 
 
+def maps_before(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token a bitmap of those before it, and by how many these are more than the bits set.
+
+    Of the tokens before two postings of one token, no more are shared than bits are set in
+    both maps, plus the lesser of the two excesses.
+    """
+    k = len(tokens)
+    spot = (tokens.view(np.uint64) * _M >> np.uint64(32)) % np.uint64(64 * MAP_WORDS)
+    maps = np.zeros((k + 1, MAP_WORDS), np.uint64)
+    maps[np.arange(1, k + 1), (spot >> np.uint64(6)).astype(np.int64)] = np.uint64(1) << (spot & np.uint64(63))
+    maps = np.bitwise_or.accumulate(maps, axis=0)[:k]
+    return maps.view(np.int64), np.arange(k) - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+
+
+_MAPS = [f"b{i}" for i in range(MAP_WORDS)]
+
+
 def _postings(sets: DataFrame, percent: int) -> DataFrame:
-    """token, id, n, own (tokens that it alone has), pos (place in the global order), l."""
+    """token, id, n, own (tokens that it alone has), pos (place in the global order), l, excess and maps."""
     tokens = sets.select("id", "n", F.explode("tokens").alias("token")).repartition("token")
     counts = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = tokens.join(counts, "token").groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
@@ -194,13 +210,15 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
                 a, b = (ends[i - 1] if i else 0), ends[i]
                 own = n - (b - a)
                 l, k = choose_l(dfs[a:b], n, percent)  # noqa: E741
-                out.append(np.column_stack([toks[a : a + k], np.full(k, d), np.full(k, n), np.full(k, own), own + np.arange(k), np.full(k, l)]))
+                maps, excess = maps_before(toks[a : a + k])
+                out.append(np.column_stack([toks[a : a + k], np.full(k, d), np.full(k, n), np.full(k, own), own + np.arange(k), np.full(k, l), excess, maps]))
             rows = np.concatenate(out)
-            yield pa.table([rows[:, j] for j in range(6)], names=["token", "id", "n", "own", "pos", "l"])
+            yield pa.table([rows[:, j] for j in range(rows.shape[1])], names=columns)
 
         return work
 
-    return map_arrow(shared, task, "token long, id long, n long, own long, pos long, l long")
+    columns = ["token", "id", "n", "own", "pos", "l", "excess", *_MAPS]
+    return map_arrow(shared, task, ", ".join(f"{c} long" for c in columns))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -240,17 +258,19 @@ def _crossing(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame
 
     Within a posting list, members of its largest component meet only those outside it.
     """
-    p = postings.join(labels, "id", "left").withColumn("c", F.coalesce("c", "id"))
-    sizes = p.groupBy("token", "c").agg(F.count("*").alias("k"))
+    in_component = lambda p: p.join(labels, "id", "left").withColumn("c", F.coalesce("c", "id"))
+    sizes = in_component(postings.select("token", "id")).groupBy("token", "c").agg(F.count("*").alias("k"))
     mixed = sizes.groupBy("token").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("cs")).where("cs > 1").select("token", F.col("top.c").alias("top"))
-    p = p.join(mixed, "token")
-    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "own", "pos", "l", "c")]
+    p = in_component(postings.join(mixed, "token"))
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "own", "pos", "l", "excess", *_MAPS, "c")]
     outside = p.where("c <> top").select("token", *side("x"))
     every = p.select("token", *side("y"), (F.col("c") != F.col("top")).alias("out_y"))
     least = pair_overlap_sql("n_x", "n_y", percent)
     within = lambda s: f"pos_{s} < n_{s} - ceil({percent} * n_{s} / 100D - 1e-9) + least(l_x, l_y)"
     rest = "least(n_x - pos_x - 1, n_y - pos_y - 1)"
-    meets = f"c_x <> c_y AND (NOT out_y OR id_x < id_y) AND {within('x')} AND {within('y')} AND least(pos_x - own_x, pos_y - own_y) + 1 + {rest} >= {least}"
+    common = " + ".join(f"bit_count({b}_x & {b}_y)" for b in _MAPS) + " + least(excess_x, excess_y)"
+    before = f"least(pos_x - own_x, pos_y - own_y, {common})"
+    meets = f"c_x <> c_y AND (NOT out_y OR id_x < id_y) AND {within('x')} AND {within('y')} AND least(pos_x - own_x, pos_y - own_y) + 1 + {rest} >= {least} AND {before} + 1 + {rest} >= {least}"
     rows = outside.join(every, "token").where(meets).groupBy("id_x", "id_y")
     figures = rows.agg(F.count("*").alias("m"), F.min(F.expr(rest)).alias("rest"), F.first("n_x").alias("n_x"), F.first("n_y").alias("n_y"), F.first("l_x").alias("l_x"), F.first("l_y").alias("l_y"))
     return figures.where(f"m >= least(l_x, l_y) AND m + rest >= {least}").select(F.col("id_x").alias("x"), F.col("id_y").alias("y"))

@@ -92,4 +92,19 @@ def test_longer_prefixes_for_frequent_tokens():
 
     assert choose_l(np.array([2] * 100), 100)[0] == 1 or choose_l(np.array([2] * 100), 100)[1] > 0
     l, k = choose_l(np.array([2] * 40 + [5000] * 60), 100)
-    assert l > 1 and k == 25 + l
+    assert l > 1 and k == 25 + l  # later shared tokens are as frequent, so more are asked for
+
+
+def test_maps_bound_shared_tokens():
+    import numpy as np
+
+    from pairwright.llm.jaccard_join import maps_before
+
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        pool = rng.integers(-(2**62), 2**62, 300)
+        x, y = (rng.choice(pool, 120, replace=False) for _ in range(2))
+        (mx, ex), (my, ey) = maps_before(x), maps_before(y)
+        for i, j in rng.integers(0, 120, (30, 2)):
+            common = np.bitwise_count(mx[i].view(np.uint64) & my[j].view(np.uint64)).sum() + min(ex[i], ey[j])
+            assert len(set(x[:i]) & set(y[:j])) <= common
