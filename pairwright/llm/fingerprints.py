@@ -15,12 +15,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.llm.common import map_arrow, slices, words_of
 
-SAMPLES = 128
+SAMPLES = 96
 #: Terms whose values a task keeps; the table starts anew when it is full.
 TERMS = 1 << 16
 #: Documents that are put in one range of ids.
@@ -104,10 +105,11 @@ def edited(text: str, following: str) -> str:
 
 
 def _in_ranges(docs: DataFrame, range_rows: int) -> DataFrame:
-    """(r, ahead, key, doc_id, text): rows in ranges of ids, each range with the row that follows it (ahead).
+    """(r, ahead, key, doc_id, z): rows in ranges of ids, each range with the row that follows it (ahead).
 
     The first id of each range goes to the range before it as well, that of the first to the
-    last. The driver holds one bound and one id for each range, and texts are shuffled once.
+    last. The driver holds one bound and one id for each range. Texts are shuffled once, as
+    z, compressed.
     """
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     n = max(1, -(-docs.count() // range_rows))
@@ -121,16 +123,25 @@ def _in_ranges(docs: DataFrame, range_rows: int) -> DataFrame:
     starts = np.array([x["first"] for x in firsts], np.int64)
     before = np.roll(np.array([x["r"] for x in firsts], np.int32), 1)
 
-    @F.pandas_udf("array<int>")
-    def ranges_of(key: pd.Series) -> pd.Series:
-        k = key.to_numpy()
-        own = np.searchsorted(bounds, k, side="right")
-        at = np.minimum(np.searchsorted(starts, k), len(starts) - 1)
-        also = np.where(starts[at] == k, before[at], -1)
-        return pd.Series([[a] if b < 0 else [a, b] for a, b in zip(own.tolist(), also.tolist(), strict=True)])
+    def task():
+        press = zstandard.ZstdCompressor(level=3).compress
+
+        def work(batch: pa.RecordBatch):
+            for part in slices(batch, "text"):
+                key = np.asarray(part["key"], dtype=np.int64)
+                z = pa.array([press(t.as_buffer()) for t in part["text"]], pa.binary())
+                own = np.searchsorted(bounds, key, side="right").astype(np.int32)
+                yield pa.table([own, np.zeros(len(key), np.int32), part["key"], part["doc_id"], z], names=names)
+                at = np.minimum(np.searchsorted(starts, key), len(starts) - 1)
+                first = np.flatnonzero(starts[at] == key)
+                pick = pa.array(first)
+                yield pa.table([before[at[first]], np.ones(len(first), np.int32), part["key"].take(pick), part["doc_id"].take(pick), z.take(pick)], names=names)
+
+        return work
 
-    placed = rows.select("*", F.posexplode(ranges_of("key")).alias("ahead", "r"))
-    return placed.repartition(n, "r").sortWithinPartitions("r", "ahead", "key", "text")
+    names = ["r", "ahead", "key", "doc_id", "z"]
+    placed = map_arrow(rows, task, "r int, ahead int, key long, doc_id long, z binary")
+    return placed.repartition(n, "r").sortWithinPartitions("r", "ahead", "key", "z")
 
 
 FIGURES = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -155,8 +166,8 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, id_col: str =
 def compare_with_edits(docs: DataFrame, samples: int = SAMPLES, range_rows: int = RANGE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text, and how like they are: doc_id and FIGURES.
 
-    The next document is the one with the next id (after the last: the first); of rows with one
-    id, the one with the greater text follows, and a null id comes first. A document that is
+    The next document is the one with the next id (after the last: the first); rows with one
+    id follow each other in an order that their texts fix, and a null id comes first. A document that is
     alone follows itself. Null texts are empty. An empty table gives no rows; other columns
     are not read. Texts are shuffled once, in ranges of ids of bounded size.
     """
@@ -164,22 +175,29 @@ def compare_with_edits(docs: DataFrame, samples: int = SAMPLES, range_rows: int
 
     def run(batches):
         sampler, pending, rows = Sampler(samples), None, []
+        unpress = zstandard.ZstdDecompressor().decompress
 
         def flush():
-            texts = [t for _, t, _ in rows] + [x for *_, x in rows] + [edited(t, x) for _, t, x in rows]
-            prints, m = sampler.fingerprints(texts), len(rows)
+            # What follows a row is as a rule the next row, whose fingerprint is needed anyway.
+            lone = [i for i, (_, _, x) in enumerate(rows) if i + 1 == len(rows) or rows[i + 1][1] is not x]
+            changed_texts, m = [edited(t, x) for _, t, x in rows], len(rows)
+            prints = sampler.fingerprints([t for _, t, _ in rows] + changed_texts + [rows[i][2] for i in lone])
+            afters = prints[1:m] + [None] + prints[2 * m :]
+            for j, i in enumerate(lone):
+                afters[i] = prints[2 * m + j]
             made = []
             for i, (d, t, _) in enumerate(rows):
-                own, after, changed = prints[i], prints[m + i], prints[2 * m + i]
-                sha = hashlib.sha256(texts[2 * m + i].encode()).hexdigest()
+                own, after, changed = prints[i], afters[i], prints[m + i]
+                sha = hashlib.sha256(changed_texts[i].encode()).hexdigest()
                 made.append((d, len(t), sha, written(own), written(changed), likeness(own, changed), likeness(own, after)))
             rows.clear()
             return pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*made, strict=True)), strict=True)), schema=schema)
 
         size = 0
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                for r, ahead, d, t in zip(*(part[c].to_pylist() for c in ("r", "ahead", "doc_id", "text")), strict=True):
+            for part in slices(batch, "z", 1 << 19):
+                for r, ahead, d, z in zip(*(part[c].to_pylist() for c in ("r", "ahead", "doc_id", "z")), strict=True):
+                    t = unpress(z).decode()
                     if pending and pending[0] == r:
                         rows.append((pending[1], pending[2], t))
                         size += len(t)
@@ -192,4 +210,4 @@ def compare_with_edits(docs: DataFrame, samples: int = SAMPLES, range_rows: int
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *[(c, pa.string()) for c in names[2:5]], *[(c, pa.float64()) for c in names[5:]]])
     placed = _in_ranges(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), range_rows)
-    return placed.select("r", "ahead", "doc_id", "text").mapInArrow(run, "doc_id long, " + FIGURES)
+    return placed.select("r", "ahead", "doc_id", "z").mapInArrow(run, "doc_id long, " + FIGURES)
