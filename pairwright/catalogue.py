@@ -2,5 +2,547 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairwright.functions import boxes, codes, tags
+from pairwright.functions.codes import INCMP, NEGTV, POSTV, UNREV
+from pairwright.operators import candidates, delta, graph, metrics, priority, recovery, rectify, redundancy, refresh
+from pairwright.operators.components import connected_components
+from pairwright.sources import fixtures as fx
+from pairwright.streaming.reviews import replay
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+# SQL parts -----------------------------------------------------------------------------
+
+_CONFIDENCE = ", ".join(f"'{c}'" for c in fx.CONFIDENCES)
+_FX1 = f"""
+annots AS MATERIALIZED (SELECT o_orderkey AS aid, o_custkey AS name FROM orders),
+lagged AS (SELECT lag(aid, 1) OVER w AS a, lag(aid, 2) OVER w AS b, aid AS v FROM annots WINDOW w AS (PARTITION BY name ORDER BY aid)),
+items AS MATERIALIZED (SELECT DISTINCT l_partkey AS p, l_suppkey AS s, l_orderkey AS o FROM lineitem),
+named AS MATERIALIZED (SELECT p, s, o, name FROM items JOIN annots ON o = aid),
+crossing AS MATERIALIZED (SELECT DISTINCT x.o AS u, y.o AS v FROM named x JOIN named y USING (p, s) WHERE x.o < y.o AND x.name <> y.name),
+raw AS (
+  SELECT a AS aid1, v AS aid2, CASE (7 * a + 13 * v) % 20 WHEN 0 THEN 'INCMP' WHEN 1 THEN 'UNREV' WHEN 2 THEN 'UNKWN' ELSE 'POSTV' END AS decision FROM lagged WHERE a IS NOT NULL
+  UNION ALL SELECT b, v, CASE WHEN (11 * b + 5 * v) % 20 < 10 THEN 'POSTV' WHEN (11 * b + 5 * v) % 20 = 10 THEN 'NEGTV' WHEN (11 * b + 5 * v) % 20 < 13 THEN 'INCMP' ELSE 'UNREV' END FROM lagged WHERE b IS NOT NULL AND (11 * b + 5 * v) % 20 < 15
+  UNION ALL SELECT u, v, CASE WHEN (3 * u + 7 * v) % 200 = 0 THEN 'POSTV' WHEN (3 * u + 7 * v) % 10 < 6 THEN 'NEGTV' WHEN (3 * u + 7 * v) % 10 < 8 THEN 'INCMP' ELSE 'UNREV' END FROM crossing),
+edges AS MATERIALIZED (SELECT aid1, aid2, decision, [{_CONFIDENCE}][1 + (aid1 + aid2) % 5] AS confidence, 1 + (aid1 * aid2) % 3 AS num_reviews, ((31 * aid1 + 17 * aid2) % 1000) / 1000.0 AS prob_match FROM raw)"""
+_PCC = """,
+sym AS MATERIALIZED (SELECT aid1 AS u, aid2 AS v FROM edges WHERE decision = 'POSTV' UNION ALL SELECT aid2, aid1 FROM edges WHERE decision = 'POSTV'),
+reach(a, b) AS (SELECT aid, aid FROM annots UNION SELECT r.a, s.v FROM reach r JOIN sym s ON r.b = s.u),
+pcc AS MATERIALIZED (SELECT a AS aid, min(b) AS nid FROM reach GROUP BY a),
+labelled AS MATERIALIZED (SELECT e.*, least(x.nid, y.nid) AS nid1, greatest(x.nid, y.nid) AS nid2 FROM edges e JOIN pcc x ON aid1 = x.aid JOIN pcc y ON aid2 = y.aid),
+sizes AS (SELECT nid, count(*) AS n_nodes FROM pcc GROUP BY nid),
+bad AS MATERIALIZED (SELECT DISTINCT nid1 AS nid FROM labelled WHERE nid1 = nid2 AND decision = 'NEGTV'),
+meta AS MATERIALIZED (SELECT nid1, nid2, count(*) AS weight FROM labelled WHERE decision = 'NEGTV' GROUP BY nid1, nid2)"""
+
+
+def on_edges(sql: str, more: str = "") -> str:
+    return f"WITH {_FX1}{more}\n{sql}"
+
+
+def on_pcc(sql: str, more: str = "") -> str:
+    return f"WITH RECURSIVE {_FX1}{_PCC}{more}\n{sql}"
+
+
+_LOG = """log AS MATERIALIZED (
+  SELECT event_id AS review_id, least(user_id, k) AS aid1, greatest(user_id, k) AS aid2, CASE event_type WHEN 'purchase' THEN 'POSTV' WHEN 'error' THEN 'NEGTV' WHEN 'view' THEN 'INCMP' WHEN 'signup' THEN 'UNKWN' ELSE 'UNREV' END AS d,
+    CASE WHEN event_id % 4 = 0 THEN 'algo:x' ELSE 'user:' || user_id % 7 END AS who, event_id % 11 = 0 AS meaningful
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE user_id <> k)"""
+_PROBS = """, scored AS MATERIALIZED (
+  SELECT aid1, aid2, CASE WHEN x.name = y.name THEN 'POSTV' ELSE 'NEGTV' END AS truth, CASE WHEN x.name = y.name THEN 0.6::DOUBLE + ((31 * aid1 + 17 * aid2) % 400) / 1000.0::DOUBLE ELSE ((31 * aid1 + 17 * aid2) % 500) / 1000.0::DOUBLE END AS p
+  FROM edges JOIN annots x ON aid1 = x.aid JOIN annots y ON aid2 = y.aid),
+probs AS MATERIALIZED (SELECT aid1, aid2, truth, round(p, 6) AS POSTV, round((1 - p) * ((7 * aid1 + 3 * aid2) % 100) / 100, 6) AS NEGTV, round(1 - p - (1 - p) * ((7 * aid1 + 3 * aid2) % 100) / 100, 6) AS INCMP FROM scored)"""
+_RANKING = """v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+near AS (SELECT q.id AS qaid, d.id AS daid, round(list_dot_product(q.e, d.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(d.e, d.e))), 6) AS score FROM v q JOIN v d ON q.id <> d.id WHERE q.id % 100 = 0),
+ranking AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qaid ORDER BY score DESC, daid) AS rank FROM near) WHERE rank <= 5)"""
+THRESHOLDS = {POSTV: 0.85, NEGTV: 0.8, INCMP: 0.7}
+
+
+# Decisions and attributes --------------------------------------------------------------
+
+
+@query(on_edges("""SELECT aid1, aid2, CASE WHEN meta = 'same' AND decision IN ('INCMP', 'UNREV', 'UNKWN') THEN 'POSTV' WHEN meta = 'diff' AND decision IN ('INCMP', 'UNREV', 'UNKWN') THEN 'NEGTV' ELSE decision END AS decision
+FROM (SELECT *, CASE WHEN (aid1 + aid2) % 5 = 0 AND decision <> 'NEGTV' THEN 'same' WHEN (aid1 + aid2) % 5 = 1 AND decision <> 'POSTV' THEN 'diff' ELSE 'null' END AS meta FROM edges)"""))
+def decision_rectify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta = F.expr("CASE WHEN (aid1 + aid2) % 5 = 0 AND evidence_decision <> 'NEGTV' THEN 'same' WHEN (aid1 + aid2) % 5 = 1 AND evidence_decision <> 'POSTV' THEN 'diff' ELSE 'null' END")
+    return fx.order_edges(spark, sf_dir).select("aid1", "aid2", codes.rectified(F.col("evidence_decision"), meta).alias("decision"))
+
+
+@query(f"WITH {_LOG} SELECT aid1, aid2, max(review_id) AS review_id, arg_max(d, review_id) AS decision, arg_max(who, review_id) AS user_id, count(*) AS num_reviews FROM log GROUP BY aid1, aid2")
+def latest_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.latest_reviews(fx.event_reviews(spark, sf_dir)).select("aid1", "aid2", "review_id", "decision", "user_id", "num_reviews")
+
+
+@query(f"WITH {_LOG} SELECT n AS num_reviews, count(*) AS n_edges FROM (SELECT count(*) AS n FROM log GROUP BY aid1, aid2) GROUP BY n")
+def review_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.latest_reviews(fx.event_reviews(spark, sf_dir)).groupBy("num_reviews").agg(F.count("*").alias("n_edges"))
+
+
+@query(on_edges("SELECT a.aid1, a.aid2, CASE WHEN e.aid1 IS NULL OR e.confidence = 'unspecified' THEN 'none' ELSE e.confidence END AS confidence FROM (SELECT DISTINCT aid1, aid2 + 1 AS aid2 FROM edges) a LEFT JOIN edges e USING (aid1, aid2)"))
+def edge_attr_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = fx.order_edges(spark, sf_dir).withColumn("confidence", F.nullif(F.col("confidence"), F.lit("unspecified")))
+    asked = edges.select("aid1", (F.col("aid2") + 1).alias("aid2")).distinct()
+    return graph.attributes(asked, edges, "confidence", on_missing="default", on_keyerr="default", default="none")
+
+
+@query(on_edges("SELECT aid1, aid2, confidence FROM edges WHERE confidence <> 'unspecified' AND prob_match > 0.5"))
+def edges_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edges_where(graph.edges_where(fx.order_edges(spark, sf_dir), "confidence", "ne", "unspecified"), "prob_match", "gt", 0.5).select("aid1", "aid2", "confidence")
+
+
+# Components ----------------------------------------------------------------------------
+
+
+def _state(spark, sf_dir):
+    return fx.order_edges(spark, sf_dir), fx.order_pcc(spark, sf_dir)
+
+
+@query(on_pcc("SELECT aid, nid FROM pcc"))
+def pcc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return connected_components(fx.order_edges(spark, sf_dir).where(F.col("decision") == POSTV), nodes=fx.order_annots(spark, sf_dir))
+
+
+_SUMMARY = """SELECT s.nid, s.n_nodes, count(*) FILTER (decision = 'POSTV') AS n_pos, count(*) FILTER (decision = 'NEGTV') AS n_neg_inside, count(*) FILTER (decision = 'INCMP') AS n_incmp_inside, s.n_nodes <= 2 OR count(*) FILTER (decision = 'NEGTV') = 0 AS is_consistent
+FROM sizes s LEFT JOIN (SELECT * FROM labelled WHERE nid1 = nid2) l ON s.nid = l.nid1 GROUP BY s.nid, s.n_nodes"""
+
+
+@query(on_pcc(_SUMMARY))
+def pcc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.pcc_summary(*_state(spark, sf_dir))
+
+
+@query(on_pcc("SELECT n_nodes, count(*) AS n FROM sizes GROUP BY n_nodes"))
+def pcc_size_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.order_pcc(spark, sf_dir).groupBy("nid").agg(F.count("*").alias("n_nodes")).groupBy("n_nodes").agg(F.count("*").alias("n"))
+
+
+@query(on_pcc("SELECT nid, string_agg(aid::VARCHAR, ',' ORDER BY aid) AS members FROM pcc GROUP BY nid"))
+def component_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.order_pcc(spark, sf_dir).groupBy("nid").agg(F.array_join(F.sort_array(F.collect_list("aid")).cast("array<string>"), ",").alias("members"))
+
+
+@query(on_pcc("SELECT aid1, aid2, nid1 = nid2 AS connected FROM labelled"))
+def connected_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, pcc = _state(spark, sf_dir)
+    return graph.same_component(edges.select("aid1", "aid2"), pcc)
+
+
+@query(on_pcc("SELECT nid, n_nodes FROM sizes WHERE nid IN (FROM bad)"))
+def inconsistent_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.pcc_summary(*_state(spark, sf_dir)).where("NOT is_consistent").select("nid", "n_nodes")
+
+
+@query(on_pcc("SELECT aid1, aid2, decision, nid1 AS nid FROM labelled WHERE nid1 = nid2"))
+def edges_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edges_inside(*_state(spark, sf_dir)).select("aid1", "aid2", "decision", F.col("nid1").alias("nid"))
+
+
+@query(on_pcc("SELECT aid1, aid2, decision, nid1, nid2 FROM labelled WHERE nid1 <> nid2"))
+def edges_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edges_cross(*_state(spark, sf_dir)).select("aid1", "aid2", "decision", "nid1", "nid2")
+
+
+@query(on_pcc("SELECT aid1, aid2 FROM edges WHERE (aid1 IN (SELECT aid FROM pcc WHERE nid IN (FROM bad))) <> (aid2 IN (SELECT aid FROM pcc WHERE nid IN (FROM bad)))"))
+def edges_outgoing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, pcc = _state(spark, sf_dir)
+    return graph.edges_outgoing(edges, pcc.join(graph.inconsistent(edges, pcc), "nid", "left_semi")).select("aid1", "aid2")
+
+
+@query(on_pcc("SELECT nid1, nid2, decision, count(*) AS n FROM labelled GROUP BY ALL"))
+def meta_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.meta_edges(*_state(spark, sf_dir))
+
+
+@query(on_pcc("SELECT nid1, nid2, weight FROM meta"))
+def neg_metagraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.neg_metagraph(*_state(spark, sf_dir))
+
+
+@query(on_pcc("SELECT nid1 AS nid, nid2 AS other, weight AS freq FROM meta WHERE nid1 <> nid2 UNION ALL SELECT nid2, nid1, weight FROM meta WHERE nid1 <> nid2"))
+def neg_nid_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.neg_nid_freq(*_state(spark, sf_dir))
+
+
+@query(on_pcc("""SELECT aid1, aid2, decision, CASE WHEN l.nid1 = l.nid2 AND l.nid1 IN (FROM bad) THEN 'inconsistent_internal' WHEN l.nid1 = l.nid2 THEN 'same' WHEN l.nid1 IN (FROM bad) OR l.nid2 IN (FROM bad) THEN 'inconsistent_external'
+  WHEN m.weight IS NOT NULL THEN 'diff' WHEN decision IN ('INCMP', 'UNKWN') THEN decision END AS inferred_state FROM labelled l LEFT JOIN meta m ON l.nid1 = m.nid1 AND l.nid2 = m.nid2"""))
+def inferred_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.inferred_state(*_state(spark, sf_dir)).select("aid1", "aid2", "decision", "inferred_state")
+
+
+_STATUS = "SELECT (SELECT count(*) FROM pcc) AS n_nodes, (SELECT count(*) FROM sizes) AS n_pccs, (SELECT count(*) FROM sizes WHERE n_nodes = 1) AS n_singletons, (SELECT count(*) FROM bad) AS n_inconsistent, count(*) AS n_edges, " + ", ".join(f"count(*) FILTER (decision = '{d}') AS n_{d.lower()}" for d in graph.DECISIONS)
+
+
+@query(on_pcc(_STATUS + " FROM labelled"))
+def status_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.status(*_state(spark, sf_dir))
+
+
+@query(on_pcc(_STATUS + ", " + ", ".join(f"count(*) FILTER (decision = '{d}' AND nid1 {o} nid2) AS n_{d.lower()}_{w}" for d in (NEGTV, INCMP, UNREV) for o, w in (("=", "within"), ("<>", "between"))) + " FROM labelled"))
+def status_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.status(*_state(spark, sf_dir), extended=True)
+
+
+@query(on_pcc(f"""SELECT CASE WHEN n_nodes <= 2 OR n_neg_inside = 0 THEN 'consistent' ELSE 'inconsistent' END AS category, round(avg(n_nodes), 6) AS mean, round(stddev_pop(n_nodes), 6) AS std, max(n_nodes)::DOUBLE AS max, min(n_nodes)::DOUBLE AS min,
+  count(*) AS size, sum(n_nodes)::DOUBLE AS total FROM ({_SUMMARY}) GROUP BY 1"""))
+def name_group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = graph.pcc_summary(*_state(spark, sf_dir)).withColumn("category", F.when(F.col("is_consistent"), "consistent").otherwise("inconsistent"))
+    return metrics.stats(rows, "n_nodes", ["category"]).select("category", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "max", "min", "size", "total")
+
+
+# Redundancy, errors, candidates --------------------------------------------------------
+
+
+@query(on_pcc("""SELECT m.nid1, m.nid2 FROM meta m JOIN sizes a ON m.nid1 = a.nid JOIN sizes b ON m.nid2 = b.nid WHERE m.nid1 < m.nid2 AND m.nid1 NOT IN (FROM bad) AND (weight >= 2 OR weight = a.n_nodes OR weight = b.n_nodes)"""))
+def neg_redundant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redundancy.negative_redundancy(*_state(spark, sf_dir))
+
+
+@query(on_pcc("SELECT nid1, nid2, count(*) FILTER (decision = 'NEGTV') AS weight FROM labelled WHERE nid1 <> nid2 GROUP BY nid1, nid2 HAVING count(*) FILTER (decision = 'NEGTV') < 2"))
+def non_neg_redundant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redundancy.non_redundant_pairs(*_state(spark, sf_dir))
+
+
+@query(on_pcc("""SELECT s.nid, (n_pos + n_incmp_inside = n_nodes * (n_nodes - 1) / 2) OR (n_nodes >= 3 AND s.nid NOT IN (SELECT nid FROM bridged)) AS pos_redun FROM summary s""", f""",
+summary AS MATERIALIZED (SELECT * FROM ({_SUMMARY}) WHERE is_consistent),
+inner_edges AS MATERIALIZED (SELECT aid1, aid2, nid1 AS nid FROM labelled WHERE decision = 'POSTV' AND nid1 IN (SELECT nid FROM summary WHERE n_nodes >= 3)),
+walk(e1, e2, x) AS (SELECT aid1, aid2, aid1 FROM inner_edges UNION SELECT w.e1, w.e2, s.v FROM walk w JOIN sym s ON s.u = w.x WHERE NOT (least(s.u, s.v) = w.e1 AND greatest(s.u, s.v) = w.e2)),
+bridged AS MATERIALIZED (SELECT DISTINCT nid FROM inner_edges i WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.e1 = i.aid1 AND w.e2 = i.aid2 AND w.x = i.aid2))"""))
+def pos_redundant_k2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redundancy.positive_redundancy(*_state(spark, sf_dir), k=2)
+
+
+@query()
+def pos_redundant_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redundancy.positive_redundancy(*_state(spark, sf_dir), k=3)
+
+
+@query()
+def hypothesis_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recovery.hypotheses(*_state(spark, sf_dir))
+
+
+@query(on_pcc("""SELECT aid1, aid2, nid1 IN (FROM marked) OR nid2 IN (FROM marked) AS recovering FROM labelled""", """,
+marked AS MATERIALIZED (FROM bad UNION SELECT nid1 FROM meta WHERE nid2 IN (FROM bad) UNION SELECT nid2 FROM meta WHERE nid1 IN (FROM bad))"""))
+def is_recovering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recovery.recovering(*_state(spark, sf_dir)).select("aid1", "aid2", "recovering")
+
+
+@query(on_edges("SELECT a.aid AS aid1, b.aid AS aid2 FROM annots a JOIN annots b ON a.name = b.name AND a.aid < b.aid LEFT JOIN edges e ON e.aid1 = a.aid AND e.aid2 = b.aid WHERE coalesce(decision, 'UNREV') = 'UNREV'"))
+def clique_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.clique_pairs(_names(spark, sf_dir), fx.order_edges(spark, sf_dir))
+
+
+def _names(spark, sf_dir):
+    return fx.order_annots(spark, sf_dir).withColumnRenamed("orig_name_label", "name")
+
+
+@query(on_edges("SELECT a.name, a.aid AS aid1, b.aid AS aid2 FROM annots a JOIN annots b ON a.name = b.name AND a.aid < b.aid LEFT JOIN edges e ON e.aid1 = a.aid AND e.aid2 = b.aid WHERE e.aid1 IS NULL"))
+def complement_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.complement(_names(spark, sf_dir), fx.order_edges(spark, sf_dir))
+
+
+@query(on_pcc("""SELECT name, aid1, aid2 FROM (SELECT p.*, row_number() OVER (PARTITION BY name, nid ORDER BY coalesce(e.decision IN ('NEGTV', 'INCMP', 'POSTV'), false), p.aid1, p.aid2) AS r FROM pairs p LEFT JOIN edges e USING (aid1, aid2)) WHERE r = 1""", """,
+few AS (SELECT name, nid, list(aid ORDER BY aid)[1:3] AS few FROM annots JOIN pcc USING (aid) GROUP BY name, nid),
+chain AS (SELECT *, lag(few) OVER (PARTITION BY name ORDER BY nid) AS before FROM few),
+pairs AS (SELECT name, nid, least(a, b) AS aid1, greatest(a, b) AS aid2 FROM (SELECT name, nid, a, unnest(before) AS b FROM (SELECT name, nid, unnest(few) AS a, before FROM chain WHERE before IS NOT NULL)))"""))
+def mst_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.fragment_links(_names(spark, sf_dir), fx.order_pcc(spark, sf_dir), fx.order_edges(spark, sf_dir))
+
+
+@query()
+def pos_augment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redundancy.positive_augmentation(*_state(spark, sf_dir))
+
+
+@query()
+def neg_augment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, pcc = _state(spark, sf_dir)
+    return redundancy.negative_augmentation(edges, pcc, redundancy.non_redundant_pairs(edges, pcc).select("nid1", "nid2"))
+
+
+# Ranking, verifying, priorities --------------------------------------------------------
+
+
+@query(f"WITH {_RANKING} SELECT qaid, daid, score, rank FROM ranking")
+def ranker_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.embedding_ranking(spark, sf_dir)
+
+
+@query(f"WITH {_RANKING} SELECT qaid, daid, score, rank, CASE WHEN rank <= 2 THEN 'top' WHEN rank > n - 1 THEN 'bottom' WHEN rank > (n - 1) // 2 AND rank <= (n - 1) // 2 + 1 THEN 'middle' END AS part FROM (SELECT *, count(*) OVER (PARTITION BY qaid) AS n FROM ranking) WHERE part IS NOT NULL")
+def rank_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return priority.slices(fx.embedding_ranking(spark, sf_dir), 2, 1, 1)
+
+
+@query(f"WITH {_RANKING} SELECT qaid, daid, score, rank, round(score / (SELECT max(score) FROM ranking), 6) AS normscore FROM ranking")
+def normscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return priority.normalised(fx.embedding_ranking(spark, sf_dir)).withColumn("normscore", F.round("normscore", 6))
+
+
+@query(f"WITH {_RANKING} SELECT aid1, aid2, score, min(rank) AS rank FROM (SELECT least(qaid, daid) AS aid1, greatest(qaid, daid) AS aid2, score, rank, max(score) OVER (PARTITION BY least(qaid, daid), greatest(qaid, daid)) AS best FROM ranking) WHERE score = best GROUP BY aid1, aid2, score")
+def edge_best_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return priority.edge_scores(fx.embedding_ranking(spark, sf_dir))
+
+
+@query(f"WITH {_RANKING} SELECT label, daid, max(score) AS score FROM ranking JOIN embeddings ON qaid = vec_id GROUP BY label, daid")
+def agg_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qaid"), "label")
+    return fx.embedding_ranking(spark, sf_dir).join(labels, "qaid").groupBy("label", "daid").agg(F.max("score").alias("score"))
+
+
+@query(on_edges("SELECT * FROM probs", _PROBS))
+def verifier_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.order_probs(spark, sf_dir)
+
+
+@query(on_pcc("SELECT aid1, aid2, round(CASE WHEN i > 0.7 THEN greatest(b2, i) + 1 ELSE b2 END, 6) AS priority FROM (SELECT *, CASE WHEN n > 0.8 THEN greatest(b1, n) + 1 ELSE b1 END AS b2 FROM (SELECT *, CASE WHEN p > 0.85 THEN greatest(b, p) + 1 ELSE b END AS b1 FROM (SELECT aid1, aid2, POSTV::DOUBLE AS p, NEGTV::DOUBLE AS n, INCMP::DOUBLE AS i, CASE WHEN nid1 = nid2 THEN 1 - POSTV::DOUBLE ELSE POSTV::DOUBLE END AS b FROM probs JOIN labelled USING (aid1, aid2))))", _PROBS))
+def priority_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return priority.scores(fx.order_probs(spark, sf_dir), fx.order_pcc(spark, sf_dir), THRESHOLDS).select("aid1", "aid2", F.round("priority", 6).alias("priority"))
+
+
+@query(on_edges("SELECT aid1, aid2, priority FROM (SELECT aid1, aid2, prob_match::DOUBLE AS priority FROM edges WHERE decision = 'UNREV') ORDER BY priority DESC, aid1, aid2 LIMIT 50"))
+def review_queue_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = fx.order_edges(spark, sf_dir)
+    return priority.top(priority.queue(edges, edges.limit(0), edges.limit(0)), 50)
+
+
+@query(on_edges("SELECT aid1, aid2, CASE WHEN (POSTV > 0.85)::INT + (NEGTV > 0.8)::INT + (INCMP > 0.7)::INT = 1 THEN CASE WHEN POSTV = greatest(POSTV, NEGTV, INCMP) THEN 'POSTV' WHEN NEGTV = greatest(POSTV, NEGTV, INCMP) THEN 'NEGTV' ELSE 'INCMP' END END AS auto_decision FROM probs", _PROBS))
+def auto_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return priority.auto_review(fx.order_probs(spark, sf_dir), THRESHOLDS).select("aid1", "aid2", "auto_decision")
+
+
+_ANSWER = "SELECT aid1, aid2, truth, CASE WHEN ((aid1 * 7919 + aid2 * 104729) % 10007) / 10007.0::DOUBLE > 0.9 THEN CASE truth WHEN 'POSTV' THEN 'NEGTV' ELSE 'POSTV' END ELSE truth END AS answer FROM probs"
+
+
+def _answers(spark, sf_dir):
+    return priority.oracle_review(fx.order_probs(spark, sf_dir), 0.9).select("aid1", "aid2", "truth", "answer")
+
+
+@query(on_edges(_ANSWER, _PROBS))
+def oracle_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark, sf_dir)
+
+
+@query(on_edges(f"SELECT truth, answer AS pred, count(*) AS n FROM ({_ANSWER}) GROUP BY ALL", _PROBS))
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.confusion(_answers(spark, sf_dir), pred="answer")
+
+
+@query(on_edges(f"SELECT * FROM ({_ANSWER}) WHERE answer <> truth", _PROBS))
+def error_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.error_edges(_answers(spark, sf_dir), pred="answer")
+
+
+# Stopping, history ---------------------------------------------------------------------
+
+_MANUAL = f"WITH {_LOG}, m AS (SELECT meaningful, row_number() OVER (ORDER BY review_id DESC) - 1 AS age, count(*) OVER () AS n FROM log WHERE who NOT LIKE 'algo%')"
+_MU = "SELECT max(n) AS n, pow(1 - 2.0::DOUBLE / 21, max(n)) + 2.0::DOUBLE / 21 * coalesce(sum(CASE WHEN meaningful THEN pow(1 - 2.0::DOUBLE / 21, age) END), 0) AS mu FROM m"
+
+
+@query(f"{_MANUAL} SELECT n, round(mu, 6) AS mu FROM ({_MU})")
+def refresh_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refresh.ewma(fx.event_reviews(spark, sf_dir)).select("n", F.round("mu", 6).alias("mu"))
+
+
+@query(f"{_MANUAL} SELECT avg(meaningful::INT) AS pos_frac FROM m WHERE age < 20")
+def refresh_window_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refresh.window_mean(fx.event_reviews(spark, sf_dir))
+
+
+@query(f"{_MANUAL} SELECT n, round(1 - pow(1 - mu, 72), 6) AS p_any, 1 - pow(1 - mu, 72) < 0.052 AS done FROM ({_MU})")
+def refresh_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refresh.stop(fx.event_reviews(spark, sf_dir)).select("n", F.round("p_any", 6).alias("p_any"), "done")
+
+
+@query(f"""WITH {_LOG} SELECT who AS user_id, min(review_id) AS first, max(review_id) AS last, count(*) AS n, d AS evidence_decision FROM (
+  SELECT *, row_number() OVER (PARTITION BY who ORDER BY review_id) - row_number() OVER (PARTITION BY who, d ORDER BY review_id) AS g FROM log) GROUP BY who, d, g""")
+def recovery_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refresh.blocks(fx.event_reviews(spark, sf_dir), "evidence_decision", "review_id", by="user_id")
+
+
+@query(f"WITH {_LOG} SELECT who AS user_id, d AS evidence_decision, count(*) AS n FROM log GROUP BY ALL")
+def user_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.event_reviews(spark, sf_dir).groupBy("user_id", "evidence_decision").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_LOG} SELECT d AS evidence_decision, split_part(who, ':', 1) AS kind, meaningful, count(*) AS n FROM log GROUP BY ALL")
+def action_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.event_reviews(spark, sf_dir).groupBy("evidence_decision", F.substring_index("user_id", ":", 1).alias("kind"), "meaningful").agg(F.count("*").alias("n"))
+
+
+# Tags, boxes, viewpoints, numbers ------------------------------------------------------
+
+_TAGS = "tagged AS (SELECT p_partkey, [p_type, p_brand] || string_split(p_name, ' ') AS tags FROM part)"
+
+
+@query(f"WITH {_TAGS} SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM tagged) GROUP BY tag")
+def tag_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tags.tag_counts(fx.part_tags(spark, sf_dir))
+
+
+@query(f"WITH {_TAGS} SELECT p_partkey FROM tagged WHERE len(tags) >= 3 AND len(list_filter(tags, lambda t: lower(t) LIKE 'brand#1%')) > 0 AND len(list_filter(tags, lambda t: regexp_matches(t, '(?i)economy'))) = 0")
+def tag_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.part_tags(spark, sf_dir).where(tags.tag_filter(F.col("tags"), min_num=3, any_startswith="brand#1", none_match="economy")).select("p_partkey")
+
+
+ALIASES = [("^Brand#1", "first"), ("^Brand#", "brand"), ("^[A-Z ]+$", None)]
+
+
+@query(f"WITH {_TAGS} SELECT p_partkey, array_to_string(list_sort(list_distinct(x)), ',') AS tags FROM (SELECT p_partkey, list_sort(list_filter(list_transform(tags, lambda t: CASE WHEN regexp_matches(t, '^Brand#1') THEN 'first' WHEN regexp_matches(t, '^Brand#') THEN 'brand' WHEN regexp_matches(t, '^[A-Z ]+$') THEN NULL ELSE t END), lambda t: t IS NOT NULL)) AS x FROM tagged)")
+def tag_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.part_tags(spark, sf_dir).select("p_partkey", F.array_join(F.array_sort(tags.aliased(F.col("tags"), ALIASES)), ",").alias("tags"))
+
+
+_VIEWS = ", ".join(f"'{v}'" for v in codes.VIEWS)
+_DIST = ", ".join(f"('{a}', '{b}', {codes.view_distance(a, b)})" for a in codes.VIEWS for b in codes.VIEWS)
+
+
+@query(f"WITH d(v1, v2, dist) AS (VALUES {_DIST}), p AS (SELECT p_partkey AS k, list_extract([{_VIEWS}], p_partkey % 27) AS v FROM part) SELECT a.k AS aid1, b.k AS aid2, coalesce(dist < 2, true) AS comparable FROM p a JOIN p b ON b.k = a.k + 1 LEFT JOIN d ON v1 = a.v AND v2 = b.v")
+def view_comparable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = F.element_at(F.array(*map(F.lit, codes.VIEWS)), F.nullif((F.col("p_partkey") % 27).cast("int"), F.lit(0)))
+    parts = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("aid1"), view.alias("v1"))
+    pairs = parts.join(parts.select((F.col("aid1") - 1).alias("aid1"), F.col("v1").alias("v2")), "aid1")
+    known = pairs.join(F.broadcast(codes.view_table(spark)), ["v1", "v2"], "left")
+    return known.select("aid1", (F.col("aid1") + 1).alias("aid2"), F.coalesce(F.col("dist") < 2, F.lit(True)).alias("comparable"))
+
+
+_BOX = "box AS (SELECT p_partkey AS k, (p_partkey % 50)::DOUBLE AS x, p_size::DOUBLE AS y, (1 + p_partkey % 17)::DOUBLE AS w, (1 + p_size % 11)::DOUBLE AS h FROM part)"
+
+
+@query(f"""WITH {_BOX}, i AS (SELECT a.k AS aid1, b.k AS aid2, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) + 1) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) + 1) AS i, (a.w + 1) * (a.h + 1) + (b.w + 1) * (b.h + 1) AS s FROM box a JOIN box b ON b.k = a.k + 1)
+SELECT aid1, aid2, round(i / (s - i), 6) AS iou FROM i""")
+def box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.part_boxes(spark, sf_dir).select(F.col("p_partkey").alias("aid1"), boxes.xywh_to_tlbr(F.col("box")).alias("a"))
+    pairs = rows.join(rows.select((F.col("aid1") - 1).alias("aid1"), F.col("a").alias("b")), "aid1")
+    return pairs.select("aid1", (F.col("aid1") + 1).alias("aid2"), F.round(boxes.iou(F.col("a"), F.col("b")), 6).alias("iou"))
+
+
+@query(f"WITH {_BOX} SELECT k AS p_partkey, x + w / 2 AS cx, y + h / 2 AS cy, least(x + w, 40) AS x2, w * h AS area, x * 2 AS x_scaled FROM box")
+def box_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = F.col("box")
+    corner = boxes.clipped(boxes.xywh_to_tlbr(boxes.cxywh_to_xywh(boxes.xywh_to_cxywh(b))), 0, 0, 40, 1000)
+    return fx.part_boxes(spark, sf_dir).select("p_partkey", boxes.centre(b)["x"].alias("cx"), boxes.xywh_to_cxywh(b)["cy"].alias("cy"), corner["x2"].alias("x2"), boxes.area(b).alias("area"), boxes.scaled(b, 2)["x"].alias("x_scaled"))
+
+
+@query("""SELECT p_brand, round(avg(p_size), 6) AS mean, round(stddev_pop(p_size), 6) AS std, max(p_size)::DOUBLE AS max, min(p_size)::DOUBLE AS min, count(*) FILTER (p_size = mn) AS n_min, count(*) FILTER (p_size = mx) AS n_max, count(*) AS size, sum(p_size)::DOUBLE AS total, median(p_size)::DOUBLE AS median
+FROM (SELECT *, min(p_size) OVER (PARTITION BY p_brand) AS mn, max(p_size) OVER (PARTITION BY p_brand) AS mx FROM part) GROUP BY p_brand""")
+def stats_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = metrics.stats(fx.table(spark, sf_dir, "part"), "p_size", ["p_brand"], median=True)
+    return rows.select("p_brand", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "max", "min", "n_min", "n_max", "size", "total", "median")
+
+
+# Deltas and names ----------------------------------------------------------------------
+
+_DELTA = """,
+parts AS MATERIALIZED (SELECT name, nid, count(*) AS n FROM annots JOIN pcc USING (aid) GROUP BY name, nid),
+marked AS MATERIALIZED (SELECT *, n = sum(n) OVER (PARTITION BY name) AS whole_old, n = sum(n) OVER (PARTITION BY nid) AS whole_new FROM parts),
+kinds AS MATERIALIZED (SELECT name, nid, CASE WHEN whole_old AND whole_new THEN 'unchanged' WHEN bool_and(whole_old) OVER (PARTITION BY nid) THEN 'merge' WHEN bool_and(whole_new) OVER (PARTITION BY name) THEN 'split' ELSE 'hybrid' END AS kind FROM marked)"""
+
+
+def _delta(spark, sf_dir):
+    old = fx.order_annots(spark, sf_dir).select(F.col("aid").alias("item"), F.col("orig_name_label").alias("id"))
+    return delta.grouping_delta(old, fx.order_pcc(spark, sf_dir).select(F.col("aid").alias("item"), F.col("nid").alias("id")))
+
+
+@query(on_pcc("SELECT aid AS item, name AS old_id, nid AS new_id, kind FROM annots JOIN pcc USING (aid) JOIN kinds USING (name, nid)", _DELTA))
+def grouping_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _delta(spark, sf_dir)
+
+
+@query(on_pcc("""SELECT old_id, nid AS new1, next AS new2 FROM (SELECT name AS old_id, nid, lead(nid) OVER (PARTITION BY name ORDER BY nid) AS next FROM kinds WHERE kind IN ('split', 'hybrid')) c
+WHERE next IS NOT NULL AND NOT EXISTS (SELECT 1 FROM labelled l WHERE l.nid1 = c.nid AND l.nid2 = c.next AND decision IN ('NEGTV', 'INCMP'))""", _DELTA))
+def unjustified_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta.unjustified_splits(_delta(spark, sf_dir), fx.order_edges(spark, sf_dir))
+
+
+@query(f"""WITH {_LOG}, mid AS (SELECT floor(avg(review_id)) AS c FROM log), l AS (SELECT aid1, aid2, review_id < c AS old, arg_max(d, review_id) AS d FROM log, mid GROUP BY ALL)
+SELECT n.aid1, n.aid2, n.d AS new_evidence_decision, o.d AS old_evidence_decision, o.d IS NULL AS is_new FROM (SELECT * FROM l WHERE NOT old) n LEFT JOIN (SELECT * FROM l WHERE old) o USING (aid1, aid2) WHERE o.d IS DISTINCT FROM n.d""")
+def edge_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = fx.event_reviews(spark, sf_dir)
+    log = log.join(F.broadcast(log.agg(F.floor(F.avg("review_id")).alias("mid"))))
+    halves = [graph.latest_reviews(log.where(x).drop("mid")) for x in ("review_id < mid", "review_id >= mid")]
+    return delta.edge_delta(*halves).select("aid1", "aid2", "new_evidence_decision", "old_evidence_decision", "is_new")
+
+
+def _named_pcc(spark, sf_dir):
+    return fx.order_pcc(spark, sf_dir).join(_names(spark, sf_dir), "aid")
+
+
+@query(on_pcc("""SELECT nid, name FROM (SELECT *, row_number() OVER (PARTITION BY nid ORDER BY n DESC, name) AS r FROM parts WHERE nid NOT IN (SELECT nid FROM parts WHERE name IN (SELECT name FROM parts GROUP BY name HAVING count(*) > 1))) WHERE r = 1""", _DELTA))
+def name_mode_trivial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rectify.trivial_names(_named_pcc(spark, sf_dir))
+
+
+@query()
+def name_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rectify.rectified_names(_named_pcc(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_FX1}" + """,
+sure AS MATERIALIZED (SELECT aid1, aid2 FROM edges WHERE decision = 'POSTV' AND confidence IN ('not_sure', 'pretty_sure', 'absolutely_sure')),
+ways AS MATERIALIZED (FROM sure UNION ALL SELECT aid2, aid1 FROM sure),
+reach(a, b) AS (SELECT aid, aid FROM annots UNION SELECT r.a, s.aid2 FROM reach r JOIN ways s ON r.b = s.aid1) SELECT a AS aid, min(b) AS nid FROM reach GROUP BY a""")
+def confident_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return connected_components(graph.confident(fx.order_edges(spark, sf_dir), POSTV, 2), nodes=fx.order_annots(spark, sf_dir))
+
+
+@query(on_edges("SELECT aid1, aid2 FROM edges WHERE decision = 'NEGTV' AND confidence IN ('not_sure', 'pretty_sure', 'absolutely_sure')"))
+def confident_separated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.confident(fx.order_edges(spark, sf_dir), NEGTV, 2).select("aid1", "aid2")
+
+
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY lower(regexp_replace(trim(text), '[ \\t\\n]+', ' ', 'g'))) AS nid FROM documents")
+def doc_near_dup_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records: equality of normalised texts is a positive review, its components are the individuals."""
+    key = F.sha2(F.lower(F.regexp_replace(F.trim("text"), "[ \\t\\n]+", " ")), 256)
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", key.alias("key"))
+    first = docs.groupBy("key").agg(F.min("doc_id").alias("nid"))
+    return docs.join(first, "key").select("doc_id", "nid")
+
+
+# Invariants and streams ----------------------------------------------------------------
+
+
+@query(on_edges("SELECT aid1, aid2, count(DISTINCT decision) AS n FROM edges GROUP BY aid1, aid2 HAVING count(DISTINCT decision) > 1"))
+def invariant_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.not_disjoint(fx.order_edges(spark, sf_dir))
+
+
+@query(on_edges("SELECT aid1, aid2, decision FROM edges WHERE aid1 >= aid2 OR decision NOT IN ('POSTV', 'NEGTV', 'INCMP', 'UNKWN', 'UNREV')"))
+def invariant_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.bad_edges(fx.order_edges(spark, sf_dir))
+
+
+@query("SELECT 'weights' AS what, 0::BIGINT AS n WHERE false")
+def invariant_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.meta_violations(*_state(spark, sf_dir))
+
+
+def _replayed(spark, sf_dir):
+    log = fx.event_reviews(spark, sf_dir)
+    nodes = log.select(F.explode(F.array("aid1", "aid2")).alias("aid")).distinct()
+    return replay(spark, log.select("review_id", "aid1", "aid2", "evidence_decision", "meta_decision"), nodes)
+
+
+@query(ORACLES["latest_review"].replace("arg_max(who, review_id) AS user_id, ", ""))
+def stream_latest_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replayed(spark, sf_dir).edges.select("aid1", "aid2", "review_id", "decision", "num_reviews")
+
+
+@query(f"""WITH RECURSIVE {_LOG}, e AS MATERIALIZED (SELECT aid1, aid2, arg_max(d, review_id) AS d FROM log GROUP BY aid1, aid2), s AS MATERIALIZED (SELECT aid1 AS u, aid2 AS v FROM e WHERE d = 'POSTV' UNION ALL SELECT aid2, aid1 FROM e WHERE d = 'POSTV'),
+reach(a, b) AS (SELECT x, x FROM (SELECT aid1 AS x FROM log UNION SELECT aid2 FROM log) UNION SELECT r.a, s.v FROM reach r JOIN s ON r.b = s.u) SELECT a AS aid, min(b) AS nid FROM reach GROUP BY a""")
+def stream_pcc_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replayed(spark, sf_dir).pcc
