@@ -12,7 +12,7 @@ from pairwright.llm import language_id, pii
 from pairwright.llm.jaccard_join import keep_one_of_each
 from pairwright.llm.packing import pack
 from pairwright.llm.quality import quality_filter
-from pairwright.session import staged
+from pairwright.session import shipped, staged
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,12 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES = [("quality rules", quality), ("language ID", language), ("n-gram Jaccard join", near_duplicates), ("PII", personal_data), ("best-fit packing", packing)]
+def _on_executors(stage):
+    """The stage, once the executors have the package."""
+    return lambda spark, docs, sf_dir: stage(shipped(spark), docs, sf_dir)
+
+
+STAGES = [(name, _on_executors(f)) for name, f in (("quality rules", quality), ("language ID", language), ("n-gram Jaccard join", near_duplicates), ("PII", personal_data), ("best-fit packing", packing))]
 
 #: SQL can express neither the vocabulary nor what the models learn.
 ORACLE_SQL = None

@@ -27,7 +27,9 @@ SPACES = " \t\n\x0b\x0c\r"
 class Band:
     """Characters per token from ``low`` to ``high``, a most byte share, and a least entropy.
 
-    The least entropy is ``bits``, or ``share`` of the most that so few tokens can have.
+    The least entropy is ``bits`` at twice ENTROPY_TOKENS and ``growth`` more each time that the
+    tokens double, up to ``top``; with fewer tokens it is no more than ``share`` of the most
+    that so few can have.
     """
 
     low: float
@@ -35,15 +37,22 @@ class Band:
     bytes_most: float
     bits: float
     share: float
+    growth: float = 0.0
+    top: float = 20.0
+
+    def least_entropy(self, tokens: int) -> float:
+        if tokens < 2 * ENTROPY_TOKENS:
+            return min(self.bits, self.share * math.log2(tokens))
+        return min(self.top, self.bits + self.growth * math.log2(tokens / (2 * ENTROPY_TOKENS)))
 
 
 #: By language, else by script, else "other".
 BANDS = {
-    "en": Band(1.88, 8.0, 0.05, 5.4, 0.45),
-    "de": Band(1.90, 8.0, 0.05, 5.4, 0.45),
-    "fr": Band(1.76, 8.0, 0.05, 5.3, 0.45),
-    "es": Band(1.66, 8.0, 0.05, 5.4, 0.45),
-    "latin": Band(1.55, 8.0, 0.15, 5.2, 0.45),
+    "en": Band(1.70, 8.0, 0.05, 5.45, 0.45, 0.27, 6.25),
+    "de": Band(1.70, 8.0, 0.05, 5.45, 0.45, 0.27, 6.25),
+    "fr": Band(1.60, 8.0, 0.05, 5.45, 0.45, 0.27, 6.25),
+    "es": Band(1.50, 8.0, 0.05, 5.45, 0.45, 0.27, 6.25),
+    "latin": Band(1.40, 8.0, 0.15, 5.3, 0.45, 0.2, 6.0),
     "greek": Band(0.8, 6.0, 0.40, 4.0, 0.40),
     "cyrillic": Band(1.0, 7.0, 0.30, 4.5, 0.40),
     "han": Band(0.3, 4.0, 0.90, 4.0, 0.40),
@@ -111,7 +120,7 @@ class Fertility:
         key = self.band_of(text, lang)
         b = self.bands[key]
         good = b.low <= fertility <= b.high and share <= b.bytes_most
-        good = good and (tokens < ENTROPY_TOKENS or entropy >= min(b.bits, b.share * math.log2(tokens) if tokens < 2 * ENTROPY_TOKENS else b.bits))
+        good = good and (tokens < ENTROPY_TOKENS or entropy >= b.least_entropy(tokens))
         return n, chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeats, failed, tokens, fertility, share, entropy, key, bool(not failed and good)
 
     def band_of(self, text: str, lang: str | None) -> str:
