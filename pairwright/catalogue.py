@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.functions import boxes, codes, tags
+from pairwright.functions import boxes, codes, tags, times
 from pairwright.functions.codes import INCMP, NEGTV, POSTV, UNREV
-from pairwright.operators import candidates, delta, graph, metrics, priority, recovery, rectify, redundancy, refresh
+from pairwright.operators import candidates, delta, graph, metrics, priority, recovery, rectify, redundancy, refresh, search, simulate
 from pairwright.operators.components import connected_components
 from pairwright.sources import fixtures as fx
 from pairwright.streaming.reviews import replay
@@ -546,3 +546,45 @@ def stream_latest_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 reach(a, b) AS (SELECT x, x FROM (SELECT aid1 AS x FROM log UNION SELECT aid2 FROM log) UNION SELECT r.a, s.v FROM reach r JOIN s ON r.b = s.u) SELECT a AS aid, min(b) AS nid FROM reach GROUP BY a""")
 def stream_pcc_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replayed(spark, sf_dir).pcc
+
+
+# Searches, actions, stamps -------------------------------------------------------------
+
+
+@query(on_pcc("""SELECT aid, min(step) AS step FROM walk GROUP BY aid""", """,
+starts AS MATERIALIZED (SELECT min(aid) AS aid FROM annots GROUP BY name),
+near AS MATERIALIZED (SELECT aid1 AS u, aid2 AS v FROM edges WHERE decision = 'NEGTV'),
+walk(aid, step) AS (SELECT aid, 0 FROM starts UNION SELECT n.v, step + 1 FROM walk w JOIN near n ON n.u = w.aid)"""))
+def bfs_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps over negative edges, from lesser to greater ends, from the first order of each customer."""
+    starts = fx.order_annots(spark, sf_dir).groupBy("orig_name_label").agg(F.min("aid").alias("aid"))
+    return search.reached(graph.edges_where(fx.order_edges(spark, sf_dir), "decision", "eq", NEGTV), starts, directed=True).select("aid", "step")
+
+
+@query(on_edges("SELECT DISTINCT aid1 AS aid, 'source' AS kind FROM edges WHERE decision = 'POSTV' AND aid1 NOT IN (SELECT aid2 FROM edges WHERE decision = 'POSTV') UNION ALL SELECT DISTINCT aid2, 'sink' FROM edges WHERE decision = 'POSTV' AND aid2 NOT IN (SELECT aid1 FROM edges WHERE decision = 'POSTV')"))
+def source_and_sink_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pos = fx.order_edges(spark, sf_dir).where(F.col("decision") == POSTV)
+    return search.source_nodes(pos).withColumn("kind", F.lit("source")).union(search.sink_nodes(pos).withColumn("kind", F.lit("sink")))
+
+
+@query()
+def queue_after_pop_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, pcc = _state(spark, sf_dir)
+    queue = priority.queue(edges, edges.limit(0), edges.limit(0))
+    return search.not_locally_redundant(queue, edges, pcc)
+
+
+@query(on_pcc("""SELECT aid1, aid2, decision, CASE WHEN x.name = y.name THEN 'within' ELSE 'between' END AS side,
+  CASE WHEN x.name <> y.name AND nid1 = nid2 THEN 'merge' WHEN x.name = y.name AND nid1 <> nid2 THEN 'split' WHEN x.name = y.name AND decision = 'POSTV' THEN 'pos-evidence' WHEN decision = 'NEGTV' THEN 'neg-evidence' WHEN decision = 'INCMP' THEN 'incomp-evidence' ELSE 'other-evidence' END AS action
+FROM labelled JOIN annots x ON x.aid = aid1 JOIN annots y ON y.aid = aid2"""))
+def review_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reviews did that turned names into components."""
+    edges, pcc = _state(spark, sf_dir)
+    names = fx.order_annots(spark, sf_dir).withColumnRenamed("orig_name_label", "nid")
+    return simulate.review_actions(names, pcc, edges.select("aid1", "aid2", "decision"))
+
+
+@query("SELECT event_id, strftime(ts + INTERVAL 90 SECOND, '%Y-%m-%dT%H:%M:%S') AS iso, strftime(ts, '%y%m%d') AS tag, floor(epoch(ts))::BIGINT AS seconds FROM events")
+def stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = F.col("ts")
+    return fx.table(spark, sf_dir, "events").select("event_id", times.stamp(ts, "iso", 90).alias("iso"), times.stamp(ts, "tag").alias("tag"), times.stamp(ts, "int").alias("seconds"))

@@ -21,7 +21,7 @@ def hypotheses(edges: DataFrame, pcc: DataFrame) -> DataFrame:
     inner = graph.edges_inside(edges.where(F.col("decision").isin(POSTV, NEGTV)), pcc).withColumn("nid", F.col("nid1")).join(bad, "nid", "left_semi")
     weighted = inner.select("nid", "aid1", "aid2", "decision", cut_weight(F.col("num_reviews"), F.col("prob_match"), F.col("confidence")).alias("w"))
 
-    def suspect(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def suspect(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["aid1", "aid2"])
         positive = [(int(a), int(b), float(w)) for a, b, w in pdf.loc[pdf["decision"] == POSTV, ["aid1", "aid2", "w"]].itertuples(index=False)]
         found = {}

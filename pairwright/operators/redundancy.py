@@ -27,7 +27,7 @@ def positive_redundancy(edges: DataFrame, pcc: DataFrame, k: int = 2, relax: boo
     least = ends.groupBy("nid").agg(F.min("d").alias("least"))
     open_ = summary.where("quick IS NULL").join(least, "nid").where(F.col("least") >= k).select("nid")
 
-    def decide(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def decide(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pairs = list(zip(pdf["aid1"].tolist(), pdf["aid2"].tolist(), strict=True))
         return pd.DataFrame({"nid": [key[0]], "held": [kernels.connectivity_at_least({n for e in pairs for n in e}, pairs, k)]})
 
@@ -76,7 +76,7 @@ def positive_augmentation(edges: DataFrame, pcc: DataFrame, k: int = 2) -> DataF
     inner = graph.edges_inside(edges, pcc).select(F.col("nid1").alias("nid"), "aid1", "aid2", "decision").join(wanted, "nid", "left_semi")
     nodes = pcc.join(wanted, "nid", "left_semi").where("aid IS NOT NULL")
 
-    def augment(key, members: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+    def augment(key: tuple, members: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
         every = members["aid"].tolist()
         by = lambda *d: [(int(a), int(b)) for a, b in pdf.loc[pdf["decision"].isin(d), ["aid1", "aid2"]].itertuples(index=False)]
         have, open_, closed = by(POSTV), by(UNREV), set(by(NEGTV, INCMP, "UNKWN"))
