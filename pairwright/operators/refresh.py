@@ -25,9 +25,15 @@ def ewma(reviews: DataFrame, window: int = 20, start: float = 1.0) -> DataFrame:
     return sums.select("n", (start * F.pow(F.lit(1 - alpha), F.col("n").cast("double")) + alpha * F.coalesce("s", F.lit(0.0))).alias("mu"))
 
 
-def _newest_first(rows: DataFrame, width: int = 4096) -> DataFrame:
-    """Rows (seq, m) with ``age``: how many of them are newer."""
-    rows = rows.withColumn("r", F.floor(F.col("seq") / width))
+#: Ranges of review ids that are counted apart.
+RANGES = 4096
+
+
+def _newest_first(rows: DataFrame) -> DataFrame:
+    """Rows (seq, m) with ``age``: how many of them are newer. No task sees more than one range of ids."""
+    ends = rows.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
+    width = max(1, -(-((ends["hi"] or 0) - (ends["lo"] or 0) + 1) // RANGES))
+    rows = rows.withColumn("r", F.floor((F.col("seq") - (ends["lo"] or 0)) / width))
     sizes = rows.groupBy("r").agg(F.count("*").alias("n"))
     later = sizes.select("r", (F.sum("n").over(Window.orderBy(F.desc("r"))) - F.col("n")).alias("later"))
     inside = F.row_number().over(Window.partitionBy("r").orderBy(F.desc("seq"))) - 1
