@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pairwright.session import staged
@@ -18,11 +18,10 @@ def connected_components(edges: DataFrame, u: str = "aid1", v: str = "aid2", nod
     node with partial aggregation and is written to the shared folder.
     """
     pairs = edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).where("a > b").distinct()
-    stars = staged(pairs, "edges")
-    sign = _signature(stars)
+    stars, sign = _settled(pairs)
     for _ in range(MOST_ROUNDS if sign[0] else 0):
-        stars = staged(_small_star(_large_star(stars)), "stars")
-        before, sign = sign, _signature(stars)
+        before = sign
+        stars, sign = _settled(_small_star(_large_star(stars)))
         if sign == before:
             break
     else:
@@ -38,8 +37,11 @@ def connected_components(edges: DataFrame, u: str = "aid1", v: str = "aid2", nod
     return nodes.join(found.union(roots), node, "left").select(node, F.coalesce(component, node).alias(component))
 
 
-def _signature(stars: DataFrame):
-    return tuple(stars.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _settled(stars: DataFrame) -> tuple[DataFrame, tuple]:
+    """``stars`` staged, with their number and a hash of all of them, taken while they are written."""
+    seen = Observation()
+    rows = staged(stars.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")), "stars")
+    return rows, (seen.get["n"], seen.get["x"])
 
 
 def _large_star(stars: DataFrame) -> DataFrame:
