@@ -271,9 +271,12 @@ def _crossing(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     common = " + ".join(f"bit_count({b}_x & {b}_y)" for b in _MAPS) + " + least(excess_x, excess_y)"
     before = f"least(pos_x - own_x, pos_y - own_y, {common})"
     meets = f"c_x <> c_y AND (NOT out_y OR id_x < id_y) AND {within('x')} AND {within('y')} AND least(pos_x - own_x, pos_y - own_y) + 1 + {rest} >= {least} AND {before} + 1 + {rest} >= {least}"
-    rows = outside.join(every, "token").where(meets).groupBy("id_x", "id_y")
-    figures = rows.agg(F.count("*").alias("m"), F.min(F.expr(rest)).alias("rest"), F.first("n_x").alias("n_x"), F.first("n_y").alias("n_y"), F.first("l_x").alias("l_x"), F.first("l_y").alias("l_y"))
-    return figures.where(f"m >= least(l_x, l_y) AND m + rest >= {least}").select(F.col("id_x").alias("x"), F.col("id_y").alias("y"))
+    pair = [F.least("id_x", "id_y").alias("x"), F.greatest("id_x", "id_y").alias("y")]
+    figures = [F.expr(rest).alias("rest"), F.expr("least(l_x, l_y)").alias("l"), F.expr(least).alias("least")]
+    # A pair arises both ways round, as either component is the largest of a list.
+    rows = outside.join(every, "token").where(meets).select(*pair, *figures).groupBy("x", "y")
+    counts = rows.agg(F.count("*").alias("m"), F.min("rest").alias("rest"), F.first("l").alias("l"), F.first("least").alias("least"))
+    return counts.where("m >= l AND m + rest >= least").select("x", "y")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,6 +5,8 @@ import pytest
 
 from pairwright.llm.jaccard_join import choose_l, keep_one_of_each, near_duplicates
 
+#: Chains of revisions, of which a few are joined by one link alone.
+CHAINS = 400
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -80,6 +82,21 @@ def test_groups_of_near_copies_common_passages_and_edges(spark):
     assert {r.doc_id for r in kept.collect()} == want
 
 
+def test_chains_of_revisions(spark):
+    rng = random.Random(5)
+    rows = []
+    for g in range(CHAINS):
+        n = rng.randrange(20, 80)
+        words = [f"g{g}w{i}" for i in range(400)]
+        step = max(1, n // 7)
+        at = 0
+        for _ in range(rng.randrange(4, 9)):
+            rows.append(" ".join(words[at : at + n + 4]))
+            at += rng.randrange(max(1, step - 2), step + 1)
+    rows = list(zip(rng.sample(range(10**6), len(rows)), rows, strict=True))
+    check(spark, rows)
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "x y z q w e r"), (None, "a b c d e f"), (2, "X Y Z q w e r")], "doc_id long, text string")
     got = sorted(((r.doc_id or 0), r.component_id or 0) for r in near_duplicates(docs).collect())
