@@ -33,9 +33,9 @@ UNITS = 24
 WINDOW = 16
 TRAIN_LANES = 64
 SCORE_LANES = 512
-#: Each round trains on the documents whose id hashes to its number, out of so many parts.
+#: Each round trains on the documents whose id hashes to its number, out of so many parts: on all of them, once.
 ROUNDS = 2
-PARTS = 12
+PARTS = 2
 LEARNING_RATE = 0.08
 BIAS_RATE = 0.1
 SMOOTH = 0.1
@@ -378,8 +378,8 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, parts: int = PARTS, i
 
     base_score: add-0.1 unigram; score: the network's; both log10 over all tokens with the end. A
     null text is empty: its end alone. Words count over all training rows; the network is
-    trained on ``rounds`` parts in ``parts`` of them, chosen by a hash of the id, in proportion
-    to the input. Repeated rows count and are scored one by one, a null id counts as an empty
+    trained on ``rounds`` parts in ``parts`` of them, chosen by a hash of the id: by default on
+    every training document once. Repeated rows count and are scored one by one, a null id counts as an empty
     text for the hold-out, an empty table gives no rows, other columns are not read. Words get
     their counts by a join on the word and go back to their dictionaries, none of which is
     broadcast.

@@ -69,3 +69,15 @@ def test_documents(spark):
     held = [r for r in lm.score_documents(docs).collect() if r.held_out]
     assert sum(r.score for r in held) > 1.002 * sum(r.base_score for r in held)
     assert lm.score_documents(docs.limit(0)).count() == 0
+
+
+def test_every_training_document_is_learned_from_once(spark, monkeypatch):
+    seen = []
+
+    def keep(docs, v, p):
+        seen.extend(r.doc_id for r in docs.collect())
+        return p
+
+    monkeypatch.setattr(lm, "train_round", keep)
+    lm.score_documents(spark.range(300).selectExpr("id AS doc_id", "concat('word ', id) AS text"))
+    assert sorted(seen) == [i for i in range(300) if zlib.crc32(str(i).encode()) % 10]
