@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from pairwright.llm.common import map_arrow, slices, words_of
 
-SAMPLES = 96
+SAMPLES = 128
 #: Terms whose values a task keeps; the table starts anew when it is full.
 TERMS = 1 << 16
 #: Documents that are put in one range of ids.

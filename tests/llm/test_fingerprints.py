@@ -49,3 +49,9 @@ def test_collision_rate_is_generalised_jaccard():
         errors.append(likeness(a, b) - jaccard(" ".join(words), " ".join(other)))
     assert abs(np.mean(errors)) < 0.015 and np.std(errors) < 0.05
     assert (sampler.fingerprints(["q r s"])[0] == Sampler(256, 2).fingerprints(["a b c d e f g", "q r s"])[1]).all()
+
+
+def test_128_samples_unless_told(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "e f g")], "doc_id long, text string")
+    for r in compare_with_edits(docs).collect():
+        assert len(r.fingerprint) == len(r.edited_fingerprint) == 4 * 128
