@@ -31,13 +31,10 @@ def grouping_delta(old: DataFrame, new: DataFrame) -> DataFrame:
 def unjustified_splits(delta: DataFrame, edges: DataFrame) -> DataFrame:
     """(old_id, new1, new2): parts of a split or hybrid old group with no NEGTV or INCMP edge between them.
 
-    Each part meets the next larger one of its group only: a chain shows every part that is
-    split off without a reason, without pairs of all parts.
+    All pairs of parts without a reason are what is asked for, so the result has their number.
     """
-    from pyspark.sql import Window
-
     parts = delta.where("kind IN ('split', 'hybrid')").select("old_id", "new_id").distinct()
-    pairs = parts.withColumn("next", F.lead("new_id").over(Window.partitionBy("old_id").orderBy("new_id"))).where("next IS NOT NULL")
+    pairs = parts.join(parts.withColumnRenamed("new_id", "next"), "old_id").where("new_id < next")
     of = delta.where("new_id IS NOT NULL").select("item", "new_id")
     reasons = edges.where("decision IN ('NEGTV', 'INCMP')").join(of.toDF("aid1", "n1"), "aid1").join(of.toDF("aid2", "n2"), "aid2").select(F.least("n1", "n2").alias("new_id"), F.greatest("n1", "n2").alias("next")).distinct()
     return pairs.join(reasons, ["new_id", "next"], "left_anti").select("old_id", F.col("new_id").alias("new1"), F.col("next").alias("new2"))

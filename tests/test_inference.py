@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from pairwright.config import Config
 from pairwright.operators import graph, rectify
-from pairwright.operators.delta import grouping_delta
+from pairwright.operators.delta import grouping_delta, unjustified_splits
 from pairwright.plans.infer import infer, infer_reviews
 from pairwright.sources import tables
 from pairwright.streaming.reviews import ReviewState, latest_stream
@@ -113,6 +113,12 @@ def test_grouping_delta(spark):
     assert mixed == {1: "hybrid", 2: "hybrid", 3: "hybrid", 4: "hybrid", 5: "hybrid"} or mixed[3] == mixed[4] == "hybrid"
 
 
+def test_all_pairs_of_parts_need_a_reason(spark):
+    old, new = (spark.createDataFrame(list(zip(range(1, 5), ids)), "item long, id long") for ids in ((1, 1, 1, 1), (1, 2, 3, 3)))
+    edges = spark.createDataFrame([(1, 2, "NEGTV"), (2, 3, "INCMP"), (3, 4, "NEGTV")], "aid1 long, aid2 long, decision string")
+    assert [tuple(r) for r in unjustified_splits(grouping_delta(old, new), edges).collect()] == [(1, 1, 3)]
+
+
 def test_names(spark):
     groups = [["a", "a", "b"], ["c"], ["b", "b"], [None], ["d", "e"], ["e"]]
     rows = [(100 * i + j, i, x) for i, g in enumerate(groups) for j, x in enumerate(g)]
