@@ -1,11 +1,16 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-The model file is compiled to three machines: the normaliser (a space becomes the word
-mark, with one mark ahead of the text), the pieces, whose states remember the piece read
-last, and byte fallback for characters that no piece holds. An arc from piece p to piece q
-weighs 0 if byte-pair merging leaves p and q apart when they meet, else infinity. Composed
-with an input, exactly one path is finite, and it is the tropical-semiring shortest path:
-the segmentation that the model's merges make.
+The model file is compiled to machines. The normaliser rewrites characters by the longest rule
+that matches and turns spaces into word marks. The piece machine reads normalised characters
+and writes pieces; byte fallback writes the bytes of a character that no piece holds. Composed
+with an input they give a lattice of segmentations, and the one on its shortest path in the
+tropical semiring (weights add along a path, the least path wins) is the encoding.
+
+* Unigram models: an arc weighs the piece's score, negated; a character by bytes weighs 10 more
+  than the dearest piece. Many paths are finite.
+* Merge models: a state remembers the piece read last, and an arc from piece p to piece q
+  weighs 0 if merging leaves p and q apart where they meet, else infinity. Exactly one path is
+  finite, the segmentation that the merges make; scores only say which pairs merge first.
 """
 
 from __future__ import annotations
@@ -26,6 +31,12 @@ FILE = "piece_bpe_32k.model"
 MARK = "▁"
 INFINITY = float("inf")
 MARKS = frozenset(".,;:!?")
+#: Units (words with their marks) of more characters are composed anew each time.
+CACHED_CHARS = 64
+#: What a character by bytes weighs above the dearest piece of a unigram model.
+BYTES_ABOVE = 10.0
+UNIGRAM, MERGES = 1, 2
+NORMAL, BYTE = 1, 6
 
 
 def _fields(data: bytes):
@@ -54,39 +65,130 @@ def _fields(data: bytes):
         at += n
 
 
+class Normaliser:
+    """The machine of a normaliser specification.
+
+    Its rules come as a double-array trie over UTF-8 bytes: unit ``s`` of the array tells by its
+    label whether byte b leads from state to state, and a leaf holds where the output starts.
+    """
+
+    def __init__(self, spec: bytes):
+        spec = dict(_fields(spec))
+        rules = spec.get(2, b"")
+        size = struct.unpack_from("<I", rules)[0] if rules else 0
+        self.units = np.frombuffer(rules, "<u4", size // 4, 4).tolist() if size else []
+        self.outputs = rules[4 + size :]
+        self.prefix, self.squeeze = bool(spec.get(3, 1)), bool(spec.get(4, 1))
+        self.mark = MARK if spec.get(5, 1) else " "
+        self.plain = not self.units and not self.squeeze
+
+    def _longest(self, data: bytes, at: int) -> tuple[int, bytes]:
+        """(bytes read, bytes written) by the longest rule at a place, else by copying a character."""
+        unit, state, found = self.units[0], 0, None
+        state ^= unit >> 10 << ((unit & 512) >> 6)
+        for i in range(at, len(data)):
+            state ^= data[i]
+            unit = self.units[state]
+            if unit & (1 << 31 | 255) != data[i]:
+                break
+            state ^= unit >> 10 << ((unit & 512) >> 6)
+            if unit >> 8 & 1:
+                found = i + 1 - at, self.units[state] & ((1 << 31) - 1)
+        if found:
+            return found[0], self.outputs[found[1] : self.outputs.index(b"\0", found[1])]
+        first = data[at]
+        n = 1 if first < 0xC0 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
+        return n, data[at : at + n]
+
+    def _written(self, text: str):
+        if not self.units:
+            yield from text
+            return
+        data, at = text.encode(), 0
+        while at < len(data):
+            n, out = self._longest(data, at)
+            at += n
+            yield out.decode()
+
+    def __call__(self, text: str) -> str:
+        if not text:
+            return ""
+        if self.plain:
+            out = text
+        else:
+            parts, after_space = [], self.squeeze
+            for part in self._written(text):
+                if after_space:
+                    part = part.lstrip(" ")
+                if part:
+                    parts.append(part)
+                    after_space = self.squeeze and part[-1] == " "
+            out = "".join(parts)
+            if self.squeeze:
+                # A mark that stands in the text itself goes, too, where marks are written for spaces.
+                out = out.rstrip(" ") if self.mark == " " else out.replace(" ", MARK).rstrip(MARK)
+            if not out:
+                return ""
+        return (self.mark if self.prefix else "") + out.replace(" ", self.mark)
+
+
+class UnitCache(WordCache):
+    """Remembers short units only."""
+
+    def __missing__(self, unit):
+        value = self.make(unit)
+        if len(unit) <= CACHED_CHARS:
+            self[unit] = value
+        return value
+
+
 class PieceTransducer:
-    """The compiled machines of one model, with a bounded cache of units composed before."""
+    """The compiled machines of one model, with bounded caches of what was composed before.
 
-    def __init__(self, path: str | None = None):
-        import sentencepiece
+    ``model``: the bytes of a model file; else the file at ``path``, else the public one.
+    """
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(FILE))
-        spec = dict(_fields(next(v for k, v in _fields(model.serialized_model_proto()) if k == 3)))
-        if spec.get(2) or spec.get(4, 1):
-            raise ValueError("only models whose normaliser keeps all characters and spaces are supported")
-        self.prefix = MARK if spec.get(3, 1) else ""
-        n = model.get_piece_size()
+    def __init__(self, path: str | None = None, model: bytes | None = None):
+        if model is None:
+            with open(path or public_tokenizers.path(FILE), "rb") as f:
+                model = f.read()
+        pieces, trainer, spec = [], {}, b""
+        for number, value in _fields(model):
+            if number == 1:
+                one = dict(_fields(value))
+                pieces.append((one[1].decode(), struct.unpack("<f", one.get(2, bytes(4)))[0], one.get(3, NORMAL)))
+            elif number == 2:
+                trainer = dict(_fields(value))
+            elif number == 3:
+                spec = value
+        self.kind = trainer.get(3, UNIGRAM)
+        self.normaliser = Normaliser(spec)
         self.bytes_of, self.byte_id, self.id_of, self.score = [], {}, {}, {}
-        for i in range(n):
-            piece = model.id_to_piece(i)
-            if model.is_byte(i):
+        for i, (piece, score, kind) in enumerate(pieces):
+            if kind == BYTE:
                 self.byte_id[int(piece[3:5], 16)] = i
                 self.bytes_of.append(bytes([int(piece[3:5], 16)]))
-            elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
-                self.bytes_of.append(b"")
-            else:
-                self.id_of[piece], self.score[piece] = i, model.get_score(i)
+            elif kind == NORMAL:
+                self.id_of[piece], self.score[piece] = i, score
                 self.bytes_of.append(piece.replace(MARK, " ").encode())
+            else:
+                self.bytes_of.append(b"")
+        if self.kind not in (UNIGRAM, MERGES) or len(self.byte_id) < 256 or len(pieces) > 1 << 16 or any(k == 4 for *_, k in pieces):
+            raise ValueError("only unigram and merge models of 65,536 pieces at most, with byte fallback and without symbols of their own, are supported")
         self.text_of = {i: p for p, i in self.id_of.items()}
         self.ends = {p[i:]: -1 for p in self.id_of for i in range(len(p))} | self.id_of
         self.joined = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
-        if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.id_of):
-            raise ValueError("only models whose pieces hold marks at their start are supported")
-        self.is_byte = np.zeros(n, bool)
+        self.longest = max(map(len, self.id_of), default=1)
+        self.byte_weight = BYTES_ABOVE - min(self.score.values(), default=0.0)
+        # Sums of scores are rounded from the start of a text on, and pieces that hold a mark or a line
+        # break but at their start may join any two units: such models read a text as one unit.
+        self.whole = self.kind == UNIGRAM or any(MARK in p.lstrip(MARK) or "\n" in p for p in self.id_of)
+        self.is_byte = np.zeros(len(pieces), bool)
         self.is_byte[list(self.byte_id.values())] = True
         self.arcs = WordCache(self._arc, 1 << 21)
-        self.inner = WordCache(self._unit)
-        self.marked = WordCache(lambda x: self._unit(MARK + x))
+        self.compose = self.compose_merges if self.kind == MERGES else self.compose_unigram
+        self.inner = UnitCache(self._unit)
+        self.marked = UnitCache(lambda x: self._unit(MARK + x))
         self.newline = self.compose("\n")
 
     def merged(self, text: str) -> list[str]:
@@ -107,16 +209,17 @@ class PieceTransducer:
         return 0.0 if self.merged(a + b) == [a, b] else INFINITY
 
     def _unit(self, unit: str) -> bytes:
-        """``compose``, with a mark at the end that no piece joins to what stands before cut off first."""
-        if len(unit) > 2 and unit[-1] in MARKS and unit[-2:] not in self.joined:
-            head = self.marked[unit[1:-1]] if unit[0] == MARK else self.inner[unit[:-1]]
-            return head + self.inner[unit[-1]]
-        return self.compose(unit)
+        """``compose``, with marks at the end that no piece joins to what stands before cut off first."""
+        end = len(unit)
+        while end > 2 and unit[end - 1] in MARKS and unit[end - 2 : end] not in self.joined:
+            end -= 1
+        out = self.compose(unit[:end])
+        return out + b"".join(map(self.inner.__getitem__, unit[end:])) if end < len(unit) else out
 
-    def compose(self, unit: str) -> bytes:
-        """The ids on the shortest path through ``unit``, as unsigned 16-bit numbers.
+    def compose_merges(self, unit: str) -> bytes:
+        """The ids on the one finite path through ``unit``, as unsigned 16-bit numbers.
 
-        ``state[i]``: the piece that the one finite path to position i ends with (-1: none, or
+        ``state[i]``: the piece that the finite path to position i ends with (-1: none, or
         bytes before, which any piece may follow; None: no path). Arcs into a position are
         tried from the shortest piece on, for as long as some piece ends so.
         """
@@ -137,7 +240,33 @@ class PieceTransducer:
                 start -= 1
             if state[end] is None and unit[end - 1] not in self.id_of:
                 state[end], back[end] = -1, end - 1
-        out, end = [], n
+        return self._path(unit, state, back)
+
+    def compose_unigram(self, unit: str) -> bytes:
+        """The ids on the path of least weight, as unsigned 16-bit numbers.
+
+        Weights are kept in single precision, as the model has them; of equal paths the one
+        whose last piece is longer wins.
+        """
+        n = len(unit)
+        weight, state, back = [INFINITY] * (n + 1), [None] * (n + 1), [0] * (n + 1)
+        weight[0] = 0.0
+        for start in range(n):
+            here, single = weight[start], False
+            for end in range(start + 1, min(n, start + self.longest) + 1):
+                piece = self.id_of.get(unit[start:end])
+                if piece is None:
+                    continue
+                single = single or end == start + 1
+                through = here - self.score[unit[start:end]]
+                if through < weight[end]:
+                    weight[end], state[end], back[end] = float(np.float32(through)), piece, start
+            if not single and here + self.byte_weight < weight[start + 1]:
+                weight[start + 1], state[start + 1], back[start + 1] = float(np.float32(here + self.byte_weight)), -1, start
+        return self._path(unit, state, back)
+
+    def _path(self, unit: str, state: list, back: list[int]) -> bytes:
+        out, end = [], len(unit)
         while end:
             if state[end] is None:
                 raise ValueError(f"no finite path through {unit[:80]!r}")
@@ -154,8 +283,10 @@ class PieceTransducer:
             return b""
         for cache in (self.inner, self.marked, self.arcs):
             cache.trim()
-        if "  " in text or MARK in text or text[0] == " " or not self.prefix:
-            return b"".join(map(self.inner.__getitem__, _UNITS.findall(self.prefix + text.replace(" ", MARK))))
+        if self.whole:
+            return self.compose(self.normaliser(text))
+        if not self.normaliser.plain or not self.normaliser.prefix or self.normaliser.mark != MARK or "  " in text or MARK in text or text[0] == " ":
+            return b"".join(map(self.inner.__getitem__, _UNITS.findall(self.normaliser(text))))
         out = []
         for line in text.split("\n"):
             first, *rest = line.split(" ")
@@ -171,7 +302,7 @@ class PieceTransducer:
     def decode(self, ids: bytes) -> str:
         raw = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u2").tolist()))
         text = raw.decode("utf-8", "replace")
-        return text[1:] if self.prefix and text[:1] == " " else text
+        return text[1:] if self.normaliser.prefix and text[:1] == " " else text
 
 
 #: A line break, or marks and what follows up to the next mark or line break.
