@@ -66,8 +66,8 @@ class Model:
     log_p: np.ndarray
     uses: np.ndarray
 
-    def word_scores(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores (words x languages) and letters of each word; words without letters score 0."""
+    def word_scores(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores (words x languages), letters of each word, and those in a script that some language uses; words without letters score 0."""
         bucket, of, script, letters = _grams(words)
         order = np.argsort(of, kind="stable")
         scores = np.zeros((len(words), len(self.languages)), np.float32)
@@ -77,9 +77,10 @@ class Model:
             scores[of[starts]] = np.add.reduceat(self.log_p[bucket], starts, axis=0)
         scores -= scores.max(axis=1, keepdims=True)
         scores *= TEMPER
-        allowed = self.uses[script] | ~self.uses[script].any(axis=1, keepdims=True)
+        known = self.uses[script].any(axis=1)
+        allowed = self.uses[script] | ~known[:, None]
         scores[~allowed & (letters > 0)[:, None]] = -1e4
-        return scores, letters
+        return scores, letters, letters * known
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -171,19 +172,20 @@ def _predictor(model: Model, switch: float):
     """texts -> (language, score, spans), where spans are (language, first word, words)."""
     none = len(model.languages) == 0
     cache = WordCache(None)
-    table = [np.zeros((1024, max(1, len(model.languages))), np.float32), np.zeros(1024, np.int64)]
+    table = [np.zeros((1024, max(1, len(model.languages))), np.float32), np.zeros(1024, np.int64), np.zeros(1024, np.int64)]
 
     def numbered(texts):
         lists = [words_of(t) for t in texts]
         new = [w for w in set().union(*lists) if w not in cache]
         need = len(cache) + len(new)
         while need > len(table[0]):
-            for i in (0, 1):
+            for i in range(3):
                 table[i] = np.concatenate([table[i], np.zeros_like(table[i])])
         for i in range(0, len(new), 1 << 16):
             part = new[i : i + (1 << 16)]
             n = len(cache)
-            table[0][n : n + len(part)], table[1][n : n + len(part)] = model.word_scores(part)
+            for kept, new_rows in zip(table, model.word_scores(part), strict=True):
+                kept[n : n + len(part)] = new_rows
             cache.update(zip(part, range(n, n + len(part)), strict=True))
         return [np.fromiter(map(cache.__getitem__, x), np.int32, len(x)) for x in lists]
 
@@ -195,7 +197,7 @@ def _predictor(model: Model, switch: float):
         lengths = np.array(list(map(len, lists)), np.int64)
         ids = np.concatenate([*lists, np.zeros(0, np.int32)])
         labels = viterbi(lengths, ids, table[0], switch)
-        letters = table[1][ids]
+        letters, own = table[1][ids], table[2][ids]
         ends = np.cumsum(lengths)
         out = []
         for a, b in zip(ends - lengths, ends, strict=True):
@@ -205,9 +207,10 @@ def _predictor(model: Model, switch: float):
                 out.append((UNKNOWN, 0.0, []))
                 continue
             best = int(sums.argmax())
+            mine = own[a:b][labels[a:b] == best].sum()
             cut = np.flatnonzero(np.diff(labels[a:b], prepend=-1))
             sizes = np.diff(cut, append=b - a)
-            out.append((model.languages[best], float(sums[best] / total), [(model.languages[labels[a + i]], int(i), int(n)) for i, n in zip(cut, sizes, strict=True)]))
+            out.append((model.languages[best], float(mine / total), [(model.languages[labels[a + i]], int(i), int(n)) for i, n in zip(cut, sizes, strict=True)]))
         return out
 
     return predict
@@ -220,7 +223,8 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, id_col: str
     """(doc_id, lang_pred, score, spans) of every row, from its text alone.
 
     lang_pred: the language with the most letters, the first in alphabetical order of equals;
-    score: its part of the letters; spans: runs of words in one language. A null text, or one
+    score: the part of the letters that are its own, in scripts that a language uses (letters in
+    other scripts are labelled, but nobody's); spans: runs of words in one language. A null text, or one
     without a letter (or a model without languages), is ``und`` with score 0 and no spans.
     Repeated rows are each labelled, an empty table gives no rows, other columns are not read.
     """
@@ -239,7 +243,12 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, id_col: str
 
 
 def language_filter(docs: DataFrame, model: Model, languages: list[str] | None = None, least: float = 0.5, switch: float = SWITCH, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` in one of ``languages`` (default: all learned) for at least ``least`` of their letters."""
+    """Rows of ``docs`` in one of ``languages`` (default: all learned) for at least ``least`` of their letters.
+
+    Letters in a script that no learned language uses are in none of them. Null texts and texts
+    without letters go, as does every row under a model without languages; repeated rows are
+    judged one by one, an empty table gives no rows, and all columns stay, whatever their names.
+    """
     wanted = set(languages if languages is not None else model.languages)
 
     def task():

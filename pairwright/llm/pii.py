@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass
 
@@ -24,10 +25,12 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 #: Documents (expected number) that the field learns from.
 SAMPLE_DOCS = 8000
-#: Probability from which a token is added, message rounds, and the weight of a skip edge.
+#: Probability from which a token is added, message rounds, and how the weight of skip edges decays in training.
 LEAST = 0.9
 ROUNDS = 12
-SKIP_WEIGHT = 2.0
+SKIP_DECAY = 1e-3
+#: Evidence, in nats, that a token which a pattern has matched is of that kind.
+SEEN_WEIGHT = 20.0
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -88,6 +91,12 @@ def joined(spans) -> str:
 # The field -----------------------------------------------------------------------------
 
 FEATURES = 24
+#: Bits of the features that do not show a kind: the constant, amounts of digits, letters, neighbours.
+PLAIN = 1 | sum(1 << i for i in range(15, FEATURES))
+#: What training counts: a token's features, labels of its neighbours and of tokens like it, its label.
+SEEN = ("bits", "before", "after", "like_before", "like_after", "y")
+#: Digits of a card and of a phone number, by label.
+MOST_DIGITS = {3: 19, 4: 15}
 _STRIP = ".,;:!?\"'()[]<>{}|*#$%&"
 
 
@@ -153,9 +162,15 @@ class Field:
     chain: np.ndarray
     skip: np.ndarray
 
-    def marginals(self, x: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-        """Beliefs after some rounds of loopy sum-product messages, all edges at once."""
+    def marginals(self, x: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = ROUNDS, seen: np.ndarray | None = None) -> np.ndarray:
+        """Beliefs after some rounds of loopy sum-product messages, all edges at once.
+
+        ``seen``: labels that are known (0: not known), as evidence of weight SEEN_WEIGHT.
+        """
         phi = x @ self.unary
+        if seen is not None:
+            known = np.flatnonzero(seen)
+            phi[known, seen[known]] += SEEN_WEIGHT
         edges = np.concatenate([chain, skip])
         if len(edges):
             pair = np.concatenate([np.repeat(self.chain[None], len(chain), 0), np.repeat(self.skip[None], len(skip), 0)])
@@ -175,40 +190,52 @@ class Field:
 
 
 def weak_labels(spans, base) -> np.ndarray:
-    """The kind of the first pattern match that a token overlaps, else 0."""
+    """The kind of the first pattern match that a token overlaps, else 0; each match is looked up by its start."""
     out = np.zeros(len(spans), np.int64)
-    for a, k, b in reversed(base):
-        for i, (s, e) in enumerate(spans):
-            if s < b and a < e:
-                out[i] = k + 1
+    ends = [e for _, e in spans]
+    for a, k, b in base:
+        i = bisect_right(ends, a)
+        while i < len(spans) and spans[i][0] < b:
+            out[i] = out[i] or k + 1
+            i += 1
     return out
 
 
-def fit(x: np.ndarray, before: np.ndarray, after: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 600, skip_weight: float = SKIP_WEIGHT) -> Field:
-    """Pseudo-likelihood: each token's label given its features and its neighbours' labels (-1: none)."""
+def fit(x: np.ndarray, before: np.ndarray, after: np.ndarray, like_before: np.ndarray, like_after: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 600) -> Field:
+    """Pseudo-likelihood: each token's label given its features, its neighbours' labels and those of tokens like it (-1: none).
+
+    Skip edges have one weight, learned with the others, for ends of equal labels.
+    """
     n = len(LABELS)
     one = np.concatenate([np.eye(n), np.zeros((1, n))])
     data = np.concatenate([x, one[before], one[after]], axis=1).astype(np.float64)
-    w = np.zeros((data.shape[1], n))
+    alike = one[like_before] + one[like_after]
+    w, skip = np.zeros((data.shape[1], n)), 0.0
     target = one[y]
     total = max(weight.sum(), 1.0)
-    speed = np.zeros_like(w)
+    linked = max((weight * (alike.sum(axis=1) > 0)).sum(), 1.0)
+    speed, skip_speed = np.zeros_like(w), 0.0
     for _ in range(steps if len(y) else 0):
-        s = data @ w
+        s = data @ w + skip * alike
         p = np.exp(s - s.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        speed = 0.9 * speed + 0.2 * (data.T @ ((target - p) * weight[:, None]) / total - 1e-5 * w)
+        miss = (target - p) * weight[:, None]
+        speed = 0.9 * speed + 0.2 * (data.T @ miss / total - 1e-5 * w)
+        skip_speed = 0.9 * skip_speed + 0.2 * ((alike * miss).sum() / linked - SKIP_DECAY * skip)
         w += speed
+        skip += skip_speed
     if not len(y):
         w[0, 0] = 20.0
     k = FEATURES
-    return Field(w[:k], (w[k : k + n] + w[k + n :].T) / 2, skip_weight * np.eye(n))
+    return Field(w[:k], (w[k : k + n] + w[k + n :].T) / 2, max(skip, 0.0) * np.eye(n))
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Field:
     """A field that has learned the patterns' labels on about ``sample_docs`` documents, chosen by a hash of the id.
 
-    What the driver gets are distinct (features, neighbours' labels, label) with how often.
+    A token like another counts twice: as it is, and with only its plain features, so that the
+    skip edges learn what a mention tells of one that does not show its kind. What the driver
+    gets are distinct (features, neighbours' labels, label) with how often.
     """
     n = docs.count()
     rows = docs.select(F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)).alias("h"))
@@ -218,41 +245,62 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id
         def work(batch: pa.RecordBatch):
             found: Counter = Counter()
             for text in batch["text"].to_pylist():
-                spans, x, chain, _ = graph(text)
+                spans, x, chain, skip = graph(text)
                 y = weak_labels(spans, base_spans(text))
-                before, after = np.full(len(y), -1), np.full(len(y), -1)
+                before, after, like_before, like_after = (np.full(len(y), -1) for _ in range(4))
                 before[chain[:, 1]], after[chain[:, 0]] = y[chain[:, 0]], y[chain[:, 1]]
+                like_before[skip[:, 1]], like_after[skip[:, 0]] = y[skip[:, 0]], y[skip[:, 1]]
                 bits = x.astype(np.int64) @ (1 << np.arange(FEATURES, dtype=np.int64))
-                found.update(zip(bits.tolist(), before.tolist(), after.tolist(), y.tolist(), strict=True))
-            yield pa.table([*(list(map(list, zip(*found, strict=True))) or [[], [], [], []]), list(found.values())], names=["bits", "before", "after", "y", "n"])
+                labels = before, after, like_before, like_after, y
+                found.update(zip(bits.tolist(), *(c.tolist() for c in labels), strict=True))
+                linked = np.flatnonzero((like_before >= 0) | (like_after >= 0))
+                found.update(zip((bits[linked] & PLAIN).tolist(), *(c[linked].tolist() for c in labels), strict=True))
+            yield pa.table([*(list(map(list, zip(*found, strict=True))) or [[] for _ in SEEN]), list(found.values())], names=[*SEEN, "n"])
 
         return work
 
-    found = map_arrow(rows, task, "bits long, before long, after long, y long, n long").groupBy("bits", "before", "after", "y").agg(F.sum("n").alias("n")).orderBy("bits", "before", "after", "y").toPandas()
+    found = map_arrow(rows, task, ", ".join(f"{c} long" for c in (*SEEN, "n"))).groupBy(*SEEN).agg(F.sum("n").alias("n")).orderBy(*SEEN).toPandas()
     x = (found["bits"].to_numpy(np.int64)[:, None] >> np.arange(FEATURES) & 1).astype(np.float32)
-    return fit(x, *(found[c].to_numpy(np.int64) for c in ("before", "after", "y")), found["n"].to_numpy(np.float64))
+    return fit(x, *(found[c].to_numpy(np.int64) for c in SEEN[1:]), found["n"].to_numpy(np.float64))
+
+
+def _mentions(text: str, spans, i: int, j: int, label: int):
+    """Tokens i to j, neighbours of one label, as mentions: an address each, or numbers of no more digits than the kind has."""
+    start, digits = i, 0
+    for t in range(i, j + 1):
+        token = text[slice(*spans[t])]
+        n = len(_digits(token))
+        if t > start and (label <= 2 or digits + n > MOST_DIGITS[label] or (label == 4 and token.startswith("+"))):
+            yield spans[start][0], spans[t - 1][1]
+            start, digits = t, 0
+        digits += n
+    yield spans[start][0], spans[j][1]
 
 
 def added_spans(text: str, base, field: Field, least: float = LEAST) -> list[tuple[int, int, int]]:
-    """What the field finds beside the base spans: runs of neighbouring tokens of one label, without outer punctuation."""
+    """What the field finds beside the base spans: mentions in runs of neighbouring tokens of one label, without outer punctuation."""
     spans, x, chain, skip = graph(text)
-    p = field.marginals(x, chain, skip)
+    p = field.marginals(x, chain, skip, seen=weak_labels(spans, base))
     label = np.where(p.max(axis=1) >= least, p.argmax(axis=1), 0)
     near = set(chain[:, 0].tolist())
     out: list[list[int]] = []
-    taken = sorted((a, b) for a, _, b in base)
+    starts = [a for a, _, _ in base]
+    reach = np.maximum.accumulate([b for *_, b in base]).tolist() if base else []
     i = 0
     while i < len(spans):
         j = i
         while j in near and label[j + 1] == label[i]:
             j += 1
-        a, b = spans[i][0], spans[j][1]
-        if label[i] and not any(s < b and a < e for s, e in taken):
-            while a < b and text[a] in _STRIP:
-                a += 1
-            while a < b and text[b - 1] in _STRIP:
-                b -= 1
-            out.append([a, int(label[i]) - 1, b])
+        if label[i]:
+            for a, b in _mentions(text, spans, i, j, int(label[i])):
+                before = bisect_left(starts, b)
+                if before and reach[before - 1] > a:
+                    continue
+                while a < b and text[a] in _STRIP:
+                    a += 1
+                while a < b and text[b - 1] in _STRIP:
+                    b -= 1
+                out.append([a, int(label[i]) - 1, b])
         i = j + 1
     return [tuple(x) for x in out if x[0] < x[2]]
 
@@ -305,7 +353,11 @@ def find_personal_data(docs: DataFrame, field: Field, least: float = LEAST, id_c
 
 
 def mask_personal_data(docs: DataFrame, field: Field, least: float = LEAST, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with every span in its text masked, and ``chars_col`` (where there is one) set to the new length."""
+    """``docs`` with every span in its text masked, and ``chars_col`` (where there is one) set to the new length.
+
+    Null and empty texts stay, as do texts without a span and their ``chars_col``; repeated rows
+    are masked one by one, an empty table gives no rows, and all other columns stay as they are.
+    """
 
     def task():
         def work(batch: pa.RecordBatch):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-# First and last code point of the letters of each script (Unicode block bounds).
+# First and last code point of what holds the letters of each script (Unicode block bounds).
 SCRIPT_RANGES = {
     "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F), (0x250, 0x2AF), (0x1E00, 0x1EFF)],
     "greek": [(0x370, 0x373), (0x376, 0x377), (0x37B, 0x37D), (0x386, 0x386), (0x388, 0x3FF), (0x1F00, 0x1FFF)],
@@ -30,12 +30,20 @@ _ids = np.array([b[2] for b in _bounds], dtype=np.int8)
 _LOW = 0x3000
 
 
+_OTHER = len(SCRIPTS) - 1
+
+
 def _search(points: np.ndarray) -> np.ndarray:
+    """Scripts of code points that are letters; those of no script listed are "other"."""
     at = np.maximum(np.searchsorted(_starts, points, side="right") - 1, 0)
-    return np.where((points >= _starts[at]) & (points <= _ends[at]), _ids[at], 0).astype(np.int8)
+    return np.where((points >= _starts[at]) & (points <= _ends[at]), _ids[at], _OTHER).astype(np.int8)
+
+
+def _letters(points: np.ndarray) -> np.ndarray:
+    return np.fromiter((chr(p).isalpha() for p in points.tolist()), bool, len(points))
 
 
-_low_table = _search(np.arange(_LOW))
+_low_table = np.where(_letters(np.arange(_LOW)), _search(np.arange(_LOW)), 0).astype(np.int8)
 
 
 def code_points(text: str) -> np.ndarray:
@@ -43,26 +51,17 @@ def code_points(text: str) -> np.ndarray:
 
 
 def script_ids(points: np.ndarray) -> np.ndarray:
-    """The index in SCRIPTS of each code point; letters of scripts not listed count as "other"."""
+    """The index in SCRIPTS of each code point: 0 unless it is a letter, which Unicode's categories decide."""
     if not len(points):
         return np.zeros(0, np.int8)
     low = points < _LOW
     if low.all():
-        return other_letters(points, _low_table[points])
+        return _low_table[points]
     out = np.empty(len(points), np.int8)
     out[low] = _low_table[points[low]]
-    out[~low] = _search(points[~low])
-    return other_letters(points, out)
-
-
-def other_letters(points: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    odd = np.flatnonzero((ids == 0) & (points > 0x2AF))
-    if len(odd):
-        ids = ids.copy()
-        for cp in np.unique(points[odd]):
-            if chr(cp).isalpha():
-                ids[odd[points[odd] == cp]] = len(SCRIPTS) - 1
-    return ids
+    kinds, back = np.unique(points[~low], return_inverse=True)
+    out[~low] = np.where(_letters(kinds), _search(kinds), 0)[back]
+    return out
 
 
 def script_counts(text: str) -> np.ndarray:

@@ -87,3 +87,66 @@ def test_odd_rows_and_masks(spark, field):
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.mask_personal_data(docs.where("doc_id > 1"), field).collect()}
     assert got[2] == ("call <PHONE> or <EMAIL> now", len("call <PHONE> or <EMAIL> now"))
     assert pii.find_personal_data(docs.limit(0), field).count() == 0
+
+
+def test_many_matches_take_little_time(field):
+    text = "a@b.co +1 (988) 555-2485 " * 25_000
+    base = pii.base_spans(text)
+    spans = pii.candidates(text)
+    assert pii.weak_labels(spans, base).tolist() == [1, 4, 4, 4] * 25_000 or len(set(pii.weak_labels(spans, base).tolist())) == 2
+    assert len(base) == 50_000
+    assert pii.added_spans("a@b.co " * 20_000, pii.base_spans("a@b.co " * 20_000), field) == []
+
+
+def test_weak_labels_equal_brute_force():
+    rng = random.Random(8)
+    for _ in range(300):
+        cuts = sorted(rng.sample(range(40), 8))
+        spans = list(zip(cuts[::2], cuts[1::2], strict=True))
+        base = sorted((a, rng.randrange(4), a + rng.randrange(1, 9)) for a in rng.sample(range(40), 4))
+        want = [next((k + 1 for a, k, b in base if a < e and s < b), 0) for s, e in spans]
+        assert pii.weak_labels(spans, base).tolist() == want
+
+
+def test_digest_and_counts_by_kind(spark, field):
+    import hashlib
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in pii.find_personal_data(docs, field).collect():
+        base = brute(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in base) for i in range(4)]
+        assert r.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+
+
+def test_each_mention_is_its_own_span():
+    spans = [(0, 16), (17, 33), (34, 36)]
+    text = "4111111111111112 4222222222222223 12"
+    assert list(pii._mentions(text, spans, 0, 2, 3)) == [(0, 16), (17, 36)]
+    assert list(pii._mentions("a@b c@d", [(0, 3), (4, 7)], 0, 1, 1)) == [(0, 3), (4, 7)]
+    assert list(pii._mentions("+1 988 5552485 +1 988 5552486", [(0, 2), (3, 6), (7, 14), (15, 17), (18, 21), (22, 29)], 0, 5, 4)) == [(0, 14), (15, 29)]
+
+
+def mentions(rng):
+    """A text with an address and, further on, its short form, which only the first mention explains; and decoys."""
+    name = "".join(rng.choice("abcdefghij") for _ in range(5)) + str(rng.randrange(10, 99))
+    decoy = "".join(rng.choice("klmnopqrst") for _ in range(5)) + str(rng.randrange(10, 99))
+    words = lambda n: " ".join(rng.choice(["so", "the", "mail", "of", "those"]) for _ in range(n))
+    head = f"{words(20)} {name}@mail.example.com {words(60)} "
+    text = f"{head}{name}@mail {words(30)} room {decoy} {words(5)}"
+    return text, (len(head), 0, len(head) + len(name) + 5), decoy
+
+
+def test_skip_edges_add_right_spans(field):
+    rng = random.Random(4)
+    assert field.skip[0, 0] > 0
+    without = pii.Field(field.unary, field.chain, 0 * field.skip)
+    right = {True: 0, False: 0}
+    wrong = 0
+    for _ in range(200):
+        text, want, decoy = mentions(rng)
+        for f, linked in ((field, True), (without, False)):
+            added = pii.added_spans(text, pii.base_spans(text), f)
+            right[linked] += want in added
+            wrong += linked and any(decoy in text[a:b] for a, _, b in added)
+    assert right[True] >= 150 and right[True] > right[False] + 50 and wrong == 0
