@@ -5,38 +5,48 @@ of their own, in classes of equal size; all other words (the tail) fall in class
 end, and share their class's probability by their counts, with one more share for words never
 seen. The network reads words one by one, carries its state from window to window through a
 whole document, and gives the probability of the next class and, in the head, of the word in
-its class. It is trained by truncated backpropagation, in numpy, side by side on all
-partitions, whose weights are averaged after each round.
+its class. It is trained by truncated backpropagation, in numpy, in rounds: each trains groups
+of documents side by side, and the mean of their weights starts the next.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections import defaultdict
 from dataclasses import dataclass
+from heapq import heapreplace
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import WordCache, crc32_of, slices
-from pairwright.session import staged
+from pairwright.llm.common import WordCache, crc32_of, map_arrow, slices
+from pairwright.session import shared_dir, staged
 
 #: Head symbols (the end among them), words in a head class, tail classes, and units of the network.
 HEAD = 1024
 CLASS_WORDS = 64
 TAIL_CLASSES = 48
-UNITS = 24
-#: Tokens of a window, documents side by side in training and in scoring.
+UNITS = 16
+#: Tokens of a window, lanes side by side in training and in scoring.
 WINDOW = 16
-TRAIN_LANES = 64
+TRAIN_LANES = 256
 SCORE_LANES = 512
-#: Each round trains on the documents whose id hashes to its number, out of so many parts: on all of them, once.
-ROUNDS = 2
-PARTS = 2
-LEARNING_RATE = 0.08
+#: Training cuts longer documents in stretches of so many tokens, each with a state of its own; scoring never does.
+STRETCH = 1024
+#: Tokens that one task learns from between two averages of the weights, and the least number of rounds.
+GROUP_TOKENS = 1 << 20
+LEAST_ROUNDS = 2
+#: Small groups have so few lanes that this many windows are learned from, if they can.
+LEAST_STEPS = 256
+#: Rows that are summed in one group.
+FAN_IN = 64
+LEARNING_RATE = 0.15
 BIAS_RATE = 0.1
 SMOOTH = 0.1
 #: Bytes of text that share one dictionary.
@@ -160,106 +170,158 @@ def _outputs(p, hs, targets, grads=None):
     return got, dh
 
 
-def _lanes(texts: list[np.ndarray], lanes: int):
-    """Groups of about equally long texts, each as (positions, lengths, symbols laid out by step)."""
-    lengths = np.array(list(map(len, texts)), np.int64)
-    order = np.argsort(-lengths, kind="stable")
-    for i in range(0, len(order), lanes):
-        own = order[i : i + lanes]
-        n = lengths[own]
-        yield own, n, [texts[j] for j in own]
-
-
-def _windows(n, texts, size):
-    """For each window: lanes that go on at each of its steps, what they read and what comes next."""
-    for s in range(0, int(n[0]), size):
-        going = np.array([np.searchsorted(-n, -t, side="left") for t in range(s, min(s + size, int(n[0])))])
-        lanes = int(going[0])
-        y = np.zeros((lanes, len(going)), np.int64)
-        x = np.zeros((lanes, len(going)), np.int64)
-        for j, text in enumerate(texts[:lanes]):
-            part = text[s : s + size]
-            y[j, : len(part)] = part
-            x[j, 1 : len(part)] = part[:-1]
-            x[j, 0] = text[s - 1] if s else 0
-        y, x = np.ascontiguousarray(y.T), np.ascontiguousarray(x.T)
-        yield going, x, y
+@dataclass
+class Layout:
+    """Texts laid out in lanes of about equal length, one after the other in a lane.
 
+    symbols: lanes x steps, the fullest lanes first; loads: steps of each lane; lane and start:
+    where each text lies. A text is read behind a 0, and 0 resets the state.
+    """
 
-def score(p: dict, texts: list[np.ndarray], lanes: int = SCORE_LANES, size: int = 2 * WINDOW) -> np.ndarray:
-    """Natural log-probability of each text (symbols that end in 0) but for the shares within tail classes."""
-    out = np.zeros(len(texts))
-    for own, n, group in _lanes(texts, lanes):
-        h = np.zeros((len(own), UNITS), np.float32)
-        for going, x, y in _windows(n, group, size):
-            hs, ts, who = [], [], []
-            for t, g in enumerate(going):
-                hs.append(h[:g])
-                ts.append(y[t, :g])
-                who.append(np.arange(g))
-                new, _ = _step(p, x[t, :g], h[:g])
-                hs[-1] = new
-                h = np.concatenate([new, h[g:]]) if g < len(h) else new
-            got, _ = _outputs(p, np.concatenate(hs), np.concatenate(ts))
-            out[own] += np.bincount(np.concatenate(who), weights=got, minlength=len(own))
-    return out
+    symbols: np.ndarray
+    read: np.ndarray
+    loads: np.ndarray
+    lane: np.ndarray
+    start: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[np.ndarray], lanes: int) -> Layout:
+        lengths = np.array(list(map(len, texts)), np.int64)
+        lanes = int(max(1, min(lanes, lengths.sum() // max(1, lengths.max(initial=1)), len(texts))))
+        heap = [(0, i) for i in range(lanes)]
+        lane, start = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for j in np.argsort(-lengths, kind="stable").tolist():
+            load, i = heap[0]
+            lane[j], start[j] = i, load
+            heapreplace(heap, (load + int(lengths[j]), i))
+        loads = np.bincount(lane, weights=lengths, minlength=lanes).astype(np.int64)
+        order = np.argsort(-loads, kind="stable")
+        rank = np.empty(lanes, np.int64)
+        rank[order] = np.arange(lanes)
+        lane, loads = rank[lane], loads[order]
+        symbols = np.zeros((lanes, int(loads.max(initial=0))), np.int16)
+        for text, i, at in zip(texts, lane.tolist(), start.tolist(), strict=True):
+            symbols[i, at : at + len(text)] = text
+        read = np.zeros_like(symbols)
+        read[:, 1:] = symbols[:, :-1]
+        read[lane, start] = 0
+        return cls(symbols, read, loads, lane, start)
+
+    def windows(self, size: int):
+        """For each window its first step, lanes that go on at each of its steps, what they read, and what comes next."""
+        for s in range(0, self.symbols.shape[1], size):
+            steps = np.arange(s, min(s + size, self.symbols.shape[1]))
+            going = np.searchsorted(-self.loads, -steps, side="left")
+            x, y = (np.ascontiguousarray(side[: int(going[0]), s : s + size].T, dtype=np.int64) for side in (self.read, self.symbols))
+            yield s, going.tolist(), x, y
 
 
-def gradients(p: dict, h: np.ndarray, going: np.ndarray, x: np.ndarray, y: np.ndarray):
+def score(p: dict, texts: list[np.ndarray], lanes: int = SCORE_LANES, size: int = 2 * WINDOW) -> np.ndarray:
+    """Natural log-probability of each text (symbols that end in 0) but for the shares within tail classes."""
+    if not texts:
+        return np.zeros(0)
+    layout = Layout.of(texts, lanes)
+    logs = np.zeros(layout.symbols.shape, np.float32)
+    h = np.zeros((len(layout.loads), UNITS), np.float32)
+    for s, going, x, y in layout.windows(size):
+        hs = []
+        for t, g in enumerate(going):
+            h, _ = _step(p, x[t, :g], _carried(h[:g], x[t, :g]))
+            hs.append(h)
+        got, _ = _outputs(p, np.concatenate(hs), np.concatenate([y[t, :g] for t, g in enumerate(going)]))
+        at = 0
+        for t, g in enumerate(going):
+            logs[:g, s + t] = got[at : at + g]
+            at += g
+    return np.array([logs[i, a : a + len(x)].sum(dtype=np.float64) for x, i, a in zip(texts, layout.lane.tolist(), layout.start.tolist(), strict=True)])
+
+
+def _carried(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """States as the next step sees them: none is carried from one text of a lane to the next."""
+    first = x == 0
+    if first.any():
+        h = h.copy()
+        h[first] = 0
+    return h
+
+
+def gradients(p: dict, h: np.ndarray, going: list[int], x: np.ndarray, y: np.ndarray):
     """(log-probability, gradients of its negative, state after the window), back through the window only."""
     grads = {k: np.zeros_like(v) for k, v in p.items() if k != "E"}
     kept, hs = [], []
     for t, g in enumerate(going):
-        before = h[:g]
-        new, inner = _step(p, x[t, :g], before)
+        before = _carried(h[:g], x[t, :g])
+        h, inner = _step(p, x[t, :g], before)
         kept.append((before, *inner))
-        hs.append(new)
-        h = np.concatenate([new, h[g:]]) if g < len(h) else new
+        hs.append(h)
     flat = np.concatenate([y[t, :g] for t, g in enumerate(going)])
     got, d_out = _outputs(p, np.concatenate(hs), flat, grads)
     ends = np.cumsum(going)
-    dx, carried = [], np.zeros((int(going[0]), UNITS), np.float32)
+    dx, rows = np.empty((int(ends[-1]), 3 * UNITS), np.float32), np.empty((int(ends[-1]), 3 * UNITS), np.float32)
+    back, carried = np.ascontiguousarray(p["U"].T), np.zeros((going[0], UNITS), np.float32)
     for t in range(len(going) - 1, -1, -1):
-        g = int(going[t])
+        g = going[t]
+        own = slice(int(ends[t]) - g, int(ends[t]))
         before, z, r, n, a = kept[t]
-        dh = carried[:g] + d_out[ends[t] - g : ends[t]]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
+        dh = carried[:g] + d_out[own]
+        keep = 1 - z
+        dn = dh * keep * (1 - n * n)
+        dz = dh * (before - n) * z * keep
         dr = dn * a * r * (1 - r)
-        da = np.concatenate([dz, dr, dn * r], axis=1)
-        grads["U"] += before.T @ da
-        carried[:g] = dh * z + da @ p["U"].T
-        dx.append(np.concatenate([dz, dr, dn], axis=1))
-    dx = np.concatenate(dx[::-1])
+        dx[own, :UNITS], dx[own, UNITS : 2 * UNITS], dx[own, 2 * UNITS :] = dz, dr, dn
+        rows[own, : 2 * UNITS], rows[own, 2 * UNITS :] = dx[own, : 2 * UNITS], dn * r
+        dh *= z
+        dh += rows[own] @ back
+        dh[x[t, :g] == 0] = 0
+        carried[:g] = dh
+    grads["U"] += np.concatenate([k[0] for k in kept]).T @ rows
     read = np.concatenate([x[t, :g] for t, g in enumerate(going)])
-    order = np.argsort(read, kind="stable")
-    rows, starts = np.unique(read[order], return_index=True)
-    grads["E"] = rows, np.add.reduceat(dx[order], starts, axis=0)
+    order = np.argsort(read.astype(np.int16), kind="stable")
+    found, starts = np.unique(read[order], return_index=True)
+    grads["E"] = found, np.add.reduceat(dx[order], starts, axis=0)
     return got.sum(), grads, h
 
 
 class Trainer:
-    """Adagrad over windows of groups of texts."""
+    """Adagrad over windows of texts laid out in lanes; ``state``: weights, and sums of squared gradients under "2" and their names."""
+
+    def __init__(self, state: dict, rate: float = LEARNING_RATE):
+        self.rate, self.seen = rate, 0
+        self.p = {k: v.copy() for k, v in state.items() if k[0] != "2"}
+        self.squares = {k: state["2" + k].copy() for k in self.p}
 
-    def __init__(self, p: dict, rate: float = LEARNING_RATE):
-        self.p, self.rate = {k: v.copy() for k, v in p.items()}, rate
-        self.squares = {k: np.full_like(v, 0.02) for k, v in p.items()}
-        self.seen = 0
+    @property
+    def state(self) -> dict:
+        return self.p | {"2" + k: v for k, v in self.squares.items()}
 
     def learn(self, texts: list[np.ndarray]) -> None:
-        for own, n, group in _lanes(texts, TRAIN_LANES):
-            h = np.zeros((len(own), UNITS), np.float32)
-            for going, x, y in _windows(n, group, WINDOW):
-                _, grads, h = gradients(self.p, h, going, x, y)
-                self.seen += int(going.sum())
-                scale = np.float32(8.0 / (TRAIN_LANES * WINDOW))
-                for k, g in grads.items():
-                    at, g = (g[0], g[1]) if k == "E" else (slice(None), g)
-                    g = g * scale
-                    self.squares[k][at] += g * g
-                    # Biases hold the words' frequencies over the whole corpus from the start.
-                    rate = np.float32(self.rate * (BIAS_RATE if k in "cw" else 1.0))
-                    self.p[k][at] -= rate * g / np.sqrt(self.squares[k][at])
+        parts = [t[i : i + STRETCH] for t in texts for i in range(0, len(t), STRETCH)]
+        layout = Layout.of(parts, min(TRAIN_LANES, max(8, sum(map(len, parts)) // (LEAST_STEPS * WINDOW))))
+        h = np.zeros((len(layout.loads), UNITS), np.float32)
+        for _, going, x, y in layout.windows(WINDOW):
+            _, grads, h = gradients(self.p, h, going, x, y)
+            n = sum(going)
+            self.seen += n
+            scale = np.float32(8.0 / max(n, 256))
+            for k, g in grads.items():
+                at, g = (g[0], g[1]) if k == "E" else (slice(None), g)
+                g = g * scale
+                self.squares[k][at] += g * g
+                # Biases hold the words' frequencies over the whole corpus from the start.
+                rate = np.float32(self.rate * (BIAS_RATE if k in "cw" else 1.0))
+                self.p[k][at] -= rate * g / np.sqrt(self.squares[k][at])
+
+
+def begun(v: Vocabulary) -> dict:
+    p = initial(v)
+    return p | {"2" + k: np.full_like(x, 0.02) for k, x in p.items()}
+
+
+def rounds_of(train_tokens: int, group_tokens: int = GROUP_TOKENS) -> list[int]:
+    """Groups that each round trains side by side; both their number and that of rounds grow with the corpus."""
+    groups = -(-max(1, train_tokens) // group_tokens)
+    rounds = max(LEAST_ROUNDS, math.ceil(math.log2(groups)))
+    return [max(1, -(-groups // rounds))] * rounds
 
 
 _BLOCK = 4096
@@ -289,28 +351,53 @@ def _added(rows: DataFrame, *by: str) -> DataFrame:
     return rows.select(*by, "weight", "block_values").groupBy(*by).applyInArrow(add, schema)
 
 
-def train_round(docs: DataFrame, v: Vocabulary, p: dict) -> dict:
-    """One pass over ``docs`` (column text) from weights ``p`` in each partition, and the weights' mean by tokens."""
+def symbol_table(docs: DataFrame, v: Vocabulary, rounds: list[int]) -> DataFrame:
+    """(round, g, key, z): the round and group of each document, by hashes of its id and text, and its symbols, compressed."""
+    key = F.xxhash64("doc_id", "text")
+    rows = docs.select("text", key.alias("key"), F.pmod(key, F.lit(len(rounds))).cast("int").alias("round"))
+    groups = F.element_at(F.array(*map(F.lit, rounds)), F.col("round") + 1)
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("key", F.lit("group")), groups).cast("int"))
 
-    def run(batches):
-        trainer = Trainer(p)
-        symbols = WordCache(v.symbol)
-        for batch in batches:
+    def task():
+        symbols, press = WordCache(v.symbol), zstandard.ZstdCompressor(level=1).compress
+
+        def work(batch: pa.RecordBatch):
             for part in slices(batch, "text"):
                 symbols.trim()
-                trainer.learn([np.array([*map(symbols.__getitem__, tokens_of(t)), 0], np.int64) for t in part["text"].to_pylist()])
-        if trainer.seen:
-            flat = _flat(trainer.p).astype(np.float64) * trainer.seen
-            for i in range(0, len(flat), _BLOCK):
-                values = pa.array([flat[i : i + _BLOCK].tolist()], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array([i // _BLOCK], pa.int32()), pa.array([TaskContext.get().partitionId() % 64], pa.int32()), pa.array([float(trainer.seen)]), values], names=["block", "salt", "weight", "block_values"])
+                z = [press(np.array([*map(symbols.__getitem__, tokens_of(t)), 0], "<i2").tobytes()) for t in part["text"].to_pylist()]
+                yield pa.table([part["round"], part["g"], part["key"], z], names=["round", "g", "key", "z"])
+
+        return work
+
+    return map_arrow(rows, task, "round int, g int, key long, z binary")
+
 
-    rows = docs.select("text").mapInArrow(run, "block int, salt int, weight double, block_values array<double>")
-    sums = _added(_added(rows, "block", "salt"), "block").collect()
-    if not sums:
-        return p
-    flat = np.concatenate([np.array(r["block_values"]) / r["weight"] for r in sorted(sums, key=lambda r: r["block"])])
-    return _shaped(flat, p)
+def train_round(rows: DataFrame, state: dict) -> dict:
+    """Train from ``state`` on each group of ``rows`` (g, key, z); the mean of what they learned, weighted by tokens.
+
+    A group reads its documents in an order that they fix themselves, so that how rows are laid
+    out in partitions changes nothing.
+    """
+
+    def learn(table: pa.Table) -> pa.Table:
+        unpress = zstandard.ZstdDecompressor().decompress
+        trainer = Trainer(state)
+        trainer.learn([np.frombuffer(unpress(z), "<i2") for _, z in sorted(zip(table["key"].to_pylist(), table["z"].to_pylist(), strict=True))])
+        flat = _flat(trainer.state).astype(np.float64) * trainer.seen
+        values = [flat[i : i + _BLOCK].tolist() for i in range(0, len(flat), _BLOCK)]
+        n, g = len(values), table["g"][0].as_py()
+        return pa.table({"block": pa.array(range(n), pa.int32()), "g": pa.array([g] * n, pa.int32()), "weight": [float(trainer.seen)] * n, "block_values": pa.array(values, pa.list_(pa.float64()))})
+
+    learned = rows.select("g", "key", "z").groupBy("g").applyInArrow(learn, "block int, g int, weight double, block_values array<double>")
+    # Sums go up a tree with FAN_IN rows in each of its groups.
+    sums, groups = learned, rows.agg(F.max("g")).first()[0]
+    if groups is None:
+        return state
+    while groups >= FAN_IN:
+        sums, groups = _added(sums.withColumn("g", F.floor(F.col("g") / FAN_IN).cast("int")), "block", "g"), groups // FAN_IN
+    done = _added(sums, "block").collect()
+    flat = np.concatenate([np.array(r["block_values"]) / r["weight"] for r in sorted(done, key=lambda r: r["block"])])
+    return _shaped(flat, state)
 
 
 # The corpus ----------------------------------------------------------------------------
@@ -319,10 +406,10 @@ _PACKED = "g long, doc_id long, held_out boolean, ids binary, word string, lid i
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """Two kinds of rows for each dictionary g: documents as word numbers, and words with their training counts."""
+    """Two kinds of rows for each dictionary g: documents as word numbers (compressed), and words with their training counts."""
 
     def run(batches):
-        made = 0
+        made, press = 0, zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for part in slices(batch, "text", DICTIONARY_BYTES):
                 numbers: dict[bytes, int] = defaultdict()
@@ -331,7 +418,7 @@ def packed(docs: DataFrame) -> DataFrame:
                 for text, out in zip(part["text"], part["held_out"].to_pylist(), strict=True):
                     words = tokens_of(text.as_py())
                     own = np.fromiter(map(numbers.__getitem__, words), "<u4", len(words))
-                    ids.append(own.tobytes())
+                    ids.append(press(own.tobytes()))
                     if not out:
                         learned.append(own)
                 counts = np.bincount(np.concatenate([*learned, np.zeros(0, np.uint32)]), minlength=len(numbers))
@@ -373,16 +460,29 @@ def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, rounds: int = ROUNDS, parts: int = PARTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def trained(docs: DataFrame, v: Vocabulary, group_tokens: int = GROUP_TOKENS) -> dict:
+    """Weights after all rounds; each document is learned from once, in one of them."""
+    rounds = rounds_of(v.train_tokens, group_tokens)
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/symbols-{uuid.uuid4().hex}"
+    rows = symbol_table(docs, v, rounds)
+    rows.write.option("compression", "none").partitionBy("round").parquet(path)
+    state = begun(v)
+    for i in range(len(rounds)):
+        state = train_round(spark.read.schema(rows.schema).parquet(path).where(F.col("round") == i), state)
+    return {k: x for k, x in state.items() if k[0] != "2"}
+
+
+def score_documents(docs: DataFrame, group_tokens: int = GROUP_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """SCORES of every row; documents whose id has a CRC-32 divisible by 10 are held out of all that is learned.
 
     base_score: add-0.1 unigram; score: the network's; both log10 over all tokens with the end. A
-    null text is empty: its end alone. Words count over all training rows; the network is
-    trained on ``rounds`` parts in ``parts`` of them, chosen by a hash of the id: by default on
-    every training document once. Repeated rows count and are scored one by one, a null id counts as an empty
-    text for the hold-out, an empty table gives no rows, other columns are not read. Words get
-    their counts by a join on the word and go back to their dictionaries, none of which is
-    broadcast.
+    null text is empty: its end alone. Words count over all training rows, and the network is
+    trained on all of them, each once, in groups of about ``group_tokens`` tokens. Repeated rows
+    count and are scored one by one, a null id counts as an empty text for the hold-out, an empty
+    table gives no rows, other columns are not read. Words get their counts by a join on the word
+    and go back to their dictionaries, none of which is broadcast. How rows are laid out in
+    partitions changes no result but by rounding.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("held_out", F.pmod(crc32_of(F.col("doc_id")), F.lit(10)) == 0)
@@ -390,9 +490,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, parts: int = PARTS, i
     words = rows.where("word IS NOT NULL").select("g", "word", "lid", "n")
     counts = staged(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
     v = vocabulary(counts, docs.where("NOT held_out").count())
-    p = initial(v)
-    for i in range(rounds):
-        p = train_round(docs.where("NOT held_out").where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == i), v, p)
+    p = trained(docs.where("NOT held_out"), v, group_tokens)
     joined = words.join(counts, "word", "left").select(F.col("g").alias("of"), "lid", "word", F.coalesce("c", F.lit(0)).alias("c"))
 
     def rate(documents: pa.Table, entries: pa.Table) -> pa.Table:
@@ -400,7 +498,8 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, parts: int = PARTS, i
         c = entries["c"].to_numpy()[order].astype(np.float64)
         symbol = np.fromiter((v.symbol(w.as_py().encode()) for w in entries["word"]), np.int16, len(order))[order]
         base, share, known = v.base(c), v.in_tail(symbol.astype(np.int64), c), c > 0
-        ids = [np.frombuffer(x, "<u4") for x in documents["ids"].to_pylist()]
+        unpress = zstandard.ZstdDecompressor().decompress
+        ids = [np.frombuffer(unpress(x), "<u4") for x in documents["ids"].to_pylist()]
         ends = v.head_counts[0]
         got = score(p, [np.append(symbol[x], np.int16(0)) for x in ids])
         n = len(ids)
