@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairwright.functions import boxes, codes, tags, times
 from pairwright.functions.codes import INCMP, NEGTV, POSTV, UNREV
-from pairwright.operators import candidates, delta, graph, metrics, priority, recovery, rectify, redundancy, refresh, search, simulate
+from pairwright.operators import actions, candidates, delta, feedback, graph, metrics, priority, recovery, rectify, redundancy, refresh, search, truth
 from pairwright.operators.components import connected_components
 from pairwright.sources import fixtures as fx
 from pairwright.streaming.reviews import replay
@@ -60,7 +60,7 @@ def on_pcc(sql: str, more: str = "") -> str:
 
 _LOG = """log AS MATERIALIZED (
   SELECT event_id AS review_id, least(user_id, k) AS aid1, greatest(user_id, k) AS aid2, CASE event_type WHEN 'purchase' THEN 'POSTV' WHEN 'error' THEN 'NEGTV' WHEN 'view' THEN 'INCMP' WHEN 'signup' THEN 'UNKWN' ELSE 'UNREV' END AS d,
-    CASE WHEN event_id % 4 = 0 THEN 'algo:x' ELSE 'user:' || user_id % 7 END AS who, event_id % 11 = 0 AS meaningful
+    CASE WHEN event_id % 4 = 0 THEN 'algo:x' ELSE 'user:' || user_id % 7 END AS who, event_id % 11 = 0 AS meaningful, CASE WHEN event_id % 5 = 0 THEN 'dark' ELSE '' END AS tag
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE user_id <> k)"""
 _PROBS = """, scored AS MATERIALIZED (
   SELECT aid1, aid2, CASE WHEN x.name = y.name THEN 'POSTV' ELSE 'NEGTV' END AS truth, CASE WHEN x.name = y.name THEN 0.6::DOUBLE + ((31 * aid1 + 17 * aid2) % 400) / 1000.0::DOUBLE ELSE ((31 * aid1 + 17 * aid2) % 500) / 1000.0::DOUBLE END AS p
@@ -255,12 +255,27 @@ def complement_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.complement(_names(spark, sf_dir), fx.order_edges(spark, sf_dir))
 
 
-@query(on_pcc("""SELECT name, aid1, aid2 FROM (SELECT p.*, row_number() OVER (PARTITION BY name, nid ORDER BY coalesce(e.decision IN ('NEGTV', 'INCMP', 'POSTV'), false), p.aid1, p.aid2) AS r FROM pairs p LEFT JOIN edges e USING (aid1, aid2)) WHERE r = 1""", """,
-few AS (SELECT name, nid, list(aid ORDER BY aid)[1:3] AS few FROM annots JOIN pcc USING (aid) GROUP BY name, nid),
-chain AS (SELECT *, lag(few) OVER (PARTITION BY name ORDER BY nid) AS before FROM few),
-pairs AS (SELECT name, nid, least(a, b) AS aid1, greatest(a, b) AS aid2 FROM (SELECT name, nid, a, unnest(before) AS b FROM (SELECT name, nid, unnest(few) AS a, before FROM chain WHERE before IS NOT NULL)))"""))
+_FRAGMENTS = """,
+psym AS MATERIALIZED (SELECT aid1 AS u, aid2 AS v FROM edges JOIN annots x ON aid1 = x.aid JOIN annots y ON aid2 = y.aid WHERE decision = 'POSTV' AND x.name = y.name),
+pways AS MATERIALIZED (FROM psym UNION ALL SELECT v, u FROM psym),
+freach(a, b) AS (SELECT aid, aid FROM annots UNION SELECT r.a, s.v FROM freach r JOIN pways s ON r.b = s.u),
+frag AS MATERIALIZED (SELECT name, aid, f FROM annots JOIN (SELECT a AS aid, min(b) AS f FROM freach GROUP BY a) USING (aid)),
+open_pairs AS MATERIALIZED (SELECT x.name, x.f, y.f AS p, x.aid AS u, y.aid AS v FROM frag x JOIN frag y ON x.name = y.name AND x.f <> y.f
+  LEFT JOIN edges e ON e.aid1 = least(x.aid, y.aid) AND e.aid2 = greatest(x.aid, y.aid) WHERE coalesce(decision, '') NOT IN ('NEGTV', 'INCMP')),
+near AS MATERIALIZED (SELECT DISTINCT name, f, p FROM open_pairs),
+frs AS MATERIALIZED (SELECT DISTINCT name, f FROM frag),
+open_to AS (SELECT f, count(*) AS k FROM near GROUP BY f),
+hubs AS MATERIALIZED (SELECT f FROM (SELECT f, count(*) OVER (PARTITION BY name) - 1 AS others FROM frs) LEFT JOIN open_to USING (f) WHERE coalesce(k, 0) = others),
+tree(f, g) AS (SELECT f, f FROM frs UNION SELECT t.f, n.p FROM tree t JOIN near n ON n.f = t.g),
+root AS MATERIALIZED (SELECT f, coalesce(min(g) FILTER (g IN (FROM hubs)), min(g)) AS root FROM tree GROUP BY f),
+walk(f, d) AS (SELECT DISTINCT root, 0 FROM root UNION SELECT n.p, d + 1 FROM walk w JOIN near n ON n.f = w.f WHERE d < 9),
+level AS MATERIALIZED (SELECT f, min(d) AS d FROM walk GROUP BY f),
+up AS MATERIALIZED (SELECT l.f, min(n.p) AS p FROM level l JOIN near n ON n.f = l.f JOIN level m ON m.f = n.p AND m.d = l.d - 1 GROUP BY l.f)"""
+
+
+@query(f"WITH RECURSIVE {_FX1}{_FRAGMENTS} SELECT name, least(u, v) AS aid1, greatest(u, v) AS aid2 FROM (SELECT o.*, row_number() OVER (PARTITION BY f, p ORDER BY u, v) AS r FROM open_pairs o JOIN up USING (f, p)) WHERE r = 1")
 def mst_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.fragment_links(_names(spark, sf_dir), fx.order_pcc(spark, sf_dir), fx.order_edges(spark, sf_dir))
+    return candidates.fragment_links(_names(spark, sf_dir), fx.order_edges(spark, sf_dir))
 
 
 @query()
@@ -313,10 +328,16 @@ def priority_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return priority.scores(fx.order_probs(spark, sf_dir), fx.order_pcc(spark, sf_dir), THRESHOLDS).select("aid1", "aid2", F.round("priority", 6).alias("priority"))
 
 
-@query(on_edges("SELECT aid1, aid2, priority FROM (SELECT aid1, aid2, prob_match::DOUBLE AS priority FROM edges WHERE decision = 'UNREV') ORDER BY priority DESC, aid1, aid2 LIMIT 50"))
+def _queue(spark, sf_dir):
+    edges, pcc = _state(spark, sf_dir)
+    flags = redundancy.flagged(edges, pcc, redundancy.positive_redundancy(edges, pcc), redundancy.negative_redundancy(edges, pcc))
+    return priority.queue(edges, flags.where("redundant"), recovery.hypotheses(edges, pcc))
+
+
+@query()
 def review_queue_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = fx.order_edges(spark, sf_dir)
-    return priority.top(priority.queue(edges, edges.limit(0), edges.limit(0)), 50)
+    """The first pairs of the queue: suspected errors, then what no redundancy makes needless."""
+    return priority.top(_queue(spark, sf_dir), 50)
 
 
 @query(on_edges("SELECT aid1, aid2, CASE WHEN (POSTV > 0.85)::INT + (NEGTV > 0.8)::INT + (INCMP > 0.7)::INT = 1 THEN CASE WHEN POSTV = greatest(POSTV, NEGTV, INCMP) THEN 'POSTV' WHEN NEGTV = greatest(POSTV, NEGTV, INCMP) THEN 'NEGTV' ELSE 'INCMP' END END AS auto_decision FROM probs", _PROBS))
@@ -393,9 +414,10 @@ def tag_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.tag_counts(fx.part_tags(spark, sf_dir))
 
 
-@query(f"WITH {_TAGS} SELECT p_partkey FROM tagged WHERE len(tags) >= 3 AND len(list_filter(tags, lambda t: lower(t) LIKE 'brand#1%')) > 0 AND len(list_filter(tags, lambda t: regexp_matches(t, '(?i)economy'))) = 0")
+@query(f"""WITH {_TAGS}, one AS (SELECT p_partkey, lower(unnest(tags)) AS t FROM tagged), sets AS (SELECT DISTINCT p_partkey, t FROM one)
+SELECT p_partkey FROM sets GROUP BY p_partkey HAVING count(*) >= 4 AND count(*) FILTER (starts_with(t, 'brand#1')) > 0 AND count(*) FILTER (regexp_full_match(t, '(economy|standard [a-m]).*')) = 0""")
 def tag_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.part_tags(spark, sf_dir).where(tags.tag_filter(F.col("tags"), min_num=3, any_startswith="brand#1", none_match="economy")).select("p_partkey")
+    return fx.part_tags(spark, sf_dir).where(tags.tag_filter(F.col("tags"), min_num=4, any_startswith="brand#1", none_match=["economy", "standard [a-m]"])).select("p_partkey")
 
 
 ALIASES = [("^Brand#1", "first"), ("^Brand#", "brand"), ("^[A-Z ]+$", None)]
@@ -462,19 +484,20 @@ def grouping_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _delta(spark, sf_dir)
 
 
-@query(on_pcc("""SELECT old_id, nid AS new1, next AS new2 FROM (SELECT name AS old_id, nid, lead(nid) OVER (PARTITION BY name ORDER BY nid) AS next FROM kinds WHERE kind IN ('split', 'hybrid')) c
-WHERE next IS NOT NULL AND NOT EXISTS (SELECT 1 FROM labelled l WHERE l.nid1 = c.nid AND l.nid2 = c.next AND decision IN ('NEGTV', 'INCMP'))""", _DELTA))
+@query(on_pcc("""SELECT a.name AS old_id, a.nid AS new1, b.nid AS new2 FROM kinds a JOIN kinds b ON a.name = b.name AND a.nid < b.nid WHERE a.kind IN ('split', 'hybrid') AND b.kind IN ('split', 'hybrid')
+AND NOT EXISTS (SELECT 1 FROM labelled l WHERE l.nid1 = a.nid AND l.nid2 = b.nid AND decision IN ('NEGTV', 'INCMP'))""", _DELTA))
 def unjustified_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta.unjustified_splits(_delta(spark, sf_dir), fx.order_edges(spark, sf_dir))
 
 
-@query(f"""WITH {_LOG}, mid AS (SELECT floor(avg(review_id)) AS c FROM log), l AS (SELECT aid1, aid2, review_id < c AS old, arg_max(d, review_id) AS d FROM log, mid GROUP BY ALL)
-SELECT n.aid1, n.aid2, n.d AS new_evidence_decision, o.d AS old_evidence_decision, o.d IS NULL AS is_new FROM (SELECT * FROM l WHERE NOT old) n LEFT JOIN (SELECT * FROM l WHERE old) o USING (aid1, aid2) WHERE o.d IS DISTINCT FROM n.d""")
+@query(f"""WITH {_LOG}, mid AS (SELECT floor(avg(review_id)) AS c FROM log), l AS (SELECT aid1, aid2, review_id < c AS old, arg_max(d, review_id) AS d, arg_max(tag, review_id) AS tag FROM log, mid GROUP BY ALL)
+SELECT n.aid1, n.aid2, n.d AS new_evidence_decision, o.d AS old_evidence_decision, n.tag AS new_tags, o.tag AS old_tags, o.d IS NULL AS is_new FROM (SELECT * FROM l WHERE NOT old) n LEFT JOIN (SELECT * FROM l WHERE old) o USING (aid1, aid2) WHERE o.d IS DISTINCT FROM n.d OR o.tag IS DISTINCT FROM n.tag""")
 def edge_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = fx.event_reviews(spark, sf_dir)
     log = log.join(F.broadcast(log.agg(F.floor(F.avg("review_id")).alias("mid"))))
     halves = [graph.latest_reviews(log.where(x).drop("mid")) for x in ("review_id < mid", "review_id >= mid")]
-    return delta.edge_delta(*halves).select("aid1", "aid2", "new_evidence_decision", "old_evidence_decision", "is_new")
+    joined = [F.array_join(c, ",").alias(c) for c in ("new_tags", "old_tags")]
+    return delta.edge_delta(*halves).select("aid1", "aid2", "new_evidence_decision", "old_evidence_decision", *joined, "is_new")
 
 
 def _named_pcc(spark, sf_dir):
@@ -505,8 +528,8 @@ def confident_separated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY lower(regexp_replace(trim(text), '[ \\t\\n]+', ' ', 'g'))) AS nid FROM documents")
-def doc_near_dup_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as records: equality of normalised texts is a positive review, its components are the individuals."""
+def doc_equal_text_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records: equality of normalised texts, and nothing less, is a positive review; its components are the individuals."""
     key = F.sha2(F.lower(F.regexp_replace(F.trim("text"), "[ \\t\\n]+", " ")), 256)
     docs = fx.table(spark, sf_dir, "documents").select("doc_id", key.alias("key"))
     first = docs.groupBy("key").agg(F.min("doc_id").alias("nid"))
@@ -570,8 +593,7 @@ def source_and_sink_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def queue_after_pop_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, pcc = _state(spark, sf_dir)
-    queue = priority.queue(edges, edges.limit(0), edges.limit(0))
-    return search.not_locally_redundant(queue, edges, pcc)
+    return search.not_locally_redundant(_queue(spark, sf_dir), edges, pcc)
 
 
 @query(on_pcc("""SELECT aid1, aid2, decision, CASE WHEN x.name = y.name THEN 'within' ELSE 'between' END AS side,
@@ -581,10 +603,64 @@ def review_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What reviews did that turned names into components."""
     edges, pcc = _state(spark, sf_dir)
     names = fx.order_annots(spark, sf_dir).withColumnRenamed("orig_name_label", "nid")
-    return simulate.review_actions(names, pcc, edges.select("aid1", "aid2", "decision"))
+    return actions.review_actions(names, pcc, edges.select("aid1", "aid2", "decision"))
 
 
 @query("SELECT event_id, strftime(ts + INTERVAL 90 SECOND, '%Y-%m-%dT%H:%M:%S') AS iso, strftime(ts, '%y%m%d') AS tag, floor(epoch(ts))::BIGINT AS seconds FROM events")
 def stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.col("ts")
     return fx.table(spark, sf_dir, "events").select("event_id", times.stamp(ts, "iso", 90).alias("iso"), times.stamp(ts, "tag").alias("tag"), times.stamp(ts, "int").alias("seconds"))
+
+
+# Feedback, attributes of nodes, truth ---------------------------------------------------
+
+_UNDONE = "undone AS MATERIALIZED (SELECT aid1, aid2, max(review_id) AS u FROM log WHERE d = 'UNREV' GROUP BY aid1, aid2)"
+
+
+@query(f"WITH {_LOG}, {_UNDONE} SELECT review_id, aid1, aid2, d AS evidence_decision FROM log LEFT JOIN undone USING (aid1, aid2) WHERE u IS NULL OR review_id >= u")
+def feedback_undo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feedback.effective(fx.event_reviews(spark, sf_dir)).select("review_id", "aid1", "aid2", "evidence_decision")
+
+
+@query(f"WITH {_LOG}, {_UNDONE} SELECT aid1, aid2, arg_max(d, review_id) AS decision, count(*) AS num_reviews, count(*) FILTER (u IS NULL OR review_id >= u) AS n_effective FROM log LEFT JOIN undone USING (aid1, aid2) GROUP BY aid1, aid2")
+def feedback_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feedback.current(fx.event_reviews(spark, sf_dir)).select("aid1", "aid2", "decision", "num_reviews", "n_effective")
+
+
+@query(f"WITH {_LOG} SELECT review_id, coalesce(nullif(d, 'UNKWN'), 'UNREV') AS evidence_decision, 'null' AS meta_decision, 'unspecified' AS confidence FROM log")
+def feedback_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews whose unknown decisions are taken away, and the defaults in place of all that is not given."""
+    log = fx.event_reviews(spark, sf_dir).select("review_id", F.nullif(F.col("evidence_decision"), F.lit("UNKWN")).alias("evidence_decision"))
+    return feedback.with_defaults(log)
+
+
+@query(f"WITH {_LOG}, s AS (SELECT aid1, aid2, arg_max(d, review_id) AS d FROM log GROUP BY aid1, aid2), m AS (SELECT aid1, aid2, arg_max(d, review_id) AS d FROM log WHERE review_id % 3 <> 0 GROUP BY aid1, aid2) SELECT aid1, aid2 FROM s LEFT JOIN m USING (aid1, aid2) WHERE s.d IS DISTINCT FROM m.d")
+def staging_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that a table of matches, made from two reviews of three, is behind on."""
+    log = fx.event_reviews(spark, sf_dir)
+    return feedback.staging_ahead(log, graph.latest_reviews(log.where("review_id % 3 <> 0")))
+
+
+@query("SELECT o_orderkey + 1 AS aid, coalesce(b.o_orderstatus, 'none') AS status FROM orders a LEFT JOIN (SELECT o_orderkey AS k, nullif(o_orderstatus, 'P') AS o_orderstatus FROM orders) b ON b.k = a.o_orderkey + 1")
+def node_attr_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("aid"), F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("status"))
+    return graph.attributes(nodes.select((F.col("aid") + 1).alias("aid")), nodes, "status", on_missing="default", on_keyerr="default", default="none", keys=("aid",))
+
+
+@query(on_edges("SELECT aid1, aid2, CASE WHEN (aid1 + aid2) % 7 = 0 THEN 'INCMP' WHEN x.name = y.name THEN 'POSTV' ELSE 'NEGTV' END AS truth FROM edges JOIN annots x ON aid1 = x.aid JOIN annots y ON aid2 = y.aid"))
+def edge_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pairs are in truth: incomparable where their views say so, else by their names."""
+    edges = fx.order_edges(spark, sf_dir).select("aid1", "aid2", ((F.col("aid1") + F.col("aid2")) % 7 != 0).alias("comparable"))
+    return truth.match_state(edges, _names(spark, sf_dir), "comparable").select("aid1", "aid2", "truth")
+
+
+@query(on_pcc("SELECT nid1, nid2, aid1, aid2, decision, n_pos, n_neg, n_incmp FROM labelled JOIN (SELECT nid1, nid2, count(*) FILTER (decision = 'POSTV') AS n_pos, count(*) FILTER (decision = 'NEGTV') AS n_neg, count(*) FILTER (decision = 'INCMP') AS n_incmp FROM labelled GROUP BY nid1, nid2) USING (nid1, nid2)"))
+def pair_connection_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, pcc = _state(spark, sf_dir)
+    return graph.pair_connection_info(edges.select("aid1", "aid2"), edges, pcc)
+
+
+@query(f"{_MANUAL} SELECT n, round(mu * 1000, 6) AS n_predicted FROM ({_MU})")
+def refresh_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of 1000 reviews to come are foretold to change something."""
+    return refresh.predicted(fx.event_reviews(spark, sf_dir), 1000).select("n", F.round("n_predicted", 6).alias("n_predicted"))

@@ -14,14 +14,18 @@ def _exists(arr: Column, test, value) -> Column:
 
 
 def tag_filter(tags: Column, *, min_num=None, max_num=None, has_any=None, has_all=None, has_none=None, any_startswith=None, any_endswith=None, in_any=None, any_match=None, none_match=None, logic: str = "and", ignore_case: bool = True) -> Column:
-    """Whether an array passes the tests given, joined by ``logic``; null counts as empty. Values are one or more strings."""
+    """Whether an array, taken as a set, passes the tests given, joined by ``logic``; null counts as empty.
+
+    Values are one or more strings; patterns must match from the start of a tag. Without any
+    test the answer is true for "and", false for "or".
+    """
     low = lambda s: s.lower() if ignore_case else s
-    arr = F.coalesce(F.transform(tags, F.lower) if ignore_case else tags, F.array().cast("array<string>"))
+    arr = F.coalesce(F.array_distinct(F.transform(tags, F.lower) if ignore_case else tags), F.array().cast("array<string>"))
     every = lambda v: [low(x) for x in ([v] if isinstance(v, str) else v)]
     flag = "(?i)" if ignore_case else ""
     some = lambda f, v: reduce(lambda a, b: a | b, [_exists(arr, f, x) for x in v])
     given = lambda v: F.array(*map(F.lit, every(v)))
-    patterns = lambda v: [flag + x for x in ([v] if isinstance(v, str) else v)]
+    patterns = lambda v: [f"^{flag}(?:{x})" for x in ([v] if isinstance(v, str) else v)]
     tests = []
     if min_num is not None:
         tests.append(F.size(arr) >= min_num)
@@ -43,7 +47,8 @@ def tag_filter(tags: Column, *, min_num=None, max_num=None, has_any=None, has_al
         tests.append(some(lambda t, x: t.rlike(x), patterns(any_match)))
     if none_match is not None:
         tests.append(~some(lambda t, x: t.rlike(x), patterns(none_match)))
-    return reduce((lambda a, b: a & b) if logic == "and" else (lambda a, b: a | b), tests, F.lit(True)) if logic == "and" or tests else F.lit(True)
+    join = (lambda a, b: a & b) if logic == "and" else (lambda a, b: a | b)
+    return reduce(join, tests) if tests else F.lit(logic == "and")
 
 
 def tag_counts(rows: DataFrame, column: str = "tags") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,14 +42,21 @@ def unjustified_splits(delta: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(reasons, ["new_id", "next"], "left_anti").select("old_id", F.col("new_id").alias("new1"), F.col("next").alias("new2"))
 
 
+IMPORTANT = ("evidence_decision", "meta_decision", "tags")
+
+
 def edge_delta(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Edges of ``new`` that are not in ``old`` or whose evidence or meta decision differs (null equals null)."""
-    columns = ("evidence_decision", "meta_decision")
-    o = old.select("aid1", "aid2", *[F.col(c).alias(f"old_{c}") for c in columns], F.lit(True).alias("_old"))
-    n = new.select("aid1", "aid2", *[F.col(c).alias(f"new_{c}") for c in columns])
+    """Edges of ``new`` that are not in ``old`` or whose evidence decision, meta decision or tags differ (null equals null).
+
+    Tags are an array, compared as it stands; a table without them has null.
+    """
+    kinds = {"tags": "array<string>"}
+    value = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast(kinds.get(c, "string"))
+    o = old.select("aid1", "aid2", *[value(old, c).alias(f"old_{c}") for c in IMPORTANT], F.lit(True).alias("_old"))
+    n = new.select("aid1", "aid2", *[value(new, c).alias(f"new_{c}") for c in IMPORTANT])
     rows = n.join(o, ["aid1", "aid2"], "left").withColumn("is_new", F.col("_old").isNull()).drop("_old")
-    changed = ~F.col("new_evidence_decision").eqNullSafe(F.col("old_evidence_decision")) | ~F.col("new_meta_decision").eqNullSafe(F.col("old_meta_decision"))
-    return rows.where(F.col("is_new") | changed)
+    same = reduce(lambda a, b: a & b, [F.col(f"new_{c}").eqNullSafe(F.col(f"old_{c}")) for c in IMPORTANT])
+    return rows.where(F.col("is_new") | ~same)
 
 
 def name_delta(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -114,15 +114,15 @@ def edges_where(edges: DataFrame, key: str, op: str, value) -> DataFrame:
     return edges.where(tests[op])
 
 
-def attributes(asked: DataFrame, edges: DataFrame, key: str, on_missing: str = "error", on_keyerr: str = "default", default=None) -> DataFrame:
-    """(aid1, aid2, key) for the edges asked for.
+def attributes(asked: DataFrame, table: DataFrame, key: str, on_missing: str = "error", on_keyerr: str = "default", default=None, keys: tuple[str, ...] = ("aid1", "aid2")) -> DataFrame:
+    """(keys, key) for the edges asked for, or for nodes with ``keys`` ("aid",).
 
-    on_missing, for edges that are not there, and on_keyerr, for nulls: error, default or filter.
+    on_missing, for those that are not there, and on_keyerr, for nulls: error, default or filter.
     """
-    found = asked.select("aid1", "aid2").join(edges.select("aid1", "aid2", F.col(key), F.lit(True).alias("_there")), ["aid1", "aid2"], "left")
-    fail = lambda what: F.raise_error(F.concat_ws(" ", F.lit(what), "aid1", "aid2"))
-    kind = dict(edges.dtypes)[key]
-    for policy, lacks, what in ((on_missing, F.col("_there").isNull(), "no edge"), (on_keyerr, F.col("_there").isNotNull() & F.col(key).isNull(), "no value at")):
+    found = asked.select(*keys).join(table.select(*keys, F.col(key), F.lit(True).alias("_there")), list(keys), "left")
+    fail = lambda what: F.raise_error(F.concat_ws(" ", F.lit(what), *keys))
+    kind, name = dict(table.dtypes)[key], "edge" if len(keys) > 1 else "node"
+    for policy, lacks, what in ((on_missing, F.col("_there").isNull(), f"no {name}"), (on_keyerr, F.col("_there").isNotNull() & F.col(key).isNull(), "no value at")):
         if policy == "filter":
             found = found.where(~lacks)
         else:
@@ -131,6 +131,41 @@ def attributes(asked: DataFrame, edges: DataFrame, key: str, on_missing: str = "
     return found.drop("_there")
 
 
+def present(asked: DataFrame, table: DataFrame, keys: tuple[str, ...] = ("aid1", "aid2")) -> DataFrame:
+    """(keys, there): whether each edge or node asked for is in ``table``."""
+    return asked.select(*keys).join(table.select(*keys, F.lit(True).alias("there")).distinct(), list(keys), "left").withColumn("there", F.coalesce("there", F.lit(False)))
+
+
+def without_attribute(table: DataFrame, key: str, of: DataFrame | None = None, keys: tuple[str, ...] = ("aid1", "aid2")) -> DataFrame:
+    """``table`` with null for an attribute, of all its rows or of those with the keys of ``of``; without the column where that leaves none."""
+    if of is None:
+        return table.drop(key)
+    gone = of.select(*keys).distinct().withColumn("_gone", F.lit(True))
+    rows = table.join(gone, list(keys), "left")
+    return rows.select(*[F.when(F.col("_gone"), None).otherwise(F.col(c)).alias(c) if c == key else F.col(c) for c in table.columns])
+
+
+def with_value(table: DataFrame, key: str, keys: tuple[str, ...] = ("aid1", "aid2")) -> DataFrame:
+    """(keys, key) of the rows that have a value: what is left when null attributes are deleted."""
+    return table.where(F.col(key).isNotNull()).select(*keys, key)
+
+
+def nonvisual(edges: DataFrame) -> DataFrame:
+    """``edges`` without columns that only drawing needs."""
+    return edges.drop(*[c for c in edges.columns if c in DRAWN])
+
+
+#: Attributes of edges that are about their looks.
+DRAWN = ("color", "label", "style", "linewidth", "alpha", "pos")
+
+
+def pair_connection_info(pairs: DataFrame, edges: DataFrame, pcc: DataFrame) -> DataFrame:
+    """(nid1, nid2, aid1, aid2, decision, n_pos, n_neg, n_incmp): for each pair its edge, if any, and the edges between (or in) its components."""
+    counts = with_labels(edges, pcc).groupBy("nid1", "nid2").agg(*[F.count_if(F.col("decision") == d).alias(n) for d, n in ((POSTV, "n_pos"), (NEGTV, "n_neg"), (INCMP, "n_incmp"))])
+    rows = with_labels(pairs.select("aid1", "aid2"), pcc).select("nid1", "nid2", "aid1", "aid2").join(edges.select("aid1", "aid2", "decision"), ["aid1", "aid2"], "left")
+    return rows.join(counts, ["nid1", "nid2"], "left").na.fill(0, ["n_pos", "n_neg", "n_incmp"]).select("nid1", "nid2", "aid1", "aid2", "decision", "n_pos", "n_neg", "n_incmp")
+
+
 def updated(table: DataFrame, changes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """``table`` with ``columns`` from ``changes`` where there is a row with the same keys and a value."""
     new = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns])
@@ -163,7 +198,10 @@ def same_component(pairs: DataFrame, pcc: DataFrame) -> DataFrame:
 
 
 def confident(edges: DataFrame, decision: str, least: int) -> DataFrame:
-    """Edges of a decision made with a confidence of ``least`` or more."""
+    """Edges of a decision made with a confidence of ``least`` or more.
+
+    Two records are confidently separated by such an edge of their own: no path of other edges counts.
+    """
     from pairwright.functions.codes import CONFIDENCE, coded
 
     level: Column = coded(F.col("confidence"), CONFIDENCE, 0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from heapq import heappop, heappush
 
 
 def adjacency(edges) -> dict:
@@ -56,6 +57,26 @@ def components(nodes, edges) -> list[set]:
     return out
 
 
+def complement_forest(nodes, closed) -> list[tuple]:
+    """(node, parent) of a spanning forest of the pairs that are not ``closed``, breadth first from the least node of each tree.
+
+    A parent is the least node of the level before that is open to the node. Time grows with the
+    nodes and closed pairs.
+    """
+    shut, left, out = adjacency(closed), sorted(nodes), []
+    while left:
+        level, left = [left[0]], left[1:]
+        while level:
+            found = []
+            for p in level:
+                stays = shut[p]
+                out += [(n, p) for n in left if n not in stays]
+                found += [n for n in left if n not in stays]
+                left = [n for n in left if n in stays]
+            level = sorted(found)
+    return out
+
+
 class Flow:
     """Residual network of an undirected graph with capacities."""
 
@@ -197,35 +218,44 @@ def _weak_parts(nodes, have, level, stuck):
     return None
 
 
-def assignment(profit: list[list[float]]) -> list[int]:
-    """For each row of a square matrix the column of a most profitable assignment (potentials and shortest paths)."""
-    n, inf = len(profit), float("inf")
-    cost = [[-x for x in row] for row in profit]
-    u, v, row_of = [0.0] * (n + 1), [0.0] * (n + 1), [0] * (n + 1)
-    for i in range(1, n + 1):
-        row_of[0], j0 = i, 0
-        least, way, used = [inf] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        while row_of[j0]:
-            used[j0] = True
-            i0, delta, j1 = row_of[j0], inf, 0
-            for j in range(1, n + 1):
-                if not used[j]:
-                    c = cost[i0 - 1][j - 1] - u[i0] - v[j]
-                    if c < least[j]:
-                        least[j], way[j] = c, j0
-                    if least[j] < delta:
-                        delta, j1 = least[j], j
-            for j in range(n + 1):
-                if used[j]:
-                    u[row_of[j]] += delta
-                    v[j] -= delta
-                else:
-                    least[j] -= delta
-            j0 = j1
-        while j0:
-            row_of[j0] = row_of[way[j0]]
-            j0 = way[j0]
-    out = [0] * n
-    for j in range(1, n + 1):
-        out[row_of[j] - 1] = j - 1
+def sparse_assignment(profit: list[dict], columns: int) -> list[int | None]:
+    """For each row the column of an assignment of the most rows, and of these of the most profit; None for a row that gets none.
+
+    ``profit``: for each row its possible columns with what they bring. Each row in turn is added
+    by a cheapest augmenting path, found with potentials and a heap, or dropped for one of those
+    that its search reached, if that brings more.
+    """
+    most = 1 + sum(max(p.values(), default=0) for p in profit)
+    # A row can always take a column of its own that brings less than any gain elsewhere.
+    cost = [{j: most - w for j, w in p.items()} | {columns + i: most * (len(profit) + 1)} for i, p in enumerate(profit)]
+    owner: dict[int, int] = {}
+    own: dict[int, int] = {}
+    u, v = [0.0] * len(profit), defaultdict(float)
+    for i in range(len(profit)):
+        least, came, done, heap = {}, {}, {}, []
+        row, base = i, 0.0
+        while True:
+            for j, c in cost[row].items():
+                d = base + c - u[row] - v[j]
+                if j not in done and d < least.get(j, float("inf")):
+                    least[j], came[j] = d, row
+                    heappush(heap, (d, j))
+            while heap[0][1] in done:
+                heappop(heap)
+            base, j = heappop(heap)
+            if j not in owner:
+                break
+            done[j] = base
+            row = owner[j]
+        u[i] += base
+        for k, d in done.items():
+            u[owner[k]] += base - d
+            v[k] -= base - d
+        row = None
+        while row != i:
+            row = came[j]
+            owner[j], own[row], j = row, j, own.get(row)
+    out: list[int | None] = [None] * len(profit)
+    for j, row in owner.items():
+        out[row] = j if j < columns else None
     return out

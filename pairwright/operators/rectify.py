@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pairwright.operators import kernels
 from pairwright.operators.components import connected_components
+from pairwright.session import staged
 
 
 def trivial_names(names: DataFrame) -> DataFrame:
@@ -23,43 +24,52 @@ def trivial_names(names: DataFrame) -> DataFrame:
     return free.withColumn("r", best).where("r = 1").select("nid", "name")
 
 
+#: Ranges of component labels that are numbered apart, and conflict groups that one task call solves.
+RANGES = 4096
+BATCHES = 4096
+
+
 def rectified_names(names: DataFrame, prefix: str = "_extra_name") -> DataFrame:
     """(nid, name, is_extra): a name for every component; no two get the same.
 
-    Components that share old names are solved together, one group of such components at a
-    time, by an assignment whose profit is how often a component has a name, and one more;
-    those that get none are given new names in the order of nid.
+    Components that share old names are solved together by an assignment whose profit is how
+    often a component has a name, and one more; those that get none are given new names in the
+    order of nid. Groups of such components, most of them small, are dealt out by a hash, many
+    to a call.
     """
-    counts = names.where("name IS NOT NULL").groupBy("nid", F.col("name").cast("string").alias("name")).agg(F.count("*").alias("n"))
-    free = trivial_names(names).select("nid", F.col("name").cast("string").alias("name"))
-    rest = counts.join(free, "nid", "left_anti")
-    ends = rest.select(F.concat(F.lit("g"), F.col("nid").cast("string")).alias("u"), F.concat(F.lit("n"), "name").alias("v"))
-    groups = connected_components(ends, "u", "v", node="u", component="conflict")
-    marked = rest.withColumn("u", F.concat(F.lit("g"), F.col("nid").cast("string"))).join(groups, "u").select("conflict", "nid", "name", "n")
+    names = names.select("nid", F.col("name").cast("string").alias("name"))
+    counts = staged(names.where("name IS NOT NULL").groupBy("nid", "name").agg(F.count("*").alias("n")), "name-counts")
+    shared = counts.groupBy("name").agg(F.count("*").alias("k"), F.min("nid").alias("first")).where("k > 1").select("name", "first")
+    ties = staged(counts.join(shared, "name").select("nid", "first"), "name-ties")
+    groups = connected_components(ties, "nid", "first", node="nid", component="conflict")
+    marked = staged(counts.join(groups, "nid", "left"), "name-groups")
+    free = marked.where("conflict IS NULL").groupBy("nid").agg(F.min(F.struct((-F.col("n")).alias("k"), "name")).alias("b")).select("nid", F.col("b.name").alias("name"))
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, columns = sorted(set(pdf["nid"])), sorted(set(pdf["name"]))
-        size, total = max(len(rows), len(columns)), int(pdf["n"].sum())
-        at, spot = {x: i for i, x in enumerate(rows)}, {x: j for j, x in enumerate(columns)}
-        profit = [[-2.0 * total if i < len(rows) and j < len(columns) else 1.0 for j in range(size)] for i in range(size)]
-        for nid, name, n in pdf[["nid", "name", "n"]].itertuples(index=False):
-            profit[at[nid]][spot[name]] = float(n + 1)
-        got = kernels.assignment(profit)
-        out = [(nid, columns[j]) for nid, i in at.items() if (j := got[i]) < len(columns) and profit[i][j] > 0]
+        out = []
+        for _, group in pdf.groupby("conflict", sort=False):
+            rows, columns = sorted(set(group["nid"])), sorted(set(group["name"]))
+            at, spot = {x: i for i, x in enumerate(rows)}, {x: j for j, x in enumerate(columns)}
+            profit = [{} for _ in rows]
+            for nid, name, n in group[["nid", "name", "n"]].itertuples(index=False):
+                profit[at[nid]][spot[name]] = n + 1
+            out += [(nid, columns[j]) for nid, j in zip(rows, kernels.sparse_assignment(profit, len(columns)), strict=True) if j is not None]
         return pd.DataFrame(out, columns=["nid", "name"])
 
-    solved = marked.groupBy("conflict").applyInPandas(assign, "nid long, name string")
-    done = free.unionByName(solved)
-    lacking = names.select("nid").distinct().join(done, "nid", "left_anti")
+    conflicted = marked.where("conflict IS NOT NULL").withColumn("b", F.pmod(F.xxhash64("conflict"), F.lit(BATCHES)))
+    solved = conflicted.groupBy("b").applyInPandas(assign, "nid long, name string")
+    done = staged(free.unionByName(solved), "names-done")
+    lacking = staged(names.select("nid").distinct().join(done, "nid", "left_anti"), "names-lacking")
     extra = _numbered(lacking).select("nid", F.concat(F.lit(prefix), F.col("i").cast("string")).alias("name"), F.lit(True).alias("is_extra"))
     return done.withColumn("is_extra", F.lit(False)).unionByName(extra)
 
 
-def _numbered(rows: DataFrame, groups: int = 64) -> DataFrame:
+def _numbered(rows: DataFrame) -> DataFrame:
     """Rows with their place ``i`` in the order of nid, counted in ranges so that none is a task for all."""
-    bounds = sorted(set(rows.stat.approxQuantile("nid", [j / groups for j in range(1, groups)], 0.01)))
-    bucket = sum((F.when(F.col("nid") >= b, 1).otherwise(0) for b in bounds), F.lit(0))
-    rows = rows.withColumn("_b", bucket)
+    ends = rows.agg(F.min("nid").alias("lo"), F.max("nid").alias("hi")).first()
+    low = ends["lo"] or 0
+    width = max(1, -(-((ends["hi"] or 0) - low + 1) // RANGES))
+    rows = rows.withColumn("_b", F.floor((F.col("nid") - low) / width))
     sizes = rows.groupBy("_b").agg(F.count("*").alias("_n"))
     before = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_b").orderBy("nid")) - 1

@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions.codes import INCMP, NEGTV, POSTV, UNREV
 from pairwright.operators import graph, kernels
 
 
+#: Calls of a kernel that small components are dealt out to.
+BATCHES = 4096
+
+
+def batch_of(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(BATCHES))
+
+
 def positive_redundancy(edges: DataFrame, pcc: DataFrame, k: int = 2, relax: bool = True, only_consistent: bool = True) -> DataFrame:
     """(nid, pos_redun): whether each (consistent) component is held together by k edges everywhere.
 
     With ``relax``, a component whose positive and incomparable edges fill the clique is.
-    What degrees decide needs no kernel; each remaining component is one group.
+    What degrees decide needs no kernel; the remaining components are dealt out in batches, and one of
+    them is never split between two.
     """
     summary = graph.pcc_summary(edges, pcc)
     if only_consistent:
@@ -27,11 +36,14 @@ def positive_redundancy(edges: DataFrame, pcc: DataFrame, k: int = 2, relax: boo
     least = ends.groupBy("nid").agg(F.min("d").alias("least"))
     open_ = summary.where("quick IS NULL").join(least, "nid").where(F.col("least") >= k).select("nid")
 
-    def decide(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = list(zip(pdf["aid1"].tolist(), pdf["aid2"].tolist(), strict=True))
-        return pd.DataFrame({"nid": [key[0]], "held": [kernels.connectivity_at_least({n for e in pairs for n in e}, pairs, k)]})
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for nid, own in pdf.groupby("nid", sort=False):
+            pairs = list(zip(own["aid1"].tolist(), own["aid2"].tolist(), strict=True))
+            out.append((nid, kernels.connectivity_at_least({n for e in pairs for n in e}, pairs, k)))
+        return pd.DataFrame(out, columns=["nid", "held"])
 
-    held = inner.join(open_, "nid", "left_semi").groupBy("nid").applyInPandas(decide, "nid long, held boolean")
+    held = inner.join(open_, "nid", "left_semi").withColumn("b", batch_of("nid")).groupBy("b").applyInPandas(decide, "nid long, held boolean")
     return summary.join(held, "nid", "left").select("nid", F.coalesce("quick", "held", F.lit(False)).alias("pos_redun"))
 
 

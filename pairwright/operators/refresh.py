@@ -56,6 +56,11 @@ def stop(reviews: DataFrame, window: int = 20, patience: int = 72, thresh: float
     return rows.withColumn("done", F.col("p_any") < thresh)
 
 
+def predicted(reviews: DataFrame, n_remaining: int, window: int = 20) -> DataFrame:
+    """(n, mu, n_predicted): of so many reviews to come, how many will change something at the present rate."""
+    return ewma(reviews, window).withColumn("n_predicted", F.col("mu") * n_remaining)
+
+
 def blocks(log: DataFrame, state: str, order: str = "seq", by: str | None = None) -> DataFrame:
     """Runs of equal ``state`` in the order of the log: (first, last, n, state), within each ``by``."""
     part = [by] if by else []

@@ -2,47 +2,57 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.codes import POSTV
 from pairwright.operators import graph, kernels
-from pairwright.session import staged
+from pairwright.session import shared_dir
 
 
 def reached(edges: DataFrame, sources: DataFrame, most_steps: int = 1000, directed: bool = False) -> DataFrame:
     """(aid, step, came_from): nodes reached from ``sources`` (aid) along ``edges``, by least steps; of equals the least node before.
 
-    Conditions on edges are filters of ``edges``. Each step joins the frontier only.
+    Conditions on edges are filters of ``edges``. Each step joins the frontier only and writes
+    only what is new. That more than ``most_steps`` steps are needed is an error.
     """
+    spark = edges.sparkSession
     ways = edges.select(F.col("aid1").alias("u"), F.col("aid2").alias("v"))
     if not directed:
         ways = ways.union(ways.select("v", "u"))
-    seen = staged(sources.select("aid", F.lit(0).alias("step"), F.lit(None).cast("long").alias("came_from")).dropDuplicates(["aid"]), "reached")
-    frontier = seen
-    for step in range(1, most_steps + 1):
-        new = frontier.join(ways, frontier.aid == ways.u).groupBy("v").agg(F.min("u").alias("came_from")).select(F.col("v").alias("aid"), F.lit(step).alias("step"), "came_from")
-        frontier = staged(new.join(seen, "aid", "left_anti"), "frontier")
+    folder = f"{shared_dir(spark)}/reached-{uuid.uuid4().hex}"
+    frontier = sources.select("aid", F.lit(0).alias("step"), F.lit(None).cast("long").alias("came_from")).where("aid IS NOT NULL").dropDuplicates(["aid"])
+    schema, before = frontier.schema, []
+    for step in range(most_steps + 2):
+        path = f"{folder}/step-{step}"
+        frontier.write.parquet(path)
+        frontier = spark.read.schema(schema).parquet(path)
         if frontier.isEmpty():
             break
-        seen = staged(seen.unionByName(frontier), "reached")
-    return seen
+        if step > most_steps:
+            raise RuntimeError(f"more than {most_steps} steps")
+        before.append(path)
+        seen = spark.read.schema(schema).parquet(*before)
+        new = frontier.join(ways, frontier.aid == ways.u).groupBy("v").agg(F.min("u").alias("came_from")).select(F.col("v").alias("aid"), F.lit(step + 1).alias("step"), "came_from")
+        frontier = new.join(seen, "aid", "left_anti")
+    return spark.read.schema(schema).parquet(*(before or [path]))
 
 
 def shortest_path(edges: DataFrame, source: int, target: int) -> list[int]:
-    """Nodes from ``source`` to ``target``; empty if there is no way. The path itself is all that is read."""
+    """Nodes from ``source`` to ``target``; empty if there is no way. One join for each step back; only the path comes to the driver."""
     spark = edges.sparkSession
     found = reached(edges, spark.createDataFrame([(source,)], "aid long"))
-    path, at = [], target
-    while True:
-        row = found.where(F.col("aid") == at).first()
-        if row is None:
-            return []
-        path.append(at)
-        if row["came_from"] is None:
-            return path[::-1]
-        at = row["came_from"]
+    end = found.where(F.col("aid") == target).first()
+    if end is None:
+        return []
+    path = [target]
+    while end["came_from"] is not None:
+        path.append(end["came_from"])
+        end = found.where((F.col("step") == end["step"] - 1) & (F.col("aid") == end["came_from"])).first()
+    return path[::-1]
 
 
 def source_nodes(edges: DataFrame) -> DataFrame:

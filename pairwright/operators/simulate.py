@@ -1,4 +1,4 @@
-"""Generated review graphs, simulated rankers and verifiers, and what reviews of them did."""
+"""Generated review graphs, simulated rankers and verifiers, for tests and demonstrations."""
 
 from __future__ import annotations
 
@@ -63,16 +63,3 @@ def cached_probs(pairs: DataFrame, known: DataFrame, verifier: Callable[[DataFra
     columns = ["aid1", "aid2", POSTV, NEGTV, INCMP]
     found = known.join(pairs.select("aid1", "aid2"), ["aid1", "aid2"], "left_semi").select(*columns)
     return found.unionByName(verifier(pairs.join(known, ["aid1", "aid2"], "left_anti")).select(*columns))
-
-
-def review_actions(before: DataFrame, after: DataFrame, changed: DataFrame) -> DataFrame:
-    """(aid1, aid2, decision, action) of reviewed pairs, by components before and after.
-
-    Between components: merge, neg-evidence, incomp-evidence or other-evidence; within one:
-    split, pos-evidence, neg-evidence, incomp-evidence or other-evidence.
-    """
-    was = graph.with_labels(changed, before).select("aid1", "aid2", "decision", (F.col("na") == F.col("nb")).alias("within"))
-    now = graph.with_labels(changed, after).select("aid1", "aid2", (F.col("na") == F.col("nb")).alias("together"))
-    evidence = F.when(F.col("decision") == NEGTV, "neg-evidence").when(F.col("decision") == INCMP, "incomp-evidence").otherwise("other-evidence")
-    action = F.when(~F.col("within") & F.col("together"), "merge").when(F.col("within") & ~F.col("together"), "split").when(F.col("within") & (F.col("decision") == POSTV), "pos-evidence").otherwise(evidence)
-    return was.join(now, ["aid1", "aid2"]).select("aid1", "aid2", "decision", F.when(F.col("within"), "within").otherwise("between").alias("side"), action.alias("action"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.config import Config
 from pairwright.functions.codes import POSTV, UNREV
-from pairwright.operators import graph, priority, redundancy
+from pairwright.operators import graph, priority, redundancy, refresh
+from pairwright.operators.actions import review_actions
 from pairwright.plans.infer import Inference, infer, with_measures
 from pairwright.session import staged
 
@@ -24,7 +25,9 @@ class ReviewLoop:
 
     A pair that the thresholds decide is reviewed automatically; the others go to the oracle,
     up to ``batch`` of the first in the queue at a time. Each batch's reviews replace those
-    of the pairs before; inference follows, and every phase goes on until it proposes nothing.
+    of the pairs before; inference follows, and every phase goes on until it proposes nothing, or
+    the stop criterion ends the ranking phase. A batch (``batch`` rows at most) is numbered in one
+    task.
     """
 
     annots: DataFrame
@@ -34,6 +37,7 @@ class ReviewLoop:
     config: Config = field(default_factory=Config)
     batch: int = 500
     history: list[dict] = field(default_factory=list)
+    log: DataFrame | None = None
 
     def __post_init__(self) -> None:
         self.inference: Inference = infer(self.annots, staged(with_measures(self.edges), "loop-edges"), self.config)
@@ -48,10 +52,21 @@ class ReviewLoop:
         auto = probs.where("auto_decision IS NOT NULL") if self.config.autoreview_enabled and self.inference.summary.where("NOT is_consistent").isEmpty() else probs.limit(0)
         by_auto = auto.select(*KEY, F.col("auto_decision").alias("decision"), F.lit("pretty_sure").alias("confidence"))
         by_oracle = self.oracle(first.join(auto, KEY, "left_anti")).select(*KEY, "decision", "confidence")
-        self.accept(by_auto.unionByName(by_oracle), probs)
+        old = self.inference.pcc
+        reviews = staged(by_auto.withColumn("user_id", F.lit("algo:auto")).unionByName(by_oracle.withColumn("user_id", F.lit("user:oracle"))), "reviews")
+        self.accept(reviews.drop("user_id"), probs)
+        if phase == "ranking":
+            self._remember(reviews, old)
         self.history.append({"phase": phase, "reviews": n})
         return n
 
+    def _remember(self, reviews: DataFrame, old: DataFrame) -> None:
+        """Append reviews to the log, numbered by ranges, and whether each merged or split components."""
+        changed = review_actions(old, self.inference.pcc, reviews).select(*KEY, F.col("action").isin("merge", "split").alias("meaningful"))
+        start = len(self.history) * (self.batch + 1)
+        numbered = reviews.join(changed, KEY).select("user_id", "meaningful", (F.row_number().over(Window.orderBy(*KEY)) + start).cast("long").alias("review_id"))
+        self.log = staged(numbered if self.log is None else self.log.unionByName(numbered), "log")
+
     def accept(self, reviews: DataFrame, probs: DataFrame) -> None:
         """Put reviews in place of what the pairs had, and infer again."""
         reviews = reviews.join(probs.select(*KEY, F.col(POSTV).alias("prob_match")), KEY, "left")
@@ -60,15 +75,23 @@ class ReviewLoop:
         rest = self.inference.edges.join(reviews, KEY, "left_anti")
         self.inference = infer(self.annots, staged(rest.unionByName(reviews, allowMissingColumns=True), "loop-edges"), self.config)
 
-    def _exhaust(self, phase: str, propose: Callable[[], DataFrame], most: int) -> int:
-        total = 0
-        for _ in range(most):
+    def _exhaust(self, phase: str, propose: Callable[[], DataFrame], most: int | None = None, may_stop: bool = False) -> int:
+        """Batches until nothing is proposed, the stop criterion is met (in the ranking phase), or ``most`` are done if that is given."""
+        total, batches = 0, 0
+        while most is None or batches < most:
             n = self.step(phase, propose())
-            total += n
-            if not n:
+            total, batches = total + n, batches + 1
+            if not n or (may_stop and self.finished()):
                 break
         return total
 
+    def finished(self) -> bool:
+        """Whether the manual reviews so far foretell that few more will change anything."""
+        if self.log is None:
+            return False
+        c = self.config
+        return bool(refresh.stop(self.log, c.refresh_window, c.refresh_patience, c.refresh_thresh, c.refresh_method).first()["done"])
+
     def ranking(self) -> DataFrame:
         """Unreviewed edges that no redundancy makes needless."""
         i = self.inference
@@ -92,15 +115,24 @@ class ReviewLoop:
         known = i.edges.where(F.col("decision") != UNREV).select(*KEY)
         return redundancy.negative_augmentation(i.edges, i.pcc, pairs, self.config.redun_neg).join(known, KEY, "left_anti").select(*KEY, F.lit(1.0).alias("priority"))
 
-    def run(self, most: int = 10) -> list[dict]:
-        """Ranking, recovery and redundancy phases, each up to ``most`` batches."""
-        if self.config.ranking_enabled:
-            self._exhaust("ranking", self.ranking, most)
-        self._exhaust("recovery", self.recovery, most)
-        if self.config.redun_enabled and self.config.redun_enforce_pos:
-            self._exhaust("positive", self.positive, most)
-        if self.config.redun_enabled and self.config.redun_enforce_neg:
-            self._exhaust("negative", self.negative, most)
+    def run(self, most: int | None = None) -> list[dict]:
+        """Ranking, recovery and redundancy phases, each until it proposes nothing, and all again while a round reviews something.
+
+        ``algo_max_outer_loops`` bounds the rounds and ``most``, if given, the batches of a phase.
+        """
+        rounds = 0
+        while self.config.algo_max_outer_loops is None or rounds < self.config.algo_max_outer_loops:
+            rounds += 1
+            done = self._exhaust("recovery", self.recovery, most) if rounds > 1 else 0
+            if self.config.ranking_enabled:
+                done += self._exhaust("ranking", self.ranking, most, may_stop=True)
+            done += self._exhaust("recovery", self.recovery, most)
+            if self.config.redun_enabled and self.config.redun_enforce_pos:
+                done += self._exhaust("positive", self.positive, most)
+            if self.config.redun_enabled and self.config.redun_enforce_neg:
+                done += self._exhaust("negative", self.negative, most)
+            if not done or most is not None:
+                break
         return self.history
 
     def status(self, extended: bool = False) -> DataFrame:

@@ -66,6 +66,7 @@ def event_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(
         F.col("event_id").alias("review_id"), F.least("user_id", "k").alias("aid1"), F.greatest("user_id", "k").alias("aid2"), decision[F.col("event_type")].alias("evidence_decision"), F.lit("null").alias("meta_decision"),
         F.expr("CASE WHEN event_id % 4 = 0 THEN 'algo:x' ELSE 'user:' || user_id % 7 END").alias("user_id"), (F.col("event_id") % 11 == 0).alias("meaningful"), F.col("ts").alias("timestamp"),
+        F.expr("CASE WHEN event_id % 5 = 0 THEN array('dark') ELSE array() END").cast("array<string>").alias("tags"),
     )
 
 

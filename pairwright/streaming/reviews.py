@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pairwright.functions.codes import rectified
 from pairwright.operators import graph
 from pairwright.plans.infer import relabelled
-from pairwright.session import shared_dir, staged
+from pairwright.session import shared_dir
 
 LATEST = "aid1 long, aid2 long, review_id long, evidence_decision string, meta_decision string, num_reviews long"
 
@@ -37,45 +37,70 @@ def latest_stream(reviews: DataFrame) -> DataFrame:
 
 
 class ReviewState:
-    """Snapshots of edges and components that micro-batches of reviews bring up to date."""
+    """Snapshots of edges and components that micro-batches of reviews bring up to date.
 
-    def __init__(self, annots: DataFrame):
-        self.annots, self.spark = annots, annots.sparkSession
-        self.edges = self.spark.createDataFrame([], "aid1 long, aid2 long, review_id long, evidence_decision string, meta_decision string, num_reviews long, decision string")
-        self.pcc = annots.select("aid", F.col("aid").alias("nid"))
-        self.batches = 0
+    Each epoch writes its snapshots under its number, and a last file that says it is whole; an
+    epoch that is there already is not applied again, and a new object over the same ``folder``
+    goes on from the last one. Only the last snapshots are read.
+    """
+
+    EDGES = "aid1 long, aid2 long, review_id long, evidence_decision string, meta_decision string, num_reviews long, decision string"
 
-    def apply(self, batch: DataFrame, _epoch: int = 0) -> None:
-        """Fold a batch into the edges, and label again the components that it touches."""
+    def __init__(self, annots: DataFrame, folder: str | None = None):
+        self.annots, self.spark = annots, annots.sparkSession
+        self.folder = folder or f"{shared_dir(self.spark)}/reviews-{uuid.uuid4().hex}"
+        self.epoch = self._last()
+        if self.epoch < 0:
+            self.edges, self.pcc = self.spark.createDataFrame([], self.EDGES), annots.select("aid", F.col("aid").alias("nid"))
+        else:
+            self._read()
+
+    def _paths(self):
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/whole")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _last(self) -> int:
+        files, path = self._paths()
+        names = [x.getPath().getName() for x in files.listStatus(path)] if files.exists(path) else []
+        return max(map(int, names), default=-1)
+
+    def _read(self) -> None:
+        self.edges = self.spark.read.schema(self.EDGES).parquet(f"{self.folder}/edges/{self.epoch}")
+        self.pcc = self.spark.read.parquet(f"{self.folder}/pcc/{self.epoch}")
+
+    def apply(self, batch: DataFrame, epoch: int) -> None:
+        """Fold a batch into the edges, and label again the components that it touches; an epoch counts once."""
+        if epoch <= self.epoch:
+            return
         reviews = graph.canonical(batch)
         news = reviews.groupBy("aid1", "aid2").agg(F.max_by(F.struct("review_id", "evidence_decision", "meta_decision"), "review_id").alias("r"), F.count("*").alias("n"))
         both = self.edges.join(news, ["aid1", "aid2"], "full_outer")
         newer = F.col("r").isNotNull() & (F.coalesce(F.col("review_id"), F.lit(-1)) < F.col("r.review_id"))
         pick = lambda c: F.when(newer, F.col(f"r.{c}")).otherwise(F.col(c)).alias(c)
         edges = both.select("aid1", "aid2", pick("review_id"), pick("evidence_decision"), pick("meta_decision"), (F.coalesce("num_reviews", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("num_reviews"))
-        edges = staged(edges.withColumn("decision", rectified(F.col("evidence_decision"), F.col("meta_decision"))), "edges-state")
-        self.pcc = staged(relabelled(self.pcc, self.edges, edges, news.select("aid1", "aid2"), self.annots), "pcc-state")
-        self.edges = edges
-        self.batches += 1
+        edges.withColumn("decision", rectified(F.col("evidence_decision"), F.col("meta_decision"))).write.mode("overwrite").parquet(f"{self.folder}/edges/{epoch}")
+        edges = self.spark.read.schema(self.EDGES).parquet(f"{self.folder}/edges/{epoch}")
+        pcc = relabelled(self.pcc, self.edges, edges, news.select("aid1", "aid2"), self.annots)
+        pcc.write.mode("overwrite").parquet(f"{self.folder}/pcc/{epoch}")
+        files, path = self._paths()
+        files.mkdirs(self.spark._jvm.org.apache.hadoop.fs.Path(path, str(epoch)))
+        self.epoch = epoch
+        self._read()
 
     def follow(self, stream: DataFrame):
-        """A streaming query that applies each micro-batch of ``stream``."""
-        folder = f"{shared_dir(self.spark)}/query-{uuid.uuid4().hex}"
-        return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", folder).trigger(availableNow=True).start()
+        """A streaming query that applies each micro-batch of ``stream``; its checkpoint lies beside the snapshots."""
+        return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).start()
 
 
-def replay(spark: SparkSession, reviews: DataFrame, annots: DataFrame, files: int = 3) -> ReviewState:
-    """Write a log in some files, in order of review_id, and follow them as a stream, one file at a time."""
+def replay(spark: SparkSession, reviews: DataFrame, annots: DataFrame, batches: int = 3) -> ReviewState:
+    """Write a log in batches, in order of review_id, and follow them as a stream, one batch at a time."""
     folder = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
-    bounds = reviews.stat.approxQuantile("review_id", [i / files for i in range(1, files)], 0.0) if files > 1 else []
-    for lo, hi in zip([None, *bounds], [*bounds, None], strict=True):
-        part = reviews
-        if lo is not None:
-            part = part.where(F.col("review_id") >= lo)
-        if hi is not None:
-            part = part.where(F.col("review_id") < hi)
-        part.coalesce(1).write.mode("append").parquet(folder)
+    ends = reviews.agg(F.min("review_id").alias("lo"), F.max("review_id").alias("hi")).first()
+    lo, hi = ends["lo"] or 0, ends["hi"] or 0
+    width = max(1, -(-(hi - lo + 1) // batches))
     state = ReviewState(annots)
-    stream = spark.readStream.schema(reviews.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    state.follow(stream).awaitTermination()
+    for i in range(batches):
+        reviews.where(F.floor((F.col("review_id") - lo) / width) == i).write.mode("append").parquet(folder)
+        state.follow(spark.readStream.schema(reviews.schema).parquet(folder)).awaitTermination()
     return state

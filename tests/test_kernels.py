@@ -1,4 +1,4 @@
-from itertools import combinations, permutations
+from itertools import combinations, product
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -60,12 +60,27 @@ def test_augmentation_is_feasible(edges, want):
     assert k.augmented([0, 1], [], 1, available=[], partial=True) == []
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.integers(1, 5).flatmap(lambda n: st.lists(st.lists(st.integers(-9, 9), min_size=n, max_size=n), min_size=n, max_size=n)))
-def test_assignment_is_the_most_profitable(profit):
-    got = k.assignment(profit)
-    assert sorted(got) == list(range(len(profit)))
-    assert sum(profit[i][j] for i, j in enumerate(got)) == max(sum(profit[i][p[i]] for i in range(len(profit))) for p in permutations(range(len(profit))))
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 4).flatmap(lambda n: st.lists(st.dictionaries(st.integers(0, n), st.integers(1, 9), max_size=n + 1), min_size=1, max_size=5)))
+def test_sparse_assignment_fills_most_rows_with_most_profit(profit):
+    columns = 5
+    got = k.sparse_assignment(profit, columns)
+    used = [j for j in got if j is not None]
+    assert len(set(used)) == len(used) and all(j is None or j in profit[i] for i, j in enumerate(got))
+    value = lambda choice: (sum(j is not None for j in choice), sum(profit[i][j] for i, j in enumerate(choice) if j is not None))
+    every = [c for c in product(*[[None, *p] for p in profit]) if len({j for j in c if j is not None}) == sum(j is not None for j in c)]
+    assert value(got) == max(map(value, every))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.tuples(st.integers(0, 6), st.integers(0, 6)).filter(lambda e: e[0] < e[1])))
+def test_complement_forest_spans_what_is_open(closed):
+    nodes = range(7)
+    open_ = {e for e in combinations(nodes, 2) if e not in closed}
+    links = k.complement_forest(nodes, closed)
+    assert {(min(e), max(e)) for e in links} <= open_
+    parts = sorted(map(sorted, k.components(nodes, open_)))
+    assert sorted(map(sorted, k.components(nodes, links))) == parts and len(links) == 7 - len(parts)
 
 
 def test_viewpoints():

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from pairwright.config import Config
-from pairwright.operators import graph, metrics, simulate
+from pairwright.operators import actions, graph, metrics, simulate
 from pairwright.plans.infer import infer, with_measures
 from pairwright.plans.loop import ReviewLoop
 
@@ -33,7 +33,7 @@ def test_loop_finds_the_truth(spark):
         return rows.withColumn("truth", F.when(F.col("n1") == F.col("n2"), "POSTV").otherwise("NEGTV"))
 
     loop = ReviewLoop(annots, edges.drop("truth"), lambda p: simulate.simulated_probs(true(p)), lambda p: true(p).select("aid1", "aid2", F.col("truth").alias("decision"), F.lit("absolutely_sure").alias("confidence")), Config(thresholds={"POSTV": 0.9, "NEGTV": 0.9, "INCMP": 0.9}))
-    history = loop.run(most=4)
+    history = loop.run()
     assert {h["phase"] for h in history} >= {"ranking", "recovery", "positive"}
     found = {frozenset(r.m) for r in loop.inference.pcc.groupBy("nid").agg(F.collect_list("aid").alias("m")).collect()}
     assert found == {frozenset(r.m) for r in annots.groupBy("name_label").agg(F.collect_list("aid").alias("m")).collect()}
@@ -44,7 +44,7 @@ def test_loop_finds_the_truth(spark):
 def test_review_actions(spark):
     pcc = lambda groups: spark.createDataFrame([(x, min(g)) for g in groups for x in g], "aid long, nid long")
     changed = spark.createDataFrame([(1, 2, "POSTV"), (3, 4, "NEGTV"), (5, 6, "NEGTV"), (7, 8, "POSTV"), (1, 5, "UNKWN")], "aid1 long, aid2 long, decision string")
-    got = {(r.aid1, r.aid2): (r.side, r.action) for r in simulate.review_actions(pcc([[1], [2], [3, 4], [5], [6], [7, 8]]), pcc([[1, 2], [3], [4], [5], [6], [7, 8]]), changed).collect()}
+    got = {(r.aid1, r.aid2): (r.side, r.action) for r in actions.review_actions(pcc([[1], [2], [3, 4], [5], [6], [7, 8]]), pcc([[1, 2], [3], [4], [5], [6], [7, 8]]), changed).collect()}
     assert got == {(1, 2): ("between", "merge"), (3, 4): ("within", "split"), (5, 6): ("between", "neg-evidence"), (7, 8): ("within", "pos-evidence"), (1, 5): ("between", "other-evidence")}
 
 
