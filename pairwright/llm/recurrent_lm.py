@@ -112,15 +112,27 @@ def initial(v: Vocabulary) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x):
-    return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
+    """In place."""
+    x *= np.float32(0.5)
+    np.tanh(x, out=x)
+    x += np.float32(1)
+    x *= np.float32(0.5)
+    return x
 
 
 def _step(p, symbols, h):
     x, a = p["E"][symbols], h @ p["U"]
-    zr = _sigmoid(x[:, : 2 * UNITS] + a[:, : 2 * UNITS])
+    inner = a[:, 2 * UNITS :]
+    x[:, : 2 * UNITS] += a[:, : 2 * UNITS]
+    zr = _sigmoid(x[:, : 2 * UNITS])
     z, r = zr[:, :UNITS], zr[:, UNITS:]
-    n = np.tanh(x[:, 2 * UNITS :] + r * a[:, 2 * UNITS :])
-    return n + z * (h - n), (z, r, n, a[:, 2 * UNITS :])
+    n = x[:, 2 * UNITS :]
+    n += r * inner
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, (z, r, n, inner)
 
 
 def _log_softmax(logits, at, prob: bool):

@@ -19,6 +19,9 @@ def test_next_and_edited(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = {r.doc_id: r for r in compare_with_edits(docs, samples=16, range_rows=20).collect()}
     order = sorted((d, t or "") for d, t in rows)
+    for n in (1, 7):
+        other = {r.doc_id: r for r in compare_with_edits(docs.repartition(n), samples=16, range_rows=3 * n).collect()}
+        assert other == got
     assert len(got) == len(order)
     sampler = Sampler(16)
     for i, (d, t) in enumerate(order):
@@ -55,3 +58,33 @@ def test_128_samples_unless_told(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (2, "e f g")], "doc_id long, text string")
     for r in compare_with_edits(docs).collect():
         assert len(r.fingerprint) == len(r.edited_fingerprint) == 4 * 128
+
+
+def test_variables_follow_their_laws():
+    from pairwright.llm.fingerprints import variables
+
+    r, c, beta = variables(np.random.default_rng(0).integers(0, 2**63, 20_000, dtype=np.uint64), 16)
+    for x in (r, c):
+        assert abs(x.mean() - 2) < 0.02 and abs(x.var() - 2) < 0.06 and x.min() > 0
+        for q in (1e-4, 0.01, 0.3, 0.9, 0.999):
+            at = float(np.quantile(x, q))
+            assert abs((1 - np.exp(-at) * (1 + at)) / q - 1) < 0.25 if q < 0.01 else abs(1 - np.exp(-at) * (1 + at) - q) < 0.005
+    assert abs(beta.mean() - 0.5) < 0.01 and 0 < beta.min() and beta.max() < 1
+    assert abs(np.corrcoef(r.ravel(), c.ravel())[0, 1]) < 0.01 and abs(np.corrcoef(r.ravel(), beta.ravel())[0, 1]) < 0.01
+
+
+def test_whole_result_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    got = {r.doc_id: r for r in compare_with_edits(docs, range_rows=17).collect()}
+    sampler = Sampler(128)
+    for i, (d, t) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][1]
+        k = len(t) // 4
+        changed = t[: len(t) - k] + after[:k]
+        a, b, c = (sampler.fingerprints([x])[0] for x in (t, after, changed))
+        r = got[d]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(changed.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == ("" if a is None else "".join(f"{x:04x}" for x in a), "" if c is None else "".join(f"{x:04x}" for x in c))
+        assert (r.near_edited, r.near_next) == (likeness(a, c), likeness(a, b))
+        assert abs(r.near_edited - jaccard(t, changed)) < 0.25
