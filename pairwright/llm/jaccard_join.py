@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import WordCache, map_arrow, slices
+from pairwright.llm.common import WordCache, map_arrow, slices, unused
 from pairwright.operators.components import connected_components
 from pairwright.session import staged
 
@@ -40,8 +40,9 @@ CHOICES = (1, 2, 3, 4, 6, 8, 12, 16)
 VERIFY_COST = 0.5
 #: 64-bit words of the bitmap that each posting has of the tokens before it.
 MAP_WORDS = 8
-#: Bits of the filter that tells which documents may have a partner; it may let more through.
-FILTER_BITS = 1 << 24
+#: Bits for each id of the filter that tells which documents may have a partner, and the least and most of all; it may let more through.
+FILTER_BITS_EACH = 16
+FILTER_BITS = 1 << 22, 1 << 27
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -127,7 +128,11 @@ def _may_link(sets: DataFrame) -> DataFrame:
     return reps.withColumn("s", F.xxhash64("sig")).join(counts, "s").where("shared >= need").select("rep", "n")
 
 
-def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
+def filter_bits(n: int) -> int:
+    return min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (FILTER_BITS_EACH * n).bit_length()))
+
+
+def id_filter(ids: DataFrame, column: str, bits: int) -> np.ndarray:
     """A bit for the hash of each id; ``bits`` / 64 numbers at most come to the driver."""
     slot = F.pmod(F.xxhash64(column), F.lit(bits))
     rows = ids.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(s, 64) AS int))")).alias("b")).toPandas()
@@ -294,7 +299,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     sets = staged(_sets(docs, percent, size), "sets")
     named = sets.where("n > 0 AND doc_id IS NOT NULL")
     reps = staged(_may_link(named), "reps")
-    whole = staged(_whole_sets(docs.where("doc_id IS NOT NULL"), id_filter(reps, "rep"), size).where("n > 0"), "whole")
+    whole = staged(_whole_sets(docs.where("doc_id IS NOT NULL"), id_filter(reps, "rep", filter_bits(reps.count())), size).where("n > 0"), "whole")
     postings = staged(_postings(whole, percent), "postings")
     starred = staged(_verified(_pivots(postings), whole, percent), "links")
     labels = connected_components(starred, "x", "y", node="id", component="c")
@@ -305,24 +310,27 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents whose group has a lesser id; all other rows stay, with all columns.
+    """``docs`` without the documents whose group has a lesser id; all other rows stay, with all columns, whatever their names.
 
-    Only rows that a filter of bounded size marks are shuffled to be looked up.
+    Rows with one id are one document and stay or go together; null ids stay, as do texts
+    without words. An empty table stays empty. Only rows that a filter of bounded size marks are
+    shuffled to be looked up.
     """
     groups = near_duplicates(docs, percent, size, id_col, text_col)
-    gone = staged(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    words = id_filter(gone, "_gone")
+    slot, lost = unused("slot", docs), unused("gone", docs)
+    gone = staged(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(lost)).distinct(), "gone")
+    words = id_filter(gone, lost, filter_bits(gone.count()))
     key = F.xxhash64(F.col(id_col).cast("long"))
 
     def task():
         def work(batch: pa.RecordBatch):
-            s = np.asarray(batch["_slot"], dtype=np.int64)
-            yield pa.Table.from_batches([batch]).set_column(batch.schema.get_field_index("_slot"), "_slot", pa.array((words[s >> 6] >> (s & 63)) & 1))
+            s = np.asarray(batch[slot], dtype=np.int64)
+            yield pa.Table.from_batches([batch]).set_column(batch.schema.get_field_index(slot), slot, pa.array((words[s >> 6] >> (s & 63)) & 1))
 
         return work
 
-    marked = docs.withColumn("_slot", F.pmod(key, F.lit(len(words) * 64)))
+    marked = docs.withColumn(slot, F.pmod(key, F.lit(len(words) * 64)))
     marked = map_arrow(marked, task, marked.schema)
-    sure = marked.where("_slot = 0").drop("_slot")
-    asked = marked.where("_slot = 1").drop("_slot")
-    return sure.unionByName(asked.join(gone, asked[id_col].cast("long") == gone["_gone"], "left_anti"))
+    sure = marked.where(F.col(slot) == 0).drop(slot)
+    asked = marked.where(F.col(slot) == 1).drop(slot)
+    return sure.unionByName(asked.join(gone, asked[id_col].cast("long") == gone[lost], "left_anti"))

@@ -67,12 +67,28 @@ class TokenTree:
     """A document's text in leaves, with the segment tree of their counts."""
 
     def __init__(self, text: str, bpe: ByteBpe, leaf_chunks: int = LEAF_CHUNKS):
-        self.bpe, self.encoded = bpe, 0
-        cuts = [0, *(m.start() for i, m in enumerate(CUT.finditer(text), 1) if i % leaf_chunks == 0), len(text)]
-        self.leaves = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        self.bpe, self.leaf_chunks, self.encoded = bpe, leaf_chunks, 0
+        self.leaves = self._cut(text)
         self.tree = SegmentTree(list(map(len, self.leaves)), [self.count(x) for x in self.leaves])
         self.built, self.encoded = self.tree.total[1], 0
 
+    @classmethod
+    def stored(cls, leaves: list[str], tokens: list[int], bpe: ByteBpe, leaf_chunks: int = LEAF_CHUNKS) -> TokenTree:
+        """The tree of leaves that were counted before; nothing is encoded."""
+        tree = cls("", bpe, leaf_chunks)
+        tree.leaves, tree.tree = list(leaves), SegmentTree(list(map(len, leaves)), list(tokens))
+        tree.built = tree.tree.total[1]
+        return tree
+
+    def kept(self) -> tuple[list[str], list[int]]:
+        """Leaves that hold text, and their tokens."""
+        rows = [(x, int(n)) for x, n in zip(self.leaves, self.tree.sums[self.tree.size :, 1], strict=False) if x]
+        return [x for x, _ in rows], [n for _, n in rows]
+
+    def _cut(self, text: str) -> list[str]:
+        cuts = [0, *(m.start() for i, m in enumerate(CUT.finditer(text), 1) if i % self.leaf_chunks == 0), len(text)]
+        return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def count(self, text: str) -> int:
         """Tokens of a text; a leaf that begins with its space is encoded with it."""
         self.encoded += len(text)
@@ -94,10 +110,20 @@ class TokenTree:
             text, first, left = self.leaves[left] + text, left, left - 1
         while right < len(self.leaves) and not (self.leaves[right] and _cut_between(text, self.leaves[right])):
             text, last, right = text + self.leaves[right], right, right + 1
-        self.leaves[first : last + 1] = [text, *[""] * (last - first)]
-        self.tree.put(first, len(text), self.count(text))
-        for i in range(first + 1, last + 1):
-            self.tree.put(i, 0, 0)
+        # A leaf that has grown beyond twice its size is cut again, so that later edits stay cheap.
+        parts = self._cut(text)
+        if len(parts) == 2:
+            parts = [text]
+        if len(parts) > last + 1 - first:
+            chars, tokens = self.tree.sums[self.tree.size : self.tree.size + len(self.leaves)].T.tolist()
+            for old, new in ((self.leaves, parts), (chars, map(len, parts)), (tokens, map(self.count, parts))):
+                old[first : last + 1] = list(new)
+            self.tree = SegmentTree(chars, tokens)
+            return
+        parts += [""] * (last + 1 - first - len(parts))
+        self.leaves[first : last + 1] = parts
+        for i, part in enumerate(parts, first):
+            self.tree.put(i, len(part), self.count(part) if part else 0)
 
     def text(self) -> str:
         return "".join(self.leaves)
@@ -146,3 +172,68 @@ def with_edits(docs: DataFrame, log: DataFrame, id_col: str = "doc_id", seq_col:
     lists = log.groupBy(F.col(id_col).alias("_edited")).agg(F.sort_array(F.collect_list(one)).alias("_log"))
     edits = F.transform("_log", lambda e: F.struct(e["pos"].alias("pos"), e["n_del"].alias("n_del"), e["ins"].alias("ins")))
     return docs.join(lists, docs[id_col] == lists["_edited"], "left").select(*[docs[c] for c in docs.columns if c != "edits"], edits.alias("edits"))
+
+
+#: Documents that a task works on at once.
+TREES_AT_ONCE = 64
+TREES = "doc_id long, leaves array<string>, tokens array<int>"
+
+
+def _tree_rows(rows: DataFrame, make, tokenizer_path: str | None, leaf_chunks: int, schema: str) -> DataFrame:
+    path = tokenizer_path or default_path()
+
+    def task():
+        bpe = ByteBpe(path)
+
+        def work(batch: pa.RecordBatch):
+            for part in (batch.slice(i, TREES_AT_ONCE) for i in range(0, batch.num_rows, TREES_AT_ONCE)):
+                done = [make(bpe, leaf_chunks, *x) for x in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+                bpe.first.trim()
+                bpe.rest.trim()
+                yield pa.table(list(map(list, zip(*done, strict=True))), names=[c.split()[0] for c in schema.split(", ")])
+
+        return work
+
+    return map_arrow(rows, task, schema)
+
+
+def build_trees(docs: DataFrame, tokenizer_path: str | None = None, leaf_chunks: int = LEAF_CHUNKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """TREES of all documents, to be written as a table: each text in leaves, with the tokens of each leaf.
+
+    A null or empty text has no leaves. This encodes every text once; ``edited_trees`` then
+    reads only what edits touch. Repeated rows have a tree each.
+    """
+
+    def make(bpe, chunks, doc_id, text):
+        return doc_id, *TokenTree(text or "", bpe, chunks).kept()
+
+    return _tree_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), make, tokenizer_path, leaf_chunks, TREES)
+
+
+def edited_trees(trees: DataFrame, log: DataFrame, tokenizer_path: str | None = None, leaf_chunks: int = LEAF_CHUNKS, seq_col: str = "seq") -> DataFrame:
+    """TREES and n_chars_encoded of the documents that a log of (doc_id, seq, pos, n_del, ins) edits, and of no others.
+
+    Only leaves that an edit touches are encoded again. An edit of an unknown document is left
+    out; rows of one id are all edited.
+    """
+
+    def make(bpe, chunks, doc_id, leaves, tokens, edits):
+        tree = TokenTree.stored(leaves or [], tokens or [], bpe, chunks)
+        for e in edits:
+            tree.edit(e["pos"] or 0, e["n_del"] or 0, e["ins"] or "")
+        return doc_id, *tree.kept(), tree.encoded
+
+    touched = trees.select("doc_id", "leaves", "tokens").join(log.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = with_edits(touched, log, "doc_id", seq_col).where("edits IS NOT NULL")
+    return _tree_rows(rows.select("doc_id", "leaves", "tokens", F.col("edits").cast(EDITS)), make, tokenizer_path, leaf_chunks, TREES + ", n_chars_encoded long")
+
+
+def merged_trees(trees: DataFrame, changed: DataFrame) -> DataFrame:
+    """``trees`` with the rows of ``changed`` in place of those of the same documents."""
+    return trees.select("doc_id", "leaves", "tokens").join(changed.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(changed.select("doc_id", "leaves", "tokens"))
+
+
+def tree_counts(trees: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, n_chars) from stored trees, without encoding."""
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+    return trees.select("doc_id", total(F.col("tokens")).alias("n_tokens"), total(F.transform("leaves", lambda x: F.length(x))).alias("n_chars"))

@@ -125,3 +125,19 @@ def test_maps_bound_shared_tokens():
         for i, j in rng.integers(0, 120, (30, 2)):
             common = np.bitwise_count(mx[i].view(np.uint64) & my[j].view(np.uint64)).sum() + min(ex[i], ey[j])
             assert len(set(x[:i]) & set(y[:j])) <= common
+
+
+def test_columns_with_clashing_names_stay(spark):
+    from pairwright.llm.jaccard_join import keep_one_of_each
+
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, text, 5, "a", 1), (2, text, 6, "b", 2), (3, "other words", 7, "c", 3), (None, text, 8, "d", 4)], "doc_id long, text string, slot int, gone string, _slot int")
+    got = keep_one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.slot, r.gone, r._slot) for r in got.collect()) == [(5, "a", 1), (7, "c", 3), (8, "d", 4)]
+
+
+def test_very_long_text(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:55_000])), (3, "w1 w2")], "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()} == {1: (59_996, 1), 2: (54_996, 1), 3: (1, 3)}

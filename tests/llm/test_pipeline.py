@@ -36,3 +36,20 @@ def test_every_stage_against_plain_code(spark):
         want = {r.doc_id: r for r in rows}
         docs = out
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).drop("sequence_id", "offset").collect())) == sorted(tuple(r)[:5] for r in rows)
+
+
+def test_odd_rows_through_every_stage(spark, tmp_path):
+    prose = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars BETWEEN 900 AND 3000").limit(20).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, "s", 1) for r in prose]
+    rows += [rows[0], rows[0], (None, prose[1].text, None, None, None, None, None), (10**12, None, None, None, None, None, 2), (10**12 + 1, "", "en", None, 0, "", 3), (10**12 + 2, prose[2].text * 40, prose[2].lang, None, 1, "long", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, slot string, gone int")
+    for table in (docs, docs.limit(0)):
+        at = table
+        for name, stage in corpus_pipeline.STAGES:
+            out = corpus_pipeline.staged(stage(spark, at, ""), "odd")
+            if name != "best-fit packing":
+                assert out.columns == docs.columns
+                at = out
+        assert (out.count() > 0) == (table is docs)
+    kept = {r.doc_id for r in at.collect()}
+    assert at.limit(0).columns == docs.columns and kept == set()

@@ -41,3 +41,37 @@ def test_bands_reject_odd_text_and_keep_prose(spark):
     noise = " ".join("%%&& #$ zq" if i % 2 else "!!" for i in range(120))
     docs = spark.createDataFrame([(1, prose + more, "en"), (2, noise, "en")], "doc_id long, text string, lang string")
     assert {r.doc_id: r.kept for r in quality_metrics(docs).collect()} == {1: True, 2: False}
+
+
+def test_own_figures_equal_brute_force(spark, sf):
+    import base64
+    import math
+
+    import public_tokenizers as p
+    import sentencepiece
+    import tiktoken
+
+    from pairwright.llm.quality import BANDS, ENTROPY_TOKENS
+
+    model = sentencepiece.SentencePieceProcessor(model_file=p.path("piece_bpe_32k.model"))
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(p.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    multi = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    for r in quality_metrics(docs).collect():
+        words = WORD.findall(rows[r.doc_id].text or "")
+        pieces = [i for w in words for i in model.encode(w)]
+        n, m = len(pieces), sum(len(multi.encode_ordinary(w)) for w in words)
+        counts = Counter(pieces)
+        entropy = -sum(c / n * math.log2(c / n) for c in counts.values()) if n else 0.0
+        share = sum(map(model.is_byte, pieces)) / n if n else 0.0
+        assert (r.n_tokens, r.n_tokens_multi) == (n, m)
+        assert abs(r.entropy - entropy) < 1e-9 and abs(r.byte_share - share) < 1e-12
+        chars = sum(map(len, words))
+        one, two = (chars / n, chars / m) if n else (0.0, 0.0)
+        assert abs(r.chars_per_token - one) < 1e-12 and abs(r.chars_per_token_multi - two) < 1e-12
+        if rows[r.doc_id].lang in BANDS:
+            assert r.band == rows[r.doc_id].lang
+        b = BANDS[r.band]
+        good = b.low <= one <= b.high and b.multi_low <= two <= b.multi_high and share <= b.bytes_most and (n < ENTROPY_TOKENS or entropy >= b.least_entropy(n))
+        assert r.kept == (good and not plain(rows[r.doc_id].text)[-1])

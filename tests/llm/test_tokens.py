@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 from pairwright.llm.byte_bpe import ByteBpe
 from pairwright.llm.packing import best_fit, lower_bound, pack, plan, reduced
 from pairwright.llm.piece_transducer import PieceTransducer, decode_pieces, encode_pieces
-from pairwright.llm.token_counts import TokenTree, count_tokens, with_edits
+from pairwright.llm.token_counts import TokenTree, build_trees, count_tokens, edited_trees, merged_trees, tree_counts, with_edits
 
 PLAIN = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 PIECES = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
@@ -113,3 +114,41 @@ def test_plan_is_near_the_bound_and_reduction_loses_nothing(counts):
     total = sum(n for _, n in [*fixed, *best_fit(rest, capacity)])
     assert total == plan(counts, capacity)["sequences"][0]
     assert lower_bound(counts, capacity) <= total <= lower_bound(counts, capacity) * 1.5 + 1
+
+
+def test_stored_trees_follow_a_log(spark):
+    rng = random.Random(11)
+    texts = {i: "".join(rng.choice(["word ", "a ", " ", "\n", "x1", ". ", "é", "longer words here "]) for _ in range(rng.randrange(0, 400))) for i in range(40)}
+    docs = spark.createDataFrame([(i, t, 0) for i, t in texts.items()] + [(90, None, 0)], "doc_id long, text string, leaves int")
+    trees = build_trees(docs, leaf_chunks=4)
+    for step in range(3):
+        edits = [(rng.randrange(0, 10), s, rng.randrange(0, 900), rng.randrange(0, 60), "".join(rng.choice(["new ", "x", " ", "\n"]) for _ in range(rng.randrange(0, 80)))) for s in range(25)] + [(777, 0, 0, 0, "nobody")]
+        for d, _, pos, n, ins in edits:
+            if d in texts:
+                t = texts[d]
+                pos = min(pos, len(t))
+                texts[d] = t[:pos] + ins + t[pos + n :]
+        log = spark.createDataFrame(edits, "doc_id long, seq int, pos int, n_del int, ins string")
+        changed = edited_trees(trees, log, leaf_chunks=4)
+        rows = changed.collect()
+        assert {r.doc_id for r in rows} == {e[0] for e in edits} & set(texts)
+        # No leaf outgrows twice its chunks by much, however often it is edited.
+        assert all(x.count(" ") < 200 for r in rows for x in r.leaves)
+        trees = spark.createDataFrame(merged_trees(trees, changed).collect(), "doc_id long, leaves array<string>, tokens array<int>")
+        got = {r.doc_id: (r.n_tokens, r.n_chars) for r in tree_counts(trees).collect()}
+        assert got == {i: (len(ids(t)) // 4, len(t)) for i, t in texts.items()} | {90: (0, 0)}
+    assert build_trees(docs.limit(0)).count() == 0
+
+
+def test_query_equals_brute_force(spark, sf):
+    from pairwright.llm.queries import op1_token_counts
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in op1_token_counts(spark, sf).collect():
+        t = texts[r.doc_id]
+        n = len(t)
+        new = t
+        for pos, cut, ins in ((n // 3, 7, f"edit {r.doc_id}"), (2 * n // 3, 0, " words that were not there\nbefore"), (n // 2, 1, ""), (n + 100, 0, " the end.")):
+            pos = min(pos, len(new))
+            new = new[:pos] + ins + new[pos + cut :]
+        assert (r.n_tokens, r.n_tokens_edited, r.n_chars_edited, r.edited_crc32) == (len(ids(t)) // 4, len(ids(new)) // 4, len(new), zlib.crc32(new.encode()))
