@@ -85,13 +85,39 @@ class _Lengths:
                 return got[0] + got[1]
         return 1 << 60
 
+    def least(self, n: int, without: int) -> int:
+        """The least sum of ``n`` pieces, once one piece of ``without`` is gone."""
+        total = 0
+        for x in self.order:
+            take = min(n, self.count[x] - (x == without))
+            total, n = total + take * x, n - take
+            if not n:
+                return total
+        return 1 << 60
+
+    def greatest_pair(self, room: int, without: int) -> int:
+        """The greatest sum of two pieces up to ``room``, once one piece of ``without`` is gone."""
+        have = {x: n for x in self.order if (n := self.count[x] - (x == without))}
+        lengths = list(have)
+        lo, hi, best = 0, len(lengths) - 1, 0
+        while lo <= hi:
+            a, b = lengths[lo], lengths[hi]
+            if a + b > room:
+                hi -= 1
+                continue
+            if lo < hi or have[a] > 1:
+                best = max(best, a + b)
+            lo += 1
+        return best
+
 
 def reduced(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
     """Sets fixed by dominance, each with how often, and the counts that remain.
 
     For the largest piece j, a set {j} or {j, k} with k the largest that fits is fixed if every
     other set that fits beside j can be exchanged for it: nothing fits, k fills the sequence,
-    or no two pieces fit together. Then the next smaller length is tried, and all again until
+    no two pieces fit together, or no three do and no two that fit are more than k, so that
+    they find room where k was. Then the next smaller length is tried, and all again until
     nothing changes.
     """
     left, fixed, changed = _Lengths(counts), [], True
@@ -105,7 +131,7 @@ def reduced(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int
                     fixed.append(((j,), left.count[j]))
                     left.take(j, left.count[j])
                     changed = True
-                elif k == room or left.least_pair(j) > room:
+                elif k == room or left.least_pair(j) > room or (left.least(3, j) > room and left.greatest_pair(room, j) <= k):
                     n = left.count[j] // 2 if k == j else min(left.count[j], left.count[k])
                     fixed.append(((j, k), n))
                     left.take(j, n)

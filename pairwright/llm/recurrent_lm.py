@@ -121,12 +121,15 @@ def _sigmoid(x):
 
 
 def _step(p, symbols, h):
-    x, a = p["E"][symbols], h @ p["U"]
-    inner = a[:, 2 * UNITS :]
-    x[:, : 2 * UNITS] += a[:, : 2 * UNITS]
-    zr = _sigmoid(x[:, : 2 * UNITS])
-    z, r = zr[:, :UNITS], zr[:, UNITS:]
-    n = x[:, 2 * UNITS :]
+    """States (units x lanes) after reading a symbol in each lane, and what the way back needs."""
+    x = np.ascontiguousarray(p["E"][symbols].T)
+    a = p["U"].T @ h
+    inner = a[2 * UNITS :]
+    zr = x[: 2 * UNITS]
+    zr += a[: 2 * UNITS]
+    _sigmoid(zr)
+    z, r = zr[:UNITS], zr[UNITS:]
+    n = x[2 * UNITS :]
     n += r * inner
     np.tanh(n, out=n)
     new = h - n
@@ -234,13 +237,13 @@ def score(p: dict, texts: list[np.ndarray], lanes: int = SCORE_LANES, size: int
         return np.zeros(0)
     layout = Layout.of(texts, lanes)
     logs = np.zeros(layout.symbols.shape, np.float32)
-    h = np.zeros((len(layout.loads), UNITS), np.float32)
+    h = np.zeros((UNITS, len(layout.loads)), np.float32)
     for s, going, x, y in layout.windows(size):
         hs = []
         for t, g in enumerate(going):
-            h, _ = _step(p, x[t, :g], _carried(h[:g], x[t, :g]))
+            h, _ = _step(p, x[t, :g], _carried(h[:, :g], x[t, :g]))
             hs.append(h)
-        got, _ = _outputs(p, np.concatenate(hs), np.concatenate([y[t, :g] for t, g in enumerate(going)]))
+        got, _ = _outputs(p, _by_token(hs), np.concatenate([y[t, :g] for t, g in enumerate(going)]))
         at = 0
         for t, g in enumerate(going):
             logs[:g, s + t] = got[at : at + g]
@@ -248,49 +251,54 @@ def score(p: dict, texts: list[np.ndarray], lanes: int = SCORE_LANES, size: int
     return np.array([logs[i, a : a + len(x)].sum(dtype=np.float64) for x, i, a in zip(texts, layout.lane.tolist(), layout.start.tolist(), strict=True)])
 
 
+def _by_token(states: list[np.ndarray]) -> np.ndarray:
+    """States of some steps (units x lanes each) as rows of tokens."""
+    return np.ascontiguousarray(np.concatenate(states, axis=1).T)
+
+
 def _carried(h: np.ndarray, x: np.ndarray) -> np.ndarray:
     """States as the next step sees them: none is carried from one text of a lane to the next."""
     first = x == 0
     if first.any():
         h = h.copy()
-        h[first] = 0
+        h[:, first] = 0
     return h
 
 
 def gradients(p: dict, h: np.ndarray, going: list[int], x: np.ndarray, y: np.ndarray):
-    """(log-probability, gradients of its negative, state after the window), back through the window only."""
+    """(log-probability, gradients of its negative, states after the window), back through the window only."""
     grads = {k: np.zeros_like(v) for k, v in p.items() if k != "E"}
     kept, hs = [], []
     for t, g in enumerate(going):
-        before = _carried(h[:g], x[t, :g])
+        before = _carried(h[:, :g], x[t, :g])
         h, inner = _step(p, x[t, :g], before)
         kept.append((before, *inner))
         hs.append(h)
     flat = np.concatenate([y[t, :g] for t, g in enumerate(going)])
-    got, d_out = _outputs(p, np.concatenate(hs), flat, grads)
+    got, d_out = _outputs(p, _by_token(hs), flat, grads)
+    d_out = np.ascontiguousarray(d_out.T)
     ends = np.cumsum(going)
-    dx, rows = np.empty((int(ends[-1]), 3 * UNITS), np.float32), np.empty((int(ends[-1]), 3 * UNITS), np.float32)
-    back, carried = np.ascontiguousarray(p["U"].T), np.zeros((going[0], UNITS), np.float32)
+    dx, rows, carried = np.empty((3 * UNITS, int(ends[-1])), d_out.dtype), [], np.zeros((UNITS, going[0]), d_out.dtype)
     for t in range(len(going) - 1, -1, -1):
         g = going[t]
         own = slice(int(ends[t]) - g, int(ends[t]))
         before, z, r, n, a = kept[t]
-        dh = carried[:g] + d_out[own]
+        dh = carried[:, :g] + d_out[:, own]
         keep = 1 - z
         dn = dh * keep * (1 - n * n)
         dz = dh * (before - n) * z * keep
         dr = dn * a * r * (1 - r)
-        dx[own, :UNITS], dx[own, UNITS : 2 * UNITS], dx[own, 2 * UNITS :] = dz, dr, dn
-        rows[own, : 2 * UNITS], rows[own, 2 * UNITS :] = dx[own, : 2 * UNITS], dn * r
+        dx[:UNITS, own], dx[UNITS : 2 * UNITS, own], dx[2 * UNITS :, own] = dz, dr, dn
+        rows.append(np.concatenate([dz, dr, dn * r]))
         dh *= z
-        dh += rows[own] @ back
-        dh[x[t, :g] == 0] = 0
-        carried[:g] = dh
-    grads["U"] += np.concatenate([k[0] for k in kept]).T @ rows
+        dh += p["U"] @ rows[-1]
+        dh[:, x[t, :g] == 0] = 0
+        carried[:, :g] = dh
+    grads["U"] += np.concatenate([k[0] for k in kept], axis=1) @ np.concatenate(rows[::-1], axis=1).T
     read = np.concatenate([x[t, :g] for t, g in enumerate(going)])
     order = np.argsort(read.astype(np.int16), kind="stable")
     found, starts = np.unique(read[order], return_index=True)
-    grads["E"] = found, np.add.reduceat(dx[order], starts, axis=0)
+    grads["E"] = found, np.add.reduceat(np.ascontiguousarray(dx.T)[order], starts, axis=0)
     return got.sum(), grads, h
 
 
@@ -309,7 +317,7 @@ class Trainer:
     def learn(self, texts: list[np.ndarray]) -> None:
         parts = [t[i : i + STRETCH] for t in texts for i in range(0, len(t), STRETCH)]
         layout = Layout.of(parts, min(TRAIN_LANES, max(8, sum(map(len, parts)) // (LEAST_STEPS * WINDOW))))
-        h = np.zeros((len(layout.loads), UNITS), np.float32)
+        h = np.zeros((UNITS, len(layout.loads)), np.float32)
         for _, going, x, y in layout.windows(WINDOW):
             _, grads, h = gradients(self.p, h, going, x, y)
             n = sum(going)

@@ -21,7 +21,7 @@ def test_gradients_equal_differences():
     p = {k: x.astype(np.float64) for k, x in lm.initial(v).items()}
     texts = [np.append(rng.integers(1, lm.HEAD + lm.TAIL_CLASSES, n), 0) for n in (7, 5, 2)]
     _, going, x, y = next(lm.Layout.of(texts, 3).windows(8))
-    h = rng.normal(size=(len(x[0]), lm.UNITS))
+    h = rng.normal(size=(lm.UNITS, len(x[0])))
     _, grads, _ = lm.gradients(p, h, going, x, y)
     full = {k: g for k, g in grads.items() if k != "E"} | {"E": np.zeros_like(p["E"])}
     full["E"][grads["E"][0]] = grads["E"][1]

@@ -152,3 +152,33 @@ def test_query_equals_brute_force(spark, sf):
             pos = min(pos, len(new))
             new = new[:pos] + ins + new[pos + cut :]
         assert (r.n_tokens, r.n_tokens_edited, r.n_chars_edited, r.edited_crc32) == (len(ids(t)) // 4, len(ids(new)) // 4, len(new), zlib.crc32(new.encode()))
+
+
+def optimum(pieces, capacity):
+    """The fewest sequences, by trying all."""
+    best = len(pieces)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for r in sorted(set(rooms)):
+            if r >= pieces[i]:
+                rest = list(rooms)
+                rest.remove(r)
+                place(i + 1, [*rest, r - pieces[i]])
+        place(i + 1, [*rooms, capacity - pieces[i]])
+
+    place(0, [])
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=8))
+def test_fixed_sets_cost_no_sequence(pieces):
+    fixed, rest = reduced(Counter(pieces), 20)
+    left = sorted((x for x, n in rest.items() for _ in range(n)), reverse=True)
+    assert sum(n for _, n in fixed) + (optimum(left, 20) if left else 0) == optimum(sorted(pieces, reverse=True), 20)
