@@ -13,12 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder of this application.
 
-    It is the one that ``spark.checkpoint.dir`` names. Only where the cluster names none (local
-    tests) is a new temporary folder set.
+    It is the one that ``spark.checkpoint.dir`` names. Only a local session that names none
+    (tests) gets a new temporary folder; on a cluster that is an error, as machines do not share
+    such folders.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pairwright-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pairwright-"))
     return sc.getCheckpointDir()
 
 
