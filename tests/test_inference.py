@@ -296,6 +296,18 @@ def test_stateful_stream(spark, tmp_path):
     assert got == {(0, 5): (9, 4), (1, 5): (10, 4), (2, 5): (11, 4)}
 
 
+def test_state_goes_on_after_a_restart(spark, tmp_path):
+    annots = spark.createDataFrame([(i,) for i in range(5)], "aid long")
+    log = spark.createDataFrame([(1, 0, 1, "POSTV", "null"), (2, 1, 2, "POSTV", "null"), (3, 0, 1, "NEGTV", "null")], LOG)
+    first = ReviewState(annots, str(tmp_path / "state"))
+    first.apply(log.where("review_id < 3"), 0)
+    again = ReviewState(annots, str(tmp_path / "state"))
+    again.apply(log.where("review_id < 3"), 0)
+    again.apply(log.where("review_id = 3"), 1)
+    assert sorted((r.aid1, r.aid2, r.decision, r.num_reviews) for r in again.edges.collect()) == [(0, 1, "NEGTV", 2), (1, 2, "POSTV", 1)]
+    assert sorted(map(tuple, again.pcc.collect())) == [(0, 0), (1, 1), (2, 1), (3, 3), (4, 4)]
+
+
 def test_config():
     c = Config().with_params(**{"redun.pos": 3})
     assert c.subparams("redun") == {"enabled": True, "pos": 3, "neg": 2, "enforce_pos": True, "enforce_neg": True, "neg_only_auto": True}
