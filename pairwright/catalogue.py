@@ -10,6 +10,7 @@ from pairwright.functions.codes import INCMP, NEGTV, POSTV, UNREV
 from pairwright.operators import actions, candidates, delta, feedback, graph, metrics, priority, recovery, rectify, redundancy, refresh, search, truth
 from pairwright.operators.components import connected_components
 from pairwright.sources import fixtures as fx
+from pairwright.sources import tables
 from pairwright.streaming.reviews import replay
 
 QUERIES: dict = {}
@@ -206,7 +207,10 @@ def name_group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Redundancy, errors, candidates --------------------------------------------------------
 
 
-@query(on_pcc("""SELECT m.nid1, m.nid2 FROM meta m JOIN sizes a ON m.nid1 = a.nid JOIN sizes b ON m.nid2 = b.nid WHERE m.nid1 < m.nid2 AND m.nid1 NOT IN (FROM bad) AND (weight >= 2 OR weight = a.n_nodes OR weight = b.n_nodes)"""))
+_APART = """SELECT m.nid1, m.nid2 FROM meta m JOIN sizes a ON m.nid1 = a.nid JOIN sizes b ON m.nid2 = b.nid WHERE m.nid1 < m.nid2 AND m.nid1 NOT IN (FROM bad) AND (weight >= 2 OR weight = a.n_nodes OR weight = b.n_nodes)"""
+
+
+@query(on_pcc(_APART))
 def neg_redundant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redundancy.negative_redundancy(*_state(spark, sf_dir))
 
@@ -216,11 +220,15 @@ def non_neg_redundant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redundancy.non_redundant_pairs(*_state(spark, sf_dir))
 
 
-@query(on_pcc("""SELECT s.nid, (n_pos + n_incmp_inside = n_nodes * (n_nodes - 1) / 2) OR (n_nodes >= 3 AND s.nid NOT IN (SELECT nid FROM bridged)) AS pos_redun FROM summary s""", f""",
+_HELD = """SELECT s.nid, (n_pos + n_incmp_inside = n_nodes * (n_nodes - 1) / 2) OR (n_nodes >= 3 AND s.nid NOT IN (SELECT nid FROM bridged)) AS pos_redun FROM summary s"""
+_BRIDGED = f""",
 summary AS MATERIALIZED (SELECT * FROM ({_SUMMARY}) WHERE is_consistent),
 inner_edges AS MATERIALIZED (SELECT aid1, aid2, nid1 AS nid FROM labelled WHERE decision = 'POSTV' AND nid1 IN (SELECT nid FROM summary WHERE n_nodes >= 3)),
 walk(e1, e2, x) AS (SELECT aid1, aid2, aid1 FROM inner_edges UNION SELECT w.e1, w.e2, s.v FROM walk w JOIN sym s ON s.u = w.x WHERE NOT (least(s.u, s.v) = w.e1 AND greatest(s.u, s.v) = w.e2)),
-bridged AS MATERIALIZED (SELECT DISTINCT nid FROM inner_edges i WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.e1 = i.aid1 AND w.e2 = i.aid2 AND w.x = i.aid2))"""))
+bridged AS MATERIALIZED (SELECT DISTINCT nid FROM inner_edges i WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.e1 = i.aid1 AND w.e2 = i.aid2 AND w.x = i.aid2))"""
+
+
+@query(on_pcc(_HELD, _BRIDGED))
 def pos_redundant_k2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redundancy.positive_redundancy(*_state(spark, sf_dir), k=2)
 
@@ -664,3 +672,154 @@ def pair_connection_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 def refresh_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of 1000 reviews to come are foretold to change something."""
     return refresh.predicted(fx.event_reviews(spark, sf_dir), 1000).select("n", F.round("n_predicted", 6).alias("n_predicted"))
+
+
+# Parts of the graph, tables of reviews, the queue ----------------------------------------
+
+
+def _with_status(spark, sf_dir, status):
+    return fx.table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == status).select(F.col("o_orderkey").alias("aid"))
+
+
+_STATUSES = ", st AS MATERIALIZED (SELECT o_orderkey AS aid, o_orderstatus AS s FROM orders), ends AS MATERIALIZED (SELECT e.*, x.s AS s1, y.s AS s2 FROM edges e JOIN st x ON x.aid = aid1 JOIN st y ON y.aid = aid2)"
+
+
+@query(on_edges("SELECT aid1, aid2, decision FROM ends WHERE (s1 = 'F' AND s2 = 'O') OR (s1 = 'O' AND s2 = 'F')", _STATUSES))
+def edges_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between fulfilled and open orders."""
+    edges = fx.order_edges(spark, sf_dir)
+    return graph.edges_between(edges, _with_status(spark, sf_dir, "F"), _with_status(spark, sf_dir, "O")).select("aid1", "aid2", "decision")
+
+
+@query(on_edges("SELECT aid1, aid2, decision FROM ends WHERE s1 = 'F' AND s2 = 'F'", _STATUSES))
+def subgraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of the graph of fulfilled orders."""
+    return graph.subgraph(fx.order_annots(spark, sf_dir), fx.order_edges(spark, sf_dir), _with_status(spark, sf_dir, "F"))[1].select("aid1", "aid2", "decision")
+
+
+@query(on_edges("SELECT aid1, aid2, decision FROM ends WHERE s1 <> 'F' AND s2 <> 'F'", _STATUSES))
+def removed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges that are left when fulfilled orders go."""
+    return graph.removed_nodes(fx.order_annots(spark, sf_dir), fx.order_edges(spark, sf_dir), _with_status(spark, sf_dir, "F"))[1].select("aid1", "aid2", "decision")
+
+
+@query(on_pcc("SELECT p.aid, q.aid AS member FROM (SELECT min(aid) AS aid FROM annots GROUP BY name) a JOIN pcc p USING (aid) JOIN pcc q ON q.nid = p.nid"))
+def members_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of the first order of each customer."""
+    firsts = fx.order_annots(spark, sf_dir).groupBy("orig_name_label").agg(F.min("aid").alias("aid"))
+    return graph.members_of(firsts, fx.order_pcc(spark, sf_dir))
+
+
+@query(on_pcc("SELECT s.nid, coalesce(m, 0) * 2 = n_nodes * (n_nodes - 1) AS complete FROM sizes s LEFT JOIN (SELECT nid1 AS nid, count(*) AS m FROM labelled WHERE nid1 = nid2 GROUP BY nid1) USING (nid)"))
+def complete_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.complete(*_state(spark, sf_dir))
+
+
+@query(on_edges("SELECT q.aid1, q.aid2, e.aid1 IS NOT NULL AS there FROM (SELECT DISTINCT aid1, aid2 + 1 AS aid2 FROM edges) q LEFT JOIN edges e ON e.aid1 = q.aid1 AND e.aid2 = q.aid2"))
+def has_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = fx.order_edges(spark, sf_dir)
+    return graph.present(edges.select("aid1", (F.col("aid2") + 1).alias("aid2")).distinct(), edges)
+
+
+@query(on_edges("SELECT aid1, aid2, CASE WHEN decision = 'POSTV' AND prob_match > 0.5 THEN 'likely' ELSE confidence END AS confidence FROM edges"))
+def updated_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = fx.order_edges(spark, sf_dir)
+    likely = edges.where("decision = 'POSTV' AND prob_match > 0.5").select("aid1", "aid2", F.lit("likely").alias("confidence"))
+    return graph.updated(edges.select("aid1", "aid2", "confidence"), likely, ["aid1", "aid2"], ["confidence"])
+
+
+@query(on_edges("SELECT aid1, aid2, confidence FROM edges WHERE decision <> 'UNREV'"))
+def deleted_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidences once those of unreviewed edges are deleted."""
+    edges = fx.order_edges(spark, sf_dir)
+    return graph.with_value(graph.without_attribute(edges, "confidence", edges.where(F.col("decision") == UNREV)), "confidence")
+
+
+@query(on_edges("SELECT aid1, aid2, decision FROM edges UNION ALL SELECT a.aid, b.aid, 'UNREV' FROM annots a JOIN annots b ON a.name = b.name AND a.aid < b.aid LEFT JOIN edges e ON e.aid1 = a.aid AND e.aid2 = b.aid WHERE e.aid1 IS NULL"))
+def ensured_cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.ensure_cliques(_names(spark, sf_dir), fx.order_edges(spark, sf_dir)).select("aid1", "aid2", "decision")
+
+
+@query(ORACLES["mst_candidates"].replace("SELECT name, least(u, v) AS aid1, greatest(u, v) AS aid2 FROM (SELECT o.*", "SELECT aid1, aid2, decision FROM edges UNION ALL SELECT least(u, v), greatest(u, v), 'UNREV' FROM (SELECT o.*") + " AND NOT EXISTS (SELECT 1 FROM edges WHERE aid1 = least(u, v) AND aid2 = greatest(u, v))")
+def ensured_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.ensure_mst(_names(spark, sf_dir), fx.order_edges(spark, sf_dir)).select("aid1", "aid2", "decision")
+
+
+@query(f"WITH {_LOG} SELECT review_id, aid1, aid2, d AS evidence_decision, who AS user_id, tag AS tags FROM log")
+def staging_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The review log, written as a staging table and read back."""
+    log = tables.read_staging(tables.to_staging(feedback.with_defaults(fx.event_reviews(spark, sf_dir))))
+    return log.select("review_id", "aid1", "aid2", "evidence_decision", "user_id", F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"WITH {_LOG} SELECT aid1, aid2, min(review_id) AS review_id, arg_min(d, review_id) AS evidence_decision, coalesce(max(tag), '') AS tags FROM log GROUP BY aid1, aid2")
+def undirected_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each pair of a table of matches that has rows in either direction."""
+    back = F.col("review_id") % 2 == 0
+    log = fx.event_reviews(spark, sf_dir).select("review_id", F.when(back, F.col("aid2")).otherwise(F.col("aid1")).alias("aid1"), F.when(back, F.col("aid1")).otherwise(F.col("aid2")).alias("aid2"), "evidence_decision", "tags")
+    return tables.undirected(log, "review_id").withColumn("tags", F.array_join("tags", ","))
+
+
+@query(f"WITH {_LOG} SELECT review_id, aid1, aid2 FROM log l WHERE who NOT LIKE 'algo%' OR NOT EXISTS (SELECT 1 FROM log i WHERE i.who NOT LIKE 'algo%' AND i.aid1 = l.aid1 AND i.aid2 = l.aid2)")
+def all_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews by people, and those by programs of the other edges."""
+    log = fx.event_reviews(spark, sf_dir)
+    by_program = F.col("user_id").startswith("algo")
+    return tables.all_feedback(log.where(by_program), log.where(~by_program)).select("review_id", "aid1", "aid2")
+
+
+@query("SELECT o_orderkey AS aid, o_custkey AS name_label FROM orders UNION ALL SELECT DISTINCT l_orderkey + 1, -l_orderkey - 1 FROM lineitem WHERE l_orderkey + 1 NOT IN (SELECT o_orderkey FROM orders)")
+def added_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders, and new records beside them, each with a name of its own."""
+    annots = fx.order_annots(spark, sf_dir).withColumn("name_label", F.col("orig_name_label")).select("aid", "name_label", "orig_name_label")
+    return tables.with_annots(annots, fx.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + 1).alias("aid"))).select("aid", "name_label")
+
+
+@query(on_pcc("SELECT aid, name AS old_name, nid AS new_name FROM annots JOIN pcc USING (aid) WHERE name <> nid"))
+def name_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta.name_delta(_names(spark, sf_dir), fx.order_pcc(spark, sf_dir).select("aid", F.col("nid").alias("name")))
+
+
+_REDUNDANT = _BRIDGED + f""",
+held AS MATERIALIZED ({_HELD}),
+apart AS MATERIALIZED ({_APART}),
+flags AS MATERIALIZED (SELECT l.*, coalesce(h.pos_redun, false) OR a.nid1 IS NOT NULL AS redundant FROM labelled l LEFT JOIN held h ON h.nid = l.nid1 AND l.nid1 = l.nid2 LEFT JOIN apart a ON a.nid1 = l.nid1 AND a.nid2 = l.nid2)"""
+_OPEN = ", waiting AS MATERIALIZED (SELECT aid1, aid2, nid1, nid2, decision, confidence, num_reviews, prob_match AS priority FROM flags WHERE decision = 'UNREV' AND NOT redundant)"
+
+
+def _flags(edges: DataFrame, pcc: DataFrame) -> DataFrame:
+    return redundancy.flagged(edges, pcc, redundancy.positive_redundancy(edges, pcc), redundancy.negative_redundancy(edges, pcc))
+
+
+def _waiting(spark, sf_dir):
+    edges, pcc = _state(spark, sf_dir)
+    return priority.queue(edges, _flags(edges, pcc).where("redundant"), edges.limit(0))
+
+
+@query(on_pcc("SELECT aid1, aid2, redundant FROM flags", _REDUNDANT))
+def redundant_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flags(*_state(spark, sf_dir)).select("aid1", "aid2", "redundant")
+
+
+@query(on_pcc("SELECT aid1, aid2, priority FROM waiting WHERE nid1 <> nid2 OR nid1 NOT IN (SELECT nid FROM sizes WHERE n_nodes > 5)", _REDUNDANT + _OPEN))
+def queue_without_internal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The open queue without pairs inside components of more than five records."""
+    pcc = fx.order_pcc(spark, sf_dir)
+    return priority.without_internal(_waiting(spark, sf_dir), pcc, _large(pcc))
+
+
+def _large(pcc):
+    return pcc.groupBy("nid").agg(F.count("*").alias("n")).where("n > 5")
+
+
+@query(on_pcc("SELECT aid1, aid2, priority FROM waiting UNION SELECT aid1, aid2, prob_match FROM labelled WHERE decision = 'UNREV' AND nid1 = nid2 AND nid1 IN (SELECT nid FROM sizes WHERE n_nodes > 5)", _REDUNDANT + _OPEN))
+def queue_with_internal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The open queue and all unreviewed pairs inside components of more than five records."""
+    edges, pcc = _state(spark, sf_dir)
+    return priority.with_internal(_waiting(spark, sf_dir), edges, pcc, _large(pcc))
+
+
+@query(on_pcc("SELECT aid1, aid2, priority, nid1, nid2, decision, confidence, num_reviews, (SELECT count(*) FROM waiting) AS queue_len, (SELECT count(*) FROM sizes) AS n_ccs FROM waiting ORDER BY priority DESC, aid1, aid2 LIMIT 50", _REDUNDANT + _OPEN))
+def review_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reviewers are asked first."""
+    return priority.requests(_waiting(spark, sf_dir), *_state(spark, sf_dir), 50)

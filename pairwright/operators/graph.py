@@ -206,3 +206,16 @@ def confident(edges: DataFrame, decision: str, least: int) -> DataFrame:
 
     level: Column = coded(F.col("confidence"), CONFIDENCE, 0)
     return edges.where((F.col("decision") == decision) & (level >= least))
+
+
+def members_of(aids: DataFrame, pcc: DataFrame) -> DataFrame:
+    """(aid, member): all members of the component of each node asked for, itself included."""
+    own = aids.select("aid").distinct().join(pcc, "aid")
+    return own.join(pcc.select("nid", F.col("aid").alias("member")), "nid").select("aid", "member")
+
+
+def complete(edges: DataFrame, pcc: DataFrame) -> DataFrame:
+    """(nid, complete): whether the edges inside each component are all the pairs of its nodes."""
+    sizes = pcc.groupBy("nid").agg(F.count("*").alias("n"))
+    inside = edges_inside(edges, pcc).select(F.col("nid1").alias("nid"), "aid1", "aid2").distinct().groupBy("nid").agg(F.count("*").alias("m"))
+    return sizes.join(inside, "nid", "left").select("nid", (F.coalesce("m", F.lit(0)) * 2 == F.col("n") * (F.col("n") - 1)).alias("complete"))

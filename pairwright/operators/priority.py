@@ -92,3 +92,40 @@ def edge_scores(ranking: DataFrame) -> DataFrame:
     """(aid1, aid2, score, rank): the better of the two directions of each pair; of equals the lower rank."""
     rows = ranking.select(F.least("qaid", "daid").alias("aid1"), F.greatest("qaid", "daid").alias("aid2"), F.struct("score", (-F.col("rank")).alias("r")).alias("s"))
     return rows.groupBy("aid1", "aid2").agg(F.max("s").alias("s")).select("aid1", "aid2", "s.score", (-F.col("s.r")).alias("rank"))
+
+
+def skipped(queue_: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The queue without ``pairs``."""
+    return queue_.join(pairs.select("aid1", "aid2"), ["aid1", "aid2"], "left_anti")
+
+
+def reinstated(queue_: DataFrame, edges: DataFrame, metric: str = "prob_match") -> DataFrame:
+    """The queue and those of ``edges`` that it lacks, by their metric; one without gets the least priority."""
+    base = F.coalesce(F.nanvl(F.col(metric).cast("double"), F.lit(None)), F.lit(NO_SCORE))
+    return queue_.unionByName(skipped(edges.select("aid1", "aid2", base.alias("priority")), queue_))
+
+
+def without_internal(queue_: DataFrame, pcc: DataFrame, nids: DataFrame) -> DataFrame:
+    """The queue without pairs inside the components ``nids`` (nid)."""
+    from pairwright.operators.graph import edges_inside
+
+    return skipped(queue_, edges_inside(queue_, pcc).join(nids.select(F.col("nid").alias("nid1")), "nid1", "left_semi"))
+
+
+def with_internal(queue_: DataFrame, edges: DataFrame, pcc: DataFrame, nids: DataFrame, metric: str = "prob_match") -> DataFrame:
+    """The queue and the unreviewed edges inside the components ``nids`` (nid)."""
+    from pairwright.operators.graph import edges_inside
+
+    inside = edges_inside(edges.where(F.col("decision") == UNREV), pcc).join(nids.select(F.col("nid").alias("nid1")), "nid1", "left_semi")
+    return reinstated(queue_, inside, metric)
+
+
+def requests(queue_: DataFrame, edges: DataFrame, pcc: DataFrame, n: int) -> DataFrame:
+    """What a reviewer is asked: the n first pairs with their edge's decision, confidence and number of reviews,
+    their components, and the length of the queue and the number of components, which are one row each."""
+    from pairwright.operators.graph import with_labels
+
+    totals = queue_.agg(F.count("*").alias("queue_len")).join(pcc.agg(F.count_distinct("nid").alias("n_ccs")))
+    data = edges.select("aid1", "aid2", "decision", "confidence", "num_reviews")
+    rows = with_labels(top(queue_, n), pcc).join(data, ["aid1", "aid2"], "left").join(F.broadcast(totals))
+    return rows.select("aid1", "aid2", "priority", "nid1", "nid2", "decision", "confidence", "num_reviews", "queue_len", "n_ccs")
