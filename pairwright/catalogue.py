@@ -498,14 +498,18 @@ def unjustified_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta.unjustified_splits(_delta(spark, sf_dir), fx.order_edges(spark, sf_dir))
 
 
+def _halves_delta(spark, sf_dir):
+    """What the later half of the log changes of the earlier one."""
+    log = fx.event_reviews(spark, sf_dir)
+    log = log.join(F.broadcast(log.agg(F.floor(F.avg("review_id")).alias("mid"))))
+    return delta.edge_delta(*[graph.latest_reviews(log.where(x).drop("mid")) for x in ("review_id < mid", "review_id >= mid")])
+
+
 @query(f"""WITH {_LOG}, mid AS (SELECT floor(avg(review_id)) AS c FROM log), l AS (SELECT aid1, aid2, review_id < c AS old, arg_max(d, review_id) AS d, arg_max(tag, review_id) AS tag FROM log, mid GROUP BY ALL)
 SELECT n.aid1, n.aid2, n.d AS new_evidence_decision, o.d AS old_evidence_decision, n.tag AS new_tags, o.tag AS old_tags, o.d IS NULL AS is_new FROM (SELECT * FROM l WHERE NOT old) n LEFT JOIN (SELECT * FROM l WHERE old) o USING (aid1, aid2) WHERE o.d IS DISTINCT FROM n.d OR o.tag IS DISTINCT FROM n.tag""")
 def edge_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = fx.event_reviews(spark, sf_dir)
-    log = log.join(F.broadcast(log.agg(F.floor(F.avg("review_id")).alias("mid"))))
-    halves = [graph.latest_reviews(log.where(x).drop("mid")) for x in ("review_id < mid", "review_id >= mid")]
     joined = [F.array_join(c, ",").alias(c) for c in ("new_tags", "old_tags")]
-    return delta.edge_delta(*halves).select("aid1", "aid2", "new_evidence_decision", "old_evidence_decision", *joined, "is_new")
+    return _halves_delta(spark, sf_dir).select("aid1", "aid2", "new_evidence_decision", "old_evidence_decision", *joined, "is_new")
 
 
 def _named_pcc(spark, sf_dir):
@@ -823,3 +827,20 @@ def queue_with_internal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def review_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What reviewers are asked first."""
     return priority.requests(_waiting(spark, sf_dir), *_state(spark, sf_dir), 50)
+
+
+_CHANGES = "SELECT count(*) FILTER (is_new) AS n_added, count(*) FILTER (NOT is_new) AS n_modified, count(*) FILTER (NOT is_new AND t AND d) AS n_changed_decision_and_tags, count(*) FILTER (NOT is_new AND t AND NOT d) AS n_changed_tags, count(*) FILTER (NOT is_new AND d AND NOT t) AS n_changed_decision FROM (SELECT *, new_tags IS DISTINCT FROM old_tags AS t, new_evidence_decision IS DISTINCT FROM old_evidence_decision AS d FROM (" + ORACLES["edge_delta"] + "))"
+_GROUPS = on_pcc("SELECT (SELECT count(*) FROM annots JOIN pcc USING (aid) WHERE name <> nid) AS n_names_changed, " + ", ".join(f"count(DISTINCT CASE WHEN kind = '{k}' THEN {'name' if c == 'old_id' else 'nid'} END) AS n_{k}" for k, c in delta.KINDS.items()) + " FROM kinds", _DELTA)
+
+
+@query(f"SELECT * FROM ({_CHANGES}), ({_GROUPS})")
+def delta_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: what the later half of the log changed, and what components changed of customers."""
+    names = delta.name_delta(_names(spark, sf_dir), fx.order_pcc(spark, sf_dir).select("aid", F.col("nid").alias("name")))
+    return delta.delta_counts(_halves_delta(spark, sf_dir), names, _delta(spark, sf_dir))
+
+
+@query(f"WITH {_LOG}, {_RANKING} SELECT b.* FROM ({ORACLES['edge_best_score'].removeprefix(f'WITH {_RANKING} ')}) b LEFT JOIN (SELECT aid1, aid2, arg_max(d, review_id) AS d FROM log GROUP BY aid1, aid2) e USING (aid1, aid2) WHERE coalesce(d, 'UNREV') = 'UNREV'")
+def unreviewed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near vectors whose pair the log has not decided on."""
+    return priority.unreviewed_candidates(fx.embedding_ranking(spark, sf_dir), graph.latest_reviews(fx.event_reviews(spark, sf_dir)))

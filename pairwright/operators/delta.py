@@ -63,3 +63,21 @@ def name_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     """(aid, old_name, new_name) where the names differ, from two tables (aid, name)."""
     rows = old.select("aid", F.col("name").alias("old_name")).join(new.select("aid", F.col("name").alias("new_name")), "aid")
     return rows.where(~F.col("old_name").eqNullSafe(F.col("new_name")))
+
+
+KINDS = {"unchanged": "old_id", "split": "old_id", "merge": "new_id", "hybrid": "old_id"}
+
+
+def delta_counts(edges: DataFrame, names: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of counts of the rows of edge_delta, name_delta and grouping_delta.
+
+    Of edges: n_added, n_modified, and of the latter those whose evidence decision and tags, tags
+    only, or decision only changed. Of names: n_names_changed. Of groups by kind: old ones that
+    are unchanged, split or hybrid, and new ones that are merged.
+    """
+    tags, decision = (~F.col(f"new_{c}").eqNullSafe(F.col(f"old_{c}")) for c in ("tags", "evidence_decision"))
+    old = ~F.col("is_new")
+    cases = {"added": F.col("is_new"), "modified": old, "changed_decision_and_tags": old & tags & decision, "changed_tags": old & tags & ~decision, "changed_decision": old & ~tags & decision}
+    of_edges = edges.agg(*[F.count_if(c).alias(f"n_{n}") for n, c in cases.items()])
+    of_groups = groups.agg(*[F.count_distinct(F.when(F.col("kind") == k, F.col(c))).alias(f"n_{k}") for k, c in KINDS.items()])
+    return of_edges.join(F.broadcast(names.agg(F.count("*").alias("n_names_changed")))).join(F.broadcast(of_groups))

@@ -129,3 +129,8 @@ def requests(queue_: DataFrame, edges: DataFrame, pcc: DataFrame, n: int) -> Dat
     data = edges.select("aid1", "aid2", "decision", "confidence", "num_reviews")
     rows = with_labels(top(queue_, n), pcc).join(data, ["aid1", "aid2"], "left").join(F.broadcast(totals))
     return rows.select("aid1", "aid2", "priority", "nid1", "nid2", "decision", "confidence", "num_reviews", "queue_len", "n_ccs")
+
+
+def unreviewed_candidates(ranking: DataFrame, edges: DataFrame) -> DataFrame:
+    """(aid1, aid2, score, rank): ranked pairs, the better direction of each, that have no review."""
+    return skipped(edge_scores(ranking), edges.where(F.col("decision") != UNREV))
