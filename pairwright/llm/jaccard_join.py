@@ -40,6 +40,8 @@ CHOICES = (1, 2, 3, 4, 6, 8, 12, 16)
 VERIFY_COST = 0.5
 #: 64-bit words of the bitmap that each posting has of the tokens before it.
 MAP_WORDS = 8
+#: Postings that a task gathers before it gives them out; one document may have more.
+POSTINGS_AT_ONCE = 1 << 16
 #: Bits for each id of the filter that tells which documents may have a partner, and the least and most of all; it may let more through.
 FILTER_BITS_EACH = 16
 FILTER_BITS = 1 << 22, 1 << 27
@@ -205,9 +207,13 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
     counts = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = tokens.join(counts, "token").groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
 
+    def rows_of(parts):
+        rows = np.concatenate(parts)
+        return pa.table([rows[:, j] for j in range(rows.shape[1])], names=columns)
+
     def task():
         def work(batch: pa.RecordBatch):
-            out = []
+            out, held = [], 0
             lists = batch["shared"]
             flat, ends = lists.flatten(), np.asarray(lists.value_lengths(), dtype=np.int64).cumsum()
             dfs, toks = (np.asarray(flat.field(c), dtype=np.int64) for c in ("df", "token"))
@@ -217,8 +223,12 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
                 l, k = choose_l(dfs[a:b], n, percent)  # noqa: E741
                 maps, excess = maps_before(toks[a : a + k])
                 out.append(np.column_stack([toks[a : a + k], np.full(k, d), np.full(k, n), np.full(k, own), own + np.arange(k), np.full(k, l), excess, maps]))
-            rows = np.concatenate(out)
-            yield pa.table([rows[:, j] for j in range(rows.shape[1])], names=columns)
+                held += k
+                if held >= POSTINGS_AT_ONCE:
+                    yield rows_of(out)
+                    out, held = [], 0
+            if out:
+                yield rows_of(out)
 
         return work
 
