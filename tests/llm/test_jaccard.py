@@ -2,7 +2,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from pairwright.llm import jaccard_join
 from pairwright.llm.jaccard_join import choose_l, keep_one_of_each, near_duplicates
 
 #: Chains of revisions, of which a few are joined by one link alone.
@@ -141,3 +143,13 @@ def test_very_long_text(spark):
     words = [f"w{i}" for i in range(60_000)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:55_000])), (3, "w1 w2")], "doc_id long, text string")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()} == {1: (59_996, 1), 2: (54_996, 1), 3: (1, 3)}
+
+
+def test_postings_in_parts_are_the_same_rows(spark, monkeypatch):
+    sets = spark.createDataFrame([(d, 12, list(range(d, d + 12))) for d in range(60)], "id long, n long, tokens array<long>").repartition(2)
+    rows = lambda: sorted(map(tuple, jaccard_join._postings(sets, 75).collect()))
+    whole = rows()
+    monkeypatch.setattr(jaccard_join, "POSTINGS_AT_ONCE", 1)
+    assert whole and rows() == whole
+    nothing = sets.withColumn("tokens", F.array(F.col("id") * 100))
+    assert jaccard_join._postings(nothing, 75).count() == 0
