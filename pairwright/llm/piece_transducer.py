@@ -245,8 +245,8 @@ class PieceTransducer:
     def compose_unigram(self, unit: str) -> bytes:
         """The ids on the path of least weight, as unsigned 16-bit numbers.
 
-        Weights are kept in single precision, as the model has them; of equal paths the one
-        whose last piece is longer wins.
+        Weights are kept and compared in single precision, as the model has them; of equal paths
+        the one whose last piece is longer wins.
         """
         n = len(unit)
         weight, state, back = [INFINITY] * (n + 1), [None] * (n + 1), [0] * (n + 1)
@@ -258,11 +258,11 @@ class PieceTransducer:
                 if piece is None:
                     continue
                 single = single or end == start + 1
-                through = here - self.score[unit[start:end]]
+                through = float(np.float32(here - self.score[unit[start:end]]))
                 if through < weight[end]:
-                    weight[end], state[end], back[end] = float(np.float32(through)), piece, start
-            if not single and here + self.byte_weight < weight[start + 1]:
-                weight[start + 1], state[start + 1], back[start + 1] = float(np.float32(here + self.byte_weight)), -1, start
+                    weight[end], state[end], back[end] = through, piece, start
+            if not single and (through := float(np.float32(here + self.byte_weight))) < weight[start + 1]:
+                weight[start + 1], state[start + 1], back[start + 1] = through, -1, start
         return self._path(unit, state, back)
 
     def _path(self, unit: str, state: list, back: list[int]) -> bytes:

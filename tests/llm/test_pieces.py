@@ -103,6 +103,8 @@ def test_shortest_path_of_unigram_models_equals_the_library(name, joins):
             assert ids(machine, text) == library.encode(text)
 
     check()
+    # Two paths whose weights differ beyond single precision only.
+    assert ids(machine, "000dderthetheaab") == library.encode("000dderthetheaab")
 
 
 def test_merges_behind_a_normaliser_equal_the_library():
