@@ -1,3 +1,4 @@
+import os
 import shutil
 import subprocess
 import sys
@@ -17,7 +18,7 @@ def test_all_else_imports_without_the_text_operators(tmp_path):
         shutil.copytree(ROOT / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
     for name in ("__spark_entry__.py", "bench.py"):
         shutil.copy(ROOT / name, tmp_path / name)
-    env = {"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}
+    env = os.environ | {"PYTHONPATH": f"{tmp_path}:{os.environ.get('PYTHONPATH', '')}"}
     for extra in ((), ("corpus_pipeline.py",)):
         for name in extra:
             shutil.copy(ROOT / name, tmp_path / name)
