@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairwright.llm import language_id, pii
 from pairwright.llm.chat_format import CHATML, format_conversations, read_turns, unescaped
+from pairwright.llm.clustering import cluster_vectors
 from pairwright.llm.common import crc32_of, table
 from pairwright.llm.fingerprints import compare_with_edits
 from pairwright.llm.jaccard_join import near_duplicates
@@ -131,3 +132,27 @@ ways AS MATERIALIZED (FROM links UNION ALL SELECT y, x FROM links),
 reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, k.y FROM reach r JOIN ways k ON r.b = k.x)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) ON a = d.doc_id
 """
+
+
+@query
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _clustering_sql(k: int = 40, rounds: int = 5) -> str:
+    """Rounds of assignment and means as one WITH; ``v{i}`` are components by position, ``c{r}`` the centroids before round r."""
+    near = "SELECT vec_id, v, row, min(struct_pack(d := d, c := c)) AS n FROM (SELECT vec_id, v, row, c, list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, c{r}) GROUP BY ALL"
+    steps = [
+        "kept AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), v) - 1)::INTEGER AS c, v AS w FROM kept ORDER BY c LIMIT {k})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED ({near.format(r=r)})")
+        means = f"SELECT c, list(m ORDER BY i) AS w FROM (SELECT n.c AS c, i, floor(sum(v[i])::DECIMAL(38, 0) / count(*))::BIGINT AS m FROM (SELECT n, v, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY ALL) GROUP BY c"
+        steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m.w, o.w) AS w FROM c{r} o LEFT JOIN ({means}) m USING (c))")
+    last = f"""SELECT vec_id, n.c AS cluster, n.d AS distance, sum(n.d) OVER (PARTITION BY n.c)::BIGINT AS cluster_inertia, sum(n.d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(w, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON c = n.c"""
+    return "WITH " + ",\n".join(steps[:-1]) + "\n" + last
+
+
+ORACLES["op11_centroid_clustering"] = _clustering_sql()
