@@ -15,6 +15,7 @@ from pairwright.llm.packing import pack
 from pairwright.llm.piece_transducer import encode_pieces
 from pairwright.llm.quality import quality_metrics
 from pairwright.llm.recurrent_lm import score_documents
+from pairwright.llm.spelling import spelling_groups
 from pairwright.llm.token_counts import count_tokens
 
 QUERIES: dict = {}
@@ -156,3 +157,29 @@ def _clustering_sql(k: int = 40, rounds: int = 5) -> str:
 
 
 ORACLES["op11_centroid_clustering"] = _clustering_sql()
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+# CRC-32 by its table; near words by what is left of them without one letter.
+ORACLES["op12_spelling_variants"] = """
+WITH RECURSIVE steps AS (SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]{6,}')) AS run FROM documents),
+counted AS MATERIALIZED (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS x FROM runs GROUP BY ALL),
+hashed AS MATERIALIZED (SELECT run, n, xor(list_reduce(list_concat([4294967295], list_transform(range(len(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT)),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM counted, steps),
+words AS MATERIALIZED (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+less AS MATERIALIZED (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS v FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+pairs AS MATERIALIZED (SELECT a.word, b.word AS other FROM less a JOIN less b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+  UNION SELECT less.word, w.word FROM less JOIN words w ON v = w.word UNION SELECT w.word, less.word FROM less JOIN words w ON v = w.word),
+near AS (SELECT p.word, count(*) AS n_near, min(struct_pack(n := -o.n, w := o.word)) AS best FROM pairs p JOIN words o ON o.word = other GROUP BY p.word),
+forms AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best.n >= 5 * w.n THEN best.w END AS form, CASE WHEN -best.n >= 5 * w.n THEN -best.n END AS form_n
+  FROM words w LEFT JOIN near USING (word)),
+ways(word, root) AS (SELECT word, word FROM forms UNION SELECT y.word, f.form FROM ways y JOIN forms f ON f.word = y.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, y.root, f.n, f.n_near, f.form_n FROM forms f JOIN ways y ON y.word = f.word JOIN forms r ON r.word = y.root AND r.form IS NULL
+"""
