@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import language_id, pii
+from pairwright.llm import language_id, main_text, pii
 from pairwright.llm.chat_format import CHATML, format_conversations, read_turns, unescaped
 from pairwright.llm.clustering import cluster_vectors
 from pairwright.llm.common import crc32_of, table
@@ -183,3 +183,21 @@ forms AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near
 ways(word, root) AS (SELECT word, word FROM forms UNION SELECT y.word, f.form FROM ways y JOIN forms f ON f.word = y.root WHERE f.form IS NOT NULL)
 SELECT f.word, f.form, y.root, f.n, f.n_near, f.form_n FROM forms f JOIN ways y ON y.word = f.word JOIN forms r ON r.word = y.root AND r.form IS NULL
 """
+
+
+@query
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return main_text.extract_main_text(pages, main_text.train(pages)).select("page_id", "url", "text", "n_chars")
+
+
+# The blocks of a page's one article, as the tables have it; SQL has no scan over scored tokens.
+_REFERENCES = [("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("#x27", "''"), ("nbsp", " "), ("middot", "\u00b7"), ("copy", "\u00a9"), ("amp", "&")]
+_plain = "regexp_replace(regexp_replace(b, '<br>', ' ', 'g'), '<[^>]*>', '', 'g')"
+for _name, _sign in _REFERENCES:
+    _plain = f"regexp_replace({_plain}, '&{_name};?', '{_sign}', 'g')"
+ORACLES["op13_html_extraction"] = f"""
+WITH b AS (SELECT page_id, url, list_transform(string_split_regex(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?(p|h1)>'), lambda b: trim(regexp_replace({_plain}, '\\s+', ' ', 'g'))) AS b FROM pages),
+t AS (SELECT page_id, url, coalesce(array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10)), '') AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+"""
