@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairwright.functions import boxes, codes, tags, times
 from pairwright.functions.codes import INCMP, NEGTV, POSTV, UNREV
-from pairwright.operators import actions, candidates, delta, feedback, graph, metrics, priority, recovery, rectify, redundancy, refresh, search, truth
+from pairwright.operators import actions, bridges, candidates, delta, feedback, graph, metrics, priority, recovery, rectify, redundancy, refresh, search, truth
 from pairwright.operators.components import connected_components
 from pairwright.sources import fixtures as fx
 from pairwright.sources import tables
@@ -233,7 +233,17 @@ def pos_redundant_k2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redundancy.positive_redundancy(*_state(spark, sf_dir), k=2)
 
 
-@query()
+# Two edges a and b are a cut if the ends of a are apart without both; a bridge is one with itself.
+_TRIPLE = """,
+able AS MATERIALIZED (SELECT nid FROM (SELECT nid, x, count(*) AS d FROM (SELECT nid, unnest([aid1, aid2]) AS x FROM inner_edges) GROUP BY ALL) GROUP BY nid HAVING min(d) >= 3),
+three AS MATERIALIZED (SELECT * FROM inner_edges WHERE nid IN (FROM able)),
+twos AS MATERIALIZED (SELECT a.nid, a.aid1 AS a1, a.aid2 AS a2, b.aid1 AS b1, b.aid2 AS b2 FROM three a JOIN three b ON a.nid = b.nid),
+apart(a1, a2, b1, b2, x) AS (SELECT a1, a2, b1, b2, a1 FROM twos UNION SELECT w.a1, w.a2, w.b1, w.b2, s.v FROM apart w JOIN sym s ON s.u = w.x
+  WHERE NOT (least(s.u, s.v) = w.a1 AND greatest(s.u, s.v) = w.a2) AND NOT (least(s.u, s.v) = w.b1 AND greatest(s.u, s.v) = w.b2)),
+cut AS MATERIALIZED (SELECT DISTINCT nid FROM twos t WHERE NOT EXISTS (SELECT 1 FROM apart w WHERE (w.a1, w.a2, w.b1, w.b2) = (t.a1, t.a2, t.b1, t.b2) AND w.x = t.a2))"""
+
+
+@query(on_pcc("SELECT nid, (n_pos + n_incmp_inside = n_nodes * (n_nodes - 1) / 2) OR (n_nodes >= 4 AND nid IN (FROM able) AND nid NOT IN (FROM cut)) AS pos_redun FROM summary", _BRIDGED + _TRIPLE))
 def pos_redundant_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redundancy.positive_redundancy(*_state(spark, sf_dir), k=3)
 
@@ -566,10 +576,28 @@ def invariant_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.meta_violations(*_state(spark, sf_dir))
 
 
+_replays: dict = {}
+
+
+def _replay(spark, sf_dir, name, log, nodes, batches=3):
+    """The state after a log came as a stream, made once for each application, folder and log."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _replays:
+        _replays[key] = replay(spark, log.select("review_id", "aid1", "aid2", "evidence_decision", "meta_decision"), nodes, batches)
+    return _replays[key]
+
+
 def _replayed(spark, sf_dir):
     log = fx.event_reviews(spark, sf_dir)
-    nodes = log.select(F.explode(F.array("aid1", "aid2")).alias("aid")).distinct()
-    return replay(spark, log.select("review_id", "aid1", "aid2", "evidence_decision", "meta_decision"), nodes)
+    return _replay(spark, sf_dir, "events", log, log.select(F.explode(F.array("aid1", "aid2")).alias("aid")).distinct())
+
+
+def _revised_orders(spark, sf_dir):
+    """The order graph as a log in three parts: half of the edges, some with a decision that the third part takes back, then the others."""
+    edges = fx.order_edges(spark, sf_dir).selectExpr("aid1", "aid2", "evidence_decision", "meta_decision", "(aid1 + aid2) % 2 AS half", "(aid1 + aid2) % 2 = 0 AND aid1 % 3 = 0 AND evidence_decision <> 'NEGTV' AS wrong")
+    first = edges.selectExpr("half AS review_id", "aid1", "aid2", "CASE WHEN NOT wrong THEN evidence_decision WHEN evidence_decision = 'POSTV' THEN 'NEGTV' ELSE 'POSTV' END AS evidence_decision", "meta_decision")
+    log = first.unionByName(edges.where("wrong").selectExpr("2L AS review_id", "aid1", "aid2", "evidence_decision", "meta_decision"))
+    return _replay(spark, sf_dir, "orders", log, fx.order_annots(spark, sf_dir).select("aid"))
 
 
 @query(ORACLES["latest_review"].replace("arg_max(who, review_id) AS user_id, ", ""))
@@ -583,6 +611,39 @@ def stream_pcc_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replayed(spark, sf_dir).pcc
 
 
+@query(on_pcc("SELECT nid1, nid2, weight FROM meta"))
+def stream_metagraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negative meta edges that micro-batches kept up to date, through merges, splits and corrections."""
+    return _revised_orders(spark, sf_dir).neg_metagraph
+
+
+@query(on_pcc("SELECT nid FROM bad"))
+def stream_inconsistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _revised_orders(spark, sf_dir).inconsistent
+
+
+@query(on_pcc(f"SELECT nid AS nid1, nid AS nid2 FROM ({_HELD}) WHERE pos_redun UNION ALL {_APART}", _BRIDGED))
+def stream_redundant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components that are redundant within (nid1 = nid2), and pairs that are between."""
+    state = _revised_orders(spark, sf_dir)
+    return state.pos_redundant.select(F.col("nid").alias("nid1"), F.col("nid").alias("nid2")).union(state.neg_redundant)
+
+
+@query(on_pcc("SELECT aid, nid FROM pcc").replace("FROM raw)", "FROM raw WHERE (7 * aid1 + aid2) % 9 <> 0 OR decision <> 'POSTV')"))
+def pcc_after_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components once some positive edges are taken back: only those whose forest loses an edge are searched again."""
+    edges = fx.order_edges(spark, sf_dir).where("decision = 'POSTV'")
+    log = edges.selectExpr("0L AS review_id", "aid1", "aid2", "evidence_decision", "meta_decision")
+    cuts = edges.where("(7 * aid1 + aid2) % 9 = 0").selectExpr("1L AS review_id", "aid1", "aid2", "'UNREV' AS evidence_decision", "meta_decision")
+    return _replay(spark, sf_dir, "cuts", log.unionByName(cuts), fx.order_annots(spark, sf_dir).select("aid"), 2).pcc
+
+
+@query(on_pcc("SELECT i.aid1, i.aid2 FROM inner_edges i WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.e1 = i.aid1 AND w.e2 = i.aid2 AND w.x = i.aid2)", _BRIDGED.replace("IN (SELECT nid FROM summary WHERE n_nodes >= 3)", "IN (SELECT nid FROM sizes)")))
+def bridge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positive edges without which their component falls apart, by labels along a spanning forest."""
+    return bridges.edge_labels(graph.edges_where(fx.order_edges(spark, sf_dir), "decision", "eq", POSTV)).where("tree AND label = 0").select("aid1", "aid2")
+
+
 # Searches, actions, stamps -------------------------------------------------------------
 
 

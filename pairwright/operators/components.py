@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from pairwright.operators import kernels
 from pairwright.session import staged
 
 MOST_ROUNDS = 60
+#: Edges that a micro-batch's steps join in one task instead of in rounds, with the same rows as result.
+AT_ONCE = 100_000
 
 
-def connected_components(edges: DataFrame, u: str = "aid1", v: str = "aid2", nodes: DataFrame | None = None, node: str = "aid", component: str = "nid") -> DataFrame:
+def connected_components(edges: DataFrame, u: str = "aid1", v: str = "aid2", nodes: DataFrame | None = None, node: str = "aid", component: str = "nid", at_once: int = 0) -> DataFrame:
     """(node, component): each node with the least node that it reaches.
 
     ``nodes`` adds nodes without edges. Self edges, repeated edges and edges with a null end
     change nothing. Rounds grow with the logarithm of the longest path; each round groups by
-    node with partial aggregation and is written to the shared folder.
+    node with partial aggregation and is written to the shared folder. Up to ``at_once`` edges are
+    joined in one task, which gives the same rows.
     """
     pairs = edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).where("a > b").distinct()
     stars, sign = _settled(pairs)
+    if 0 < sign[0] <= at_once:
+
+        def join(parts):
+            rows = pd.concat(parts)
+            yield pd.DataFrame(kernels.stars(zip(rows["a"].tolist(), rows["b"].tolist(), strict=True)), columns=["a", "b"])
+
+        stars, sign = stars.coalesce(1).mapInPandas(join, stars.schema), (0, None)
     for _ in range(MOST_ROUNDS if sign[0] else 0):
         before = sign
         stars, sign = _settled(_small_star(_large_star(stars)))
@@ -54,3 +66,41 @@ def _small_star(stars: DataFrame) -> DataFrame:
     least = stars.groupBy("a").agg(F.min("b").alias("m"))
     moved = stars.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least).distinct()
+
+
+def spanning_forest(edges: DataFrame, u: str = "aid1", v: str = "aid2", at_once: int = 0) -> DataFrame:
+    """The (u, v) of a spanning forest: in each round every component takes its least edge that leaves it, and they join.
+
+    Edges are ordered by a hash and their ends, so that the choices of a round close no cycle. Rounds grow with the
+    logarithm of the number of nodes, as half at least of the components are gone after each. Self and repeated edges
+    change nothing. Once no more than ``at_once`` edges are left, one task takes them in order, with the same result.
+    """
+    order = [F.xxhash64("u", "v").alias("h"), "u", "v"]
+    left = edges.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).where("u < v").distinct()
+    left = left.select(*order, F.col("u").alias("a"), F.col("v").alias("b"))
+    taken = []
+    for _ in range(MOST_ROUNDS):
+        seen = Observation()
+        left = staged(left.observe(seen, F.count(F.lit(1)).alias("n")), "crossing")
+        n = seen.get["n"]
+        if n <= at_once:
+            if n:
+
+                def take(parts):
+                    rows = pd.concat(parts).sort_values(["h", "u", "v"])
+                    chosen = kernels.forest(zip(rows["a"].tolist(), rows["b"].tolist(), strict=True))
+                    yield rows.loc[chosen, ["u", "v"]]
+
+                taken.append(left.coalesce(1).mapInPandas(take, left.select("u", "v").schema))
+            break
+        ends = left.select("a", F.struct("h", "u", "v", "a", "b").alias("e")).union(left.select("b", F.struct("h", "u", "v", "a", "b")))
+        chosen = staged(ends.groupBy("a").agg(F.min("e").alias("e")).select("e.*").distinct(), "chosen")
+        taken.append(chosen.select("u", "v"))
+        labels = connected_components(chosen, "a", "b", node="n", component="c")
+        one, two = labels.toDF("a", "ca"), labels.toDF("b", "cb")
+        moved = left.join(one, "a").join(two, "b").where("ca <> cb")
+        left = moved.select("h", "u", "v", F.col("ca").alias("a"), F.col("cb").alias("b"))
+    out = taken[0] if taken else left.select("u", "v")
+    for more in taken[1:]:
+        out = out.union(more)
+    return out.toDF(u, v)

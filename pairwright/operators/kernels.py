@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict, deque
 from heapq import heappop, heappush
 
@@ -86,8 +87,8 @@ class Flow:
             self.room[u][v] = self.room[u].get(v, 0) + w
             self.room[v][u] = self.room[v].get(u, 0) + w
 
-    def push(self, s, t, limit=float("inf")) -> float:
-        """Flow from s to t along shortest augmenting paths, until ``limit`` is reached."""
+    def push(self, s, t, limit=float("inf"), changes: dict | None = None) -> float:
+        """Flow from s to t along shortest augmenting paths, until ``limit`` is reached; ``changes`` gets the capacities before."""
         total = 0.0
         while total < limit:
             came, queue = {s: None}, deque([s])
@@ -105,6 +106,9 @@ class Flow:
                 v = came[v]
             step = min(self.room[u][v] for u, v in path)
             for u, v in path:
+                if changes is not None:
+                    changes.setdefault((u, v), self.room[u][v])
+                    changes.setdefault((v, u), self.room[v][u])
                 self.room[u][v] -= step
                 self.room[v][u] += step
             total += step
@@ -122,6 +126,29 @@ class Flow:
         return side
 
 
+class CutNetwork:
+    """Cuts between many pairs of one component, from one residual network that is put back after each."""
+
+    def __init__(self, weighted):
+        self.weighted = list(weighted)
+        self.flow = Flow(self.weighted)
+        self.empty = all(w <= 0 for *_, w in self.weighted)
+
+    def lighter_cut(self, s, t, most: float) -> list[tuple] | None:
+        """The edges of the minimum cut with the least side of t, or None if it weighs more than ``most``; no more flow than that is pushed."""
+        if self.empty:
+            return min_cut(self.weighted, s, t)[1] if most >= 0 else None
+        changes: dict = {}
+        total = self.flow.push(s, t, math.nextafter(most, math.inf), changes)
+        cut = None
+        if total <= most:
+            side = self.flow.reaching(t)
+            cut = sorted((min(u, v), max(u, v)) for u, v, _ in self.weighted if (u in side) != (v in side))
+        for (u, v), w in changes.items():
+            self.flow.room[u][v] = w
+        return cut
+
+
 def min_cut(weighted, s, t) -> tuple[float, list[tuple]]:
     """Weight and edges of the minimum cut with the least side of t."""
     if all(w <= 0 for *_, w in weighted):
@@ -259,3 +286,37 @@ def sparse_assignment(profit: list[dict], columns: int) -> list[int | None]:
     for j, row in owner.items():
         out[row] = j if j < columns else None
     return out
+
+
+def _joined(edges, parent: dict) -> list[bool]:
+    """Whether each edge joins two parts that were apart; ``parent`` gets the links."""
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for a, b in edges:
+        a, b = root(a), root(b)
+        out.append(a != b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return out
+
+
+def forest(edges) -> list[bool]:
+    """Whether each edge, in order, closes no cycle with those before it."""
+    return _joined(edges, {})
+
+
+def stars(edges) -> list[tuple]:
+    """(node, the least node that it reaches) of all nodes that are not the least themselves."""
+    parent: dict = {}
+    _joined(edges, parent)
+    out = {}
+    for x in sorted(parent):
+        # A link leads to a lesser node, whose end is known by now.
+        out[x] = out[parent[x]] if parent[x] != x else x
+    return [(x, r) for x, r in out.items() if x != r]

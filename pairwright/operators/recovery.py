@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.codes import NEGTV, POSTV, cut_weight
 from pairwright.operators import graph, kernels
-from pairwright.operators.redundancy import batch_of
+from pairwright.operators.groups import by_group
 
 
 def hypotheses(edges: DataFrame, pcc: DataFrame) -> DataFrame:
@@ -22,21 +21,17 @@ def hypotheses(edges: DataFrame, pcc: DataFrame) -> DataFrame:
     inner = graph.edges_inside(edges.where(F.col("decision").isin(POSTV, NEGTV)), pcc).withColumn("nid", F.col("nid1")).join(bad, "nid", "left_semi")
     weighted = inner.select("nid", "aid1", "aid2", "decision", cut_weight(F.col("num_reviews"), F.col("prob_match"), F.col("confidence")).alias("w"))
 
-    def suspect(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for nid, own in pdf.sort_values(["nid", "aid1", "aid2"]).groupby("nid", sort=False):
-            positive = [(int(a), int(b), float(w)) for a, b, w in own.loc[own["decision"] == POSTV, ["aid1", "aid2", "w"]].itertuples(index=False)]
-            found = {}
-            for s, t, w in own.loc[own["decision"] == NEGTV, ["aid1", "aid2", "w"]].itertuples(index=False):
-                total, cut = kernels.min_cut(positive, int(s), int(t))
-                if w < total:
-                    found[(int(s), int(t))] = POSTV
-                else:
-                    found.update(dict.fromkeys(cut, NEGTV))
-            out += [(nid, a, b, h) for (a, b), h in sorted(found.items())]
-        return pd.DataFrame(out, columns=["nid", "aid1", "aid2", "hypothesis"])
-
-    return weighted.withColumn("b", batch_of("nid")).groupBy("b").applyInPandas(suspect, "nid long, aid1 long, aid2 long, hypothesis string")
+    def suspect(nid, rows):
+        rows.sort(key=lambda r: r[:2])
+        network = kernels.CutNetwork([(a, b, w) for a, b, d, w in rows if d == POSTV])
+        found = {}
+        for s, t, d, w in rows:
+            if d == NEGTV:
+                cut = network.lighter_cut(s, t, w)
+                found.update({(s, t): POSTV} if cut is None else dict.fromkeys(cut, NEGTV))
+        return [(nid, a, b, h) for (a, b), h in sorted(found.items())]
+
+    return by_group(weighted, "nid", suspect, "nid long, aid1 long, aid2 long, hypothesis string")
 
 
 def recovering(edges: DataFrame, pcc: DataFrame) -> DataFrame:

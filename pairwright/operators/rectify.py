@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.operators import kernels
 from pairwright.operators.components import connected_components
+from pairwright.operators.groups import by_group
 from pairwright.session import staged
 
 
@@ -24,9 +24,8 @@ def trivial_names(names: DataFrame) -> DataFrame:
     return free.withColumn("r", best).where("r = 1").select("nid", "name")
 
 
-#: Ranges of component labels that are numbered apart, and conflict groups that one task call solves.
+#: Ranges of component labels that are numbered apart.
 RANGES = 4096
-BATCHES = 4096
 
 
 def rectified_names(names: DataFrame, prefix: str = "_extra_name") -> DataFrame:
@@ -34,8 +33,7 @@ def rectified_names(names: DataFrame, prefix: str = "_extra_name") -> DataFrame:
 
     Components that share old names are solved together by an assignment whose profit is how
     often a component has a name, and one more; those that get none are given new names in the
-    order of nid. Groups of such components, most of them small, are dealt out by a hash, many
-    to a call.
+    order of nid. Groups of such components are streamed through tasks, one at a time.
     """
     names = names.select("nid", F.col("name").cast("string").alias("name"))
     counts = staged(names.where("name IS NOT NULL").groupBy("nid", "name").agg(F.count("*").alias("n")), "name-counts")
@@ -45,19 +43,15 @@ def rectified_names(names: DataFrame, prefix: str = "_extra_name") -> DataFrame:
     marked = staged(counts.join(groups, "nid", "left"), "name-groups")
     free = marked.where("conflict IS NULL").groupBy("nid").agg(F.min(F.struct((-F.col("n")).alias("k"), "name")).alias("b")).select("nid", F.col("b.name").alias("name"))
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, group in pdf.groupby("conflict", sort=False):
-            rows, columns = sorted(set(group["nid"])), sorted(set(group["name"]))
-            at, spot = {x: i for i, x in enumerate(rows)}, {x: j for j, x in enumerate(columns)}
-            profit = [{} for _ in rows]
-            for nid, name, n in group[["nid", "name", "n"]].itertuples(index=False):
-                profit[at[nid]][spot[name]] = n + 1
-            out += [(nid, columns[j]) for nid, j in zip(rows, kernels.sparse_assignment(profit, len(columns)), strict=True) if j is not None]
-        return pd.DataFrame(out, columns=["nid", "name"])
+    def assign(_, group):
+        rows, columns = sorted({r[0] for r in group}), sorted({r[1] for r in group})
+        at, spot = {x: i for i, x in enumerate(rows)}, {x: j for j, x in enumerate(columns)}
+        profit = [{} for _ in rows]
+        for nid, name, n in group:
+            profit[at[nid]][spot[name]] = n + 1
+        return [(nid, columns[j]) for nid, j in zip(rows, kernels.sparse_assignment(profit, len(columns)), strict=True) if j is not None]
 
-    conflicted = marked.where("conflict IS NOT NULL").withColumn("b", F.pmod(F.xxhash64("conflict"), F.lit(BATCHES)))
-    solved = conflicted.groupBy("b").applyInPandas(assign, "nid long, name string")
+    solved = by_group(marked.where("conflict IS NOT NULL").select("conflict", "nid", "name", "n"), "conflict", assign, "nid long, name string")
     done = staged(free.unionByName(solved), "names-done")
     lacking = staged(names.select("nid").distinct().join(done, "nid", "left_anti"), "names-lacking")
     extra = _numbered(lacking).select("nid", F.concat(F.lit(prefix), F.col("i").cast("string")).alias("name"), F.lit(True).alias("is_extra"))

@@ -3,27 +3,66 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions.codes import INCMP, NEGTV, POSTV, UNREV
 from pairwright.operators import graph, kernels
+from pairwright.operators.bridges import edge_labels
+from pairwright.operators.components import spanning_forest
+from pairwright.operators.groups import by_group
+from pairwright.session import staged
+from pairwright.sources.committed import union_all
 
+#: Positive edges of a component that a kernel takes at once; larger ones are decided by labels, or by a kernel over a certificate.
+KERNEL_EDGES = 50_000
 
-#: Calls of a kernel that small components are dealt out to.
-BATCHES = 4096
 
+def certificate(edges: DataFrame, k: int) -> DataFrame:
+    """(aid1, aid2): k spanning forests, each of what the ones before leave.
 
-def batch_of(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(BATCHES))
+    A cut of fewer than k edges is a cut of these, too, and they are at most k for each node; so whether a component
+    is held together by k edges everywhere can be told from them.
+    """
+    rest, taken = edges.select("aid1", "aid2").distinct(), []
+    for i in range(k):
+        taken.append(staged(spanning_forest(rest), "forest"))
+        if i + 1 < k:
+            rest = staged(rest.join(taken[-1], ["aid1", "aid2"], "left_anti"), "rest")
+    return union_all(taken)
+
+
+def edge_connected(inner: DataFrame, k: int, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+    """(nid, held) of the components of ``inner`` (nid, aid1, aid2), each connected by its edges: whether k edges must go before one falls apart.
 
+    Of components with more than ``kernel_edges`` edges, no task holds one for k up to 3: an edge whose label is 0
+    is a bridge, and two with one label are a cut of two. Beyond that, a task holds the certificate of one.
+    """
 
-def positive_redundancy(edges: DataFrame, pcc: DataFrame, k: int = 2, relax: bool = True, only_consistent: bool = True) -> DataFrame:
+    def decide(nid, pairs):
+        return [(nid, kernels.connectivity_at_least({n for e in pairs for n in e}, pairs, k))]
+
+    sizes = inner.groupBy("nid").agg(F.count("*").alias("m"))
+    large = staged(sizes.where(F.col("m") > kernel_edges).select("nid"), "large")
+    schema = "nid long, held boolean"
+    small = by_group(inner.join(large, "nid", "left_anti").select("nid", "aid1", "aid2"), "nid", decide, schema)
+    if not large.limit(1).count():
+        return small
+    big = staged(inner.join(large, "nid", "left_semi").select("nid", "aid1", "aid2"), "inner")
+    if k > 3:
+        kept = big.join(certificate(big, k), ["aid1", "aid2"], "left_semi").select("nid", "aid1", "aid2")
+        return small.unionByName(by_group(kept, "nid", decide, schema))
+    labels = big.join(edge_labels(big), ["aid1", "aid2"])
+    counts = labels.groupBy("nid", "label").agg(F.count("*").alias("n"))
+    weak = (F.col("label") == 0) | (F.col("n") > 1 if k == 3 else F.lit(False))
+    return small.unionByName(counts.groupBy("nid").agg((~F.bool_or(weak)).alias("held")))
+
+
+def positive_redundancy(edges: DataFrame, pcc: DataFrame, k: int = 2, relax: bool = True, only_consistent: bool = True, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """(nid, pos_redun): whether each (consistent) component is held together by k edges everywhere.
 
-    With ``relax``, a component whose positive and incomparable edges fill the clique is.
-    What degrees decide needs no kernel; the remaining components are dealt out in batches, and one of
-    them is never split between two.
+    With ``relax``, a component whose positive and incomparable edges fill the clique is. What numbers and
+    degrees decide is decided by them, and what remains by `edge_connected`.
     """
     summary = graph.pcc_summary(edges, pcc)
     if only_consistent:
@@ -35,15 +74,7 @@ def positive_redundancy(edges: DataFrame, pcc: DataFrame, k: int = 2, relax: boo
     ends = inner.select("nid", F.explode(F.array("aid1", "aid2")).alias("aid")).groupBy("nid", "aid").agg(F.count("*").alias("d"))
     least = ends.groupBy("nid").agg(F.min("d").alias("least"))
     open_ = summary.where("quick IS NULL").join(least, "nid").where(F.col("least") >= k).select("nid")
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for nid, own in pdf.groupby("nid", sort=False):
-            pairs = list(zip(own["aid1"].tolist(), own["aid2"].tolist(), strict=True))
-            out.append((nid, kernels.connectivity_at_least({n for e in pairs for n in e}, pairs, k)))
-        return pd.DataFrame(out, columns=["nid", "held"])
-
-    held = inner.join(open_, "nid", "left_semi").withColumn("b", batch_of("nid")).groupBy("b").applyInPandas(decide, "nid long, held boolean")
+    held = edge_connected(staged(inner.join(open_, "nid", "left_semi"), "open"), k, kernel_edges)
     return summary.join(held, "nid", "left").select("nid", F.coalesce("quick", "held", F.lit(False)).alias("pos_redun"))
 
 

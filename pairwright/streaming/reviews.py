@@ -1,4 +1,4 @@
-"""The review log as a stream: the last review of each edge, and components kept up to date."""
+"""The review log as a stream: the last review of each edge, and all that follows from it kept up to date."""
 
 from __future__ import annotations
 
@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pairwright.functions.codes import rectified
-from pairwright.operators import graph
-from pairwright.plans.infer import relabelled
-from pairwright.session import shared_dir
+from pairwright.functions.codes import NEGTV, POSTV, rectified
+from pairwright.operators import graph, redundancy
+from pairwright.operators.components import AT_ONCE, connected_components, spanning_forest
+from pairwright.sources.committed import CommittedTables
+from pairwright.session import shared_dir, staged
 
 LATEST = "aid1 long, aid2 long, review_id long, evidence_decision string, meta_decision string, num_reviews long"
 
@@ -37,59 +38,224 @@ def latest_stream(reviews: DataFrame) -> DataFrame:
 
 
 class ReviewState:
-    """Snapshots of edges and components that micro-batches of reviews bring up to date.
+    """Edges, components, meta edges and redundancy flags that micro-batches of reviews bring up to date.
 
-    Each epoch writes its snapshots under its number, and a last file that says it is whole; an
-    epoch that is there already is not applied again, and a new object over the same ``folder``
-    goes on from the last one. Only the last snapshots are read.
+    All are tables in hash buckets (`CommittedTables`): records and edges by record (an edge from both ends, with
+    ``tree``: whether it is in the spanning forest of the positive edges), members, counts of edges between
+    components by decision, and flags by component. A batch reads and writes only the buckets of the records and
+    components that it changes, and becomes visible as a whole: an epoch that is there already is not applied again,
+    and a new object over the same ``folder`` goes on from the last one.
+
+    A positive edge that goes and is not in the forest leaves the components as they are. For one in the forest, the
+    component's forest falls into pieces, and replacements are looked for among the positive edges of all pieces
+    but the largest. Records that no annotation names are added as they are reviewed.
     """
 
-    EDGES = "aid1 long, aid2 long, review_id long, evidence_decision string, meta_decision string, num_reviews long, decision string"
+    TABLES = {
+        "nodes": ("aid long, nid long", "aid"),
+        "members": ("nid long, aid long", "nid"),
+        "edges": ("u long, v long, review_id long, evidence_decision string, meta_decision string, num_reviews long, decision string, tree boolean", "u"),
+        "meta": ("nid long, other long, " + ", ".join(f"{d} long" for d in graph.DECISIONS) + ", redundant boolean", "nid"),
+        "flags": ("nid long, size long, inconsistent boolean, pos_redundant boolean", "nid"),
+    }
+
+    def __init__(self, annots: DataFrame, folder: str | None = None, buckets: int = 64, k_pos: int = 2, k_neg: int = 2):
+        self.spark = annots.sparkSession
+        self.folder, self.k_pos, self.k_neg = folder or f"{shared_dir(self.spark)}/reviews-{uuid.uuid4().hex}", k_pos, k_neg
+        self.tables = CommittedTables(self.spark, self.folder, self.TABLES, buckets)
+        #: Of the last batch: components whose forest lost an edge, and records that got another label.
+        self.searched = self.moved = 0
+        if self.tables.version < 0:
+            own = annots.select("aid", F.col("aid").alias("nid")).distinct()
+            flags = own.select("nid", F.lit(1).alias("size"), F.lit(False).alias("inconsistent"), F.lit(True).alias("pos_redundant"))
+            self.tables.commit({"nodes": (["aid"], own, None), "members": (["nid", "aid"], own, None), "flags": (["nid"], flags, None)}, {"epoch": -1})
+
+    # What there is ---------------------------------------------------------------------
+
+    @property
+    def epoch(self) -> int:
+        return self.tables.manifest["notes"]["epoch"]
 
-    def __init__(self, annots: DataFrame, folder: str | None = None):
-        self.annots, self.spark = annots, annots.sparkSession
-        self.folder = folder or f"{shared_dir(self.spark)}/reviews-{uuid.uuid4().hex}"
-        self.epoch = self._last()
-        if self.epoch < 0:
-            self.edges, self.pcc = self.spark.createDataFrame([], self.EDGES), annots.select("aid", F.col("aid").alias("nid"))
-        else:
-            self._read()
+    @property
+    def edges(self) -> DataFrame:
+        """aid1 < aid2 with the last review, num_reviews, decision and tree."""
+        return self.tables.read("edges").where("u < v").withColumnsRenamed({"u": "aid1", "v": "aid2"})
 
-    def _paths(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/whole")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+    @property
+    def pcc(self) -> DataFrame:
+        return self.tables.read("nodes")
 
-    def _last(self) -> int:
-        files, path = self._paths()
-        names = [x.getPath().getName() for x in files.listStatus(path)] if files.exists(path) else []
-        return max(map(int, names), default=-1)
+    @property
+    def neg_metagraph(self) -> DataFrame:
+        """(nid1, nid2, weight) as `graph.neg_metagraph` gives it."""
+        return self.tables.read("meta").where(f"nid <= other AND {NEGTV} > 0").select(F.col("nid").alias("nid1"), F.col("other").alias("nid2"), F.col(NEGTV).alias("weight"))
 
-    def _read(self) -> None:
-        self.edges = self.spark.read.schema(self.EDGES).parquet(f"{self.folder}/edges/{self.epoch}")
-        self.pcc = self.spark.read.parquet(f"{self.folder}/pcc/{self.epoch}")
+    @property
+    def inconsistent(self) -> DataFrame:
+        return self.tables.read("flags").where("inconsistent").select("nid")
+
+    @property
+    def pos_redundant(self) -> DataFrame:
+        """(nid) of consistent components that are redundant."""
+        return self.tables.read("flags").where("pos_redundant").select("nid")
+
+    @property
+    def neg_redundant(self) -> DataFrame:
+        """(nid1, nid2) as `redundancy.negative_redundancy` gives it."""
+        return self.tables.read("meta").where("redundant AND nid < other").select(F.col("nid").alias("nid1"), F.col("other").alias("nid2"))
+
+    # A batch ---------------------------------------------------------------------------
 
     def apply(self, batch: DataFrame, epoch: int) -> None:
-        """Fold a batch into the edges, and label again the components that it touches; an epoch counts once."""
+        """Fold a batch of reviews into the state as one commit; an epoch counts once."""
+        t = self.tables.refresh()
         if epoch <= self.epoch:
             return
-        reviews = graph.canonical(batch)
-        news = reviews.groupBy("aid1", "aid2").agg(F.max_by(F.struct("review_id", "evidence_decision", "meta_decision"), "review_id").alias("r"), F.count("*").alias("n"))
-        both = self.edges.join(news, ["aid1", "aid2"], "full_outer")
-        newer = F.col("r").isNotNull() & (F.coalesce(F.col("review_id"), F.lit(-1)) < F.col("r.review_id"))
+        reviews = graph.canonical(batch).groupBy("aid1", "aid2")
+        news = staged(reviews.agg(F.max_by(F.struct("review_id", "evidence_decision", "meta_decision"), "review_id").alias("r"), F.count("*").alias("n")), "news")
+        ends = news.select(F.explode(F.array("aid1", "aid2")).alias("aid")).distinct()
+        known = staged(t.matching("nodes", ends), "known")
+        fresh = staged(ends.join(known, "aid", "left_anti"), "fresh")
+        folded = self._folded(news)
+        label = known.union(fresh.select("aid", F.col("aid").alias("nid")))
+        cut = folded.where(f"was = '{POSTV}' AND decision <> '{POSTV}'").select("aid1", "aid2", "tree")
+        apart, links = self._split(cut, label)
+        grown = folded.where(f"decision = '{POSTV}' AND NOT was <=> '{POSTV}'").select("aid1", "aid2")
+        moved, joins = self._merged(grown, label, apart, fresh)
+        self.moved = moved.count()
+        delta = self._delta(folded, moved)
+        flags, gone, members = self._flags(folded, moved, delta)
+        meta, lost = self._meta(delta, flags)
+        tree = links.unionByName(joins)
+        t.commit({
+            "nodes": (["aid"], moved.select("aid", "nid"), None),
+            "members": (["nid", "aid"], moved.select("nid", "aid"), moved.where("old IS NOT NULL").select(F.col("old").alias("nid"), "aid")),
+            "edges": (["u", "v"], self._edge_rows(folded, tree), None),
+            "meta": (["nid", "other"], meta, lost),
+            "flags": (["nid"], flags, gone),
+        }, {"epoch": epoch})
+
+    def _folded(self, news: DataFrame) -> DataFrame:
+        """Edges with new reviews as they are then; ``was`` is the decision before (null for a new edge), ``tree`` as before."""
+        before = self.tables.matching("edges", news.select("aid1")).withColumnsRenamed({"u": "aid1", "v": "aid2", "decision": "was"})
+        both = news.join(before, ["aid1", "aid2"], "left")
+        newer = F.coalesce(F.col("review_id") < F.col("r.review_id"), F.lit(True))
         pick = lambda c: F.when(newer, F.col(f"r.{c}")).otherwise(F.col(c)).alias(c)
-        edges = both.select("aid1", "aid2", pick("review_id"), pick("evidence_decision"), pick("meta_decision"), (F.coalesce("num_reviews", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("num_reviews"))
-        edges.withColumn("decision", rectified(F.col("evidence_decision"), F.col("meta_decision"))).write.mode("overwrite").parquet(f"{self.folder}/edges/{epoch}")
-        edges = self.spark.read.schema(self.EDGES).parquet(f"{self.folder}/edges/{epoch}")
-        pcc = relabelled(self.pcc, self.edges, edges, news.select("aid1", "aid2"), self.annots)
-        pcc.write.mode("overwrite").parquet(f"{self.folder}/pcc/{epoch}")
-        files, path = self._paths()
-        files.mkdirs(self.spark._jvm.org.apache.hadoop.fs.Path(path, str(epoch)))
-        self.epoch = epoch
-        self._read()
+        rows = both.select("aid1", "aid2", pick("review_id"), pick("evidence_decision"), pick("meta_decision"), (F.coalesce("num_reviews", F.lit(0)) + F.col("n")).alias("num_reviews"), "was", F.coalesce("tree", F.lit(False)).alias("tree"))
+        return staged(rows.withColumn("decision", rectified(F.col("evidence_decision"), F.col("meta_decision"))), "folded")
+
+    def _split(self, cut: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(aid, old, nid) of all members of components whose forest loses an edge, and the edges (u, v) that take its place in the forest."""
+        t = self.tables
+        torn = staged(cut.where("tree").join(label.toDF("aid1", "nid"), "aid1").select("nid").distinct(), "torn")
+        self.searched = torn.count()
+        if not self.searched:
+            return self.spark.createDataFrame([], "aid long, old long, nid long"), self.spark.createDataFrame([], "u long, v long")
+        inside = staged(t.matching("members", torn), "inside")
+        gone = cut.select(F.col("aid1").alias("u"), F.col("aid2").alias("v"))
+        rest = t.matching("edges", inside.select("aid")).where("tree AND u < v").select("u", "v").join(gone, ["u", "v"], "left_anti")
+        pieces = staged(connected_components(rest, "u", "v", nodes=inside, component="piece", at_once=AT_ONCE).join(inside, "aid"), "pieces")
+        sizes = pieces.groupBy("nid", "piece").agg(F.count("*").alias("n"))
+        largest = sizes.groupBy("nid").agg(F.max_by("piece", F.struct("n", "piece")).alias("piece"))
+        small = staged(pieces.join(largest.select("piece"), "piece", "left_anti").select("aid", "piece"), "small")
+        spare = t.matching("edges", small.select("aid")).where(f"decision = '{POSTV}' AND NOT tree").select("u", "v")
+        spare = spare.join(gone.union(gone.select("v", "u")), ["u", "v"], "left_anti").join(small.toDF("u", "pu"), "u").join(pieces.select(F.col("aid").alias("v"), F.col("piece").alias("pv")), "v").where("pu <> pv")
+        joining, links = self._forest(spare.select("u", "v", "pu", "pv"))
+        whole = connected_components(joining, "a", "b", nodes=pieces.select("piece"), node="piece", component="whole", at_once=AT_ONCE)
+        return staged(pieces.join(whole, "piece").select("aid", F.col("nid").alias("old"), F.col("whole").alias("nid")), "apart"), links
+
+    @staticmethod
+    def _forest(crossing: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of edges (u, v) between parts (pu, pv): the pairs of parts (a, b) of a spanning forest, and an edge (u < v) for each."""
+        best = staged(crossing.groupBy(F.least("pu", "pv").alias("a"), F.greatest("pu", "pv").alias("b")).agg(F.min(F.struct(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).alias("e")), "best")
+        joining = staged(spanning_forest(best, "a", "b", at_once=AT_ONCE), "joining")
+        return joining, best.join(joining, ["a", "b"]).select("e.u", "e.v")
+
+    def _merged(self, grown: DataFrame, label: DataFrame, apart: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(aid, old, nid) of all records whose label changes, and the new edges (u, v) that are in the forest."""
+        now = label.join(apart.select("aid", F.col("nid").alias("then")), "aid", "left").select("aid", F.coalesce("then", "nid").alias("nid"))
+        pairs = grown.join(now.toDF("aid1", "pu"), "aid1").join(now.toDF("aid2", "pv"), "aid2").where("pu <> pv")
+        joining, links = self._forest(pairs.select(F.col("aid1").alias("u"), F.col("aid2").alias("v"), "pu", "pv"))
+        target = staged(connected_components(joining, "a", "b", node="nid", component="to", at_once=AT_ONCE), "target")
+        others = self.tables.matching("members", target.where("nid <> to").select("nid")).join(apart.select("aid"), "aid", "left_anti")
+        placed = apart.unionByName(others.select("aid", F.col("nid").alias("old"), "nid")).unionByName(fresh.select("aid", F.lit(None).cast("long").alias("old"), F.col("aid").alias("nid")))
+        placed = placed.join(target, "nid", "left").select("aid", "old", F.coalesce("to", "nid").alias("nid"))
+        return staged(placed.where("NOT old <=> nid"), "moved"), links
+
+    def _delta(self, folded: DataFrame, moved: DataFrame) -> DataFrame:
+        """(nid, other, then a change for each decision): what edges that changed, or whose ends moved, do to the counts between components; from both sides."""
+        t = self.tables
+        beside = t.matching("edges", moved.where("old IS NOT NULL").select("aid")).select(F.least("u", "v").alias("aid1"), F.greatest("u", "v").alias("aid2"), F.col("decision").alias("was"))
+        changed = folded.where("NOT was <=> decision").select("aid1", "aid2", "was")
+        rows = beside.union(changed).distinct().join(folded.select("aid1", "aid2", "decision"), ["aid1", "aid2"], "left").withColumn("now", F.coalesce("decision", "was"))
+        rows = staged(rows.select("aid1", "aid2", "was", "now"), "changed")
+        ends = rows.select(F.explode(F.array("aid1", "aid2")).alias("aid")).distinct()
+        held = t.matching("nodes", ends).join(moved.select("aid", F.col("nid").alias("to")), "aid", "left").select("aid", F.col("nid").alias("old"), F.coalesce("to", "nid").alias("new"))
+        held = staged(held.union(moved.where("old IS NULL").select("aid", "old", "nid")), "held")
+        both = rows.join(held.toDF("aid1", "o1", "n1"), "aid1").join(held.toDF("aid2", "o2", "n2"), "aid2")
+        count = lambda x, y, d, n: both.where(F.col(d).isNotNull()).select(F.least(x, y).alias("nid"), F.greatest(x, y).alias("other"), F.col(d).alias("d"), F.lit(n).alias("n"))
+        sums = count("o1", "o2", "was", -1).union(count("n1", "n2", "now", 1)).groupBy("nid", "other").agg(*[F.sum(F.when(F.col("d") == d, F.col("n")).otherwise(0)).alias(d) for d in graph.DECISIONS])
+        sums = sums.where(" OR ".join(f"{d} <> 0" for d in graph.DECISIONS))
+        return staged(sums.union(sums.where("nid <> other").select(F.col("other").alias("nid"), F.col("nid").alias("other"), *graph.DECISIONS)), "delta")
+
+    def _counted(self, nids: DataFrame, delta: DataFrame) -> DataFrame:
+        """Rows of meta for ``nids``, with the changes; ``redundant`` as before (null for a new row)."""
+        old = self.tables.matching("meta", nids)
+        mine = delta.join(nids.toDF("nid").distinct(), "nid", "left_semi").withColumnsRenamed({d: f"d_{d}" for d in graph.DECISIONS})
+        sums = [(F.coalesce(d, F.lit(0)) + F.coalesce(f"d_{d}", F.lit(0))).alias(d) for d in graph.DECISIONS]
+        return old.join(mine, ["nid", "other"], "full_outer").select("nid", "other", *sums, "redundant", F.greatest(*[F.col(f"d_{d}").isNotNull() for d in graph.DECISIONS]).alias("changed"))
+
+    def _flags(self, folded: DataFrame, moved: DataFrame, delta: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Rows of flags that are other than before, the components that are gone, and the members of touched ones."""
+        t = self.tables
+        shift = moved.select("nid", F.lit(1).alias("n")).union(moved.where("old IS NOT NULL").select("old", F.lit(-1))).groupBy("nid").agg(F.sum("n").alias("n"))
+        touched = staged(shift.select("nid").union(delta.where("nid = other").select("nid")).distinct(), "touched")
+        sized = touched.join(t.matching("flags", touched).select("nid", "size"), "nid", "left").join(shift, "nid", "left").select("nid", (F.coalesce("size", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("size"))
+        sized = staged(sized, "sized")
+        inner = self._counted(touched, delta).where("nid = other").select("nid", (F.col(NEGTV) > 0).alias("bad"))
+        members = t.matching("members", touched).join(moved.select("aid"), "aid", "left_anti").select("aid", "nid").union(moved.select("aid", "nid"))
+        members = staged(members, "members")
+        rows = t.matching("edges", members.select("aid")).where("u < v").select(F.col("u").alias("aid1"), F.col("v").alias("aid2"), "decision").join(folded.select("aid1", "aid2"), ["aid1", "aid2"], "left_anti")
+        rows = staged(rows.union(folded.select("aid1", "aid2", "decision")), "inside")
+        held = redundancy.positive_redundancy(rows, members, self.k_pos)
+        flags = sized.where("size > 0").join(inner, "nid", "left").join(held, "nid", "left")
+        flags = staged(flags.select("nid", "size", F.coalesce("bad", F.lit(False)).alias("inconsistent"), F.coalesce("pos_redun", F.lit(False)).alias("pos_redundant")), "flags")
+        return flags, sized.where("size = 0").select("nid"), members
+
+    def _meta(self, delta: DataFrame, flags: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of meta that are other than before, and the keys of those that are gone."""
+        nids = staged(flags.select("nid").union(delta.select("nid")).distinct(), "nids")
+        rows = self._counted(nids, delta)
+        # Redundancy depends on both components; what one's flags change is changed in the other's row, too.
+        mirrored = rows.where("nid <> other").select(F.col("other").alias("nid"), F.col("nid").alias("other"), *graph.DECISIONS)
+        mirrored = mirrored.join(nids, "nid", "left_anti")
+        there = self.tables.matching("meta", mirrored.select("nid")).select("nid", "other", "redundant")
+        mirrored = mirrored.join(there, ["nid", "other"], "left").withColumn("changed", F.lit(None).cast("boolean"))
+        rows = staged(rows.unionByName(mirrored), "meta")
+        empty = " AND ".join(f"{d} = 0" for d in graph.DECISIONS)
+        live = rows.where(f"NOT ({empty})")
+        asked = live.select("nid").distinct()
+        held = self.tables.matching("flags", asked).join(flags.select("nid"), "nid", "left_anti").select("nid", "size", "inconsistent").union(flags.select("nid", "size", "inconsistent"))
+        held = staged(held, "held")
+        both = live.join(held, "nid").join(held.select(F.col("nid").alias("other"), F.col("size").alias("size2")), "other")
+        weight = F.col(NEGTV)
+        flag = (F.col("nid") != F.col("other")) & (weight > 0) & ~F.col("inconsistent") & ((weight >= self.k_neg) | (weight == F.col("size")) | (weight == F.col("size2")))
+        out = both.withColumn("flag", flag).where("coalesce(changed, false) OR NOT redundant <=> flag")
+        return out.select("nid", "other", *graph.DECISIONS, F.col("flag").alias("redundant")), rows.where(empty).select("nid", "other")
+
+    def _edge_rows(self, folded: DataFrame, tree: DataFrame) -> DataFrame:
+        """Rows of edges from both ends: those reviewed, and those that are new in the forest."""
+        columns = [c.split()[0] for c in self.TABLES["edges"][0].split(", ")]
+        marked = tree.select("u", "v", F.lit(True).alias("taken")).distinct()
+        seen = folded.withColumnsRenamed({"aid1": "u", "aid2": "v"}).join(marked, ["u", "v"], "left")
+        seen = seen.withColumn("tree", F.coalesce("taken", F.col("tree") & (F.col("was") == POSTV) & (F.col("decision") == POSTV), F.lit(False))).select(*columns)
+        others = marked.join(folded.select(F.col("aid1").alias("u"), F.col("aid2").alias("v")), ["u", "v"], "left_anti")
+        old = self.tables.matching("edges", others.select("u")).join(others, ["u", "v"], "left_semi").withColumn("tree", F.lit(True)).select(*columns)
+        rows = staged(seen.unionByName(old), "edges")
+        return rows.union(rows.select(F.col("v"), F.col("u"), *columns[2:]))
 
     def follow(self, stream: DataFrame):
-        """A streaming query that applies each micro-batch of ``stream``; its checkpoint lies beside the snapshots."""
+        """A streaming query that applies each micro-batch of ``stream``; its checkpoint lies beside the tables."""
         return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).start()
 
 
