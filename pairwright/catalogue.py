@@ -589,7 +589,7 @@ def _replay(spark, sf_dir, name, log, nodes, batches=3):
 
 def _replayed(spark, sf_dir):
     log = fx.event_reviews(spark, sf_dir)
-    return _replay(spark, sf_dir, "events", log, log.select(F.explode(F.array("aid1", "aid2")).alias("aid")).distinct())
+    return _replay(spark, sf_dir, "events", log, log.select(F.explode(F.array("aid1", "aid2")).alias("aid")).distinct(), 2)
 
 
 def _revised_orders(spark, sf_dir):
@@ -805,9 +805,27 @@ def ensured_cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.ensure_cliques(_names(spark, sf_dir), fx.order_edges(spark, sf_dir)).select("aid1", "aid2", "decision")
 
 
-@query(ORACLES["mst_candidates"].replace("SELECT name, least(u, v) AS aid1, greatest(u, v) AS aid2 FROM (SELECT o.*", "SELECT aid1, aid2, decision FROM edges UNION ALL SELECT least(u, v), greatest(u, v), 'UNREV' FROM (SELECT o.*") + " AND NOT EXISTS (SELECT 1 FROM edges WHERE aid1 = least(u, v) AND aid2 = greatest(u, v))")
+_LINKS = "links AS MATERIALIZED (SELECT least(u, v) AS aid1, greatest(u, v) AS aid2 FROM (SELECT o.*, row_number() OVER (PARTITION BY f, p ORDER BY u, v) AS r FROM open_pairs o JOIN up USING (f, p)) WHERE r = 1)"
+
+
+@query(f"WITH RECURSIVE {_FX1}{_FRAGMENTS}, {_LINKS} SELECT aid1, aid2, CASE WHEN l.aid1 IS NULL THEN decision ELSE 'POSTV' END AS decision, CASE WHEN l.aid1 IS NULL THEN confidence ELSE 'guessing' END AS confidence, coalesce(num_reviews, 0) + (l.aid1 IS NOT NULL)::INT AS num_reviews FROM edges e FULL JOIN links l USING (aid1, aid2)")
 def ensured_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.ensure_mst(_names(spark, sf_dir), fx.order_edges(spark, sf_dir)).select("aid1", "aid2", "decision")
+    """The edges once the links that would join each name's fragments are guessed to be the same."""
+    return candidates.ensure_mst(_names(spark, sf_dir), fx.order_edges(spark, sf_dir)).select("aid1", "aid2", "decision", "confidence", "num_reviews")
+
+
+@query(f"WITH RECURSIVE {_FX1}{_FRAGMENTS} SELECT name, count(DISTINCT c) AS n_parts FROM frs JOIN (SELECT f, min(g) AS c FROM tree GROUP BY f) USING (f) GROUP BY name")
+def ensured_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many components each name's records are after `ensured_links`, by edges within names: one, unless all pairs of two parts are closed."""
+    names = _names(spark, sf_dir)
+    after = candidates.ensure_mst(names, fx.order_edges(spark, sf_dir)).where(F.col("decision") == POSTV)
+    inner = after.join(names.toDF("aid1", "name"), "aid1").join(names.toDF("aid2", "name2"), "aid2").where("name = name2")
+    return connected_components(inner, nodes=names).join(names, "aid").groupBy("name").agg(F.countDistinct("nid").alias("n_parts"))
+
+
+@query(on_edges("SELECT aid1, aid2, CASE WHEN decision = 'UNREV' AND x.name = y.name THEN 'POSTV' ELSE decision END AS decision FROM edges JOIN annots x ON aid1 = x.aid JOIN annots y ON aid2 = y.aid UNION ALL SELECT a.aid, b.aid, 'POSTV' FROM annots a JOIN annots b ON a.name = b.name AND a.aid < b.aid LEFT JOIN edges e ON e.aid1 = a.aid AND e.aid2 = b.aid WHERE e.aid1 IS NULL"))
+def ensured_same_cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.ensure_cliques(_names(spark, sf_dir), fx.order_edges(spark, sf_dir), "same").select("aid1", "aid2", "decision")
 
 
 @query(f"WITH {_LOG} SELECT review_id, aid1, aid2, d AS evidence_decision, who AS user_id, tag AS tags FROM log")

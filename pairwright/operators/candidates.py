@@ -14,6 +14,10 @@ from pairwright.operators.redundancy import positive_augmentation
 from pairwright.session import staged
 
 
+#: Blocks that one side of all pairs of nodes is dealt out to.
+FULL_BLOCKS = 64
+
+
 def clique_pairs(names: DataFrame, edges: DataFrame) -> DataFrame:
     """(aid1, aid2): pairs with one name that are unreviewed or have no edge.
 
@@ -82,19 +86,47 @@ def ensured(edges: DataFrame, pairs: DataFrame, user_id: str) -> DataFrame:
     return added(edges, new.withColumns({"decision": F.lit(UNREV), "user_id": F.lit(user_id)}), ["aid1", "aid2"])
 
 
-def ensure_cliques(names: DataFrame, edges: DataFrame) -> DataFrame:
-    """``edges`` and all unreviewed pairs within names."""
-    return ensured(edges, clique_pairs(names, edges), "algo:clique")
+def same_reviews(pairs: DataFrame, user_id: str) -> DataFrame:
+    """Reviews (without ids) that guess each of ``pairs`` to be the same: no evidence, but the meta decision."""
+    rows = pairs.select(F.least("aid1", "aid2").alias("aid1"), F.greatest("aid1", "aid2").alias("aid2")).where("aid1 < aid2").distinct()
+    values = {"evidence_decision": UNREV, "meta_decision": "same", "confidence": "guessing", "user_id": user_id}
+    return rows.withColumns({c: F.lit(v) for c, v in values.items()})
+
+
+def reviewed_same(edges: DataFrame, pairs: DataFrame, user_id: str) -> DataFrame:
+    """``edges`` after `same_reviews` of ``pairs``: those are POSTV then, with one review more; columns of reviews that edges lack are added."""
+    reviews = same_reviews(pairs, user_id)
+    news = reviews.select("aid1", "aid2", *[F.col(c).alias(f"_{c}") for c in reviews.columns if c not in ("aid1", "aid2")], F.lit(True).alias("_new"))
+    for c in ("meta_decision", "confidence", "user_id"):
+        edges = edges if c in edges.columns else edges.withColumn(c, F.lit(None).cast("string"))
+    rows = edges.join(news, ["aid1", "aid2"], "full_outer")
+    put = {c: F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)) for c in reviews.columns if c in edges.columns and c not in ("aid1", "aid2")}
+    put["decision"] = F.when(F.col("_new"), POSTV).otherwise(F.col("decision"))
+    if "num_reviews" in edges.columns:
+        put["num_reviews"] = F.coalesce("num_reviews", F.lit(0)) + F.when(F.col("_new"), 1).otherwise(0)
+    return rows.select(*[put.get(c, F.col(c)).alias(c) for c in edges.columns])
+
+
+def ensure_cliques(names: DataFrame, edges: DataFrame, meta_decision: str | None = None) -> DataFrame:
+    """``edges`` and all unreviewed pairs within names: as edges to review or, with a meta decision ("same"), reviewed so by a guess."""
+    if meta_decision not in (None, "same"):
+        raise ValueError("cliques are of the same name")
+    pairs = clique_pairs(names, edges)
+    return ensured(edges, pairs, "algo:clique") if meta_decision is None else reviewed_same(edges, pairs, "algo:clique")
 
 
 def ensure_full(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``edges`` and all pairs of ``nodes`` (aid) without one: the number of pairs is what is asked for."""
-    return ensured(edges, complement(nodes.select("aid", F.lit(0).alias("name")), edges), "algo:full")
+    # Each node meets the nodes of every block, so that no key holds all of them.
+    blocked = nodes.select("aid", F.pmod(F.xxhash64("aid"), F.lit(FULL_BLOCKS)).alias("b")).distinct()
+    one = blocked.select(F.col("aid").alias("aid1"), F.explode(F.sequence(F.lit(0), F.lit(FULL_BLOCKS - 1))).alias("b"))
+    pairs = one.join(blocked.withColumnRenamed("aid", "aid2"), "b").where("aid1 < aid2").select("aid1", "aid2")
+    return ensured(edges, pairs, "algo:full")
 
 
 def ensure_mst(names: DataFrame, edges: DataFrame) -> DataFrame:
-    """``edges`` and the links that would join the fragments of each name."""
-    return ensured(edges, fragment_links(names, edges), "algo:mst")
+    """``edges`` after a guess that the links of `fragment_links` are the same, so that each name is one component as far as it can be."""
+    return reviewed_same(edges, fragment_links(names, edges), "algo:mst")
 
 
 def connecting_edges(names: DataFrame, edges: DataFrame, k: int = 1) -> DataFrame:

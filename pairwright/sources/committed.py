@@ -89,8 +89,8 @@ class CommittedTables:
 
     def touched(self, *keys: DataFrame) -> list[int]:
         """The buckets of the keys in one-column frames."""
-        frames = [k.select(self.bucket(F.col(k.columns[0])).alias("b")).distinct() for k in keys]
-        return sorted({r.b for f in frames for r in f.collect()})
+        numbers = union_all([k.select(self.bucket(F.col(k.columns[0])).alias("b")) for k in keys])
+        return sorted(numbers.agg(F.collect_set("b").alias("b")).first()["b"])
 
     def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
         """A table as of this version, or some of its buckets: only their files are read."""

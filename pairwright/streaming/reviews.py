@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -160,23 +160,28 @@ class ReviewState:
         small = staged(pieces.join(largest.select("piece"), "piece", "left_anti").select("aid", "piece"), "small")
         spare = t.matching("edges", small.select("aid")).where(f"decision = '{POSTV}' AND NOT tree").select("u", "v")
         spare = spare.join(gone.union(gone.select("v", "u")), ["u", "v"], "left_anti").join(small.toDF("u", "pu"), "u").join(pieces.select(F.col("aid").alias("v"), F.col("piece").alias("pv")), "v").where("pu <> pv")
-        joining, links = self._forest(spare.select("u", "v", "pu", "pv"))
+        joining, links, _ = self._forest(spare.select("u", "v", "pu", "pv"))
         whole = connected_components(joining, "a", "b", nodes=pieces.select("piece"), node="piece", component="whole", at_once=AT_ONCE)
         return staged(pieces.join(whole, "piece").select("aid", F.col("nid").alias("old"), F.col("whole").alias("nid")), "apart"), links
 
-    @staticmethod
-    def _forest(crossing: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Of edges (u, v) between parts (pu, pv): the pairs of parts (a, b) of a spanning forest, and an edge (u < v) for each."""
-        best = staged(crossing.groupBy(F.least("pu", "pv").alias("a"), F.greatest("pu", "pv").alias("b")).agg(F.min(F.struct(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).alias("e")), "best")
+    def _forest(self, crossing: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        """Of edges (u, v) between parts (pu, pv): the pairs of parts (a, b) of a spanning forest, an edge (u < v) for each, and how many pairs there were to choose from."""
+        seen = Observation()
+        best = crossing.groupBy(F.least("pu", "pv").alias("a"), F.greatest("pu", "pv").alias("b")).agg(F.min(F.struct(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).alias("e"))
+        best = staged(best.observe(seen, F.count(F.lit(1)).alias("n")), "best")
+        if not seen.get["n"]:
+            return self.spark.createDataFrame([], "a long, b long"), self.spark.createDataFrame([], "u long, v long"), 0
         joining = staged(spanning_forest(best, "a", "b", at_once=AT_ONCE), "joining")
-        return joining, best.join(joining, ["a", "b"]).select("e.u", "e.v")
+        return joining, best.join(joining, ["a", "b"]).select("e.u", "e.v"), seen.get["n"]
 
     def _merged(self, grown: DataFrame, label: DataFrame, apart: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(aid, old, nid) of all records whose label changes, and the new edges (u, v) that are in the forest."""
         now = label.join(apart.select("aid", F.col("nid").alias("then")), "aid", "left").select("aid", F.coalesce("then", "nid").alias("nid"))
         pairs = grown.join(now.toDF("aid1", "pu"), "aid1").join(now.toDF("aid2", "pv"), "aid2").where("pu <> pv")
-        joining, links = self._forest(pairs.select(F.col("aid1").alias("u"), F.col("aid2").alias("v"), "pu", "pv"))
-        target = staged(connected_components(joining, "a", "b", node="nid", component="to", at_once=AT_ONCE), "target")
+        joining, links, n = self._forest(pairs.select(F.col("aid1").alias("u"), F.col("aid2").alias("v"), "pu", "pv"))
+        target = self.spark.createDataFrame([], "nid long, to long")
+        if n:
+            target = staged(connected_components(joining, "a", "b", node="nid", component="to", at_once=AT_ONCE), "target")
         others = self.tables.matching("members", target.where("nid <> to").select("nid")).join(apart.select("aid"), "aid", "left_anti")
         placed = apart.unionByName(others.select("aid", F.col("nid").alias("old"), "nid")).unionByName(fresh.select("aid", F.lit(None).cast("long").alias("old"), F.col("aid").alias("nid")))
         placed = placed.join(target, "nid", "left").select("aid", "old", F.coalesce("to", "nid").alias("nid"))

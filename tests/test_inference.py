@@ -96,18 +96,6 @@ def test_states_equal_the_rules(world):
     assert {s for _, s in states.values()} == {"same", "diff", "inconsistent_internal", "inconsistent_external", "INCMP", "UNKWN", None}
 
 
-def test_incremental_equals_batch(world):
-    annots, log = world
-    state = ReviewState(annots)
-    for k in (0, 1, 2):
-        state.apply(log.where(F.pmod("review_id", F.lit(3)) == k), k)
-    state.apply(log.where(F.pmod("review_id", F.lit(3)) == 1), 1)
-    batch = infer_reviews(annots, log)
-    assert sorted(map(tuple, state.pcc.collect())) == sorted(map(tuple, batch.pcc.collect()))
-    columns = ["aid1", "aid2", "decision", "num_reviews"]
-    assert sorted(map(tuple, state.edges.select(columns).collect())) == sorted(map(tuple, batch.edges.select(columns).collect()))
-
-
 def test_suspected_errors_equal_brute_force(spark):
     rng = random.Random(17)
     rows, want = [], set()
@@ -197,6 +185,11 @@ def test_node_attributes_and_ensured_edges(spark):
     pairs = lambda df: sorted((r.aid1, r.aid2) for r in df.collect())
     assert pairs(candidates.ensure_cliques(names, edges)) == pairs(candidates.ensure_full(names, edges)) == [(1, 2), (1, 3), (2, 3)]
     assert pairs(candidates.ensure_mst(names, edges)) == [(1, 2), (1, 3)]
+    guessed = candidates.ensure_mst(names, edges.withColumns({"num_reviews": F.lit(2), "meta_decision": F.lit("null")}).union(spark.createDataFrame([(2, 3, "UNREV", 0, "null")], "aid1 long, aid2 long, decision string, num_reviews int, meta_decision string")))
+    assert sorted((r.aid1, r.aid2, r.decision, r.num_reviews, r.meta_decision, r.confidence, r.user_id) for r in guessed.collect()) == [(1, 2, "POSTV", 2, "null", None, None), (1, 3, "POSTV", 1, "same", "guessing", "algo:mst"), (2, 3, "UNREV", 0, "null", None, None)]
+    assert {r.decision for r in candidates.ensure_cliques(names, edges, "same").collect()} == {"POSTV"}
+    with pytest.raises(ValueError):
+        candidates.ensure_cliques(names, edges, "diff")
 
 
 def test_truth(spark):
