@@ -25,6 +25,15 @@ def latest_reviews(reviews: DataFrame, order: str = "review_id") -> DataFrame:
     return out.withColumn("decision", rectified(F.col("evidence_decision"), F.col("meta_decision")))
 
 
+def with_ends(annots: DataFrame, edges: DataFrame, allow: bool = True) -> DataFrame:
+    """(aid): the records, and ends of edges that are none of them; unless those are allowed, one is an error."""
+    own = annots.select("aid").distinct()
+    unseen = edges.select(F.explode(F.array("aid1", "aid2")).alias("aid")).distinct().join(own, "aid", "left_anti")
+    if not allow:
+        unseen = unseen.select(F.raise_error(F.concat(F.lit("no record "), F.col("aid").cast("string"))).cast("long").alias("aid"))
+    return own.union(unseen)
+
+
 def with_labels(edges: DataFrame, pcc: DataFrame) -> DataFrame:
     """Edges with the components of their ends: nid1 <= nid2, and those of aid1 and aid2 as na and nb."""
     a = pcc.select(F.col("aid").alias("aid1"), F.col("nid").alias("na"))

@@ -56,3 +56,22 @@ def meta_violations(edges: DataFrame, pcc: DataFrame) -> DataFrame:
     loops, bad = meta.where("nid1 = nid2").select(F.col("nid1").alias("nid")), graph.pcc_summary(edges, pcc).where("NOT is_consistent").select("nid")
     lost = loops.exceptAll(bad).union(bad.exceptAll(loops)).agg(F.count("*").alias("n")).select(F.lit("loops").alias("what"), "n")
     return total.union(lost).where("n <> 0")
+
+
+def meta_differences(edges: DataFrame, pcc: DataFrame, kept: DataFrame) -> DataFrame:
+    """(nid1, nid2, weight, kept): where a negative metagraph that is kept differs from that of the edges; null where one lacks the row."""
+    now = graph.neg_metagraph(edges, pcc)
+    both = now.join(kept.select("nid1", "nid2", F.col("weight").alias("kept")), ["nid1", "nid2"], "full_outer")
+    return both.where("NOT weight <=> kept").select("nid1", "nid2", "weight", "kept")
+
+
+def recovery_violations(edges: DataFrame, pcc: DataFrame, suspected: DataFrame) -> DataFrame:
+    """(nid, what): components with suspected edges (aid1, aid2) that are consistent, or inconsistent ones without any.
+
+    A suspected edge between two components is in neither and counts for its lesser one.
+    """
+    bad = graph.inconsistent(edges, pcc).withColumn("bad", F.lit(True))
+    marked = graph.with_labels(suspected.select("aid1", "aid2"), pcc).select(F.col("nid1").alias("nid"), (F.col("nid1") == F.col("nid2")).alias("inside")).groupBy("nid").agg(F.bool_and("inside").alias("inside"))
+    rows = bad.join(marked, "nid", "full_outer")
+    what = F.when(F.col("inside").isNull(), "no suspect").when(F.col("bad").isNull(), "consistent").when(~F.col("inside"), "suspect between")
+    return rows.select("nid", what.alias("what")).where("what IS NOT NULL")

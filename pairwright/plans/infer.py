@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairwright.config import Config
 from pairwright.functions.codes import POSTV
-from pairwright.operators import graph, recovery, redundancy
+from pairwright.operators import feedback, graph, recovery, redundancy
 from pairwright.operators.components import connected_components
 
 
@@ -51,13 +51,25 @@ class Inference:
 
 
 def infer(annots: DataFrame, edges: DataFrame, config: Config | None = None) -> Inference:
-    """``annots``: (aid); ``edges``: aid1 < aid2 with decision, num_reviews, prob_match and confidence."""
-    return Inference(annots, edges, connected_components(edges.where(F.col("decision") == POSTV), nodes=annots), config or Config())
+    """``annots``: (aid); ``edges``: aid1 < aid2 with decision, num_reviews, prob_match and confidence.
+
+    Ends of edges that are no records are added to them, or are an error if the settings do not allow unseen nodes.
+    """
+    config = config or Config()
+    annots = graph.with_ends(annots, edges, config.allow_unseen_nodes)
+    return Inference(annots, edges, connected_components(edges.where(F.col("decision") == POSTV), nodes=annots), config)
 
 
-def infer_reviews(annots: DataFrame, reviews: DataFrame, config: Config | None = None) -> Inference:
-    """From a review log: the last review of an edge counts."""
-    return infer(annots, with_measures(graph.latest_reviews(graph.canonical(reviews))), config)
+def infer_reviews(annots: DataFrame, reviews: DataFrame, config: Config | None = None, committed: DataFrame | None = None) -> Inference:
+    """From a review log: the last review of an edge counts.
+
+    With ``committed`` (aid1, aid2), the edges with reviews in the permanent table, an unreview deletes those of its
+    edge before it, and one of a committed edge is an error.
+    """
+    reviews = graph.canonical(reviews)
+    if committed is not None:
+        reviews = feedback.effective(reviews, committed)
+    return infer(annots, with_measures(graph.latest_reviews(reviews)), config)
 
 
 def with_measures(edges: DataFrame) -> DataFrame:

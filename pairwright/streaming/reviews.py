@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pairwright.functions.codes import NEGTV, POSTV, rectified
+from pairwright.functions.codes import NEGTV, POSTV, UNREV, rectified
 from pairwright.operators import graph, redundancy
 from pairwright.operators.components import AT_ONCE, connected_components, spanning_forest
 from pairwright.sources.committed import CommittedTables
@@ -48,7 +48,8 @@ class ReviewState:
 
     A positive edge that goes and is not in the forest leaves the components as they are. For one in the forest, the
     component's forest falls into pieces, and replacements are looked for among the positive edges of all pieces
-    but the largest. Records that no annotation names are added as they are reviewed.
+    but the largest. Records that no annotation names are added as they are reviewed. To unreview an edge of
+    ``committed`` (aid1 < aid2, those with reviews in the permanent table) is an error, and the batch changes nothing.
     """
 
     TABLES = {
@@ -59,8 +60,8 @@ class ReviewState:
         "flags": ("nid long, size long, inconsistent boolean, pos_redundant boolean", "nid"),
     }
 
-    def __init__(self, annots: DataFrame, folder: str | None = None, buckets: int = 64, k_pos: int = 2, k_neg: int = 2):
-        self.spark = annots.sparkSession
+    def __init__(self, annots: DataFrame, folder: str | None = None, buckets: int = 64, k_pos: int = 2, k_neg: int = 2, committed: DataFrame | None = None):
+        self.spark, self.committed = annots.sparkSession, committed
         self.folder, self.k_pos, self.k_neg = folder or f"{shared_dir(self.spark)}/reviews-{uuid.uuid4().hex}", k_pos, k_neg
         self.tables = CommittedTables(self.spark, self.folder, self.TABLES, buckets)
         #: Of the last batch: components whose forest lost an edge, and records that got another label.
@@ -117,6 +118,10 @@ class ReviewState:
         known = staged(t.matching("nodes", ends), "known")
         fresh = staged(ends.join(known, "aid", "left_anti"), "fresh")
         folded = self._folded(news)
+        if self.committed is not None:
+            undone = folded.where(F.col("decision") == UNREV).join(self.committed.select("aid1", "aid2"), ["aid1", "aid2"], "left_semi").first()
+            if undone:
+                raise ValueError(f"committed reviews cannot be undone: {undone.aid1} {undone.aid2}")
         label = known.union(fresh.select("aid", F.col("aid").alias("nid")))
         cut = folded.where(f"was = '{POSTV}' AND decision <> '{POSTV}'").select("aid1", "aid2", "tree")
         apart, links = self._split(cut, label)

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from pairwright.config import Config
 from pairwright.operators.components import connected_components, spanning_forest
 from pairwright.plans.infer import infer_reviews
 from pairwright.sources.committed import CommittedTables, Conflict
@@ -116,6 +117,22 @@ def test_of_two_writers_one_wins(spark, tmp_path):
     assert rows(ReviewState(annots, str(tmp_path / "s")).pcc) == [(1, 1), (2, 1), (3, 3)]
 
 
+def test_unseen_records_and_committed_reviews(spark, tmp_path):
+    annots, log = spark.createDataFrame([(1,), (2,)], "aid long"), log_of(spark, [(1, 2, "POSTV"), (2, 7, "POSTV")])
+    assert rows(infer_reviews(annots, log).pcc) == [(1, 1), (2, 1), (7, 1)]
+    with pytest.raises(Exception, match="no record 7"):
+        infer_reviews(annots, log, Config(allow_unseen_nodes=False)).pcc.count()
+    fixed = spark.createDataFrame([(1, 2)], "aid1 long, aid2 long")
+    undo = log.union(log_of(spark, [(1, 2, "UNREV")], 10))
+    assert rows(infer_reviews(annots, undo).edges.select("aid1", "decision")) == [(1, "UNREV"), (2, "POSTV")]
+    with pytest.raises(Exception, match="committed"):
+        infer_reviews(annots, undo, committed=fixed).edges.count()
+    state = ReviewState(annots, str(tmp_path / "c"), buckets=2, committed=fixed)
+    with pytest.raises(ValueError, match="committed"):
+        state.apply(undo, 0)
+    assert state.epoch == -1 and state.edges.count() == 0
+
+
 def test_committed_tables(spark, tmp_path):
     make = lambda: CommittedTables(spark, str(tmp_path / "t"), {"t": ("k long, v string", "k"), "other": ("k long, v string", "k")}, 8)
     frame = lambda *r: spark.createDataFrame(list(r), "k long, v string")
