@@ -2,6 +2,9 @@
 
 Quality rules, language identification and the n-gram Jaccard join drop rows; personal data
 is masked in place; best-fit packing gives the place of every piece of what is left.
+
+Every stage takes any extra columns along (but for the last, which returns places), gives no rows for an empty table,
+treats repeated rows one by one unless it says otherwise, and works on whole texts of any length.
 """
 
 from __future__ import annotations
@@ -16,28 +19,34 @@ from pairwright.session import shipped, staged
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that pass the base rules and the fertility bands."""
+    """Rows that pass the base rules and the fertility bands; null and empty texts have no words and go."""
     return quality_filter(docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows mostly in one language that the labelled rows among them teach; without any, all rows stay."""
+    """Rows mostly in one language that the labelled rows among them teach; without any, all rows stay.
+
+    Null texts and those without letters go. A table without ``lang``, or with nulls only, teaches nothing.
+    """
     model = language_id.train(docs)
     return language_id.language_filter(docs, model) if model.languages else docs
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the least id."""
+    """One document of each group of near copies: that with the least id.
+
+    Rows that share an id are one document. Texts without words have no near copies and stay.
+    """
     return keep_one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with personal data in their texts replaced by its kind."""
+    """All rows, with personal data in their texts replaced by its kind, and n_chars (if integers) of changed texts set anew; null texts stay."""
     return pii.mask_personal_data(docs, pii.train(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each piece of each document in sequences of 2048 tokens."""
+    """The place of each piece of each document in sequences of 2048 tokens; a null text is empty, and a row of its own."""
     return pack(docs)
 
 

@@ -84,7 +84,7 @@ class Model:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Counts over all rows of ``docs`` whose text and language are not null.
+    """Counts over all rows of ``docs`` whose text and language are not null; without such rows, or such a column, no language is learned.
 
     The driver gets BUCKETS counts a language at most.
     """
@@ -111,7 +111,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
 
         return work
 
-    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    rows = docs.select(F.col(text_col).alias("text"), (F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     counts = map_arrow(rows, task, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique().tolist())
     table = np.zeros((BUCKETS + len(SCRIPTS), len(languages)))

@@ -353,7 +353,7 @@ def find_personal_data(docs: DataFrame, field: Field, least: float = LEAST, id_c
 
 
 def mask_personal_data(docs: DataFrame, field: Field, least: float = LEAST, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with every span in its text masked, and ``chars_col`` (where there is one) set to the new length.
+    """``docs`` with every span in its text masked, and ``chars_col`` (where there is one of integers) set to the new length.
 
     Null and empty texts stay, as do texts without a span and their ``chars_col``; repeated rows
     are masked one by one, an empty table gives no rows, and all other columns stay as they are.
@@ -366,7 +366,7 @@ def mask_personal_data(docs: DataFrame, field: Field, least: float = LEAST, text
                 new = [masked(t, find(t, field, least)[1]) for t in texts]
                 columns = dict(zip(part.schema.names, part.columns, strict=True))
                 columns[text_col] = pa.array(new, pa.string())
-                if chars_col in columns:
+                if chars_col in columns and pa.types.is_integer(columns[chars_col].type):
                     same = [a == b for a, b in zip(texts, new, strict=True)]
                     old = columns[chars_col]
                     columns[chars_col] = pa.array([c if s else len(t) for c, s, t in zip(old.to_pylist(), same, new, strict=True)], old.type)

@@ -127,3 +127,9 @@ def test_whole_result_equals_brute_force(spark):
     for r in identify(docs, model).collect():
         lang, score = brute(texts[r.doc_id])
         assert r.lang_pred == lang and abs(r.score - score) < 1e-6, r.doc_id
+
+
+def test_a_table_without_languages_teaches_none(spark):
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    assert not train(docs).languages
+    assert not train(docs.selectExpr("*", "CAST(NULL AS STRING) AS lang")).languages

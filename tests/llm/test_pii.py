@@ -150,3 +150,9 @@ def test_skip_edges_add_right_spans(field):
             right[linked] += want in added
             wrong += linked and any(decoy in text[a:b] for a, _, b in added)
     assert right[True] >= 150 and right[True] > right[False] + 50 and wrong == 0
+
+
+def test_other_columns_named_n_chars_stay(spark, field):
+    docs = spark.createDataFrame([(1, "mail a.b1@mail.example.com now", "many"), (2, None, None)], "doc_id long, text string, n_chars string")
+    got = {r.doc_id: (r.text, r.n_chars) for r in pii.mask_personal_data(docs, field).collect()}
+    assert got == {1: ("mail <EMAIL> now", "many"), 2: (None, None)}
