@@ -301,7 +301,17 @@ def pos_augment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redundancy.positive_augmentation(*_state(spark, sf_dir))
 
 
-@query()
+_NEED = """,
+need AS MATERIALIZED (SELECT nid1, nid2, 2 - count(*) FILTER (decision = 'NEGTV') AS need, count(*) FILTER (decision = 'UNREV') AS open, count(*) AS m FROM labelled WHERE nid1 <> nid2 {more} GROUP BY nid1, nid2 HAVING count(*) FILTER (decision = 'NEGTV') < 2),
+opened AS (SELECT l.nid1, l.nid2, aid1, aid2, true AS existing FROM (SELECT *, row_number() OVER (PARTITION BY nid1, nid2 ORDER BY aid1, aid2) AS r FROM labelled WHERE decision = 'UNREV') l JOIN need USING (nid1, nid2) WHERE r <= need),
+ranked AS MATERIALIZED (SELECT nid, aid, row_number() OVER (PARTITION BY nid ORDER BY aid) - 1 AS r, count(*) OVER (PARTITION BY nid) AS size FROM pcc),
+made AS MATERIALIZED (SELECT nid1, nid2, need - open AS lacks, a.n_nodes AS n1, b.n_nodes AS n2, unnest(range(least(need - open + m, a.n_nodes * b.n_nodes))) AS i FROM need JOIN sizes a ON a.nid = nid1 JOIN sizes b ON b.nid = nid2 WHERE need > open),
+absent AS (SELECT nid1, nid2, lacks, least(x.aid, y.aid) AS aid1, greatest(x.aid, y.aid) AS aid2, row_number() OVER (PARTITION BY nid1, nid2 ORDER BY i) AS r
+  FROM made JOIN ranked x ON x.nid = nid1 AND x.r = i % n1 JOIN ranked y ON y.nid = nid2 AND y.r = (i + i // lcm(n1, n2)) % n2
+  WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.aid1 = least(x.aid, y.aid) AND e.aid2 = greatest(x.aid, y.aid)))"""
+
+
+@query(on_pcc("SELECT * FROM opened UNION ALL SELECT nid1, nid2, aid1, aid2, false FROM absent WHERE r <= lacks", _NEED.format(more="")))
 def neg_augment(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, pcc = _state(spark, sf_dir)
     return redundancy.negative_augmentation(edges, pcc, redundancy.non_redundant_pairs(edges, pcc).select("nid1", "nid2"))

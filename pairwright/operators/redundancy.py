@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions.codes import INCMP, NEGTV, POSTV, UNREV
@@ -133,20 +133,38 @@ def positive_augmentation(edges: DataFrame, pcc: DataFrame, k: int = 2) -> DataF
     return nodes.groupBy("nid").cogroup(inner.groupBy("nid")).applyInPandas(augment, _PAIRS)
 
 
+def pair_at(i: Column, n1: Column, n2: Column) -> tuple[Column, Column]:
+    """The i-th of the n1 * n2 pairs of ranks (from 0), along diagonals: both ranks go on with each pair, so that the first ones share no rank.
+
+    A diagonal comes back to its start after the least common multiple of both; then the second rank skips one.
+    """
+    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.when(s["b"] == 0, 1).otherwise(s["b"])).alias("b")))
+    # Euclid's algorithm takes no more than 92 steps on longs.
+    gcd = F.aggregate(F.sequence(F.lit(1), F.lit(92)), F.struct(n1.alias("a"), n2.alias("b")), step)["a"]
+    return i % n1, (i + F.floor(i / (n1 * n2 / gcd))) % n2
+
+
 def negative_augmentation(edges: DataFrame, pcc: DataFrame, pairs: DataFrame, k: int = 2) -> DataFrame:
-    """(nid1, nid2, aid1, aid2, existing): edges to review between the pairs of components asked for, until each has k negative ones.
+    """(nid1, nid2, aid1, aid2, existing): edges to review between the pairs of components asked for (nid1 < nid2), until each has k negative ones.
 
-    Unreviewed edges that exist come first, then absent pairs by a hash of their ends; no pair
-    of components looks at more than k + its number of edges of nodes on either side.
+    Unreviewed edges that exist come first, in order of their ends, then absent pairs in the order of `pair_at` of the
+    records ranked by id. As many pairs are made as are needed and as there are edges between the two, so that enough
+    absent ones are among them; components without an edge between them may be asked for, too.
     """
     labelled = graph.with_labels(edges, pcc).join(pairs, ["nid1", "nid2"], "left_semi")
-    have = labelled.groupBy("nid1", "nid2").agg(F.count_if(F.col("decision") == NEGTV).alias("n"), F.count("*").alias("m"))
-    need = pairs.join(have, ["nid1", "nid2"], "left").select("nid1", "nid2", (F.lit(k) - F.coalesce("n", F.lit(0))).alias("need"), (F.lit(k) + F.coalesce("m", F.lit(0))).alias("most")).where("need > 0")
-    open_ = labelled.where(F.col("decision") == UNREV).select("nid1", "nid2", "aid1", "aid2", F.lit(True).alias("existing"))
-    ranked = pcc.withColumn("r", F.row_number().over(Window.partitionBy("nid").orderBy(F.xxhash64("aid"), "aid")))
-    side = lambda i: ranked.select(F.col("nid").alias(f"nid{i}"), F.col("aid").alias(f"x{i}"), F.col("r").alias(f"r{i}"))
-    absent = need.join(side(1), "nid1").where("r1 <= most").join(side(2), "nid2").where("r2 <= most").select("nid1", "nid2", F.least("x1", "x2").alias("aid1"), F.greatest("x1", "x2").alias("aid2"), F.lit(False).alias("existing"))
-    absent = absent.join(edges.select("aid1", "aid2"), ["aid1", "aid2"], "left_anti").select("nid1", "nid2", "aid1", "aid2", "existing")
-    order = Window.partitionBy("nid1", "nid2").orderBy(F.desc("existing"), F.xxhash64("aid1", "aid2"), "aid1", "aid2")
-    chosen = open_.unionByName(absent).join(need, ["nid1", "nid2"]).withColumn("r", F.row_number().over(order)).where("r <= need")
-    return chosen.select("nid1", "nid2", "aid1", "aid2", "existing")
+    have = labelled.groupBy("nid1", "nid2").agg(F.count_if(F.col("decision") == NEGTV).alias("n"), F.count_if(F.col("decision") == UNREV).alias("open"), F.count("*").alias("m"))
+    need = pairs.select("nid1", "nid2").distinct().join(have, ["nid1", "nid2"], "left").na.fill(0, ["n", "open", "m"]).withColumn("need", F.lit(k) - F.col("n")).where("need > 0")
+    order = Window.partitionBy("nid1", "nid2").orderBy("aid1", "aid2")
+    open_ = labelled.where(F.col("decision") == UNREV).withColumn("r", F.row_number().over(order)).join(need.select("nid1", "nid2", "need"), ["nid1", "nid2"]).where("r <= need")
+    sizes = pcc.groupBy("nid").agg(F.count("*").alias("size"))
+    lacking = need.where("need > open").join(sizes.toDF("nid1", "n1"), "nid1").join(sizes.toDF("nid2", "n2"), "nid2").withColumn("lacks", F.col("need") - F.col("open"))
+    made = lacking.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("lacks") + F.col("m"), F.col("n1") * F.col("n2")) - 1)))
+    r1, r2 = pair_at(F.col("i"), F.col("n1"), F.col("n2"))
+    asked = made.select("nid1", "nid2", "i", "lacks", r1.alias("r1"), r2.cast("long").alias("r2"))
+    wanted = asked.select(F.col("nid1").alias("nid")).union(asked.select("nid2")).distinct()
+    ranked = pcc.join(wanted, "nid", "left_semi").select("nid", "aid", (F.row_number().over(Window.partitionBy("nid").orderBy("aid")) - 1).alias("r"))
+    side = lambda j: ranked.select(F.col("nid").alias(f"nid{j}"), F.col("aid").alias(f"x{j}"), F.col("r").cast("long").alias(f"r{j}"))
+    absent = asked.join(side(1), ["nid1", "r1"]).join(side(2), ["nid2", "r2"]).select("nid1", "nid2", "i", "lacks", F.least("x1", "x2").alias("aid1"), F.greatest("x1", "x2").alias("aid2"))
+    absent = absent.join(edges.select("aid1", "aid2"), ["aid1", "aid2"], "left_anti").withColumn("r", F.row_number().over(Window.partitionBy("nid1", "nid2").orderBy("i"))).where("r <= lacks")
+    out = lambda df, existing: df.select("nid1", "nid2", "aid1", "aid2", F.lit(existing).alias("existing"))
+    return out(open_, True).union(out(absent, False))

@@ -109,3 +109,25 @@ def test_no_call_sees_more_than_a_component(spark):
     pcc = spark.createDataFrame([(10 * g + i, 10 * g) for g in range(50) for i in range(3)], "aid long, nid long")
     plan = recovery.hypotheses(edges, pcc)
     assert plan.count() == 50 and "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_by_rank_are_all_pairs_once(spark):
+    sizes = [(a, b) for a in range(1, 8) for b in range(1, 8)]
+    df = spark.createDataFrame(sizes, "a long, b long").withColumn("i", F.explode(F.expr("sequence(0L, a * b - 1)")))
+    r1, r2 = redundancy.pair_at(F.col("i"), F.col("a"), F.col("b"))
+    got = {}
+    for r in df.select("a", "b", "i", r1.alias("r1"), r2.alias("r2")).orderBy("i").collect():
+        got.setdefault((r.a, r.b), []).append((r.r1, r.r2))
+    for (a, b), pairs in got.items():
+        assert sorted(pairs) == [(x, y) for x in range(a) for y in range(b)]
+        # The first pairs share no record.
+        assert len({x for x, _ in pairs[: min(a, b)]}) == len({y for _, y in pairs[: min(a, b)]}) == min(a, b)
+
+
+def test_absent_pairs_between_components_without_an_edge(spark):
+    pcc = spark.createDataFrame([(i, 10 * (i // 10)) for i in (0, 1, 2, 10, 11, 20)], "aid long, nid long")
+    edges = spark.createDataFrame([(0, 10, "POSTV"), (0, 20, "UNREV"), (1, 20, "NEGTV")], "aid1 long, aid2 long, decision string")
+    asked = spark.createDataFrame([(0, 10), (0, 20), (10, 20)], "nid1 long, nid2 long")
+    got = sorted(map(tuple, redundancy.negative_augmentation(edges, pcc, asked).collect()))
+    assert got == [(0, 10, 1, 11, False), (0, 10, 2, 10, False), (0, 20, 0, 20, True), (10, 20, 10, 20, False), (10, 20, 11, 20, False)]
+    assert len(redundancy.negative_augmentation(edges, pcc, asked, k=5).collect()) == 5 + 2 + 2
