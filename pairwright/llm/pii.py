@@ -29,8 +29,8 @@ SAMPLE_DOCS = 8000
 LEAST = 0.9
 ROUNDS = 12
 SKIP_DECAY = 1e-3
-#: Evidence, in nats, that a token which a pattern has matched is of that kind.
-SEEN_WEIGHT = 20.0
+#: Evidence, in nats, that a token which a pattern has matched is of that kind: certain, whatever tokens like it say.
+SEEN_WEIGHT = 1e4
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -137,20 +137,26 @@ def likeness_keys(token: str) -> list[str]:
     return keys
 
 
-def graph(text: str) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens, features, chain edges and skip edges (each to the last token before that is like it)."""
+def graph(text: str, base=()) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, features, chain edges and skip edges.
+
+    Tokens that are like each other are linked with one of them: the first that a base span covers, else the first. So
+    each has the evidence of a match at first hand, however often the others are mentioned.
+    """
     spans = candidates(text)
     tokens = [text[a:b] for a, b in spans]
     near = [b0 == a1 - 1 for (_, b0), (a1, _) in zip(spans, spans[1:], strict=False)]
     chain = np.flatnonzero(near)
-    seen: dict[str, int] = {}
-    skips = []
+    kind = weak_labels(spans, base)
+    alike: dict[str, list[int]] = {}
     for i, t in enumerate(tokens):
         for key in likeness_keys(t):
-            if key in seen and seen[key] != i:
-                skips.append((seen[key], i))
-            seen[key] = i
-    skip = np.array(sorted(set(skips)), np.int64).reshape(-1, 2)
+            alike.setdefault(key, []).append(i)
+    skips = set()
+    for group in alike.values():
+        hub = next((i for i in group if kind[i]), group[0])
+        skips.update((hub, i) for i in group if i != hub)
+    skip = np.array(sorted(skips), np.int64).reshape(-1, 2)
     return spans, features(tokens, [False, *near][: len(tokens)], [*near, False][: len(tokens)]), np.column_stack([chain, chain + 1]), skip
 
 
@@ -245,8 +251,9 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id
         def work(batch: pa.RecordBatch):
             found: Counter = Counter()
             for text in batch["text"].to_pylist():
-                spans, x, chain, skip = graph(text)
-                y = weak_labels(spans, base_spans(text))
+                base = base_spans(text)
+                spans, x, chain, skip = graph(text, base)
+                y = weak_labels(spans, base)
                 before, after, like_before, like_after = (np.full(len(y), -1) for _ in range(4))
                 before[chain[:, 1]], after[chain[:, 0]] = y[chain[:, 0]], y[chain[:, 1]]
                 like_before[skip[:, 1]], like_after[skip[:, 0]] = y[skip[:, 0]], y[skip[:, 1]]
@@ -279,7 +286,7 @@ def _mentions(text: str, spans, i: int, j: int, label: int):
 
 def added_spans(text: str, base, field: Field, least: float = LEAST) -> list[tuple[int, int, int]]:
     """What the field finds beside the base spans: mentions in runs of neighbouring tokens of one label, without outer punctuation."""
-    spans, x, chain, skip = graph(text)
+    spans, x, chain, skip = graph(text, base)
     p = field.marginals(x, chain, skip, seen=weak_labels(spans, base))
     label = np.where(p.max(axis=1) >= least, p.argmax(axis=1), 0)
     near = set(chain[:, 0].tolist())
