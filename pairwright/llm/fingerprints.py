@@ -26,8 +26,8 @@ SAMPLES = 128
 TERMS = 1 << 17
 #: Terms whose values are made at once, few enough to stay in a core's cache.
 BLOCK = 256
-#: Documents that are put in one range of ids.
-RANGE_ROWS = 8000
+#: Documents that are put in one range of ids, as long as there are no more than so many ranges.
+RANGE_ROWS, MOST_RANGES = 8000, 100_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -208,7 +208,7 @@ def compare_with_edits(docs: DataFrame, samples: int = SAMPLES, range_rows: int
     names = ["doc_id", *[c.split()[0] for c in FIGURES.split(", ")]]
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    n = max(1, -(-docs.count() // range_rows))
+    n = min(max(1, -(-docs.count() // range_rows)), MOST_RANGES)
     order = ("key", "h", "text")
 
     def run(batches):
