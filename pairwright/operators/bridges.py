@@ -53,8 +53,20 @@ def _tour(ways: DataFrame, sums: DataFrame) -> DataFrame:
     return around.select("u", "v", "y").join(after, ["u", "v"]).select("u", "v", F.col("v").alias("nu"), F.col("w").alias("nv"), "wraps", "y")
 
 
-def _suffixes(tour: DataFrame, roots: DataFrame) -> DataFrame:
-    """(u, v, s): the XOR of the numbers of the ways behind each way, up to where its tree's circle is cut."""
+def leaf_places(ways: DataFrame, roots: DataFrame) -> DataFrame:
+    """(u, root, place, n): the leaves of trees, numbered from 0 along a tour around each tree, and how many its tree has.
+
+    ``ways``: each edge of the trees in both directions (u, v); ``roots``: (u, root), a label for each tree. The
+    leaves beyond any edge follow each other in the tour (in a circle).
+    """
+    leaves = staged(ways.groupBy("u").agg(F.count("*").alias("d")).where("d = 1").select("u", F.lit(1).cast("long").alias("x")), "leaves")
+    done = _suffixes(_tour(ways, leaves), roots, "+").select("u", F.col("s").alias("place"))
+    placed = leaves.select("u").join(done, "u").join(roots, "u")
+    return placed.join(placed.groupBy("root").agg(F.count("*").alias("n")), "root").select("u", "root", "place", "n")
+
+
+def _suffixes(tour: DataFrame, roots: DataFrame, plus: str = "^") -> DataFrame:
+    """(u, v, s): the numbers of the ways behind each way, up to where its tree's circle is cut, put together by ``plus`` (XOR or sum)."""
     cut = F.col("wraps") & (F.col("v") == F.col("root"))
     ways = staged(tour.join(roots, "u").select("u", "v", F.when(~cut, F.col("nu")).alias("nu"), F.when(~cut, F.col("nv")).alias("nv"), "y"), "tour")
     # The sum behind a way starts with the number of the next one.
@@ -64,5 +76,5 @@ def _suffixes(tour: DataFrame, roots: DataFrame) -> DataFrame:
         if not ways.where("nu IS NOT NULL").limit(1).count():
             return ways.select("u", "v", "s")
         on = ways.select(F.col("u").alias("nu"), F.col("v").alias("nv"), F.col("nu").alias("mu"), F.col("nv").alias("mv"), F.col("s").alias("s2"))
-        ways = staged(ways.join(on, ["nu", "nv"], "left").select("u", "v", F.col("mu").alias("nu"), F.col("mv").alias("nv"), F.expr("s ^ coalesce(s2, 0)").alias("s")), "suffix")
+        ways = staged(ways.join(on, ["nu", "nv"], "left").select("u", "v", F.col("mu").alias("nu"), F.col("mv").alias("nv"), F.expr(f"s {plus} coalesce(s2, 0)").alias("s")), "suffix")
     raise RuntimeError("the tour did not settle")

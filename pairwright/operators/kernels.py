@@ -175,8 +175,8 @@ def connectivity_at_least(nodes, edges, k: int) -> bool:
     return all(Flow(unit).push(nodes[0], n, k) >= k for n in nodes[1:])
 
 
-def augmented(nodes, edges, k: int, available=None, partial: bool = False) -> list[tuple] | None:
-    """Edges to add so that the graph is k-edge-connected, from ``available`` or all absent pairs.
+def augmented(nodes, edges, k: int, available=None, partial: bool = False, closed=()) -> list[tuple] | None:
+    """Edges to add so that the graph is k-edge-connected, from ``available`` or all absent pairs but ``closed`` ones.
 
     One level at a time, each edge joins two parts that less than that level connects: at level
     1 components, at 2 the leaf blocks between bridges, beyond that ends of too small cuts.
@@ -186,17 +186,18 @@ def augmented(nodes, edges, k: int, available=None, partial: bool = False) -> li
     if len(nodes) < k + 1 and not partial:
         return None
     pool = None if available is None else {(min(e), max(e)) for e in available} - have
+    shut = {(min(e), max(e)) for e in closed}
 
     def candidates(side_a, side_b):
         for u in sorted(side_a):
             for v in sorted(side_b):
                 e = (min(u, v), max(u, v))
-                if e not in have and (pool is None or e in pool):
+                if e not in have and e not in shut and (pool is None or e in pool):
                     yield e
 
     def add(side_a, side_b) -> bool:
         if pool is not None and len(pool) < len(side_a) * len(side_b):
-            e = next((e for e in sorted(pool) if e not in have and ((e[0] in side_a and e[1] in side_b) or (e[1] in side_a and e[0] in side_b))), None)
+            e = next((e for e in sorted(pool) if e not in have and e not in shut and ((e[0] in side_a and e[1] in side_b) or (e[1] in side_a and e[0] in side_b))), None)
         else:
             e = next(candidates(side_a, side_b), None)
         if e:

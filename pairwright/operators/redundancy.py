@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from pairwright.functions.codes import INCMP, NEGTV, POSTV, UNREV
 from pairwright.operators import graph, kernels
-from pairwright.operators.bridges import edge_labels
-from pairwright.operators.components import spanning_forest
+from pairwright.operators.bridges import edge_labels, leaf_places
+from pairwright.operators.components import AT_ONCE, connected_components, spanning_forest
 from pairwright.operators.groups import by_group
 from pairwright.session import staged
 from pairwright.sources.committed import union_all
@@ -109,28 +109,105 @@ def flagged(edges: DataFrame, pcc: DataFrame, pos: DataFrame, neg: DataFrame) ->
 _PAIRS = "nid long, aid1 long, aid2 long, existing boolean"
 
 
-def positive_augmentation(edges: DataFrame, pcc: DataFrame, k: int = 2) -> DataFrame:
+def positive_augmentation(edges: DataFrame, pcc: DataFrame, k: int = 2, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """(nid, aid1, aid2, existing): edges to review so that components become k-edge-connected.
 
-    Unreviewed edges inside are tried alone; where they do not do, absent pairs too, as far
-    as it goes. One component is one group.
+    Unreviewed edges inside are tried alone; where they do not do, absent pairs too, as far as it goes. Components
+    with more than ``kernel_edges`` edges that their positive ones connect go through `tree_augmentation` for k = 2;
+    any other is one group.
     """
-    wanted = positive_redundancy(edges, pcc, k, only_consistent=False).where("NOT pos_redun").select("nid")
-    inner = graph.edges_inside(edges, pcc).select(F.col("nid1").alias("nid"), "aid1", "aid2", "decision").join(wanted, "nid", "left_semi")
-    nodes = pcc.join(wanted, "nid", "left_semi").where("aid IS NOT NULL")
+    wanted = staged(positive_redundancy(edges, pcc, k, only_consistent=False).where("NOT pos_redun").select("nid"), "wanted")
+    inner = staged(graph.edges_inside(edges, pcc).select(F.col("nid1").alias("nid"), "aid1", "aid2", "decision").join(wanted, "nid", "left_semi"), "inner")
+    nodes = pcc.join(wanted, "nid", "left_semi").where("aid IS NOT NULL").select("nid", "aid")
+    large = inner.groupBy("nid").agg(F.count("*").alias("m")).where(F.col("m") > kernel_edges).select("nid")
+    trees = None
+    if k == 2 and not large.isEmpty():
+        members = staged(nodes.join(large, "nid", "left_semi"), "members")
+        parts = connected_components(inner.where(F.col("decision") == POSTV).join(large, "nid", "left_semi"), nodes=members, component="part")
+        whole = staged(members.join(parts, "aid").groupBy("nid").agg(F.count_distinct("part").alias("parts")).where("parts = 1").select("nid"), "whole")
+        trees = tree_augmentation(inner.join(whole, "nid", "left_semi"), members.join(whole, "nid", "left_semi"))
+        inner, nodes = inner.join(whole, "nid", "left_anti"), nodes.join(whole, "nid", "left_anti")
 
     def augment(key: tuple, members: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
         every = members["aid"].tolist()
         by = lambda *d: [(int(a), int(b)) for a, b in pdf.loc[pdf["decision"].isin(d), ["aid1", "aid2"]].itertuples(index=False)]
-        have, open_, closed = by(POSTV), by(UNREV), set(by(NEGTV, INCMP, "UNKWN"))
+        have, open_, closed = by(POSTV), by(UNREV), by(NEGTV, INCMP, "UNKWN")
         found = kernels.augmented(every, have, k, open_)
         if not found:
-            allowed = [(a, b) for i, a in enumerate(sorted(every)) for b in sorted(every)[i + 1 :] if (a, b) not in closed]
-            found = kernels.augmented(every, have, k, allowed, partial=True)
+            found = kernels.augmented(every, have, k, closed=closed, partial=True)
         old = set(open_)
         return pd.DataFrame([(key[0], a, b, (a, b) in old) for a, b in found], columns=["nid", "aid1", "aid2", "existing"])
 
-    return nodes.groupBy("nid").cogroup(inner.groupBy("nid")).applyInPandas(augment, _PAIRS)
+    small = nodes.groupBy("nid").cogroup(inner.groupBy("nid")).applyInPandas(augment, _PAIRS)
+    return small if trees is None else small.unionByName(trees)
+
+
+def tree_augmentation(inner: DataFrame, members: DataFrame) -> DataFrame:
+    """(nid, aid1, aid2, existing): edges to review so that components whose positive edges connect them have no bridge.
+
+    ``inner``: (nid, aid1, aid2, decision) of all edges inside, ``members``: (nid, aid). Without the bridges a component
+    falls into blocks, which the bridges join to a tree. If unreviewed edges alone do, a spanning forest of them over
+    blocks is taken. Else the leaves of the tree are numbered along a tour, and each is linked with the one half
+    of the leaves further on, so that (leaves + 1) / 2 edges do, the fewest possible; of the pairs between two blocks an
+    unreviewed edge comes first, then the first absent one. A leaf whose partner reviews close off is tried with one block
+    more than it has edges to others, and the tree of what is left again, until no leaf can be linked. Rounds are joins and aggregations; no task holds more than `AT_ONCE` edges.
+    """
+    inner = staged(inner.select("nid", "aid1", "aid2", F.when(F.col("decision").isin(POSTV, UNREV), F.col("decision")).otherwise(INCMP).alias("decision")), "inner")
+    solid = inner.where(F.col("decision") == POSTV).select("nid", "aid1", "aid2")
+    able = staged(edge_connected(inner.where(F.col("decision") != INCMP).select("nid", "aid1", "aid2"), 2, 0).where("held").select("nid"), "able")
+    blocks, _ = _blocks(solid.join(able, "nid", "left_semi"), members.join(able, "nid", "left_semi"))
+    crossing = staged(graph.edges_cross(inner.where(F.col("decision") == UNREV), blocks).groupBy("nid1", "nid2").agg(F.min(F.struct("nid", "aid1", "aid2")).alias("e")), "crossing")
+    links = crossing.join(spanning_forest(crossing, "nid1", "nid2", AT_ONCE), ["nid1", "nid2"]).select("e.*", F.lit(True).alias("existing"))
+    taken = [staged(links, "links")]
+
+    solid, members = staged(solid.join(able, "nid", "left_anti"), "solid"), staged(members.join(able, "nid", "left_anti"), "members")
+    other = staged(inner.join(able, "nid", "left_anti"), "other")
+    while True:
+        blocks, ways = _blocks(solid, members)
+        if ways.isEmpty():
+            break
+        roots = staged(connected_components(ways, "u", "v", node="u", component="root", at_once=AT_ONCE), "roots")
+        leaves = staged(leaf_places(ways, roots), "places")
+        ahead = leaves.select("root", F.col("u").alias("v"), F.col("place").alias("there"))
+        met = leaves.where("2 * place < n").withColumn("there", F.col("place") + F.floor(F.col("n") / 2)).join(ahead, ["root", "there"])
+        found = _links(met.select("u", "v"), other, blocks)
+        linked = found.select(F.explode(F.array("nid1", "nid2")).alias("u"))
+        lone = staged(leaves.join(linked, "u", "left_anti"), "lone")
+        if not lone.isEmpty():
+            each = _links(_tries(lone, roots, other, blocks), other, blocks).withColumn("leaf", F.explode(F.array("nid1", "nid2"))).join(lone.select(F.col("u").alias("leaf")), "leaf", "left_semi")
+            least = F.row_number().over(Window.partitionBy("leaf").orderBy("aid1", "aid2"))
+            found = staged(found.unionByName(each.withColumn("r", least).where("r = 1").select(*found.columns)).distinct(), "found")
+        if found.isEmpty():
+            break
+        named = staged(found.join(members.select("nid", F.col("aid").alias("aid1")), "aid1").select("nid", "aid1", "aid2", "existing"), "links")
+        taken.append(named)
+        solid = staged(solid.unionByName(named.drop("existing")), "solid")
+    return union_all(taken)
+
+
+def _blocks(solid: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(aid, nid), nid being the block of a record, and the bridges between blocks in both directions (u, v)."""
+    labels = staged(edge_labels(solid, AT_ONCE), "labels")
+    cut = labels.where("tree AND label = 0")
+    blocks = staged(connected_components(labels.where("NOT tree OR label <> 0"), nodes=members, at_once=AT_ONCE), "blocks")
+    joined = graph.with_labels(cut, blocks)
+    return blocks, staged(joined.selectExpr("nid1 AS u", "nid2 AS v").union(joined.selectExpr("nid2", "nid1")), "ways")
+
+
+def _links(pairs: DataFrame, inner: DataFrame, blocks: DataFrame) -> DataFrame:
+    """One edge to review for each of the pairs of blocks (u, v) that reviews do not close."""
+    asked = pairs.select(F.least("u", "v").alias("nid1"), F.greatest("u", "v").alias("nid2")).where("nid1 < nid2").distinct()
+    return staged(negative_augmentation(inner.select("aid1", "aid2", "decision"), blocks, staged(asked, "asked"), 1), "found")
+
+
+def _tries(leaves: DataFrame, roots: DataFrame, inner: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(u, v): each leaf with the least other blocks of its component, one more than it has edges to any, so that one at least is free if one is."""
+    crossing = graph.edges_cross(inner, blocks)
+    has = crossing.select(F.explode(F.array("nid1", "nid2")).alias("u")).groupBy("u").agg(F.count("*").alias("c"))
+    asks = staged(leaves.select("u", "root").join(has, "u", "left").na.fill(0, ["c"]), "asks")
+    most = (asks.agg(F.max("c").alias("c")).first()["c"] or 0) + 2
+    first = roots.withColumn("r", F.row_number().over(Window.partitionBy("root").orderBy("u"))).where(F.col("r") <= most)
+    return asks.join(first.select("root", F.col("u").alias("v"), "r"), "root").where("u <> v AND r <= c + 2").select("u", "v")
 
 
 def pair_at(i: Column, n1: Column, n2: Column) -> tuple[Column, Column]:

@@ -131,3 +131,62 @@ def test_absent_pairs_between_components_without_an_edge(spark):
     got = sorted(map(tuple, redundancy.negative_augmentation(edges, pcc, asked).collect()))
     assert got == [(0, 10, 1, 11, False), (0, 10, 2, 10, False), (0, 20, 0, 20, True), (10, 20, 10, 20, False), (10, 20, 11, 20, False)]
     assert len(redundancy.negative_augmentation(edges, pcc, asked, k=5).collect()) == 5 + 2 + 2
+
+
+def leaves_of(nodes, edges):
+    cut = kernels.bridges(edges)
+    blocks = kernels.components(nodes, [e for e in edges if e not in cut])
+    return [b for b in blocks if sum((u in b) != (v in b) for u, v in cut) == 1]
+
+
+def reviewed(seed, n, p_open, p_closed):
+    """Connected graphs of positive edges, of whose other pairs some are unreviewed or closed: (nid, u, v, decision)."""
+    rng, out = random.Random(seed), []
+    for g in range(n):
+        nodes = [100 * g + i for i in range(rng.randint(3, 12))]
+        shuffled = rng.sample(nodes, len(nodes))
+        have = {tuple(sorted((shuffled[i], rng.choice(shuffled[:i])))) for i in range(1, len(nodes))}
+        have |= {tuple(sorted(rng.sample(nodes, 2))) for _ in range(rng.randint(0, 4))}
+        for p in combinations(nodes, 2):
+            x = rng.random()
+            kind = "POSTV" if p in have else "UNREV" if x < p_open else rng.choice(["NEGTV", "INCMP", "UNKWN"]) if x < p_open + p_closed else None
+            out += [(100 * g, *p, kind)] if kind else []
+    return out
+
+
+@pytest.mark.parametrize(("p_open", "p_closed"), [(0.0, 0.0), (0.1, 0.7)])
+def test_bridges_are_closed_by_trees_of_blocks(spark, p_open, p_closed):
+    rows = reviewed(3, 16, p_open, p_closed)
+    edges = spark.createDataFrame(rows, "nid long, aid1 long, aid2 long, decision string").drop("nid")
+    own = {}
+    for nid, u, v, d in rows:
+        own.setdefault(nid, {})[u, v] = d
+    members = {nid: {n for e in e_ for n in e} for nid, e_ in own.items()}
+    pcc = spark.createDataFrame([(a, nid) for nid, m in members.items() for a in m], "aid long, nid long")
+    wanted = {r.nid for r in redundancy.positive_redundancy(edges, pcc, 2, only_consistent=False).collect() if not r.pos_redun}
+    found = {}
+    for r in redundancy.positive_augmentation(edges, pcc, 2, kernel_edges=0).collect():
+        assert r.aid1 < r.aid2 and r.existing == (own[r.nid].get((r.aid1, r.aid2)) == "UNREV")
+        found.setdefault(r.nid, []).append((r.aid1, r.aid2))
+    assert set(found) <= wanted
+    for nid in wanted:
+        have = [e for e, d in own[nid].items() if d == "POSTV"]
+        usable = [e for e in combinations(sorted(members[nid]), 2) if own[nid].get(e, "UNREV") == "UNREV"]
+        got = found.get(nid, [])
+        assert set(got) <= set(usable) and len(got) == len(set(got))
+        held = lambda more: not kernels.bridges(have + more)  # noqa: B023, E731
+        # All that can be closed is.
+        assert held(got) == held(usable)
+        assert not any(kernels.bridges(have + got) - kernels.bridges(have + usable)) or not held(usable)
+        if not p_open and not p_closed:
+            assert len(got) == -(-len(leaves_of(members[nid], have)) // 2)
+        open_ = [e for e, d in own[nid].items() if d == "UNREV"]
+        if held(open_):
+            assert set(got) <= set(open_)
+
+
+def test_a_long_path_is_closed_by_one_edge(spark):
+    path = [(i, i + 1, "POSTV") for i in range(500)]
+    edges = spark.createDataFrame(path, "aid1 long, aid2 long, decision string")
+    pcc = spark.range(501).select(F.col("id").alias("aid"), F.lit(0).cast("long").alias("nid"))
+    assert [tuple(r) for r in redundancy.positive_augmentation(edges, pcc, 2, kernel_edges=100).collect()] == [(0, 0, 500, False)]
