@@ -554,6 +554,34 @@ def confident_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(graph.confident(fx.order_edges(spark, sf_dir), POSTV, 2), nodes=fx.order_annots(spark, sf_dir))
 
 
+_SURE = """,
+sure AS MATERIALIZED (SELECT aid1, aid2 FROM edges WHERE decision = 'POSTV' AND confidence IN ('pretty_sure', 'absolutely_sure')),
+ways AS MATERIALIZED (FROM sure UNION ALL SELECT aid2, aid1 FROM sure),
+held_by(a, b) AS (SELECT aid, aid FROM annots UNION SELECT r.a, s.aid2 FROM held_by r JOIN ways s ON r.b = s.aid1),
+tied AS MATERIALIZED (SELECT a AS aid, min(b) AS part FROM held_by GROUP BY a)"""
+_DOUBTED = "SELECT aid1, aid2, decision, nid1, nid2, 1 - CASE decision WHEN 'POSTV' THEN p.POSTV WHEN 'NEGTV' THEN p.NEGTV ELSE p.INCMP END AS priority FROM labelled JOIN probs p USING (aid1, aid2) JOIN tied x ON x.aid = aid1 JOIN tied y ON y.aid = aid2 WHERE decision IN ('POSTV', 'NEGTV', 'INCMP') AND CASE WHEN nid1 = nid2 THEN x.part <> y.part ELSE NOT (decision = 'NEGTV' AND confidence IN ('pretty_sure', 'absolutely_sure')) END"
+
+
+@query(on_pcc(f"SELECT aid1, aid2, round(priority, 6) AS priority FROM ({_DOUBTED})", _PROBS + _SURE))
+def hard_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decided edges by how unlikely their decision is, without those that confident reviews have settled."""
+    edges, pcc = _state(spark, sf_dir)
+    doubts = priority.hardness(fx.order_probs(spark, sf_dir), edges)
+    return priority.filtered(doubts, edges, pcc, "pretty_sure").select("aid1", "aid2", F.round("priority", 6).alias("priority"))
+
+
+@query(on_pcc("""SELECT 'split' AS mode, aid1, aid2 FROM labelled WHERE decision = 'UNREV' AND nid1 = nid2 UNION ALL SELECT 'merge', aid1, aid2 FROM labelled WHERE decision = 'UNREV' AND nid1 <> nid2
+UNION ALL SELECT 'predict', aid1, aid2 FROM labelled JOIN probs p USING (aid1, aid2) JOIN tied x ON x.aid = aid1 JOIN tied y ON y.aid = aid2
+  WHERE decision = 'UNREV' AND CASE WHEN nid1 = nid2 THEN x.part <> y.part AND p.POSTV < 0.5 ELSE p.POSTV >= 0.5 END""", _PROBS + _SURE))
+def queue_fix_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unreviewed pairs that are left when only splits, only merges, or only surprises are looked for."""
+    edges, pcc = _state(spark, sf_dir)
+    open_ = priority.queue(edges, edges.limit(0), edges.limit(0))
+    preds = fx.order_probs(spark, sf_dir).select("aid1", "aid2", F.when(F.col(POSTV) >= 0.5, POSTV).otherwise(NEGTV).alias("pred"))
+    rows = [priority.filtered(open_, edges, pcc, mode=m, preds=preds if m == "predict" else None).select(F.lit(m).alias("mode"), "aid1", "aid2") for m in ("split", "merge", "predict")]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
 @query(on_edges("SELECT aid1, aid2 FROM edges WHERE decision = 'NEGTV' AND confidence IN ('not_sure', 'pretty_sure', 'absolutely_sure')"))
 def confident_separated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.confident(fx.order_edges(spark, sf_dir), NEGTV, 2).select("aid1", "aid2")

@@ -73,6 +73,53 @@ def oracle_review(pairs: DataFrame, accuracy: float, truth: str = "truth") -> Da
     return pairs.select("*", F.when(unit_hash() > accuracy, wrong).otherwise(F.col(truth)).alias("answer"), F.lit(sure).alias("confidence"))
 
 
+def filtered(queue_: DataFrame, edges: DataFrame, pcc: DataFrame, conf_thresh: str | None = None, mode: str | None = None, preds: DataFrame | None = None) -> DataFrame:
+    """The queue without pairs that reviewers need not see.
+
+    With ``conf_thresh`` (a code of confidence), pairs inside a component whose ends positive edges of that confidence or
+    more connect, and pairs of two components with such a negative edge of their own. ``mode``: ``split`` keeps pairs inside
+    components, ``merge`` pairs between them, ``predict`` pairs whose prediction in ``preds`` (aid1, aid2, pred) is not
+    what the components say, and inside a component only where edges that are pretty sure do not connect
+    them. Pairs of a priority of `ERROR_BOOST` or more are suspected errors, which neither confidence nor predictions drop.
+    A pair with an end in no component is dropped.
+    """
+    from pairwright.functions.codes import CONFIDENCE
+    from pairwright.operators.components import connected_components
+    from pairwright.operators.graph import confident, with_labels
+
+    if mode not in (None, "split", "merge", "predict") or (mode == "predict") != (preds is not None):
+        raise ValueError("mode is split, merge, or predict with predictions")
+
+    def connected(code: str) -> DataFrame:
+        parts = connected_components(confident(edges, POSTV, CONFIDENCE[code][0] or 0), nodes=pcc.select("aid"))
+        return with_labels(queue_.select(*key), parts).where("nid1 = nid2").select(*key)
+
+    key = ["aid1", "aid2"]
+    rows = with_labels(queue_, pcc).withColumns({"_in": F.col("nid1") == F.col("nid2"), "_calm": F.col("priority") < ERROR_BOOST}).select(*queue_.columns, "_in", "_calm")
+
+    def without(rows: DataFrame, pairs: DataFrame, inside: bool) -> DataFrame:
+        marked = rows.join(pairs.distinct().withColumn("_drop", F.lit(True)), key, "left")
+        return marked.where(F.col("_drop").isNull() | ~F.col("_calm") | (F.col("_in") != F.lit(inside))).drop("_drop")
+
+    if conf_thresh is not None:
+        rows = without(rows, connected(conf_thresh), True)
+        rows = without(rows, confident(edges, NEGTV, CONFIDENCE[conf_thresh][0] or 0).select(*key), False)
+    if mode in ("split", "merge"):
+        rows = rows.where("_in" if mode == "split" else "NOT _in")
+    if preds is not None:
+        rows = without(rows, connected("pretty_sure"), True)
+        rows = without(rows, preds.where(F.col("pred") == POSTV).select(*key), True)
+        rows = without(rows, preds.where(F.col("pred") == NEGTV).select(*key), False)
+    return rows.drop("_in", "_calm")
+
+
+def hardness(probs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(aid1, aid2, priority): edges that are decided, by 1 less the probability of their decision."""
+    rows = edges.where(F.col("decision").isin(POSTV, NEGTV, INCMP)).select("aid1", "aid2", "decision").join(probs.select("aid1", "aid2", POSTV, NEGTV, INCMP), ["aid1", "aid2"])
+    said = F.when(F.col("decision") == POSTV, F.col(POSTV)).when(F.col("decision") == NEGTV, F.col(NEGTV)).otherwise(F.col(INCMP))
+    return rows.select("aid1", "aid2", (1 - said).alias("priority"))
+
+
 def slices(ranking: DataFrame, top_n: int, middle: int, bottom: int) -> DataFrame:
     """Of each query's ranking the first, middle and last rows, with ``part``."""
     own = Window.partitionBy("qaid")

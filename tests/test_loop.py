@@ -1,7 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from pairwright.config import Config
-from pairwright.operators import actions, graph, metrics, simulate
+from pairwright.operators import actions, graph, metrics, priority, simulate
 from pairwright.plans.infer import infer, with_measures
 from pairwright.plans.loop import ReviewLoop
 
@@ -41,6 +42,37 @@ def test_loop_finds_the_truth(spark):
     assert loop.inference.pos_redundant.where("NOT pos_redun").count() == 0
 
 
+def test_hard_cases_are_asked_once_and_confident_ones_never(spark):
+    annots = spark.createDataFrame([(i,) for i in range(1, 7)], "aid long")
+    edges = spark.createDataFrame([(1, 2, "POSTV", "guessing"), (2, 3, "POSTV", "absolutely_sure"), (3, 4, "NEGTV", "guessing"), (5, 6, "NEGTV", "pretty_sure"), (1, 5, "UNREV", None)], "aid1 long, aid2 long, decision string, confidence string")
+    asked = []
+
+    def oracle(pairs):
+        asked.extend(sorted((r.aid1, r.aid2) for r in pairs.collect()))
+        return pairs.select("aid1", "aid2", F.when(F.col("aid1") == 3, "POSTV").otherwise("NEGTV").alias("decision"), F.lit("absolutely_sure").alias("confidence"))
+
+    verifier = lambda p: p.select("aid1", "aid2", F.lit(0.5).alias("POSTV"), F.lit(0.3).alias("NEGTV"), F.lit(0.2).alias("INCMP"))
+    off = dict(ranking_enabled=False, redun_enabled=False, autoreview_enabled=False, algo_hardcase=True)
+    loop = ReviewLoop(annots, edges, verifier, oracle, Config(queue_conf_thresh="pretty_sure", **off))
+    assert loop.run() == [{"phase": "hardcase", "reviews": 2}] and sorted(set(asked)) == [(1, 2), (3, 4)]
+    assert {(r.aid1, r.aid2): r.decision for r in loop.inference.edges.collect()} == {(1, 2): "NEGTV", (2, 3): "POSTV", (3, 4): "POSTV", (5, 6): "NEGTV", (1, 5): "UNREV"}
+    with pytest.raises(ValueError):
+        ReviewLoop(annots, edges, verifier, oracle, Config(algo_hardcase=True)).run()
+
+
+def test_filters_of_the_queue(spark):
+    pcc = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)], "aid long, nid long")
+    edges = spark.createDataFrame([(1, 2, "POSTV", "pretty_sure"), (2, 3, "POSTV", "guessing"), (3, 4, "NEGTV", "absolutely_sure"), (4, 5, "POSTV", "pretty_sure")], "aid1 long, aid2 long, decision string, confidence string")
+    queue = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.4), (3, 4, 0.3), (2, 4, 0.2), (4, 5, 11.0)], "aid1 long, aid2 long, priority double")
+    kept = lambda **how: sorted((r.aid1, r.aid2) for r in priority.filtered(queue, edges, pcc, **how).collect())
+    assert kept() == [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5)]
+    assert kept(conf_thresh="pretty_sure") == [(1, 3), (2, 4), (4, 5)]
+    assert kept(conf_thresh="guessing") == [(2, 4), (4, 5)]
+    assert kept(mode="split") == [(1, 2), (1, 3), (4, 5)] and kept(mode="merge") == [(2, 4), (3, 4)]
+    preds = spark.createDataFrame([(1, 3, "NEGTV"), (3, 4, "NEGTV"), (2, 4, "POSTV"), (4, 5, "POSTV")], "aid1 long, aid2 long, pred string")
+    assert kept(mode="predict", preds=preds) == [(1, 3), (2, 4), (4, 5)]
+
+
 def test_review_actions(spark):
     pcc = lambda groups: spark.createDataFrame([(x, min(g)) for g in groups for x in g], "aid long, nid long")
     changed = spark.createDataFrame([(1, 2, "POSTV"), (3, 4, "NEGTV"), (5, 6, "NEGTV"), (7, 8, "POSTV"), (1, 5, "UNKWN")], "aid1 long, aid2 long, decision string")
