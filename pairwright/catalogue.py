@@ -926,6 +926,27 @@ def name_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta.name_delta(_names(spark, sf_dir), fx.order_pcc(spark, sf_dir).select("aid", F.col("nid").alias("name")))
 
 
+_KNOWN = """,
+known AS MATERIALIZED (SELECT p.aid, nid, CASE WHEN o_orderstatus <> 'O' THEN name END AS old FROM annots JOIN pcc p USING (aid) JOIN orders ON o_orderkey = p.aid)"""
+
+
+@query(on_pcc("SELECT aid, old AS old_name, nid AS new_name FROM known WHERE old IS DISTINCT FROM nid AND nid IN (SELECT nid FROM known WHERE old IS NOT NULL)", _KNOWN))
+def name_delta_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed names where those of open orders are unknown, but for components of open orders only."""
+    status = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("aid"), F.col("o_orderstatus").alias("status"))
+    old = _names(spark, sf_dir).join(status, "aid").select("aid", F.when(F.col("status") != "O", F.col("name")).alias("name"))
+    return delta.name_delta(old, fx.order_pcc(spark, sf_dir).select("aid", F.col("nid").alias("name")), ignore_unknown=True)
+
+
+_SIDED = "SELECT kind, 'old' AS side, old_id AS id, count(*) AS n FROM d GROUP BY ALL UNION ALL SELECT kind, 'new', new_id, count(*) FROM d GROUP BY ALL"
+
+
+@query(f"WITH d AS ({ORACLES['grouping_delta']}) SELECT kind, side, count(*) AS n_groups, sum(n)::BIGINT AS n_items, min(n) AS min_size, max(n) AS max_size, round(avg(n), 6) AS mean_size FROM ({_SIDED}) GROUP BY kind, side")
+def delta_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How large the groups are that stayed, were split, merged or mixed."""
+    return delta.delta_sizes(_delta(spark, sf_dir)).withColumn("mean_size", F.round("mean_size", 6))
+
+
 _REDUNDANT = _BRIDGED + f""",
 held AS MATERIALIZED ({_HELD}),
 apart AS MATERIALIZED ({_APART}),

@@ -59,12 +59,28 @@ def edge_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     return rows.where(F.col("is_new") | ~same)
 
 
-def name_delta(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(aid, old_name, new_name) where the names differ, from two tables (aid, name)."""
+def name_delta(old: DataFrame, new: DataFrame, ignore_unknown: bool = False) -> DataFrame:
+    """(aid, old_name, new_name) where the names differ, from two tables (aid, name). A null old name is unknown.
+
+    With ``ignore_unknown``, new names none of whose records had a known one before are left out.
+    """
     rows = old.select("aid", F.col("name").alias("old_name")).join(new.select("aid", F.col("name").alias("new_name")), "aid")
+    if ignore_unknown:
+        known = rows.where("old_name IS NOT NULL").select("new_name").distinct()
+        rows = rows.join(known, "new_name", "left_semi").select("aid", "old_name", "new_name")
     return rows.where(~F.col("old_name").eqNullSafe(F.col("new_name")))
 
 
+def delta_sizes(groups: DataFrame) -> DataFrame:
+    """(kind, side, n_groups, n_items, min_size, max_size, mean_size) of the rows of grouping_delta.
+
+    ``side`` is old or new; a group counts with those of its items that have the kind.
+    """
+    sides = [groups.where(F.col(c).isNotNull()).select("kind", F.lit(side).alias("side"), F.col(c).alias("id")) for side, c in (("old", "old_id"), ("new", "new_id"))]
+    sizes = sides[0].union(sides[1]).groupBy("kind", "side", "id").agg(F.count("*").alias("n"))
+    return sizes.groupBy("kind", "side").agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_items"), F.min("n").alias("min_size"), F.max("n").alias("max_size"), F.avg("n").alias("mean_size"))
+
+
 KINDS = {"unchanged": "old_id", "split": "old_id", "merge": "new_id", "hybrid": "old_id"}
 
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairwright.config import Config
-from pairwright.operators import actions, graph, metrics, priority, simulate
+from pairwright.operators import actions, delta, graph, metrics, priority, simulate
 from pairwright.plans.infer import infer, with_measures
 from pairwright.plans.loop import ReviewLoop
 
@@ -90,3 +90,19 @@ def test_edge_sets(spark):
     a, e = graph.removed_nodes(nodes(1, 2, 3, 4), edges, nodes(2))
     assert a.count() == 3 and pairs(e) == [(1, 4), (3, 4)]
     assert pairs(graph.subgraph(nodes(1, 2, 3, 4), edges, nodes(3, 4))[1]) == [(3, 4)]
+
+
+def test_names_without_known_records_are_left_out(spark):
+    old = spark.createDataFrame([(1, "a"), (2, None), (3, None), (4, None), (5, "b")], "aid long, name string")
+    new = spark.createDataFrame([(1, "a"), (2, "a"), (3, "c"), (4, "c"), (5, "d")], "aid long, name string")
+    every = {(2, None, "a"), (3, None, "c"), (4, None, "c"), (5, "b", "d")}
+    assert set(map(tuple, delta.name_delta(old, new).collect())) == every
+    assert set(map(tuple, delta.name_delta(old, new, ignore_unknown=True).collect())) == {(2, None, "a"), (5, "b", "d")}
+
+
+def test_sizes_by_kind(spark):
+    rows = [(1, 1, 10, "split"), (2, 1, 11, "split"), (3, 1, 11, "split"), (4, None, 12, "added"), (5, 2, None, "removed")]
+    df = spark.createDataFrame(rows, "item long, old_id long, new_id long, kind string")
+    got = {(r.kind, r.side): tuple(r)[2:] for r in delta.delta_sizes(df).collect()}
+    assert got == {("split", "old"): (1, 3, 3, 3, 3.0), ("split", "new"): (2, 3, 1, 2, 1.5), ("added", "new"): (1, 1, 1, 1, 1.0), ("removed", "old"): (1, 1, 1, 1, 1.0)}
+    assert delta.delta_sizes(df.limit(0)).count() == 0
