@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pairwright.functions.codes import INCMP, NEGTV, POSTV, UNREV
 from pairwright.operators import kernels
-from pairwright.operators.components import connected_components
+from pairwright.operators.components import AT_ONCE, connected_components
 from pairwright.operators.graph import added
 from pairwright.operators.redundancy import positive_augmentation
 from pairwright.session import staged
@@ -50,7 +50,7 @@ def fragment_links(names: DataFrame, edges: DataFrame) -> DataFrame:
     names = names.where("name IS NOT NULL").select("aid", "name")
     one, two = names.toDF("aid1", "name"), names.toDF("aid2", "name2")
     inner = edges.join(one, "aid1").join(two, "aid2").where("name = name2").select("name", "aid1", "aid2", "decision")
-    members = staged(names.join(connected_components(inner.where(F.col("decision") == POSTV), nodes=names, component="f"), "aid"), "fragments")
+    members = staged(names.join(connected_components(inner.where(F.col("decision") == POSTV), nodes=names, component="f", at_once=AT_ONCE), "aid"), "fragments")
     sizes = members.groupBy("name", "f").agg(F.count("*").alias("n"), F.min("aid").alias("first"))
     of = members.select("aid", "f")
     shut = inner.where(F.col("decision").isin(NEGTV, INCMP)).select("name", "aid1", "aid2").distinct().join(of.toDF("aid1", "f1"), "aid1").join(of.toDF("aid2", "f2"), "aid2").where("f1 <> f2")
