@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.session import staged
+from pairwright.session import growing, staged
 
 
 class Conflict(RuntimeError):
@@ -97,12 +97,12 @@ class CommittedTables:
         known = self.manifest["files"][name]
         paths = [p for b, p in known.items() if buckets is None or int(b) in set(buckets)]
         schema = self.tables[name][0]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return growing(self.spark.read.schema(schema).parquet(*paths)) if paths else self.spark.createDataFrame([], schema)
 
     def matching(self, name: str, keys: DataFrame) -> DataFrame:
         """Rows whose bucketing column is among the one-column ``keys``; only their buckets are read."""
         column = self.tables[name][1]
-        return self.read(name, self.touched(keys)).join(keys.toDF(column).distinct(), column, "left_semi")
+        return growing(self.read(name, self.touched(keys)).join(keys.toDF(column).distinct(), column, "left_semi"))
 
     # Writing ---------------------------------------------------------------------------
 

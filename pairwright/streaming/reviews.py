@@ -12,8 +12,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pairwright.functions.codes import NEGTV, POSTV, UNREV, rectified
 from pairwright.operators import graph, redundancy
 from pairwright.operators.components import AT_ONCE, connected_components, spanning_forest
+from pairwright.session import growing, shared_dir
+from pairwright.session import staged as kept
 from pairwright.sources.committed import CommittedTables
-from pairwright.session import shared_dir, staged
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Tables of a batch grow with it, so none of them is broadcast."""
+    return growing(kept(df, name))
+
 
 LATEST = "aid1 long, aid2 long, review_id long, evidence_decision string, meta_decision string, num_reviews long"
 
@@ -219,6 +226,7 @@ class ReviewState:
         """Rows of flags that are other than before, the components that are gone, and the members of touched ones."""
         t = self.tables
         shift = moved.select("nid", F.lit(1).alias("n")).union(moved.where("old IS NOT NULL").select("old", F.lit(-1))).groupBy("nid").agg(F.sum("n").alias("n"))
+        shift = growing(shift)
         touched = staged(shift.select("nid").union(delta.where("nid = other").select("nid")).distinct(), "touched")
         sized = touched.join(t.matching("flags", touched).select("nid", "size"), "nid", "left").join(shift, "nid", "left").select("nid", (F.coalesce("size", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("size"))
         sized = staged(sized, "sized")
@@ -227,7 +235,7 @@ class ReviewState:
         members = staged(members, "members")
         rows = t.matching("edges", members.select("aid")).where("u < v").select(F.col("u").alias("aid1"), F.col("v").alias("aid2"), "decision").join(folded.select("aid1", "aid2"), ["aid1", "aid2"], "left_anti")
         rows = staged(rows.union(folded.select("aid1", "aid2", "decision")), "inside")
-        held = redundancy.positive_redundancy(rows, members, self.k_pos)
+        held = growing(redundancy.positive_redundancy(rows, members, self.k_pos))
         flags = sized.where("size > 0").join(inner, "nid", "left").join(held, "nid", "left")
         flags = staged(flags.select("nid", "size", F.coalesce("bad", F.lit(False)).alias("inconsistent"), F.coalesce("pos_redun", F.lit(False)).alias("pos_redundant")), "flags")
         return flags, sized.where("size = 0").select("nid"), members
