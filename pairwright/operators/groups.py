@@ -7,6 +7,7 @@ from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -18,7 +19,9 @@ def by_group(df: DataFrame, key: str, work: Callable[[object, list[tuple]], Iter
     """The rows that ``work(key, rows)`` gives for each group of equal ``key``; ``rows`` hold the other columns in order.
 
     Groups are dealt out by hash and sorted within tasks, and a task holds one group at a time, however many
-    it has; so partitions, not a number of batches, grow with the data.
+    it has; so partitions, not a number of batches, grow with the data. They are dealt out by a hash of the key: where a
+    join has dealt out rows by the key itself, Spark leaves a second exchange out, and the groups are torn if it then
+    finds at run time that it can broadcast one side of the join and reads the other where it lies.
     """
     names, arrow = [c for c in df.columns if c != key], to_arrow_schema(StructType.fromDDL(schema))
 
@@ -36,7 +39,7 @@ def by_group(df: DataFrame, key: str, work: Callable[[object, list[tuple]], Iter
         if out:
             yield _batch(out, arrow)
 
-    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return df.repartition(F.xxhash64(key)).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.codes import POSTV
 from pairwright.operators import graph, kernels
-from pairwright.session import shared_dir
+from pairwright.operators.groups import by_group
+from pairwright.session import growing, shared_dir, staged
 
 
 def reached(edges: DataFrame, sources: DataFrame, most_steps: int = 1000, directed: bool = False) -> DataFrame:
@@ -67,16 +67,17 @@ def sink_nodes(edges: DataFrame) -> DataFrame:
 
 def not_locally_redundant(queue: DataFrame, edges: DataFrame, pcc: DataFrame, k: int = 2) -> DataFrame:
     """The queue without pairs inside a consistent component whose ends k positive paths connect already."""
+    queue = growing(staged(queue, "queue"))
     inside = graph.edges_inside(queue.select("aid1", "aid2"), pcc).select(F.col("nid1").alias("nid"), "aid1", "aid2").join(graph.inconsistent(edges, pcc), "nid", "left_anti")
-    asked = inside.select(F.col("nid").alias("of"), F.col("aid1").alias("u"), F.col("aid2").alias("v"))
+    inside = growing(staged(inside, "inside"))
     positive = graph.edges_inside(edges.where(F.col("decision") == POSTV), pcc).select(F.col("nid1").alias("nid"), "aid1", "aid2").join(inside.select("nid").distinct(), "nid", "left_semi")
 
-    def connected(_key: tuple, asked: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        unit = [(u, v, 1) for u, v in have[["aid1", "aid2"]].itertuples(index=False)]
-        keep = [(u, v) for u, v in asked[["u", "v"]].itertuples(index=False) if unit and kernels.Flow(unit).push(u, v, k) >= k]
-        return pd.DataFrame(keep, columns=["aid1", "aid2"])
+    def connected(_nid, rows):
+        unit = [(u, v, 1) for u, v, asked in rows if not asked]
+        return [(u, v) for u, v, asked in rows if asked and unit and kernels.Flow(unit).push(u, v, k) >= k]
 
-    needless = asked.groupBy("of").cogroup(positive.groupBy("nid")).applyInPandas(connected, "aid1 long, aid2 long")
+    rows = inside.withColumn("asked", F.lit(True)).unionByName(positive.withColumn("asked", F.lit(False)))
+    needless = by_group(rows, "nid", connected, "aid1 long, aid2 long")
     return queue.join(needless, ["aid1", "aid2"], "left_anti")
 
 
