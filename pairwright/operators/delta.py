@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairwright.session import growing, staged
+
 
 def grouping_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     """(item, old_id, new_id, kind) for two tables (item, id).
@@ -35,10 +37,12 @@ def unjustified_splits(delta: DataFrame, edges: DataFrame) -> DataFrame:
 
     All pairs of parts without a reason are what is asked for, so the result has their number.
     """
-    parts = delta.where("kind IN ('split', 'hybrid')").select("old_id", "new_id").distinct()
+    delta = growing(staged(delta, "delta"))
+    parts = growing(staged(delta.where("kind IN ('split', 'hybrid')").select("old_id", "new_id").distinct(), "parts"))
     pairs = parts.join(parts.withColumnRenamed("new_id", "next"), "old_id").where("new_id < next")
-    of = delta.where("new_id IS NOT NULL").select("item", "new_id")
-    reasons = edges.where("decision IN ('NEGTV', 'INCMP')").join(of.toDF("aid1", "n1"), "aid1").join(of.toDF("aid2", "n2"), "aid2").select(F.least("n1", "n2").alias("new_id"), F.greatest("n1", "n2").alias("next")).distinct()
+    # Only edges between two parts that are asked for can be a reason.
+    of = growing(delta.where("new_id IS NOT NULL").join(parts.select("new_id").distinct(), "new_id", "left_semi").select("item", "new_id"))
+    reasons = edges.where("decision IN ('NEGTV', 'INCMP')").join(of.toDF("aid1", "n1"), "aid1").join(of.toDF("aid2", "n2"), "aid2").select(F.least("n1", "n2").alias("new_id"), F.greatest("n1", "n2").alias("next")).where("new_id < next").distinct()
     return pairs.join(reasons, ["new_id", "next"], "left_anti").select("old_id", F.col("new_id").alias("new1"), F.col("next").alias("new2"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +10,7 @@ from pairwright.operators import graph, kernels
 from pairwright.operators.bridges import edge_labels, leaf_places
 from pairwright.operators.components import AT_ONCE, connected_components, spanning_forest
 from pairwright.operators.groups import by_group
-from pairwright.session import staged
+from pairwright.session import growing, staged
 from pairwright.sources.committed import union_all
 
 #: Positive edges of a component that a kernel takes at once; larger ones are decided by labels, or by a kernel over a certificate.
@@ -69,12 +68,12 @@ def positive_redundancy(edges: DataFrame, pcc: DataFrame, k: int = 2, relax: boo
         summary = summary.where("is_consistent")
     full = F.col("n_pos") + F.col("n_incmp_inside") == F.col("n_nodes") * (F.col("n_nodes") - 1) / 2
     quick = F.when(full & F.lit(relax), True).when(F.col("n_nodes") < k + 1, False).when(F.lit(k == 1), True)
-    summary = summary.select("nid", "n_nodes", quick.alias("quick"))
+    summary = growing(staged(summary.select("nid", "n_nodes", quick.alias("quick")), "summary"))
     inner = graph.edges_inside(edges.where(F.col("decision") == POSTV), pcc).select(F.col("nid1").alias("nid"), "aid1", "aid2")
-    ends = inner.select("nid", F.explode(F.array("aid1", "aid2")).alias("aid")).groupBy("nid", "aid").agg(F.count("*").alias("d"))
-    least = ends.groupBy("nid").agg(F.min("d").alias("least"))
-    open_ = summary.where("quick IS NULL").join(least, "nid").where(F.col("least") >= k).select("nid")
-    held = edge_connected(staged(inner.join(open_, "nid", "left_semi"), "open"), k, kernel_edges)
+    asked = growing(staged(inner.join(summary.where("quick IS NULL"), "nid", "left_semi"), "asked"))
+    ends = asked.select("nid", F.explode(F.array("aid1", "aid2")).alias("aid")).groupBy("nid", "aid").agg(F.count("*").alias("d"))
+    open_ = ends.groupBy("nid").agg(F.min("d").alias("least")).where(F.col("least") >= k).select("nid")
+    held = edge_connected(growing(staged(asked.join(open_, "nid", "left_semi"), "open")), k, kernel_edges)
     return summary.join(held, "nid", "left").select("nid", F.coalesce("quick", "held", F.lit(False)).alias("pos_redun"))
 
 
@@ -116,7 +115,7 @@ def positive_augmentation(edges: DataFrame, pcc: DataFrame, k: int = 2, kernel_e
     with more than ``kernel_edges`` edges that their positive ones connect go through `tree_augmentation` for k = 2;
     any other is one group.
     """
-    wanted = staged(positive_redundancy(edges, pcc, k, only_consistent=False).where("NOT pos_redun").select("nid"), "wanted")
+    wanted = growing(staged(positive_redundancy(edges, pcc, k, only_consistent=False).where("NOT pos_redun").select("nid"), "wanted"))
     inner = staged(graph.edges_inside(edges, pcc).select(F.col("nid1").alias("nid"), "aid1", "aid2", "decision").join(wanted, "nid", "left_semi"), "inner")
     nodes = pcc.join(wanted, "nid", "left_semi").where("aid IS NOT NULL").select("nid", "aid")
     large = inner.groupBy("nid").agg(F.count("*").alias("m")).where(F.col("m") > kernel_edges).select("nid")
@@ -128,17 +127,18 @@ def positive_augmentation(edges: DataFrame, pcc: DataFrame, k: int = 2, kernel_e
         trees = tree_augmentation(inner.join(whole, "nid", "left_semi"), members.join(whole, "nid", "left_semi"))
         inner, nodes = inner.join(whole, "nid", "left_anti"), nodes.join(whole, "nid", "left_anti")
 
-    def augment(key: tuple, members: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        every = members["aid"].tolist()
-        by = lambda *d: [(int(a), int(b)) for a, b in pdf.loc[pdf["decision"].isin(d), ["aid1", "aid2"]].itertuples(index=False)]
+    def augment(nid, rows):
+        every = [a for a, _, d in rows if d == "member"]
+        by = lambda *of: [(a, b) for a, b, d in rows if d in of]
         have, open_, closed = by(POSTV), by(UNREV), by(NEGTV, INCMP, "UNKWN")
         found = kernels.augmented(every, have, k, open_)
         if not found:
             found = kernels.augmented(every, have, k, closed=closed, partial=True)
         old = set(open_)
-        return pd.DataFrame([(key[0], a, b, (a, b) in old) for a, b in found], columns=["nid", "aid1", "aid2", "existing"])
+        return [(nid, a, b, (a, b) in old) for a, b in found]
 
-    small = nodes.groupBy("nid").cogroup(inner.groupBy("nid")).applyInPandas(augment, _PAIRS)
+    members = nodes.select("nid", F.col("aid").alias("aid1"), F.lit(None).cast("long").alias("aid2"), F.lit("member").alias("decision"))
+    small = by_group(members.unionByName(inner), "nid", augment, _PAIRS)
     return small if trees is None else small.unionByName(trees)
 
 
