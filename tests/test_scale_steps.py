@@ -20,9 +20,10 @@ def plan(df):
 
 def test_groups_stay_whole_when_a_join_before_them_is_broadcast_at_run_time(spark):
     # Spark expects 24 MB of keys, so that it plans a sort merge join, and finds ten rows.
-    keys = spark.range(3_000_000).where("id < 10").select(F.col("id").alias("nid"))
-    items = spark.range(0, 4000, 1, 4).select((F.col("id") % 20).alias("nid"), "id")
-    groups = by_group(items.join(keys, "nid", "left_semi"), "nid", lambda nid, members: [(nid, len(members))], "nid long, n long")
+    keys = spark.range(3_000_000).where("id < 10").select(F.col("id").alias("nid")).distinct()
+    items = spark.range(4000).repartition(7).select((F.col("id") % 20).alias("nid1"), "id").withColumn("nid", F.col("nid1"))
+    asked = items.join(keys, "nid", "left_semi").select("nid", "id")
+    groups = by_group(asked, "nid", lambda nid, members: [(nid, len(members))], "nid long, n long")
     assert rows(groups) == [(i, 200) for i in range(10)]
 
 
