@@ -57,13 +57,13 @@ def edge_connected(inner: DataFrame, k: int, kernel_edges: int = KERNEL_EDGES) -
     return small.unionByName(counts.groupBy("nid").agg((~F.bool_or(weak)).alias("held")))
 
 
-def positive_redundancy(edges: DataFrame, pcc: DataFrame, k: int = 2, relax: bool = True, only_consistent: bool = True, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+def positive_redundancy(edges: DataFrame, pcc: DataFrame, k: int = 2, relax: bool = True, only_consistent: bool = True, kernel_edges: int = KERNEL_EDGES, summary: DataFrame | None = None) -> DataFrame:
     """(nid, pos_redun): whether each (consistent) component is held together by k edges everywhere.
 
     With ``relax``, a component whose positive and incomparable edges fill the clique is. What numbers and
-    degrees decide is decided by them, and what remains by `edge_connected`.
+    degrees decide is decided by them, and what remains by `edge_connected`. ``summary``: `graph.pcc_summary`, if it is there.
     """
-    summary = graph.pcc_summary(edges, pcc)
+    summary = graph.pcc_summary(edges, pcc) if summary is None else summary
     if only_consistent:
         summary = summary.where("is_consistent")
     full = F.col("n_pos") + F.col("n_incmp_inside") == F.col("n_nodes") * (F.col("n_nodes") - 1) / 2

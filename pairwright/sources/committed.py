@@ -106,31 +106,37 @@ class CommittedTables:
 
     # Writing ---------------------------------------------------------------------------
 
-    def commit(self, changes: dict[str, tuple[list[str], DataFrame, DataFrame | None]], notes: dict | None = None) -> None:
+    def commit(self, changes: dict[str, tuple[list[str] | None, DataFrame, DataFrame | None]], notes: dict | None = None) -> None:
         """Publish a version in which the rows of ``changes`` = {table: (keys, rows, gone)} are in place of those with their keys or with the keys of ``gone``.
 
-        Keys among ``rows`` must be distinct. Untouched buckets are neither read nor written. If another
-        writer has published since this object was refreshed, nothing changes and Conflict is raised.
+        Keys among ``rows`` must be distinct; where ``keys`` is None, the rows are the whole table and nothing is read. Untouched
+        buckets are neither read nor written. If another writer has published since this object was refreshed, nothing
+        changes and Conflict is raised.
         """
         files = {name: dict(known) for name, known in self.manifest["files"].items()}
         for name, (keys, rows, gone) in changes.items():
             schema, column = self.tables[name]
             rows = rows.select(*[c.split()[0] for c in schema.split(", ")])
+            if keys is None:
+                files[name] = self._write(name, rows, self.buckets)
+                continue
             out = rows.select(*keys) if gone is None else rows.select(*keys).union(gone.select(*keys))
             touched = self.touched(out.select(column))
             if not touched:
                 continue
-            whole = self.read(name, touched).join(out, keys, "left_anti").unionByName(rows).withColumn("bucket", self.bucket(column))
-            folder = f"{self.folder}/{name}/{uuid.uuid4().hex}"
-            whole.repartition(min(len(touched), self.buckets), "bucket").sortWithinPartitions("bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(folder)
-            there = self._path(name, folder.rsplit("/", 1)[1])
-            written = {x.getPath().getName().removeprefix("bucket=") for x in self._files().listStatus(there) if x.isDirectory()}
-            for b in map(str, touched):
-                files[name].pop(b, None)
-                if b in written:
-                    files[name][b] = f"{folder}/bucket={b}"
+            written = self._write(name, self.read(name, touched).join(out, keys, "left_anti").unionByName(rows), len(touched))
+            files[name] = {b: f for b, f in files[name].items() if int(b) not in set(touched)} | written
         self._publish({"version": self.version + 1, "buckets": self.buckets, "notes": self.manifest["notes"] | (notes or {}), "files": files})
 
+    def _write(self, name: str, rows: DataFrame, tasks: int) -> dict[str, str]:
+        """Write rows to a new folder; the file folder of each bucket that has any."""
+        folder = f"{self.folder}/{name}/{uuid.uuid4().hex}"
+        rows = rows.withColumn("bucket", self.bucket(self.tables[name][1]))
+        rows.repartition(min(tasks, self.buckets), "bucket").sortWithinPartitions("bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(folder)
+        listed = self._files().listStatus(self._path(name, folder.rsplit("/", 1)[1]))
+        written = [x.getPath().getName().removeprefix("bucket=") for x in listed if x.isDirectory()]
+        return {b: f"{folder}/bucket={b}" for b in written if b.isdigit()}
+
     def append(self, name: str, rows: DataFrame, keys: list[str]) -> None:
         """Commit new rows; a key that is repeated or there already is an error and changes nothing. ``keys`` must hold the bucketing column."""
         rows = staged(rows, name)

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pairwright.functions.codes import NEGTV, POSTV, UNREV, rectified
-from pairwright.operators import graph, redundancy
+from pairwright.functions.codes import INCMP, NEGTV, POSTV, UNREV, rectified
+from pairwright.operators import graph, kernels, redundancy
 from pairwright.operators.components import AT_ONCE, connected_components, spanning_forest
+from pairwright.operators.groups import by_group
 from pairwright.session import growing, shared_dir
 from pairwright.session import staged as kept
 from pairwright.sources.committed import CommittedTables
@@ -22,6 +23,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return growing(kept(df, name))
 
 
+#: A batch of no fewer reviewed edges than this, and no fewer than one to so many that are stored, is folded in by making all tables anew.
+RENEW_LEAST = 1000
+RENEW_SHARE = 16
+
 LATEST = "aid1 long, aid2 long, review_id long, evidence_decision string, meta_decision string, num_reviews long"
 
 
@@ -55,7 +60,8 @@ class ReviewState:
 
     A positive edge that goes and is not in the forest leaves the components as they are. For one in the forest, the
     component's forest falls into pieces, and replacements are looked for among the positive edges of all pieces
-    but the largest. Records that no annotation names are added as they are reviewed. To unreview an edge of
+    but the largest. A batch that reviews a large share of the edges (``renew_least``, `RENEW_SHARE`) touches most components;
+    then all tables are made anew from all edges, which is less work. Records that no annotation names are added as they are reviewed. To unreview an edge of
     ``committed`` (aid1 < aid2, those with reviews in the permanent table) is an error, and the batch changes nothing.
     """
 
@@ -67,11 +73,11 @@ class ReviewState:
         "flags": ("nid long, size long, inconsistent boolean, pos_redundant boolean", "nid"),
     }
 
-    def __init__(self, annots: DataFrame, folder: str | None = None, buckets: int = 64, k_pos: int = 2, k_neg: int = 2, committed: DataFrame | None = None):
-        self.spark, self.committed = annots.sparkSession, committed
+    def __init__(self, annots: DataFrame, folder: str | None = None, buckets: int = 64, k_pos: int = 2, k_neg: int = 2, committed: DataFrame | None = None, renew_least: int = RENEW_LEAST):
+        self.spark, self.committed, self.renew_least = annots.sparkSession, committed, renew_least
         self.folder, self.k_pos, self.k_neg = folder or f"{shared_dir(self.spark)}/reviews-{uuid.uuid4().hex}", k_pos, k_neg
         self.tables = CommittedTables(self.spark, self.folder, self.TABLES, buckets)
-        #: Of the last batch: components whose forest lost an edge, and records that got another label.
+        #: Of the last batch: components whose forest lost an edge, and records that got another label; None if all was made anew.
         self.searched = self.moved = 0
         if self.tables.version < 0:
             own = annots.select("aid", F.col("aid").alias("nid")).distinct()
@@ -119,16 +125,16 @@ class ReviewState:
         t = self.tables.refresh()
         if epoch <= self.epoch:
             return
-        reviews = graph.canonical(batch).groupBy("aid1", "aid2")
-        news = staged(reviews.agg(F.max_by(F.struct("review_id", "evidence_decision", "meta_decision"), "review_id").alias("r"), F.count("*").alias("n")), "news")
+        reviews, seen = graph.canonical(batch).groupBy("aid1", "aid2"), Observation()
+        news = reviews.agg(F.max_by(F.struct("review_id", "evidence_decision", "meta_decision"), "review_id").alias("r"), F.count("*").alias("n"))
+        news = staged(news.observe(seen, F.count(F.lit(1)).alias("n")), "news")
+        if seen.get["n"] >= self.renew_least and 2 * RENEW_SHARE * seen.get["n"] >= t.read("edges").count():
+            return self._renew(news, epoch)
         ends = news.select(F.explode(F.array("aid1", "aid2")).alias("aid")).distinct()
         known = staged(t.matching("nodes", ends), "known")
         fresh = staged(ends.join(known, "aid", "left_anti"), "fresh")
         folded = self._folded(news)
-        if self.committed is not None:
-            undone = folded.where(F.col("decision") == UNREV).join(self.committed.select("aid1", "aid2"), ["aid1", "aid2"], "left_semi").first()
-            if undone:
-                raise ValueError(f"committed reviews cannot be undone: {undone.aid1} {undone.aid2}")
+        self._check(folded)
         label = known.union(fresh.select("aid", F.col("aid").alias("nid")))
         cut = folded.where(f"was = '{POSTV}' AND decision <> '{POSTV}'").select("aid1", "aid2", "tree")
         apart, links = self._split(cut, label)
@@ -151,10 +157,83 @@ class ReviewState:
         """Edges with new reviews as they are then; ``was`` is the decision before (null for a new edge), ``tree`` as before."""
         before = self.tables.matching("edges", news.select("aid1")).withColumnsRenamed({"u": "aid1", "v": "aid2", "decision": "was"})
         both = news.join(before, ["aid1", "aid2"], "left")
-        newer = F.coalesce(F.col("review_id") < F.col("r.review_id"), F.lit(True))
+        return staged(self._newest(both, "was", F.coalesce("tree", F.lit(False)).alias("tree")), "folded")
+
+    @staticmethod
+    def _newest(both: DataFrame, *more) -> DataFrame:
+        """Stored edges joined with news (r, n), either of which may be missing, as they are then."""
+        newer = F.col("n").isNotNull() & F.coalesce(F.col("review_id") < F.col("r.review_id"), F.lit(True))
         pick = lambda c: F.when(newer, F.col(f"r.{c}")).otherwise(F.col(c)).alias(c)
-        rows = both.select("aid1", "aid2", pick("review_id"), pick("evidence_decision"), pick("meta_decision"), (F.coalesce("num_reviews", F.lit(0)) + F.col("n")).alias("num_reviews"), "was", F.coalesce("tree", F.lit(False)).alias("tree"))
-        return staged(rows.withColumn("decision", rectified(F.col("evidence_decision"), F.col("meta_decision"))), "folded")
+        number = (F.coalesce("num_reviews", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("num_reviews")
+        rows = both.select("aid1", "aid2", pick("review_id"), pick("evidence_decision"), pick("meta_decision"), number, *more)
+        return rows.withColumn("decision", rectified(F.col("evidence_decision"), F.col("meta_decision")))
+
+    def _check(self, reviewed: DataFrame) -> None:
+        if self.committed is not None:
+            undone = reviewed.where(F.col("decision") == UNREV).join(self.committed.select("aid1", "aid2"), ["aid1", "aid2"], "left_semi").first()
+            if undone:
+                raise ValueError(f"committed reviews cannot be undone: {undone.aid1} {undone.aid2}")
+
+    def _renew(self, news: DataFrame, epoch: int) -> None:
+        """Fold in a batch by making all tables anew: components by contraction, forests and redundancy within by component, counts by aggregation."""
+        t, columns = self.tables, [c.split()[0] for c in self.TABLES["edges"][0].split(", ")]
+        stored = t.read("edges").where("u < v").withColumnsRenamed({"u": "aid1", "v": "aid2"}).drop("decision", "tree")
+        both = self._newest(stored.join(growing(news), ["aid1", "aid2"], "full_outer"), F.col("n").isNotNull().alias("reviewed"))
+        self._check(both.where("reviewed"))
+        edges = staged(both.drop("reviewed"), "whole")
+        records = t.read("nodes").select("aid").union(news.select(F.explode(F.array("aid1", "aid2"))))
+        pcc = staged(connected_components(edges.where(F.col("decision") == POSTV), nodes=records, at_once=AT_ONCE), "pcc")
+        labelled = staged(graph.with_labels(edges, pcc).drop("nid1", "nid2"), "labelled").withColumns({"nid1": F.least("na", "nb"), "nid2": F.greatest("na", "nb")})
+        half = staged(labelled.groupBy("nid1", "nid2").agg(*[F.count_if(F.col("decision") == d).alias(d) for d in graph.DECISIONS]), "meta")
+        inner = half.where("nid1 = nid2").select(F.col("nid1").alias("nid"), F.col(POSTV).alias("n_pos"), F.col(NEGTV).alias("n_neg_inside"), F.col(INCMP).alias("n_incmp_inside"))
+        summary = pcc.groupBy("nid").agg(F.count("*").alias("n_nodes")).join(inner, "nid", "left").na.fill(0)
+        summary = staged(summary.withColumn("is_consistent", (F.col("n_nodes") <= 2) | (F.col("n_neg_inside") == 0)), "summary")
+        held = growing(redundancy.positive_redundancy(labelled, pcc, self.k_pos, summary=summary))
+        flags = summary.join(held, "nid", "left").select("nid", F.col("n_nodes").alias("size"), (F.col("n_neg_inside") > 0).alias("inconsistent"), F.coalesce("pos_redun", F.lit(False)).alias("pos_redundant"))
+        self.searched = self.moved = None
+        t.commit({
+            "nodes": (None, pcc, None),
+            "members": (None, pcc, None),
+            "edges": (None, self._both_ends(self._with_tree(labelled, summary, columns), "u", "v"), None),
+            "meta": (None, self._all_meta(half, summary), None),
+            "flags": (None, flags, None),
+        }, {"epoch": epoch})
+
+    def _with_tree(self, labelled: DataFrame, summary: DataFrame, columns: list[str]) -> DataFrame:
+        """All edges (u < v) with ``tree``: forests by a kernel for each component, and in rounds for those with more than `redundancy.KERNEL_EDGES` edges."""
+        rows = labelled.select("na", F.col("aid1").alias("u"), F.col("aid2").alias("v"), *columns[2:-1])
+        others = rows.where(~F.col("decision").eqNullSafe(POSTV)).withColumn("tree", F.lit(False)).select(*columns)
+        rows = rows.where(F.col("decision") == POSTV)
+
+        def mark(nid, group):
+            return [(*r, taken) for r, taken in zip(group, kernels.forest((r[0], r[1]) for r in group), strict=True)]
+
+        large = staged(summary.where(F.col("n_pos") > redundancy.KERNEL_EDGES).select(F.col("nid").alias("na")), "large")
+        if large.isEmpty():
+            return others.unionByName(by_group(rows, "na", mark, self.TABLES["edges"][0]))
+        big = staged(rows.join(large, "na", "left_semi"), "big")
+        taken = staged(spanning_forest(big, "u", "v", at_once=AT_ONCE).withColumn("tree", F.lit(True)), "taken")
+        big = big.join(taken, ["u", "v"], "left").withColumn("tree", F.coalesce("tree", F.lit(False))).select(*columns)
+        return others.unionByName(big).unionByName(by_group(rows.join(large, "na", "left_anti"), "na", mark, self.TABLES["edges"][0]))
+
+    def _all_meta(self, half: DataFrame, summary: DataFrame) -> DataFrame:
+        """Rows of meta from both sides, of counts with nid1 <= nid2; only where there are negative edges are sizes looked up."""
+        asked = (F.col("nid1") != F.col("nid2")) & (F.col(NEGTV) > 0)
+        side = lambda i: summary.select(F.col("nid").alias(f"nid{i}"), F.col("n_nodes").alias(f"size{i}"), (F.col("n_neg_inside") == 0).alias(f"good{i}"))
+        weight = F.col(NEGTV)
+        near = half.where(asked).join(side(1), "nid1").join(side(2), "nid2").withColumn("enough", (weight >= self.k_neg) | (weight == F.col("size1")) | (weight == F.col("size2")))
+        near = near.select("nid1", "nid2", *graph.DECISIONS, (F.col("enough") & F.col("good1")).alias("r1"), (F.col("enough") & F.col("good2")).alias("r2"))
+        rest = half.where(~asked).select("nid1", "nid2", *graph.DECISIONS, F.lit(False).alias("r1"), F.lit(False).alias("r2"))
+        rows = near.unionByName(rest)
+        one, two = (F.struct(F.col(a).alias("nid"), F.col(b).alias("other"), *graph.DECISIONS, F.col(r).alias("redundant")) for a, b, r in (("nid1", "nid2", "r1"), ("nid2", "nid1", "r2")))
+        return rows.select(F.explode(F.when(F.col("nid1") == F.col("nid2"), F.array(one)).otherwise(F.array(one, two))).alias("x")).select("x.*")
+
+    @staticmethod
+    def _both_ends(rows: DataFrame, u: str, v: str) -> DataFrame:
+        """Each row once more with its ends exchanged."""
+        rest = [c for c in rows.columns if c not in (u, v)]
+        one, two = (F.struct(F.col(a).alias(u), F.col(b).alias(v), *rest) for a, b in ((u, v), (v, u)))
+        return rows.select(F.explode(F.array(one, two)).alias("x")).select("x.*")
 
     def _split(self, cut: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(aid, old, nid) of all members of components whose forest loses an edge, and the edges (u, v) that take its place in the forest."""

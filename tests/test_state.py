@@ -56,6 +56,32 @@ def test_random_logs_in_batches(spark):
     agrees(state, annots, log)
 
 
+def test_large_batches_make_the_same_tables_anew(spark, monkeypatch):
+    rng, reviews, nodes = random.Random(8), [], []
+    for world in range(40):
+        own = [100 * world + i for i in range(rng.randint(2, 9))]
+        nodes += own
+        for _ in range(rng.randint(1, 26)):
+            u, v = rng.sample([*own, own[0] + 50], 2)
+            reviews.append((u, v, rng.choice(["POSTV"] * 5 + ["NEGTV"] * 3 + ["INCMP", "UNKWN", "UNREV"])))
+    rng.shuffle(reviews)
+    annots, log = spark.createDataFrame([(n,) for n in nodes], "aid long"), log_of(spark, reviews).cache()
+    everyone = annots.union(log.select(F.explode(F.array("aid1", "aid2")))).distinct()
+    state = ReviewState(annots, buckets=8, renew_least=100)
+    # Components with more than 5 edges go by rounds.
+    monkeypatch.setattr("pairwright.operators.redundancy.KERNEL_EDGES", 5)
+    jobs = lambda group: len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    last, ways = len(reviews) - 20, []
+    half = last // 2
+    for k, (lo, hi) in enumerate(((0, half), (half, last), (last, len(reviews)))):
+        spark.sparkContext.setJobGroup(f"batch {k}", "")
+        state.apply(log.where(f"review_id >= {lo} AND review_id < {hi}"), k)
+        ways.append(state.searched is None)
+    assert ways == [True, True, False]
+    assert max(jobs("batch 0"), jobs("batch 1")) < jobs("batch 2")
+    agrees(state, everyone, log)
+
+
 # Each batch: what it shows, and its reviews.
 STEPS = [
     ("parts join; negatives between them, twice for one pair", [(0, 1, "POSTV"), (2, 3, "POSTV"), (4, 5, "POSTV"), (0, 2, "NEGTV"), (1, 3, "NEGTV"), (3, 4, "NEGTV")]),
