@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
 from heapq import heapreplace
 from itertools import islice
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import WordCache, crc32_of, map_arrow, slices
+from pairwright.llm.common import crc32_of, slices
 from pairwright.session import shared_dir, staged
 
 #: Head symbols (the end among them), words in a head class, tail classes, and units of the network.
@@ -371,27 +372,6 @@ def _added(rows: DataFrame, *by: str) -> DataFrame:
     return rows.select(*by, "weight", "block_values").groupBy(*by).applyInArrow(add, schema)
 
 
-def symbol_table(docs: DataFrame, v: Vocabulary, rounds: list[int]) -> DataFrame:
-    """(round, g, key, z): the round and group of each document, by hashes of its id and text, and its symbols, compressed."""
-    key = F.xxhash64("doc_id", "text")
-    rows = docs.select("text", key.alias("key"), F.pmod(key, F.lit(len(rounds))).cast("int").alias("round"))
-    groups = F.element_at(F.array(*map(F.lit, rounds)), F.col("round") + 1)
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("key", F.lit("group")), groups).cast("int"))
-
-    def task():
-        symbols, press = WordCache(v.symbol), zstandard.ZstdCompressor(level=1).compress
-
-        def work(batch: pa.RecordBatch):
-            for part in slices(batch, "text"):
-                symbols.trim()
-                z = [press(np.array([*map(symbols.__getitem__, tokens_of(t)), 0], "<i2").tobytes()) for t in part["text"].to_pylist()]
-                yield pa.table([part["round"], part["g"], part["key"], z], names=["round", "g", "key", "z"])
-
-        return work
-
-    return map_arrow(rows, task, "round int, g int, key long, z binary")
-
-
 def train_round(rows: DataFrame, state: dict) -> dict:
     """Train from ``state`` on each group of ``rows`` (g, key, z); the mean of what they learned, weighted by tokens.
 
@@ -422,7 +402,10 @@ def train_round(rows: DataFrame, state: dict) -> dict:
 
 # The corpus ----------------------------------------------------------------------------
 
-_PACKED = "g long, doc_id long, held_out boolean, ids binary, word string, lid int, n long"
+_PACKED = "g long, doc_id long, held_out boolean, key long, ids binary, word string, lid int, n long"
+_SYMBOLS = "doc_id long, held_out boolean, key long, n_tokens long, n_known long, base_score double, share double, z binary"
+#: Tokens that a task scores at once, but for longer documents.
+SCORE_TOKENS = 1 << 22
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -447,14 +430,14 @@ def packed(docs: DataFrame) -> DataFrame:
                 made += 1
                 n, m = part.num_rows, len(numbers)
                 null = pa.nulls
-                yield pa.RecordBatch.from_arrays([pa.array([g] * n, pa.int64()), part["doc_id"], part["held_out"], pa.array(ids, pa.binary()), null(n, pa.string()), null(n, pa.int32()), null(n, pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([g] * n, pa.int64()), part["doc_id"], part["held_out"], part["key"], pa.array(ids, pa.binary()), null(n, pa.string()), null(n, pa.int32()), null(n, pa.int64())], schema=schema)
                 every = iter(numbers)
                 for i in range(0, m, 1 << 16):
                     words = [w.decode() for w in islice(every, 1 << 16)]
                     k = len(words)
-                    yield pa.RecordBatch.from_arrays([pa.array([g] * k, pa.int64()), null(k, pa.int64()), null(k, pa.bool_()), null(k, pa.binary()), pa.array(words, pa.string()), pa.array(range(i, i + k), pa.int32()), pa.array(counts[i : i + k])], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array([g] * k, pa.int64()), null(k, pa.int64()), null(k, pa.bool_()), null(k, pa.int64()), null(k, pa.binary()), pa.array(words, pa.string()), pa.array(range(i, i + k), pa.int32()), pa.array(counts[i : i + k])], schema=schema)
 
-    schema = pa.schema([("g", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("word", pa.string()), ("lid", pa.int32()), ("n", pa.int64())])
+    schema = pa.schema([("g", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("key", pa.int64()), ("ids", pa.binary()), ("word", pa.string()), ("lid", pa.int32()), ("n", pa.int64())])
     return docs.mapInArrow(run, _PACKED)
 
 
@@ -480,19 +463,79 @@ def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def trained(docs: DataFrame, v: Vocabulary, group_tokens: int = GROUP_TOKENS) -> dict:
-    """Weights after all rounds; each document is learned from once, in one of them."""
-    rounds = rounds_of(v.train_tokens, group_tokens)
-    spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/symbols-{uuid.uuid4().hex}"
-    rows = symbol_table(docs, v, rounds)
-    rows.write.option("compression", "none").partitionBy("round").parquet(path)
+def with_symbols(counts: DataFrame, v: Vocabulary) -> DataFrame:
+    """``counts`` (word, c) with the symbol of each word, as `Vocabulary.symbol` gives it."""
+    spark = counts.sparkSession
+    head = spark.createDataFrame([(w.decode(), i) for w, i in v.head.items()], "word string, own int")
+    tail = spark.createDataFrame(list(v.endings.items()), "ending string, class int")
+    rows = counts.withColumn("ending", F.expr(_ENDING)).join(F.broadcast(head), "word", "left").join(F.broadcast(tail), "ending", "left")
+    return rows.select("word", "c", F.coalesce("own", F.lit(HEAD) + F.coalesce("class", F.lit(TAIL_CLASSES - 1))).cast("short").alias("symbol"))
+
+
+def symbol_table(rows: DataFrame, counts: DataFrame, v: Vocabulary, rounds: list[int]) -> DataFrame:
+    """_SYMBOLS of each document of ``rows`` (`packed`), with what does not need the network, and the round and group g that learn from it, by hashes of its key; round -1 for those held out.
+
+    Each distinct word gets its count and symbol once, and goes back to the dictionaries that have it.
+    """
+    words = rows.where("word IS NOT NULL").select("g", "word", "lid")
+    entries = words.join(with_symbols(counts, v), "word").select(F.col("g").alias("of"), "lid", "c", "symbol")
+
+    def look_up(documents: pa.Table, entries: pa.Table) -> pa.Table:
+        order = np.argsort(entries["lid"].to_numpy())
+        c, symbol = entries["c"].to_numpy()[order].astype(np.float64), entries["symbol"].to_numpy()[order].astype("<i2")
+        base, share, known = v.base(c), v.in_tail(symbol.astype(np.int64), c), c > 0
+        unpress, press = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+        ids = [np.frombuffer(unpress(x), "<u4") for x in documents["ids"].to_pylist()]
+        ends = v.head_counts[0]
+        return pa.table(
+            {
+                "doc_id": documents["doc_id"], "held_out": documents["held_out"], "key": documents["key"], "n_tokens": [len(x) + 1 for x in ids], "n_known": [int(known[x].sum()) + int(ends > 0) for x in ids],
+                "base_score": [float(base[x].sum() + v.base(ends)) for x in ids], "share": [float(share[x].sum()) for x in ids], "z": [press(np.append(symbol[x], np.int16(0)).astype("<i2").tobytes()) for x in ids],
+            }
+        )
+
+    documents = rows.where("word IS NULL").select("g", "doc_id", "held_out", "key", "ids")
+    found = documents.groupBy("g").cogroup(entries.groupBy("of")).applyInArrow(look_up, _SYMBOLS)
+    turn = F.pmod("key", F.lit(len(rounds))).cast("int")
+    groups = F.element_at(F.array(*map(F.lit, rounds)), turn + 1)
+    return found.withColumns({"round": F.when(F.col("held_out"), F.lit(-1)).otherwise(turn), "g": F.pmod(F.xxhash64("key", F.lit("group")), groups).cast("int")})
+
+
+def trained(read: Callable[[], DataFrame], v: Vocabulary, rounds: list[int]) -> dict:
+    """Weights after all rounds over the `symbol_table` that ``read`` gives; each document is learned from once, in one of them."""
     state = begun(v)
     for i in range(len(rounds)):
-        state = train_round(spark.read.schema(rows.schema).parquet(path).where(F.col("round") == i), state)
+        state = train_round(read().where(F.col("round") == i), state)
     return {k: x for k, x in state.items() if k[0] != "2"}
 
 
+def _scored(rows: DataFrame, p: dict, train_tokens: int) -> DataFrame:
+    """SCORES of the documents of a `symbol_table`, about `SCORE_TOKENS` at once."""
+
+    def rate(part: pa.Table) -> pa.RecordBatch:
+        unpress = zstandard.ZstdDecompressor().decompress
+        got = score(p, [np.frombuffer(unpress(z), "<i2") for z in part["z"].to_pylist()])
+        part = part.append_column("train_tokens", pa.array([train_tokens] * part.num_rows, pa.int64())).append_column("score", pa.array((got + part["share"].to_numpy()) / np.log(10)))
+        return part.select([c.split()[0] for c in SCORES.split(", ")]).combine_chunks().to_batches()[0]
+
+    def run(batches):
+        kept, n = [], 0
+        for batch in batches:
+            tokens, at = np.cumsum(batch["n_tokens"].to_numpy()), 0
+            while at < batch.num_rows:
+                before = int(tokens[at - 1]) if at else 0
+                upto = max(at + 1, int(np.searchsorted(tokens, before + SCORE_TOKENS - n, side="right")))
+                kept.append(batch.slice(at, upto - at))
+                n, at = n + int(tokens[upto - 1]) - before, upto
+                if n >= SCORE_TOKENS or at < batch.num_rows:
+                    yield rate(pa.Table.from_batches(kept))
+                    kept, n = [], 0
+        if kept:
+            yield rate(pa.Table.from_batches(kept))
+
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "share", "z").mapInArrow(run, SCORES)
+
+
 def score_documents(docs: DataFrame, group_tokens: int = GROUP_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """SCORES of every row; documents whose id has a CRC-32 divisible by 10 are held out of all that is learned.
 
@@ -505,32 +548,14 @@ def score_documents(docs: DataFrame, group_tokens: int = GROUP_TOKENS, id_col: s
     partitions changes no result but by rounding.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = docs.withColumn("held_out", F.pmod(crc32_of(F.col("doc_id")), F.lit(10)) == 0)
+    docs = docs.withColumns({"held_out": F.pmod(crc32_of(F.col("doc_id")), F.lit(10)) == 0, "key": F.xxhash64("doc_id", "text")})
     rows = staged(packed(docs), "packed")
-    words = rows.where("word IS NOT NULL").select("g", "word", "lid", "n")
-    counts = staged(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
-    v = vocabulary(counts, docs.where("NOT held_out").count())
-    p = trained(docs.where("NOT held_out"), v, group_tokens)
-    joined = words.join(counts, "word", "left").select(F.col("g").alias("of"), "lid", "word", F.coalesce("c", F.lit(0)).alias("c"))
-
-    def rate(documents: pa.Table, entries: pa.Table) -> pa.Table:
-        order = np.argsort(entries["lid"].to_numpy())
-        c = entries["c"].to_numpy()[order].astype(np.float64)
-        symbol = np.fromiter((v.symbol(w.as_py().encode()) for w in entries["word"]), np.int16, len(order))[order]
-        base, share, known = v.base(c), v.in_tail(symbol.astype(np.int64), c), c > 0
-        unpress = zstandard.ZstdDecompressor().decompress
-        ids = [np.frombuffer(unpress(x), "<u4") for x in documents["ids"].to_pylist()]
-        ends = v.head_counts[0]
-        got = score(p, [np.append(symbol[x], np.int16(0)) for x in ids])
-        n = len(ids)
-        return pa.table(
-            {
-                "doc_id": documents["doc_id"], "held_out": documents["held_out"], "n_tokens": [len(x) + 1 for x in ids], "n_known": [int(known[x].sum()) + int(ends > 0) for x in ids], "train_tokens": [v.train_tokens] * n,
-                "base_score": [float(base[x].sum() + v.base(ends)) for x in ids], "score": [float((s + share[x].sum()) / np.log(10)) for s, x in zip(got, ids, strict=True)],
-            }
-        )
-
-    documents = rows.where("word IS NULL").select("g", "doc_id", "held_out", "ids")
-    return documents.groupBy("g").cogroup(joined.groupBy("of")).applyInArrow(rate, SCORES)
-
-
+    words = rows.where("word IS NOT NULL")
+    counts = staged(words.groupBy("word").agg(F.sum("n").alias("c")), "counts")
+    v = vocabulary(counts.where("c > 0"), rows.where("word IS NULL AND NOT held_out").count())
+    rounds = rounds_of(v.train_tokens, group_tokens)
+    spark, path = docs.sparkSession, f"{shared_dir(docs.sparkSession)}/symbols-{uuid.uuid4().hex}"
+    symbols = symbol_table(rows, counts, v, rounds)
+    symbols.write.option("compression", "none").partitionBy("round").parquet(path)
+    read = lambda: spark.read.schema(symbols.schema).parquet(path)
+    return _scored(read(), trained(read, v, rounds), v.train_tokens)

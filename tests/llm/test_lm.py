@@ -110,3 +110,19 @@ def test_very_long_text(spark):
     docs = spark.createDataFrame([(1, "one two three " * 100_000), (2, "one"), (10, "four")], "doc_id long, text string")
     got = {r.doc_id: r for r in lm.score_documents(docs).collect()}
     assert got[1].n_tokens == 300_001 and got[1].score > got[1].base_score
+
+
+def test_symbols_by_spark_are_those_of_the_vocabulary(spark):
+    words = ["the", "ending", "x,", ",.;", "naïve!?", "日本語です", "zz...ing", "a", "höre.", "\ud7ff"]
+    v = lm.Vocabulary({b"the": 1, "höre.".encode(): 2}, np.ones(lm.HEAD), {"ing": 0, "": 1, "ïve": 2, "語です": 3, "a": 4}, np.ones(lm.TAIL_CLASSES), np.ones(lm.TAIL_CLASSES), 100, 10)
+    got = lm.with_symbols(spark.createDataFrame([(w, 1) for w in words], "word string, c long"), v).collect()
+    assert {r.word: r.symbol for r in got} == {w: v.symbol(w.encode()) for w in words}
+
+
+def test_texts_are_cut_into_words_once(spark, monkeypatch):
+    calls, cut = spark.sparkContext.accumulator(0), lm.tokens_of
+    monkeypatch.setattr(lm, "tokens_of", lambda text: (calls.add(1), cut(text))[1])
+    monkeypatch.setattr(lm, "SCORE_TOKENS", 40)
+    docs = spark.range(60).selectExpr("id AS doc_id", "repeat('word ', int(id)) AS text")
+    assert sorted((r.doc_id, r.n_tokens) for r in lm.score_documents(docs).collect()) == [(i, i + 1) for i in range(60)]
+    assert calls.value == 60
