@@ -17,7 +17,7 @@ from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
 from heapq import heapreplace
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,9 @@ UNITS = 16
 WINDOW = 16
 TRAIN_LANES = 256
 SCORE_LANES = 512
+#: Tokens that scoring reads in a window, if it has few lanes, and rows that a softmax makes at once, which a core's cache holds.
+SCORE_WINDOW_TOKENS = 8192
+SOFTMAX_ROWS = 512
 #: Training cuts longer documents in stretches of so many tokens, each with a state of its own; scoring never does.
 STRETCH = 1024
 #: Tokens that one task learns from between two averages of the weights, and the least number of rounds.
@@ -112,43 +115,103 @@ def initial(v: Vocabulary) -> dict[str, np.ndarray]:
     }
 
 
-def _sigmoid(x):
-    """In place."""
-    x *= np.float32(0.5)
-    np.tanh(x, out=x)
-    x += np.float32(1)
-    x *= np.float32(0.5)
-    return x
-
-
-def _step(p, symbols, h):
-    """States (units x lanes) after reading a symbol in each lane, and what the way back needs."""
-    x = np.ascontiguousarray(p["E"][symbols].T)
-    a = p["U"].T @ h
-    inner = a[2 * UNITS :]
-    zr = x[: 2 * UNITS]
-    zr += a[: 2 * UNITS]
-    _sigmoid(zr)
-    z, r = zr[:UNITS], zr[UNITS:]
-    n = x[2 * UNITS :]
-    n += r * inner
-    np.tanh(n, out=n)
-    new = h - n
-    new *= z
-    new += n
-    return new, (z, r, n, inner)
-
-
-def _log_softmax(logits, at, prob: bool):
-    """Log-probabilities at ``at`` of each row, and all probabilities if asked. Logits are far from overflow."""
-    rows = np.arange(len(at))
-    own = logits[rows, at]
-    e = np.exp(logits, out=logits)
-    total = e.sum(axis=1)
-    if prob:
-        e /= total[:, None]
-        e[rows, at] -= 1
-    return own - np.log(total), e
+def _scaled(p):
+    """Inputs (symbols x gates) and transposed recurrent weights, so that exp gives the gates: sigmoid(x) is 1 / (1 + exp(-x)), tanh(x) is 1 - 2 / (1 + exp(2 x))."""
+    scale = np.repeat(np.array([-1, -1, 2], p["E"].dtype), UNITS)
+    return p["E"] * scale, np.ascontiguousarray((p["U"] * scale).T)
+
+
+def _states(e, u, h, x, train: bool = False):
+    """States (steps + 1 x units x lanes, ``h`` first) while each lane reads its column of ``x``, where a text's start drops its
+    lane's state; and what the way back needs: gates, what r gates, and where states are kept (None at steps that keep all)."""
+    steps, lanes = x.shape
+    gates, states = np.empty((steps, 3 * UNITS, lanes), e.dtype), np.empty((steps + 1, UNITS, lanes), e.dtype)
+    inner = np.empty((steps if train else 1, UNITS, lanes), e.dtype)
+    states[0] = h
+    goes_on = x != 0
+    kept = [None if whole else goes_on[t].astype(e.dtype) for t, whole in enumerate(goes_on.all(axis=1).tolist())]
+    sums, gated = np.empty((3 * UNITS, lanes), e.dtype), np.empty((UNITS, lanes), e.dtype)
+    # exp may be infinite, which gives 0 or 1.
+    with np.errstate(over="ignore"):
+        for t in range(steps):
+            before = states[t] if kept[t] is None else states[t] * kept[t]
+            np.matmul(u, before, out=sums)
+            np.copyto(gates[t], e.take(x[t], axis=0).T)
+            zr, n, new = gates[t, : 2 * UNITS], gates[t, 2 * UNITS :], states[t + 1]
+            zr += sums[: 2 * UNITS]
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            np.multiply(zr[UNITS:], sums[2 * UNITS :], out=gated)
+            n += gated
+            np.exp(n, out=n)
+            n += 1
+            np.divide(-2, n, out=n)
+            n += 1
+            np.subtract(before, n, out=new)
+            new *= zr[:UNITS]
+            new += n
+            if train:
+                np.multiply(sums[2 * UNITS :], 0.5, out=inner[t])
+    return states, gates, inner, kept
+
+
+def _blocks(bounds: list[int]):
+    """Rows in blocks of at most SOFTMAX_ROWS, each a list of (k, start, end) of rows between ``bounds`` k and k + 1."""
+    block, room = [], SOFTMAX_ROWS
+    for k, (a, end) in enumerate(pairwise(bounds)):
+        while a < end:
+            b = min(end, a + room)
+            block.append((k, a, b))
+            room, a = room - (b - a), b
+            if not room:
+                yield block
+                block, room = [], SOFTMAX_ROWS
+    if block:
+        yield block
+
+
+def _softmax(h, weights, bias, bounds, at, got, grads=None, dh=None):
+    """Add log-probabilities at ``at`` of each row to ``got``; rows of ``h`` between ``bounds`` k and k + 1 meet ``weights[k]``.
+
+    Gradients of weights and bias are added to ``grads``, those of ``h`` to ``dh``, if asked. Logits are far from
+    overflow; the exponentials of biases are factors, as they are the same in all rows.
+    """
+    factors, classes = np.exp(bias), weights.shape[2]
+    if grads is not None:
+        g_weights, g_bias, own_weights = np.zeros_like(weights.transpose(0, 2, 1), order="C"), np.zeros_like(bias), np.ascontiguousarray(weights.transpose(0, 2, 1)) * factors[..., None]
+    for block in _blocks(bounds):
+        first, last = block[0][1], block[-1][2]
+        e, total, own_bias = np.empty((last - first, classes), h.dtype), np.empty(last - first, h.dtype), np.empty(last - first, h.dtype)
+        own = at[first:last]
+        parts = [(k, slice(a, b), slice(a - first, b - first)) for k, a, b in block]
+        for k, rows, here in parts:
+            np.matmul(h[rows], weights[k], out=e[here])
+            bias[k].take(own[here], out=own_bias[here], mode="clip")
+        flat, own = e.reshape(-1), own + np.arange(0, e.size, classes)
+        log = flat.take(own)
+        log += own_bias
+        np.exp(e, out=e)
+        for k, _, here in parts:
+            np.matmul(e[here], factors[k], out=total[here])
+        log -= np.log(total)
+        got[first:last] += log
+        if grads is not None:
+            # The sums that divide each row are put to what the row meets.
+            flat[own] -= total * np.exp(-own_bias)
+            share = 1 / total
+            met = h[first:last] * share[:, None]
+            for k, rows, here in parts:
+                g_weights[k] += np.dot(e[here].T, met[here])
+                g_bias[k] += share[here] @ e[here]
+                back = e[here] @ own_weights[k]
+                back *= share[here, None]
+                dh[rows] += back
+    if grads is not None:
+        g_weights *= factors[..., None]
+        g_bias *= factors
+        grads[0] += g_weights.transpose(0, 2, 1)
+        grads[1] += g_bias
 
 
 def _classes(targets):
@@ -158,32 +221,17 @@ def _classes(targets):
 def _outputs(p, hs, targets, grads=None):
     """Log-probabilities of the targets given states; adds to ``grads`` and gives the states' gradient if asked."""
     cls = _classes(targets)
-    train = grads is not None
-    logits = hs @ p["C"]
-    logits += p["c"]
-    log, miss = _log_softmax(logits, cls, train)
-    got = log.astype(np.float64)
-    dh = None
-    if train:
-        grads["C"] += hs.T @ miss
-        grads["c"] += miss.sum(axis=0)
-        dh = miss @ p["C"].T
+    # In the order of their classes, so that those of a class are one slice.
     order = np.argsort(cls.astype(np.int16), kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(HEAD // CLASS_WORDS + 1))
-    for k in range(HEAD // CLASS_WORDS):
-        own = order[bounds[k] : bounds[k + 1]]
-        if not len(own):
-            continue
-        h = hs[own]
-        logits = h @ p["W"][k]
-        logits += p["w"][k]
-        log, miss = _log_softmax(logits, targets[own] % CLASS_WORDS, train)
-        got[own] += log
-        if train:
-            grads["W"][k] += h.T @ miss
-            grads["w"][k] += miss.sum(axis=0)
-            dh[own] += miss @ p["W"][k].T
-    return got, dh
+    cls, word, h = cls.take(order), targets.take(order) % CLASS_WORDS, hs.take(order, axis=0)
+    got, dh = np.zeros(len(h)), None if grads is None else np.zeros_like(h)
+    bounds = np.searchsorted(cls, np.arange(HEAD // CLASS_WORDS + 1)).tolist()
+    into = (None, None) if grads is None else ([grads["C"][None], grads["c"][None]], [grads["W"], grads["w"]])
+    _softmax(h, p["C"][None], p["c"][None], [0, len(h)], cls, got, into[0], dh)
+    _softmax(h, p["W"], p["w"], bounds, word, got, into[1], dh)
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return got.take(back), dh if dh is None else dh.take(back, axis=0)
 
 
 @dataclass
@@ -232,75 +280,82 @@ class Layout:
             yield s, going.tolist(), x, y
 
 
-def score(p: dict, texts: list[np.ndarray], lanes: int = SCORE_LANES, size: int = 2 * WINDOW) -> np.ndarray:
+def _keep_freed() -> None:
+    """The C library keeps freed memory up to twice the largest array freed, and otherwise asks for fresh pages in each window."""
+    np.empty(24 << 20, np.uint8)
+
+
+def score(p: dict, texts: list[np.ndarray], lanes: int = SCORE_LANES, size: int | None = None) -> np.ndarray:
     """Natural log-probability of each text (symbols that end in 0) but for the shares within tail classes."""
     if not texts:
         return np.zeros(0)
+    _keep_freed()
     layout = Layout.of(texts, lanes)
     logs = np.zeros(layout.symbols.shape, np.float32)
-    h = np.zeros((UNITS, len(layout.loads)), np.float32)
-    for s, going, x, y in layout.windows(size):
-        hs = []
-        for t, g in enumerate(going):
-            h, _ = _step(p, x[t, :g], _carried(h[:, :g], x[t, :g]))
-            hs.append(h)
-        got, _ = _outputs(p, _by_token(hs), np.concatenate([y[t, :g] for t, g in enumerate(going)]))
-        at = 0
-        for t, g in enumerate(going):
-            logs[:g, s + t] = got[at : at + g]
-            at += g
+    h, weights = np.zeros((UNITS, len(layout.loads)), np.float32), _scaled(p)
+    for s, going, x, y in layout.windows(size or max(2 * WINDOW, SCORE_WINDOW_TOKENS // len(layout.loads))):
+        steps, g = x.shape
+        states = _states(*weights, h[:, :g], x)[0]
+        h, own = states[-1], _read(going, g)
+        got = np.zeros(steps * g, np.float32)
+        got[own] = _outputs(p, _by_token(states[1:])[own], y.reshape(-1)[own])[0]
+        logs[:g, s : s + steps] = got.reshape(steps, g).T
     return np.array([logs[i, a : a + len(x)].sum(dtype=np.float64) for x, i, a in zip(texts, layout.lane.tolist(), layout.start.tolist(), strict=True)])
 
 
-def _by_token(states: list[np.ndarray]) -> np.ndarray:
-    """States of some steps (units x lanes each) as rows of tokens."""
-    return np.ascontiguousarray(np.concatenate(states, axis=1).T)
+def _by_token(states: np.ndarray) -> np.ndarray:
+    """States (steps x units x lanes) as rows of tokens."""
+    return np.ascontiguousarray(states.transpose(0, 2, 1)).reshape(-1, states.shape[1])
 
 
-def _carried(h: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """States as the next step sees them: none is carried from one text of a lane to the next."""
-    first = x == 0
-    if first.any():
-        h = h.copy()
-        h[:, first] = 0
-    return h
+def _read(going: list[int], lanes: int) -> slice | np.ndarray:
+    """Which of a window's tokens, step by step, belong to lanes that still go on."""
+    return slice(None) if going[-1] == lanes else np.flatnonzero(np.arange(lanes) < np.array(going)[:, None])
 
 
 def gradients(p: dict, h: np.ndarray, going: list[int], x: np.ndarray, y: np.ndarray):
-    """(log-probability, gradients of its negative, states after the window), back through the window only."""
+    """(log-probability, gradients of its negative, states after the window), back through the window only.
+
+    Lanes that have ended are read on as if they began a text; as nothing follows from that, their gradients are 0.
+    """
     grads = {k: np.zeros_like(v) for k, v in p.items() if k != "E"}
-    kept, hs = [], []
-    for t, g in enumerate(going):
-        before = _carried(h[:, :g], x[t, :g])
-        h, inner = _step(p, x[t, :g], before)
-        kept.append((before, *inner))
-        hs.append(h)
-    flat = np.concatenate([y[t, :g] for t, g in enumerate(going)])
-    got, d_out = _outputs(p, _by_token(hs), flat, grads)
-    d_out = np.ascontiguousarray(d_out.T)
-    ends = np.cumsum(going)
-    dx, rows, carried = np.empty((3 * UNITS, int(ends[-1])), d_out.dtype), [], np.zeros((UNITS, going[0]), d_out.dtype)
-    for t in range(len(going) - 1, -1, -1):
-        g = going[t]
-        own = slice(int(ends[t]) - g, int(ends[t]))
-        before, z, r, n, a = kept[t]
-        dh = carried[:, :g] + d_out[:, own]
-        keep = 1 - z
-        dn = dh * keep * (1 - n * n)
-        dz = dh * (before - n) * z * keep
-        dr = dn * a * r * (1 - r)
-        dx[:UNITS, own], dx[UNITS : 2 * UNITS, own], dx[2 * UNITS :, own] = dz, dr, dn
-        rows.append(np.concatenate([dz, dr, dn * r]))
-        dh *= z
-        dh += p["U"] @ rows[-1]
-        dh[:, x[t, :g] == 0] = 0
-        carried[:, :g] = dh
-    grads["U"] += np.concatenate([k[0] for k in kept], axis=1) @ np.concatenate(rows[::-1], axis=1).T
-    read = np.concatenate([x[t, :g] for t, g in enumerate(going)])
+    steps, lanes = x.shape
+    states, gates, inner, kept = _states(*_scaled(p), h[:, :lanes], x, train=True)
+    own, d_out = _read(going, lanes), np.zeros((steps * lanes, UNITS), states.dtype)
+    got, d_out[own] = _outputs(p, _by_token(states[1:])[own], y.reshape(-1)[own], grads)
+    dh = np.ascontiguousarray(d_out.reshape(steps, lanes, UNITS).transpose(0, 2, 1))
+    for t, k in enumerate(kept):
+        if k is not None:
+            # The state that a step has read; that of the step before it is not needed any more.
+            states[t] *= k
+    before, z, r, n = states[:-1], gates[:, :UNITS], gates[:, UNITS : 2 * UNITS], gates[:, 2 * UNITS :]
+    # Slopes of what z, r and the recurrent part of n take in, by the new state; slope_n: of n's own input.
+    keep = 1 - z
+    slope_n = 1 - n * n
+    slope_n *= keep
+    slopes = np.empty((steps, 3, UNITS, lanes), states.dtype)
+    np.subtract(before, n, out=slopes[:, 0])
+    slopes[:, 0] *= z
+    slopes[:, 0] *= keep
+    np.multiply(slope_n, r, out=slopes[:, 2])
+    np.multiply(slopes[:, 2], inner, out=slopes[:, 1])
+    slopes[:, 1] *= 1 - r
+    rows, carried, more = slopes.reshape(steps, 3 * UNITS, lanes), np.zeros((UNITS, lanes), states.dtype), np.empty((UNITS, lanes), states.dtype)
+    for t in range(steps - 1, -1, -1):
+        dh[t] += carried
+        slopes[t] *= dh[t]
+        np.multiply(dh[t], z[t], out=carried)
+        carried += np.matmul(p["U"], rows[t], out=more)
+        if kept[t] is not None:
+            carried *= kept[t]
+    grads["U"] += np.matmul(before, rows.transpose(0, 2, 1)).sum(axis=0)
+    np.multiply(dh, slope_n, out=slopes[:, 2])
+    read = x.reshape(-1)
     order = np.argsort(read.astype(np.int16), kind="stable")
-    found, starts = np.unique(read[order], return_index=True)
-    grads["E"] = found, np.add.reduceat(np.ascontiguousarray(dx.T)[order], starts, axis=0)
-    return got.sum(), grads, h
+    read = read.take(order)
+    starts = np.flatnonzero(np.diff(read, prepend=-1))
+    grads["E"] = read[starts], np.add.reduceat(_by_token(rows).take(order, axis=0), starts, axis=0)
+    return got.sum(), grads, states[-1]
 
 
 class Trainer:
@@ -319,6 +374,7 @@ class Trainer:
         parts = [t[i : i + STRETCH] for t in texts for i in range(0, len(t), STRETCH)]
         layout = Layout.of(parts, min(TRAIN_LANES, max(8, sum(map(len, parts)) // (LEAST_STEPS * WINDOW))))
         h = np.zeros((UNITS, len(layout.loads)), np.float32)
+        _keep_freed()
         for _, going, x, y in layout.windows(WINDOW):
             _, grads, h = gradients(self.p, h, going, x, y)
             n = sum(going)
@@ -326,11 +382,14 @@ class Trainer:
             scale = np.float32(8.0 / max(n, 256))
             for k, g in grads.items():
                 at, g = (g[0], g[1]) if k == "E" else (slice(None), g)
-                g = g * scale
-                self.squares[k][at] += g * g
+                g *= scale
+                squares = self.squares[k][at] + g * g
+                self.squares[k][at] = squares
                 # Biases hold the words' frequencies over the whole corpus from the start.
                 rate = np.float32(self.rate * (BIAS_RATE if k in "cw" else 1.0))
-                self.p[k][at] -= rate * g / np.sqrt(self.squares[k][at])
+                g *= rate
+                g /= np.sqrt(squares, out=squares)
+                self.p[k][at] -= g
 
 
 def begun(v: Vocabulary) -> dict:

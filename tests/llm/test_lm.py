@@ -126,3 +126,58 @@ def test_texts_are_cut_into_words_once(spark, monkeypatch):
     docs = spark.range(60).selectExpr("id AS doc_id", "repeat('word ', int(id)) AS text")
     assert sorted((r.doc_id, r.n_tokens) for r in lm.score_documents(docs).collect()) == [(i, i + 1) for i in range(60)]
     assert calls.value == 60
+
+
+def plain_score(p, text):
+    """One text, word by word, in double precision."""
+    p = {k: x.astype(float) for k, x in p.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    h, last, total, u = np.zeros(lm.UNITS), 0, 0.0, lm.UNITS
+    for s in text.tolist():
+        x, a = p["E"][last], h @ p["U"]
+        z, r = sigmoid(x[:u] + a[:u]), sigmoid(x[u : 2 * u] + a[u : 2 * u])
+        h = z * h + (1 - z) * np.tanh(x[2 * u :] + r * a[2 * u :])
+        cls = h @ p["C"] + p["c"]
+        k = s // lm.CLASS_WORDS if s < lm.HEAD else lm.HEAD // lm.CLASS_WORDS + s - lm.HEAD
+        total += cls[k] - np.log(np.exp(cls).sum())
+        if s < lm.HEAD:
+            own = h @ p["W"][k] + p["w"][k]
+            total += own[s % lm.CLASS_WORDS] - np.log(np.exp(own).sum())
+        last = s
+    return total
+
+
+def test_scores_equal_a_plain_pass():
+    rng = np.random.default_rng(4)
+    p = {k: x * np.float32(4 if k in "EUCW" else 1) for k, x in lm.initial(small_vocabulary(rng)).items()}
+    texts = [np.append(rng.integers(1, lm.HEAD + lm.TAIL_CLASSES, n), 0).astype(np.int16) for n in (0, 3, 700, 41, 5, 260, 1)]
+    want = [plain_score(p, t) for t in texts]
+    for got in (lm.score(p, texts), lm.score(p, texts, lanes=2, size=50)):
+        assert np.allclose(got, want, rtol=1e-5)
+
+
+def test_small_classes_share_their_passes(monkeypatch):
+    calls = []
+
+    class Counted:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(np, name)
+
+    rng = np.random.default_rng(5)
+    p, targets = lm.initial(small_vocabulary(rng)), rng.integers(0, lm.HEAD + lm.TAIL_CLASSES, 400)
+    hs = rng.normal(size=(400, lm.UNITS)).astype(np.float32)
+    monkeypatch.setattr(lm, "np", Counted())
+    for grads in (None, {k: np.zeros_like(x) for k, x in p.items() if k != "E"}):
+        calls.clear()
+        lm._outputs(p, hs, targets, grads)
+        # Each of the two softmaxes once over all rows, and the biases; 17 before.
+        assert calls.count("exp") <= 6
+
+
+def test_blocks_hold_every_row_once():
+    bounds = [0, 0, 3, 700, 2000, 2001, 2001]
+    blocks = list(lm._blocks(bounds))
+    assert [i for b in blocks for _, a, end in b for i in range(a, end)] == list(range(2001))
+    assert all(bounds[k] <= a < end <= bounds[k + 1] for b in blocks for k, a, end in b)
+    assert max(b[-1][2] - b[0][1] for b in blocks) <= lm.SOFTMAX_ROWS and list(lm._blocks([0, 0])) == []
