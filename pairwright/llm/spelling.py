@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.session import staged
+from pairwright.session import growing, staged
 
 LETTERS = r"[A-Za-zÀ-ÿ]"
 #: Runs whose checksum this divides lose a letter.
@@ -52,9 +52,12 @@ def anagram_key(letters: Column) -> Column:
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """(word, n, other, other_n): every two words that differ by one letter, both ways round; ``words`` are distinct (word, n)."""
+    """(word, n, other, other_n): every two words that differ by one letter, both ways round; ``words`` are distinct (word, n).
+
+    A word becomes some 20 rows, which Spark does not count when it sizes a table; so joins shuffle them, whatever their number.
+    """
     letters = F.split("word", "")
-    keyed = words.select("word", "n", F.length("word").alias("size"), letters.alias("letters")).withColumn("key", anagram_key(F.col("letters")))
+    keyed = growing(words).select("word", "n", F.length("word").alias("size"), letters.alias("letters")).withColumn("key", anagram_key(F.col("letters")))
 
     def halves(size: Column) -> Column:
         """The first and the last letters of a word, half as many as ``size``: the length of the shorter word of a pair."""
@@ -84,11 +87,11 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
 def roots_of(forms: DataFrame) -> DataFrame:
     """(word, root) from (word, form): forms followed to the last. Each round doubles the steps taken, and chains are short, as a form is at least RATIO times as frequent."""
-    ways = staged(forms.select("word", F.col("form").alias("root")), "roots")
+    ways = growing(staged(forms.select("word", F.col("form").alias("root")), "roots"))
     while True:
         on = ways.select(F.col("word").alias("root"), F.col("root").alias("next"))
         after = staged(ways.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
-        ways = after.select("word", "root")
+        ways = growing(after.select("word", "root"))
         if not after.where("moved").limit(1).count():
             return ways
 
@@ -99,13 +102,13 @@ def spelling_groups(docs: DataFrame, least: int = LEAST_LENGTH, least_count: int
     Words and their counts are those of `word_counts`; equal counts of near words go to the first in the
     order of code points. Tables without such words give no rows. Other columns may have any names.
     """
-    words = staged(word_counts(docs, least, damaged, id_col, text_col).where(F.col("n") >= least_count), "words")
+    words = growing(staged(word_counts(docs, least, damaged, id_col, text_col).where(F.col("n") >= least_count), "words"))
     best = F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("form")))
     near = near_pairs(words).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
     taken = -F.col("best.less") >= ratio * F.col("n")
     joined = words.join(near, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(taken, F.col("best.form")).alias("form"), F.when(taken, -F.col("best.less")).alias("form_n")
     )
-    found = staged(joined, "forms")
+    found = growing(staged(joined, "forms"))
     roots = roots_of(found.where("form IS NOT NULL").select("word", "form"))
     return found.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

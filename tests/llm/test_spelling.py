@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from pairwright.llm import spelling
 from pairwright.llm.queries import ORACLES, QUERIES
 from pairwright.llm.spelling import near_pairs, spelling_groups, word_counts
 
@@ -98,3 +99,22 @@ def test_counts_need_no_whole_documents(spark):
     plan = word_counts(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan and "Python" not in plan
     assert word_counts(spark.createDataFrame([(1, "x" * 9 + " yyyyyy")], "doc_id long, text string")).agg(F.sum("n")).first()[0] == 2
+
+
+def test_no_join_sends_words_through_the_driver(spark, monkeypatch):
+    """Spark sizes exploded words as the compressed file that they come from, and so would broadcast gigabytes."""
+    kept, plans = spelling.staged, []
+
+    def plan_of(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+
+    def seen(df, name):
+        plan_of(df)
+        return kept(df, name)
+
+    monkeypatch.setattr(spelling, "staged", seen)
+    text = " ".join(["weather"] * 130 + ["weathar"] * 26 + ["weatar"] * 5)
+    plan_of(spelling_groups(spark.createDataFrame([(1, text)], "doc_id long, text string"), damaged=1 << 40))
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 5
+    assert not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastExchange" in p or "BroadcastNestedLoopJoin" in p]
