@@ -1,9 +1,12 @@
 import random
 
+import duckdb
 import pytest
 
+from pairwright import catalogue
 from pairwright.operators import components, kernels
 from pairwright.operators.components import connected_components
+from pairwright.sources import fixtures
 
 
 def expected(edges):
@@ -35,3 +38,26 @@ def test_rounds_go_on_with_what_is_left(spark, monkeypatch):
     got = connected_components(edges)
     assert got.where("nid = 0").count() == n + 1
     assert sum(written) < 8 * n
+
+
+@pytest.mark.parametrize("name", ["meta_edges", "pcc_labels"])
+def test_queries_take_rounds_to_the_last_edge(spark, sf, monkeypatch, name):
+    """However few edges there are, none are joined in one task beside the rounds."""
+    kept, steps, plans = components.staged, [], []
+
+    def seen(df, step):
+        steps.append(step)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, step)
+
+    monkeypatch.setattr(components, "staged", seen)
+    monkeypatch.setattr(fixtures, "staged", seen)
+    monkeypatch.setattr(fixtures, "_kept", {})
+    df = catalogue.QUERIES[name](spark, sf)
+    got = sorted(map(tuple, df.collect()))
+    plans.append(df._jdf.queryExecution().executedPlan().toString())
+    assert steps.count("moves") > 3 and not any("InPandas" in p or "InArrow" in p for p in plans)
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.sql(f"CREATE VIEW {t} AS FROM '{sf}/{t}.parquet'")
+    assert got == sorted(con.sql(f"SELECT {', '.join(df.columns)} FROM ({catalogue.ORACLES[name]})").fetchall())
